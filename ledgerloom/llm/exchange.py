@@ -41,8 +41,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def reduce_packed(df: DataFrame, dtype: np.dtype, fn: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, limit: int = 24 << 20) -> DataFrame:
-    """Sends packed rows to their buckets and calls fn on all records of some whole buckets at a time."""
+def reduce_blobs(df: DataFrame, fn: Callable[[list[tuple[int, memoryview]]], Iterator[pa.RecordBatch]], schema: str, limit: int = 24 << 20) -> DataFrame:
+    """Sends packed rows to their buckets and calls fn on (bucket, payload) of some whole buckets at a time."""
     n = partitions(df.sparkSession)
 
     def run(batches):
@@ -51,19 +51,24 @@ def reduce_packed(df: DataFrame, dtype: np.dtype, fn: Callable[[np.ndarray], Ite
             which = batch.column(0).to_numpy(zero_copy_only=False)
             for k, blob in zip(which.tolist(), batch.column(1), strict=True):
                 if k != last and size >= limit:
-                    yield from fn(np.concatenate(held))
+                    yield from fn(held)
                     held, size = [], 0
                 last = k
-                held.append(np.frombuffer(blob.as_buffer(), dtype).copy())
-                size += held[-1].nbytes
+                held.append((k, memoryview(blob.as_buffer())))
+                size += len(held[-1][1])
         if held:
-            yield from fn(np.concatenate(held))
+            yield from fn(held)
 
     return df.select("bucket", "payload").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def reduce_packed(df: DataFrame, dtype: np.dtype, fn: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, limit: int = 24 << 20) -> DataFrame:
+    """reduce_blobs for payloads of fixed-width records."""
+    return reduce_blobs(df, lambda held: fn(np.concatenate([np.frombuffer(x, dtype) for _, x in held])), schema, limit)
+
+
+def rows(buckets: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
 
 def shared_dir(spark: SparkSession) -> str:
