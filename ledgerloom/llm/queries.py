@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fmindex, mixing, neardup, quality, secretscan, suffixes, tokens
+from . import decontam, fmindex, mixing, neardup, quality, secretscan, suffixes, tokens, toxicity
 from .exchange import table
 
 
@@ -32,6 +32,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.suffix_sums(tokens.histogram(tokens.lengths(table(spark, sf_dir, "documents").select("text"))))
 
@@ -45,7 +49,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_suffix_array_dedup, op4_quality_rules, op5_minhash_near_dedup, op6_benchmark_decontamination, op8_token_length_histogram, op9_pfair_mixing, op10_secret_scans)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_suffix_array_dedup, op4_quality_rules, op5_minhash_near_dedup, op6_benchmark_decontamination, op7_toxicity, op8_token_length_histogram, op9_pfair_mixing, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -208,7 +208,7 @@ def _shard(span: int):
 
 def shard_marks(stream, span: int) -> list[np.ndarray]:
     """Marks of repeated windows, from a stream of sorted suffixes with their common prefixes."""
-    right, lefts, low, many, refs, owner = [], [], [], [], [], []
+    right, lefts, low, many, refs, owner, lead = [], [], [], [], [], [], []
     key_before, here = None, {}
     for lcp, key, (left, doc, first, o, dup) in stream:
         if key_before is None or lcp < len(key) or len(key) != len(key_before) or key != key_before:
@@ -224,7 +224,8 @@ def shard_marks(stream, span: int) -> list[np.ndarray]:
             lefts.append(key[:8] + left[::-1])
             low.append(o)
             many.append(dup)
-        elif (doc, first) != refs[-1] or owner[-1] != j:
+            lead.append((doc, first))
+        elif (doc, first) != lead[j]:
             many[j] = 1
         refs.append((doc, first))
         owner.append(j)
