@@ -125,6 +125,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes:
     return _merged(docs, both)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without any hit word; columns as they are."""
+    for items in blocks(benchmark, width, block_bytes):
+        docs = _without(docs, docs.sparkSession.sparkContext.broadcast(items), width)
+    return docs
+
+
+def _without(docs: DataFrame, sent, width: int) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def run(batches):
+        auto = build(sent.value, width)
+        for b in batches:
+            for row, end, raw, off in K.chunks(b.column(at)):
+                yield b.slice(row, end - row).filter(pa.array(scan_chunk(auto, raw, off)[1] == 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _merged(docs: DataFrame, both: DataFrame) -> DataFrame:
     """Several blocks: items are united; hit words are counted anew from the united spans."""
     found = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fmindex, mixing, neardup, quality, secretscan, suffixes, tokens, toxicity
+from . import decontam, fmindex, mixing, neardup, pii, quality, secretscan, suffixes, tokens, toxicity
 from .exchange import table
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -48,8 +52,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_suffix_array_dedup, op4_quality_rules, op5_minhash_near_dedup, op6_benchmark_decontamination, op7_toxicity, op8_token_length_histogram, op9_pfair_mixing, op10_secret_scans)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_pii_surrogates, op2_substring_dedup, op3_suffix_array_dedup, op4_quality_rules, op5_minhash_near_dedup, op6_benchmark_decontamination, op7_toxicity, op8_token_length_histogram, op9_pfair_mixing, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
