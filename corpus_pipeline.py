@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, secrets, mixing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns the columns of `documents`; the last adds
-the place in the mixture. Columns of docs beyond these are dropped by none of them but the last reads only documents'.
+the place in the mixture.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or a learned rule go."""
-    carried = [c for c in COLUMNS if c != "doc_id"]
-    return quality.judge(docs, table(spark, sf_dir, "labels"), keep=carried).where("kept").select(COLUMNS)
+    return quality.filtered(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,20 +92,18 @@ def _lines(brk: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id and COUNTS for every row; `keep` names further columns of docs to carry along."""
-    keep = [c for c in keep or [] if c != "doc_id"]
-    picked = docs.select(F.col("doc_id"), F.col("text"), *[F.col(c) for c in keep if c != "text"])
-    fields = [f for f in picked.schema if f.name in keep]
-    schema = STATS_SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
+    """doc_id and COUNTS for every row; the columns of docs named in `keep` are carried along as k_0, k_1, ..."""
+    keep = keep or []
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)])
+    fields = picked.schema.fields[2:]
+    schema = STATS_SCHEMA + "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields)
 
     def run(batches):
         for b in batches:
-            col = b.column("text")
-            parts = [chunk_stats(raw, off) for _, _, raw, off in K.chunks(col)]
-            if not parts:
-                continue
-            cols = [b.column("doc_id")] + [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64)) for c in COUNTS] + [b.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *COUNTS, *(f.name for f in fields)])
+            parts = [chunk_stats(raw, off) for _, _, raw, off in K.chunks(b.column("text"))]
+            if parts:
+                cols = [b.column("doc_id")] + [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64)) for c in COUNTS] + b.columns[2:]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *COUNTS, *(f.name for f in fields)])
 
     return picked.mapInArrow(run, schema)
 
@@ -212,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
     sample = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ["quality"])
-    rows = sample.where(~base_failed()).select("doc_id", "quality", *[feature(k).alias(k) for k in FEATURES]).toPandas().sort_values("doc_id")
+    rows = sample.where(~base_failed()).select("doc_id", F.col("k_0").alias("quality"), *[feature(k).alias(k) for k in FEATURES]).toPandas().sort_values("doc_id")
     return learn({k: rows[k].to_numpy(float) for k in FEATURES}, (rows["quality"] == 0).to_numpy())
 
 
@@ -235,3 +233,8 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     rules = fit(docs, labels)
     out = statistics(docs, keep).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all columns of docs."""
+    return judge(docs, labels, docs.columns).where("kept").select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(docs.columns)])
