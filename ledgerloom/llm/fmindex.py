@@ -30,7 +30,7 @@ SPAN = 20
 GRAM = 6
 HOT = 4096
 _HEAD = np.dtype([("h", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
-_MARK = np.dtype([("doc", "<i8"), ("first", "<i4"), ("last", "<i4")])
+_MARK = R.MARK
 _FLUSH_WORDS = 1 << 21
 
 
@@ -225,9 +225,7 @@ def _search(span: int):
         if heads:
             marks += shard_marks(np.concatenate(heads), np.concatenate(words), span)
         if marks:
-            m = np.concatenate(marks)
-            doc, blob = R.by_doc(m["doc"], m["first"], m["last"])
-            yield pa.RecordBatch.from_arrays([doc, blob], ["doc_id", "marks"])
+            yield R.packed_marks(np.concatenate(marks))
 
     return run
 
@@ -270,7 +268,7 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: i
     found = written(R.repeated_anchors(docs, units, hot), "anchors")
     top = docs.sparkSession.sparkContext.broadcast(R.hot_hashes(found, hot))
     sent = R.with_repeats(docs, found).mapInArrow(lambda it: _send(top.value, span, gram)(it), PACKED)
-    return reduce_blobs(sent, _search(span), "doc_id long, marks binary", limit=8 << 20)
+    return R.marks_by_doc(reduce_blobs(sent, _search(span), PACKED, limit=8 << 20))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:

@@ -32,6 +32,7 @@ from .exchange import PACKED, bucket_of, pack, reduce_packed, written
 MAX_HOT = 1_000_000
 NULL_ID = -(1 << 63)
 _REF = np.dtype([("h", "<u8"), ("doc", "<i8"), ("ord", "<i4"), ("n", "<i4")])
+MARK = np.dtype([("doc", "<i8"), ("first", "<i4"), ("last", "<i4")])
 _FLUSH = 1 << 20
 
 
@@ -186,13 +187,35 @@ def repeated_anchors(docs: DataFrame, units: Units, hot_from: int) -> DataFrame:
         total = np.add.reduceat(rec["n"].astype(np.int64), cut) if len(cut) else np.zeros(0, np.int64)
         size = np.diff(np.append(cut, len(rec)))
         found = np.concatenate([known, rec[np.repeat(size > 1, size)]])
-        doc, blob = by_doc(found["doc"], found["ord"])
+        found["n"] = 0
+        big = rec[cut][total > hot_from]
+        big["n"] = np.minimum(total[total > hot_from], np.iinfo(np.int32).max)
+        both = np.concatenate([found, big])
+        yield pack(both, bucket_of(K.mix(both["doc"].view(np.uint64))))
+
+    def gather(rec):
+        big, rec = rec[rec["n"] > 0], rec[rec["n"] == 0]
+        doc, blob = by_doc(rec["doc"], rec["ord"])
         yield pa.RecordBatch.from_arrays([doc, blob, pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64())], ["doc_id", "ords", "h", "n"])
-        big = total > hot_from
-        k = int(big.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(rec["h"][cut][big].view(np.int64)), pa.array(total[big])], ["doc_id", "ords", "h", "n"])
+        k = len(big)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(big["h"].view(np.int64)), pa.array(big["n"].astype(np.int64))], ["doc_id", "ords", "h", "n"])
 
-    return reduce_packed(own_ids(docs).mapInArrow(send, PACKED), _REF, join, "doc_id long, ords binary, h long, n long")
+    repeats = reduce_packed(own_ids(docs).mapInArrow(send, PACKED), _REF, join, PACKED)
+    return reduce_packed(repeats, _REF, gather, "doc_id long, ords binary, h long, n long")
+
+
+def packed_marks(marks: np.ndarray) -> pa.RecordBatch:
+    return pack(marks, bucket_of(K.mix(marks["doc"].view(np.uint64))))
+
+
+def marks_by_doc(packed: DataFrame) -> DataFrame:
+    """One row for each document with marks."""
+
+    def gather(rec):
+        doc, blob = by_doc(rec["doc"], rec["first"], rec["last"])
+        yield pa.RecordBatch.from_arrays([doc, blob], ["doc_id", "marks"])
+
+    return reduce_packed(packed, MARK, gather, "doc_id long, marks binary")
 
 
 def hot_hashes(found: DataFrame, hot_from: int) -> np.ndarray:
@@ -206,45 +229,32 @@ def hot_hashes(found: DataFrame, hot_from: int) -> np.ndarray:
 
 def with_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Texts of the documents that have repeated anchors, with the list of their numbers."""
-    ords = found.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("ords").alias("ords"))
-    return own_ids(docs).join(ords, "doc_id")
+    return own_ids(docs).join(found.where("doc_id is not null").select("doc_id", "ords").hint("merge"), "doc_id")
 
 
 def chosen(a: Anchors, ords: pa.Array, n_docs: int) -> np.ndarray:
     """Which anchors of a chunk the lists in ords name."""
     of = np.searchsorted(a.doc, np.arange(n_docs + 1))
     on = np.zeros(len(a.at), bool)
-    for d, blobs in enumerate(ords):
-        for blob in blobs.values:
-            on[of[d] + np.frombuffer(blob.as_buffer(), "<i4")] = True
+    for d, blob in enumerate(ords):
+        on[of[d] + np.frombuffer(blob.as_buffer(), "<i4")] = True
     return on
 
 
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Every row of docs with the list of its marks: blobs of (first, last) window starts."""
-    all_marks = marks.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    return own_ids(docs).join(all_marks, "doc_id", "left").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "text", "marks")
+    """Every row of docs with its marks: a blob of (first, last) window starts."""
+    return own_ids(docs).join(marks.hint("merge"), "doc_id", "left").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "text", "marks")
 
 
 def marked(marks: pa.Array, first: np.ndarray, span: int) -> np.ndarray:
     """Units that a marked window covers."""
     n = int(first[-1]) if len(first) else 0
     starts, sizes = [], []
-    for d, blobs in enumerate(marks):
-        if blobs.is_valid:
-            for blob in blobs.values:
-                m = np.frombuffer(blob.as_buffer(), "<i4").reshape(-1, 2).astype(np.int64)
-                starts.append(m[:, 0] + first[d])
-                sizes.append(m[:, 1] - m[:, 0] + span)
+    for d, blob in enumerate(marks):
+        if blob.is_valid:
+            m = np.frombuffer(blob.as_buffer(), "<i4").reshape(-1, 2).astype(np.int64)
+            starts.append(m[:, 0] + first[d])
+            sizes.append(m[:, 1] - m[:, 0] + span)
     if not starts:
         return np.zeros(n, bool)
     return K.cover(np.concatenate(starts), np.concatenate(sizes), n)
-
-
-def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) of maximal runs of True."""
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-
-
-__all__ = ["Anchors", "Units", "anchors", "byte_units", "by_doc", "chosen", "hot_hashes", "marked", "repeated_anchors", "runs", "with_marks", "with_repeats", "word_units", "written"]

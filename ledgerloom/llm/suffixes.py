@@ -32,7 +32,7 @@ SPAN = 400
 GRAM = 48
 HOT = 1 << 16
 _ENTRY = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("many", "<u2"), ("low", "<u4"), ("doc", "<i8"), ("first", "<i4")])
-_MARK = np.dtype([("doc", "<i8"), ("first", "<i4"), ("last", "<i4")])
+_MARK = R.MARK
 _PRINT = np.dtype([("w", "<u8"), ("v", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _FLUSH_BYTES = 24 << 20
 
@@ -199,9 +199,7 @@ def _shard(span: int):
         stream = (x for k in sorted(by_bucket) for x in merged([decoded(b) for b in by_bucket[k]]))
         marks += shard_marks(stream, span)
         if marks:
-            m = np.concatenate(marks)
-            doc, blob = R.by_doc(m["doc"], m["first"], m["last"])
-            yield pa.RecordBatch.from_arrays([doc, blob], ["doc_id", "marks"])
+            yield R.packed_marks(np.concatenate(marks))
 
     return run
 
@@ -334,8 +332,9 @@ def _print_marks(rec):
     hit = np.zeros(len(cut), bool)
     hit[group[other]] = True
     m = np.concatenate([known, rec[hit[group]]]) if len(rec) else known
-    doc, blob = R.by_doc(m["doc"], m["start"], m["start"])
-    yield pa.RecordBatch.from_arrays([doc, blob], ["doc_id", "marks"])
+    marks = np.empty(len(m), _MARK)
+    marks["doc"], marks["first"], marks["last"] = m["doc"], m["start"], m["start"]
+    yield R.packed_marks(marks)
 
 
 def repeated_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -343,10 +342,10 @@ def repeated_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: i
     found = written(R.repeated_anchors(docs, R.Units(span, gram, R.byte_units), hot), "anchors")
     top = docs.sparkSession.sparkContext.broadcast(R.hot_hashes(found, hot))
     ready = R.with_repeats(docs, found)
-    marks = reduce_blobs(ready.mapInArrow(lambda it: _send(top.value, span, gram)(it), PACKED), _shard(span), "doc_id long, marks binary", limit=8 << 20)
+    marks = reduce_blobs(ready.mapInArrow(lambda it: _send(top.value, span, gram)(it), PACKED), _shard(span), PACKED, limit=8 << 20)
     if len(top.value):
-        marks = marks.union(reduce_packed(ready.mapInArrow(lambda it: _prints(top.value, span, gram)(it), PACKED), _PRINT, _print_marks, "doc_id long, marks binary"))
-    return marks
+        marks = marks.union(reduce_packed(ready.mapInArrow(lambda it: _prints(top.value, span, gram)(it), PACKED), _PRINT, _print_marks, PACKED))
+    return R.marks_by_doc(marks)
 
 
 def remove_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
