@@ -5,14 +5,15 @@ has none and is linked with nothing). Documents with equal sets are folded first
 
 Join. Each of TREES independent trees branches documents by the minwise tokens of DEPTH chosen coordinates, so two
 documents of similarity s meet in a node with probability s ** DEPTH a tree: at 0.75 a pair misses all trees with
-probability 5e-6. Then
-  1. every node links its members to its smallest one (a star, aggregated by the senders, so a node that holds a third
-     of all rows stays a few records a flush); the links are confirmed on full sets and united into components;
-  2. nodes whose members still lie in several components are compared exhaustively: all pairs across components whose
-     signatures agree in SURE places are confirmed on full sets and united too. A node over `hot` members is split: the
-     members of its largest component are dealt into salted parts of it and the others are copied to each part, so no
-     pair is left out. `hot` grows with the input so that at most MAX_HOT nodes (16 MB) are ever broadcast.
-Pairs in one component need no comparison: what is asked for is the component. There is no cap on partners.
+probability 5e-6. Nodes are kept as stars (members to the smallest one), aggregated by the senders, so a node that holds
+a third of all rows stays a few records a flush. Stars that touch make a family: documents that could be linked.
+
+A family of up to MAX_FAMILY shingles is compared exhaustively in one task, which gets each member's full set once: every
+pair that is not yet in one component is judged by its signature (LIKELY of all places agree; at similarity 0.75 fewer do
+with probability 4e-5) and then confirmed on the full sets. Larger families are worked by several tasks: stars are
+confirmed first (SALTS parts of each), then all pairs across components by crossing_pairs, which deals the members of
+the largest component into parts and copies the others to each part. So no pair is left out and there is no cap on
+partners; the work on a family of very many unlinked members grows with their number times the family's size.
 
 Rows with equal doc_id belong to one component. A null doc_id is linked with nothing (component_id null, kept). Other
 columns are not read. An empty table gives an empty result.
@@ -32,8 +33,10 @@ WIDTH = 5
 THRESHOLD = 75
 TREES = 32
 DEPTH = 4
+LIKELY = 0.6
+MAX_FAMILY = 1 << 22
 SHORT = 96
-"""Coordinates of which one byte each serves to compare members of a node."""
+"""Coordinates of which one byte each serves to compare members of a large family."""
 SURE = 53
 """Places of SHORT that must agree (0.55; at similarity 0.75 fewer agree with probability 1e-5)."""
 HOT = 1024
@@ -219,18 +222,13 @@ def confirmed(docs: DataFrame, links: DataFrame, threshold: int = THRESHOLD) ->
                 if kind == 0:
                     own.append(h.copy())
                     continue
-                for o in own:
-                    if 100 * min(len(o), len(h)) < threshold * max(len(o), len(h)) or not len(h):
-                        continue
-                    both = len(np.intersect1d(o, h, assume_unique=True))
-                    if 100 * both >= threshold * (len(o) + len(h) - both):
-                        left.append(a)
-                        right.append(doc)
-                        break
+                if any(linked(o, h, threshold) for o in own):
+                    left.append(a)
+                    right.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     n = partitions(docs.sparkSession)
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asks, "doc_id")
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asks.hint("merge"), "doc_id")
     made = ready.mapInArrow(sets, "a long, salt int, kind int, doc_id long, blob binary")
     return made.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(compare, "a long, b long")
 
@@ -355,22 +353,91 @@ def crossing_pairs(reps: DataFrame, hot: int | None = None) -> DataFrame:
     return reduce_packed(reps.select("doc_id", "component_id", "sig").mapInArrow(send, PACKED), _PART, pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def linked(o: np.ndarray, h: np.ndarray, threshold: int = THRESHOLD) -> bool:
+    """Whether two sorted sets have 100 * intersection >= threshold * union."""
+    if 100 * min(len(o), len(h)) < threshold * max(len(o), len(h)) or not len(h):
+        return False
+    both = len(np.intersect1d(o, h, assume_unique=True))
+    return 100 * both >= threshold * (len(o) + len(h) - both)
+
+
+def united(sets: list[np.ndarray], sig: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """Component (number of its first member) of each member of a family, by all pairs that can matter."""
+    comp = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        alike = (sig[:i] == sig[i]).mean(1)
+        for j in np.argsort(-alike, kind="stable"):
+            if alike[j] < LIKELY:
+                break
+            if comp[j] != comp[i] and linked(sets[i], sets[j], threshold):
+                a, b = sorted((comp[i], comp[j]))
+                comp[comp == b] = a
+    return comp
+
+
+def family_components(docs: DataFrame, family: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, component_id) within each family; family: doc_id, family."""
+
+    def sets(batches):
+        for b in batches:
+            for row, end, raw, off in K.chunks(b.column("text")):
+                h, first = shingle_sets(raw, off)
+                own = pa.Array.from_buffers(pa.binary(), end - row, [None, pa.py_buffer((first * 8).astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column("family").slice(row, end - row), b.column("doc_id").slice(row, end - row), own, _blobs(signatures(h, first))], ["family", "doc_id", "own", "sig"])
+
+    def unite(batches):
+        at, ids, own, sig = None, [], [], []
+
+        def done():
+            order = np.argsort(ids, kind="stable")
+            comp = united([own[i] for i in order], np.stack([sig[i] for i in order]), threshold)
+            got = np.array(ids)[order]
+            return pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(got[comp], pa.int64())], ["doc_id", "component_id"])
+
+        for b in batches:
+            for f, d, o, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if f != at:
+                    if ids:
+                        yield done()
+                    at, ids, own, sig = f, [], [], []
+                ids.append(d)
+                own.append(np.frombuffer(o.as_buffer(), np.uint64).copy())
+                sig.append(np.frombuffer(g.as_buffer(), np.uint32).copy())
+        if ids:
+            yield done()
+
+    n = partitions(docs.sparkSession)
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(family.hint("merge"), "doc_id")
+    made = ready.mapInArrow(sets, "family long, doc_id long, own binary, sig binary")
+    return made.repartition(n, "family").sortWithinPartitions("family").mapInArrow(unite, "doc_id long, component_id long")
+
+
+def large_families(docs: DataFrame, reps: DataFrame, stars: DataFrame, threshold: int, hot: int | None = None) -> DataFrame:
+    """Confirmed links within families that one task can't hold. reps: doc_id, sig of their members."""
+    sure = written(confirmed(docs, stars, threshold), "sure")
+    open_reps = written(_with_component(reps, components(sure)), "open")
+    more = confirmed(docs, crossing_pairs(open_reps, hot).join(stars, ["a", "b"], "left_anti"), threshold)
+    return sure.union(more)
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, max_family: int = MAX_FAMILY, hot: int | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is that id)."""
     sets = written(describe(docs), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     reps = written(full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("r.doc_id", "r.sig", "d1", "d2", "n_shingles"), "reps")
     stars = written(star_links(reps), "stars")
-    sure = written(confirmed(docs, stars, threshold), "sure")
-    # ids that stand for several sets (equal doc_ids with different texts) tie those sets together
-    met = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    first = components(sure)
-    open_reps = written(_with_component(reps.select("doc_id", "sig").join(met, "doc_id"), first), "open")
-    more = confirmed(docs, crossing_pairs(open_reps).join(stars, ["a", "b"], "left_anti"), threshold)
-    more = written(more, "more")
+    found = components(stars).withColumnRenamed("component_id", "family")
+    family = written(found.union(found.select("family", "family").distinct()), "families")
+    size = family.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id").groupBy("family").agg(F.sum("n").alias("n"))
+    wide = written(size.where(F.col("n") > max_family).select("family"), "wide")
+    links = family_components(docs, family.join(wide, "family", "left_anti"), threshold).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    if not wide.isEmpty():
+        some = family.join(wide, "family", "left_semi")
+        links = links.union(large_families(docs, reps.select("doc_id", "sig").join(some.select("doc_id"), "doc_id"), stars.join(some.select(F.col("doc_id").alias("a")), "a", "left_semi"), threshold, hot))
+    # equal doc_ids with different texts tie their sets together
     folded = full.select("doc_id", "d1", "d2", "n_shingles").join(reps.select(F.col("doc_id").alias("rep"), "d1", "d2", "n_shingles"), ["d1", "d2", "n_shingles"]).select("doc_id", "rep")
     again = folded.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    last = components(sure.union(more).union(again)) if not more.isEmpty() or not again.isEmpty() else first
+    last = components(links.union(again))
     ends = folded.join(last.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
     ends = ends.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = sets.select("doc_id", "n_shingles").join(ends, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -380,4 +447,4 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
