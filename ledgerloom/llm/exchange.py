@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cut import written
 
-__all__ = ["BUCKETS", "PACKED", "bucket_of", "pack", "partitions", "reduce_blobs", "reduce_packed", "rows", "table", "written"]
+__all__ = ["BUCKETS", "PACKED", "bucket_of", "equal_runs", "pack", "partitions", "reduce_blobs", "reduce_packed", "rows", "table", "written"]
 BUCKETS = 1 << 13
 PACKED = "bucket int, payload binary"
 
@@ -37,6 +37,15 @@ def bucket_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 13)).astype(np.int64)
 
 
+def equal_runs(sorted_buckets: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal values."""
+    n = len(sorted_buckets)
+    if not n:
+        return []
+    at = np.flatnonzero(np.concatenate([[True], sorted_buckets[1:] != sorted_buckets[:-1]]))
+    return list(zip(at.tolist(), [*at[1:].tolist(), n], strict=True))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

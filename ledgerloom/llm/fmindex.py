@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from . import kernels as K
 from . import repeats as R
-from .exchange import PACKED, bucket_of, reduce_blobs, rows, written
+from .exchange import PACKED, bucket_of, equal_runs, reduce_blobs, rows, written
 
 SPAN = 20
 GRAM = 6
@@ -168,16 +168,14 @@ def _send(hot: np.ndarray, span: int, gram: int):
             heads, at, bucket = heads[order], at[order], bucket[order]
             body = words[_take(at, heads["size"].astype(np.int64))]
             ends = np.concatenate([[0], np.cumsum(heads["size"])])
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             names, blobs = [], []
-            for s, e in zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist(), strict=True):
+            for s, e in equal_runs(bucket):
                 names.append(int(bucket[s]))
                 blobs.append(np.int32(e - s).tobytes() + heads[s:e].tobytes() + body[ends[s] : ends[e]].tobytes())
             mb = bucket_of(K.mix(marks["doc"].view(np.uint64)))
             order = np.argsort(mb, kind="stable")
             marks, mb = marks[order], mb[order]
-            cut = np.flatnonzero(np.concatenate([[True], mb[1:] != mb[:-1]])) if len(mb) else np.zeros(0, np.int64)
-            for s, e in zip(cut.tolist(), np.append(cut[1:], len(mb)).tolist(), strict=True):
+            for s, e in equal_runs(mb):
                 names.append(int(mb[s]))
                 blobs.append(np.int32(-1).tobytes() + marks[s:e].tobytes())
             return rows(names, blobs)

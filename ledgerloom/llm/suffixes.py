@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from . import kernels as K
 from . import repeats as R
-from .exchange import PACKED, bucket_of, pack, reduce_blobs, reduce_packed, rows, written
+from .exchange import PACKED, bucket_of, equal_runs, pack, reduce_blobs, reduce_packed, rows, written
 
 SPAN = 400
 GRAM = 48
@@ -127,11 +127,6 @@ def decoded(blob) -> list:
     return out
 
 
-def _cut(buckets: np.ndarray) -> list[tuple[int, int]]:
-    at = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
-    return list(zip(at.tolist(), np.append(at[1:], len(buckets)).tolist(), strict=True))
-
-
 def _send(hot: np.ndarray, span: int, gram: int):
     def run(batches):
         held: dict = {}
@@ -145,13 +140,13 @@ def _send(hot: np.ndarray, span: int, gram: int):
             h = np.array([int.from_bytes(e[0][:8], "big") for e in entries], np.uint64)
             bucket = bucket_of(K.mix(h))
             order = np.argsort(bucket, kind="stable")
-            for s, e in _cut(bucket[order]):
+            for s, e in equal_runs(bucket[order]):
                 names.append(int(bucket[order[s]]))
                 blobs.append(front_coded([entries[i] for i in order[s:e]]))
             m = np.array(marks, _MARK)
             mb = bucket_of(K.mix(m["doc"].view(np.uint64) if len(m) else np.zeros(0, np.uint64)))
             order = np.argsort(mb, kind="stable")
-            for s, e in _cut(mb[order]):
+            for s, e in equal_runs(mb[order]):
                 names.append(int(mb[order[s]]))
                 blobs.append(np.int32(-1).tobytes() + m[order[s:e]].tobytes())
             held.clear()
