@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fmindex, mixing, neardup, pii, quality, secretscan, suffixes, tokens, toxicity
+from . import decontam, fmindex, mixing, neardup, oracles, pii, quality, secretscan, suffixes, tokens, toxicity
 from .exchange import table
 
 
@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": oracles.OP2, "op5_minhash_near_dedup": oracles.OP5, "op6_benchmark_decontamination": oracles.OP6, "op9_pfair_mixing": oracles.OP9}
