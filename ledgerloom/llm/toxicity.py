@@ -32,7 +32,7 @@ HIDDEN = 8
 EMBED = 8
 ATTEND = 8
 MIN_DOCS = 4
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 MAX_TRAIN_CHARS = 200_000
 ROUNDS = 4
 EPOCHS = 3
@@ -91,10 +91,9 @@ class Network:
         at = np.minimum(np.searchsorted(self.known, units), len(self.known) - 1)
         return np.where(self.known[at] == units, at + 1, 0)
 
-    def projected(self, units: np.ndarray) -> np.ndarray:
-        """Input of both layers' gates for each distinct word (last row: no word)."""
+    def projected(self, ids: np.ndarray) -> np.ndarray:
+        """Input of both layers' gates for each distinct word, given the numbers of its units (last row: no word)."""
         table = self.p["embed"] @ self.p["in"]
-        ids = self.ids(units)
         out = np.repeat(self.p["bias"][None], len(ids) + 1, 0).astype(np.float32)
         for k in range(ids.shape[1]):
             out[:-1] += table[ids[:, k]]
@@ -192,42 +191,53 @@ class Network:
 
 
 class _Sample:
-    """Training documents cut into windows once."""
+    """Training documents cut into windows once; `parts` are the chunks, so nothing is expanded for all at once."""
 
     def __init__(self, texts: list[str]):
-        col = pa.array(texts, pa.string())
         units, words, firsts, base, at = [], [], [np.zeros(1, np.int64)], 0, 0
-        for _, _, raw, off in K.chunks(col):
+        self.parts: list[tuple[int, int, int, int]] = []
+        for _, _, raw, off in K.chunks(pa.array(texts, pa.string())):
             u, w, f = word_units(raw, off)
+            self.parts.append((base, base + len(u), at, at + len(w)))
             units.append(u)
-            words.append(w + base)
+            words.append((w + base).astype(np.int32))
             firsts.append(f[1:] + at)
             base, at = base + len(u), at + len(w)
         self.units, self.words, self.first = np.concatenate(units), np.concatenate(words), np.concatenate(firsts)
         self.start, self.size, self.doc = window_starts(self.first)
         self.begin = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
+    def scores(self, net: Network, ids: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.start), np.float32)
+        for lo, hi, a, b in self.parts:
+            w = slice(np.searchsorted(self.start, a), np.searchsorted(self.start, b)) if b > a else slice(0, 0)
+            out[w] = net.window_logits(net.projected(ids[lo:hi]), self.words[a:b] - lo, self.start[w] - a, self.size[w])
+        none = self.size == 0
+        if none.any():
+            out[none] = net.window_logits(net.projected(ids[:0]), self.words[:0], np.zeros(int(none.sum()), np.int64), self.size[none])
+        return out
+
 
 def log_odds(s: _Sample, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes of units in MIN_DOCS documents or more, their log-odds in toxic against other documents)."""
-    doc = K.doc_of(s.first)
-    flat = s.units[s.words]
-    parts = []
+    doc = K.doc_of(s.first).astype(np.int32)
+    total, all_pos, parts = len(toxic), toxic.sum(), []
     for k in range(N_UNITS):
-        h = flat[:, k]
+        h = s.units[:, k][s.words]
         on = h != 0
-        order = np.lexsort((doc[on], h[on]))
-        hh, dd = h[on][order], doc[on][order]
-        new = np.ones(len(hh), bool)
-        new[1:] = (hh[1:] != hh[:-1]) | (dd[1:] != dd[:-1])
-        parts.append((hh[new], toxic[dd[new]]))
-    h, t = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-    known, inverse = np.unique(h, return_inverse=True)
-    n, pos = np.bincount(inverse, minlength=len(known)), np.bincount(inverse, t, minlength=len(known))
-    total, all_pos = len(toxic), toxic.sum()
-    odds = np.log((pos + 0.5) / (all_pos + 1)) - np.log((n - pos + 0.5) / (total - all_pos + 1))
-    enough = n >= MIN_DOCS
-    return known[enough], odds[enough]
+        h, d = h[on], doc[on]
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        h, d = h[new], d[new]
+        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.append(cut, len(h)))
+        pos = np.add.reduceat(toxic[d].astype(np.int64), cut) if len(cut) else n
+        enough = n >= MIN_DOCS
+        parts.append((h[cut][enough], (np.log((pos + 0.5) / (all_pos + 1)) - np.log((n - pos + 0.5) / (total - all_pos + 1)))[enough]))
+    known, at = np.unique(np.concatenate([h for h, _ in parts]), return_index=True)
+    return known, np.concatenate([o for _, o in parts])[at]
 
 
 def train(texts: list[str], toxic: np.ndarray, natural: float, seed: int = 3) -> Network | None:
@@ -244,7 +254,8 @@ def train(texts: list[str], toxic: np.ndarray, natural: float, seed: int = 3) ->
     p["embed"][1:, 0] = 0.2 * np.where(odds > 2, odds, 0)
     p["embed"][0] = 0
     net = Network(known, p)
-    ids = net.ids(s.units)
+    ids = np.concatenate([net.ids(s.units[lo:hi]).astype(np.int32) for lo, hi, _, _ in s.parts])
+    s.units = s.units[:0]
     power = np.append(0.0, np.where(odds > 2, odds, 0))[ids].max(1)[s.words]
     cum = np.append(0, np.cumsum(power))
     score = cum[s.start + s.size] - cum[s.start]
@@ -252,11 +263,11 @@ def train(texts: list[str], toxic: np.ndarray, natural: float, seed: int = 3) ->
     step = 0
     weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())).astype(np.float32)
     full_ids = np.concatenate([ids, np.zeros((1, N_UNITS), ids.dtype)])
-    words = np.append(s.words, len(ids))
+    words = np.append(s.words, np.int32(len(ids)))
     t = np.arange(WINDOW)[:, None]
     for turn in range(ROUNDS + 1):
         if turn:
-            score = net.window_logits(net.projected(s.units), s.words, s.start, s.size)
+            score = s.scores(net, ids)
         order = np.lexsort((-score, s.doc))
         best = order[s.begin[:-1]]  # the highest window of each document
         if turn == ROUNDS:
@@ -323,7 +334,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                 if net is None:
                     out = np.zeros(end - row)
                 else:
-                    logit = net.window_logits(net.projected(units), words, start, size)
+                    logit = net.window_logits(net.projected(net.ids(units)), words, start, size)
                     out = net.calibrated(np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(end - row))))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, end - row), pa.array(np.bincount(doc, minlength=end - row)), pa.array(out)], ["doc_id", "n_windows", "score"])
 
