@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exchange import written
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 RANGE = 1024
@@ -45,6 +47,11 @@ def lengths(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
 
 def histogram(lengths_df: DataFrame) -> DataFrame:
+    """Documents by length; written, so that the sums below don't encode the corpus again."""
+    return written(_counts(lengths_df), "lengths")
+
+
+def _counts(lengths_df: DataFrame) -> DataFrame:
     return lengths_df.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 
