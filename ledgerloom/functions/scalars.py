@@ -48,6 +48,11 @@ def half_even(c: Column, places: int) -> Column:
     return F.bround(c, places)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # dates
 
 
@@ -125,10 +130,12 @@ def vendor_key(c: Column | str) -> Column:
     for p in (r"\b\d{6,}\b", r"\*[A-Z0-9]+", r"#\d+", r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{2,4}\b", r"(?i)\s+[A-Z]\b", "(?i)" + X.NOISE_TOKENS):
         text = F.regexp_replace(text, p, " ")
     tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    head = F.lower(F.array_join(F.slice(tokens, 1, 3), " "))
-    slug = F.slice(F.filter(F.split(F.regexp_replace(head, "[^a-z0-9]+", "_"), "_"), lambda t: t != ""), 1, 2)
-    known = first_match(head, [([p], k) for p, k in X.VENDOR_ALIASES])
-    return F.coalesce(first_match(raw, [([p], k) for p, k in X.PROCESSOR_ACTIONS]), known, F.array_join(slug, "_"))
+
+    def keyed(head: Column) -> Column:
+        slug = F.slice(F.filter(F.split(F.regexp_replace(head, "[^a-z0-9]+", "_"), "_"), lambda t: t != ""), 1, 2)
+        return F.coalesce(first_match(head, [([p], k) for p, k in X.VENDOR_ALIASES]), F.array_join(slug, "_"))
+
+    return F.coalesce(first_match(raw, [([p], k) for p, k in X.PROCESSOR_ACTIONS]), let(F.lower(F.array_join(F.slice(tokens, 1, 3), " ")), keyed))
 
 
 def crude_slug(c: Column | str) -> Column:

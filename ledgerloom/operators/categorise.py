@@ -15,11 +15,10 @@ def rule_categories(txns: DataFrame) -> DataFrame:
 
 
 def vendor_clusters(txns: DataFrame) -> DataFrame:
-    """Clusters by vendor key: count, total by currency, dates, first samples and notes. Totals are folded per currency first, so a hot vendor stays small."""
-    rows = txns.withColumn("vendor_key", S.vendor_key("description")).withColumn("value", P.absolute())
-    per = rows.groupBy("user_id", "vendor_key", "currency").agg(
-        F.count("*").alias("n"), F.sum("value").cast(S.MONEY).alias("total"), F.min("date_posted").alias("first_date"), F.max("date_posted").alias("last_date"),
-        F.array_sort(F.collect_set("description")).alias("samples"),
+    """Clusters by vendor key: count, total by currency, dates, first samples and notes. Rows are folded by text first, so keys are made once for each text and a hot vendor stays small."""
+    texts = txns.withColumn("value", P.absolute()).groupBy("user_id", "description", "currency").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("date_posted").alias("first_date"), F.max("date_posted").alias("last_date"))
+    per = texts.withColumn("vendor_key", S.vendor_key("description")).groupBy("user_id", "vendor_key", "currency").agg(
+        F.sum("n").alias("n"), F.sum("total").cast(S.MONEY).alias("total"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), F.array_sort(F.collect_set("description")).alias("samples"),
     )
     return per.groupBy("user_id", "vendor_key").agg(
         F.sum("n").cast("long").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("currency", "total"))), lambda x: F.concat_ws("=", x.currency, x.total.cast("string"))), ";").alias("totals"),
