@@ -147,3 +147,40 @@ ORACLES["receipt_first_round"] = with_views("tr", f""", {NAIVE}, s AS (SELECT *,
  b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY user_id, document_id ORDER BY conf DESC, gap, transaction_id) = 1)
  SELECT user_id, transaction_id, document_id FROM b QUALIFY row_number() OVER (PARTITION BY user_id, transaction_id ORDER BY (conf < 0.60 OR am <= 0.05), conf DESC, am DESC, gap, document_id) = 1""")
 ORACLES["rejected_pairs_expanded"] = with_views("mr", f", {TWINS}, bad AS (SELECT DISTINCT user_id, transaction_id, document_id FROM m WHERE status = 'USER_REJECTED') SELECT * FROM bad UNION SELECT bad.user_id, bad.transaction_id, tw.twin FROM bad JOIN tw ON tw.user_id = bad.user_id AND tw.id = bad.document_id")
+
+# text keys
+_HEAD = "trim(regexp_replace(trim(coalesce(description, '')), '(?i)" + X.PROCESSOR_PREFIX + "', ''))"
+for _p in (r"\b\d{6,}\b", r"\*[A-Z0-9]+", r"#\d+", r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{2,4}\b", r"(?i)\s+[A-Z]\b", "(?i)" + X.NOISE_TOKENS):
+    _HEAD = f"regexp_replace({_HEAD}, '{_p}', ' ', 'g')"
+_HEAD = f"lower(array_to_string(list_filter(string_split_regex({_HEAD}, '\\s+'), lambda x: x <> '')[1:3], ' '))"
+VK = f"""h AS (SELECT *, {_HEAD} AS head FROM t), vk AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(trim(description), '(?i){p}') THEN '{k}'" for p, k in X.PROCESSOR_ACTIONS)} {' '.join(f"WHEN regexp_matches(head, '(?i){p}') THEN '{k}'" for p, k in X.VENDOR_ALIASES)}
+ ELSE array_to_string(list_filter(string_split(regexp_replace(head, '[^a-z0-9]+', '_', 'g'), '_'), lambda x: x <> '')[1:2], '_') END AS vendor_key FROM h)"""
+_BUCKET = "CASE " + " ".join("WHEN category = '" + c.replace("'", "''") + f"' THEN '{b}'" for c, _, _, b, *_ in X.TAXONOMY if b) + " " + " ".join("WHEN " + " OR ".join(f"contains({NORM}, '{w}')" for w in ws) + f" THEN '{b}'" for ws, b, *_ in X.BUCKET_RULES) + " ELSE 'other_operating' END"
+_G, _H = GM("coalesce(tax_gst, '')"), GM("coalesce(tax_hst, '')")
+_STMT = """s AS (SELECT user_id, source_file, substr(date_posted, 1, 7) AS month, id, date_posted, abs(CAST(amount AS DECIMAL(18,2))) AS value, description, CASE WHEN transaction_type = 'CREDIT' THEN 1 ELSE -1 END * abs(CAST(amount AS DECIMAL(18,2))) AS signed FROM t),
+ b AS (SELECT *, sum(signed) OVER w + CASE WHEN id % 23 = 0 THEN 1.00 ELSE 0.00 END AS balance FROM s WINDOW w AS (PARTITION BY user_id, source_file, month ORDER BY date_posted, id))"""
+ORACLES |= {
+    "vendor_key": with_views("t", f", {VK} SELECT user_id, id, vendor_key FROM vk"),
+    "vendor_clusters": with_views("t", f""", {VK}, p AS (SELECT user_id, vendor_key, currency, count(*) AS n, CAST(sum({ABS}) AS {M}) AS total, min(date_posted) AS a, max(date_posted) AS z FROM vk GROUP BY ALL),
+ q AS (SELECT user_id, vendor_key, array_to_string(list_sort(list(DISTINCT description))[1:5], ';') AS samples FROM vk GROUP BY ALL)
+ SELECT p.user_id, p.vendor_key, CAST(sum(n) AS BIGINT) AS n, string_agg(currency || '=' || CAST(total AS VARCHAR), ';' ORDER BY currency) AS totals, min(a) AS first_date, max(z) AS last_date, any_value(samples) AS samples FROM p JOIN q ON q.user_id = p.user_id AND q.vendor_key = p.vendor_key GROUP BY p.user_id, p.vendor_key"""),
+    "category_buckets": with_views("t", f"SELECT user_id, id, {_BUCKET} AS bucket FROM t"),
+    "resolved_currency": with_views("r", f""", x AS (SELECT *, ({_G} + {_H}) <> 0 AS sig FROM r) SELECT user_id, id, CASE WHEN currency_source = 'stated' AND currency IS NOT NULL THEN currency WHEN sig THEN 'CAD' END AS resolved,
+ CASE WHEN currency_source = 'stated' AND currency IS NOT NULL THEN 'stated' WHEN sig THEN 'inferred' ELSE 'assumed' END AS resolved_source FROM x"""),
+    "checklist_state": with_views("trml", f""", u AS (SELECT user_id, count(*) AS transactions FROM t GROUP BY user_id), z AS (SELECT u.user_id, u.transactions, (SELECT count(*) FROM r WHERE r.user_id = u.user_id) AS receipts, (SELECT count(*) FROM m WHERE m.user_id = u.user_id AND m.status IN {PROOF}) AS matches,
+ (SELECT count(*) FROM l WHERE l.user_id = u.user_id AND l.status <> 'USER_REJECTED') AS links FROM u)
+ SELECT *, transactions > 0 AS has_transactions, receipts > 0 AS has_receipts, matches > 0 AS has_matches, links > 0 AS has_links, CAST(25.0 * ((transactions > 0)::INT + (receipts > 0)::INT + (matches > 0)::INT + (links > 0)::INT) AS DOUBLE) AS percent FROM z"""),
+    "bucket_rollup": with_views("tl", f""", {OWN}, {TAXO}, {FXT}, p AS (SELECT o.user_id, tax.bucket, o.category, sum(CAST(v * rate AS DECIMAL(24,6))) AS v, max(scrutiny) AS scrutiny FROM o JOIN tax ON tax.category = o.category JOIN fx ON fx.currency = o.currency WHERE {EXP} GROUP BY ALL)
+ SELECT user_id, bucket, CAST(sum(v) AS {M}) AS amount, CAST(max(scrutiny) AS DOUBLE) AS scrutiny, arg_max(category, (v, category)) AS primary_category FROM p GROUP BY ALL"""),
+    "status_repair": with_views("tml", f""", {ENDS}, g AS (SELECT user_id, transaction_id AS id, bool_or(status IN {PROOF}) AS a, bool_or(status <> 'USER_REJECTED') AS o FROM m GROUP BY ALL),
+ x AS (SELECT t.user_id, t.id, t.status, coalesce(g.a, false) AS a, coalesce(g.o, false) AS o, ends.id IS NOT NULL AS k FROM t LEFT JOIN g ON g.user_id = t.user_id AND g.id = t.id LEFT JOIN ends ON ends.user_id = t.user_id AND ends.id = t.id),
+ y AS (SELECT *, CASE WHEN status = 'MATCHED' AND NOT o THEN CASE WHEN k THEN 'LINKED' ELSE 'UNMATCHED' END ELSE status END AS s1 FROM x), z AS (SELECT *, CASE WHEN s1 = 'LINKED' AND NOT k THEN 'UNMATCHED' ELSE s1 END AS s2 FROM y),
+ w AS (SELECT *, CASE WHEN s2 = 'UNMATCHED' AND a THEN 'MATCHED' ELSE s2 END AS s3 FROM z), v AS (SELECT *, CASE WHEN s3 = 'UNMATCHED' AND k THEN 'LINKED' ELSE s3 END AS repaired FROM w) SELECT user_id, id, status, repaired FROM v WHERE status <> repaired"""),
+    "statement_balance_check": with_views("t", f""", {_STMT}, c AS (SELECT *, count(*) OVER (PARTITION BY user_id, source_file, month, date_posted, value, substr(description, 1, 40)) > 1 AS again FROM b),
+ g AS (SELECT user_id, source_file, month, count(*) AS n, CAST(sum(signed) AS {M}) AS expected, CAST(arg_max(balance, (date_posted, id)) AS {M}) AS closing, bool_or(again) AS duplicates FROM c GROUP BY ALL)
+ SELECT *, concat_ws(',', CASE WHEN abs(expected - closing) > 0.02 THEN 'balance_mismatch' END, CASE WHEN duplicates THEN 'possible_duplicates' END, CASE WHEN n < 3 THEN 'few_rows' END) AS flags,
+ CASE WHEN abs(expected - closing) > 0.02 THEN 'LOW' WHEN duplicates OR n < 3 THEN 'MEDIUM' ELSE 'HIGH' END AS tier FROM g"""),
+    "ledger_export": with_views("trml", f""", {ENDS}, {TAXO}, p AS (SELECT m.user_id, m.transaction_id AS id, min(r.original_filename) AS file FROM m JOIN r ON r.user_id = m.user_id AND r.id = m.document_id WHERE m.status IN {PROOF} GROUP BY ALL)
+ SELECT CAST(replace(t.date_posted, '-', '') AS INT) AS date, t.account, t.transaction_type, CASE WHEN {INC} THEN 1 ELSE -1 END * abs(CAST(t.amount AS {M})) AS amount, t.currency, t.description, t.category, tax.gifi,
+ coalesce(p.file, CASE WHEN ends.id IS NOT NULL THEN 'Linked (see Transfers sheet)' END, '') AS proof FROM t LEFT JOIN tax ON tax.category = t.category LEFT JOIN p ON p.user_id = t.user_id AND p.id = t.id LEFT JOIN ends ON ends.user_id = t.user_id AND ends.id = t.id WHERE t.status <> 'EXCLUDED'"""),
+}
