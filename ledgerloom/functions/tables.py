@@ -153,3 +153,25 @@ FOREIGN_COUNTRIES = (
 FOREIGN_REGIONS = ["US", "UK", "EU", "GB"]
 INTERMEDIARIES = ["WISEMSP", r"WISE\s*MSP", r"WISE\s*PAYMENTS", "PAYPALMSP", r"PAYPAL\s*MSP", "INTERACe-Transfer(?:Sent|Fulfill)", "INTERAC.*TRANSFER.*SENT", r"OUTGOING\s*WIRE", "OUTGOINGWIRE"]
 CANADIAN_TAX_RATES = [5, 12, 13, 14, 15]
+
+# Patterns that document relevance counts (case is ignored), and the weights of its factors
+MONEY_PATTERN = r"\$\s*[\d,]+\.?\d*|(?:CAD|USD|EUR|GBP)\s*[\d,]+\.?\d*|\d{1,3}(?:,\d{3})+\.\d{2}|\d+\.\d{2}\b"
+DATE_PATTERN = (
+    r"\b\d{4}[-/]\d{2}[-/]\d{2}\b|\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{1,2},?\s*\d{4}"
+    r"|\b\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{4}"
+)
+STRUCTURE_PATTERN = (
+    r"\binvoice\b|\breceipt\b|\bstatement\b|\bbill\b|\binvoice\s*#|\border\s*#|\btransaction\s*id|\bsubtotal\b|\btax\b|\bgst\b|\bhst\b|\bpst\b|\btotal\s*(?:due|amount|paid|charged)"
+    r"|\bpayment\s*(?:method|received|confirmation)|\baccount\s*(?:number|#|no)|\bdue\s*date\b|\bbilling\s*(?:period|date)"
+)
+PARTY_PATTERN = r"\b(?:from|to|payee|payer|vendor|merchant|sold\s*to|bill\s*to|ship\s*to|customer|client)\s*[:\-]?\s*\w"
+BUSINESS_PATTERN = (
+    r"\bsoftware\b|\bcloud\b|\bhosting\b|\bserver\b|\bdomain\b|\bsubscription\b|\blicense\b|\bSaaS\b|\bAPI\b|\boffice\b|\brent\b|\butilities?\b|\binternet\b|\btelecom|\binsurance\b|\blegal\b|\baccounting\b|\bconsult"
+    r"|\bcontract\b|\bfreelance\b|\bcontractor\b|\btravel\b|\bflight\b|\bhotel\b|\bairfare\b|\bequipment\b|\bhardware\b|\blaptop\b|\bmonitor\b|\badvertis|\bmarketing\b|\bad\s*spend\b|\bcampaign\b|\bpayroll\b|\bwage\b|\bsalary\b"
+    r"|\bbank\b|\btransfer\b|\bwire\b|\binterac\b|\butility\b|\bhydro\b|\belectric\b|\bgas\s*co\b|\bcompute\b|\bstorage\b|\bbandwidth\b|\bregistrar\b|\bdata\s*cent(?:er|re)\b|\bplatform\s*fee\b|\bprocessing\s*fee\b|\bseats?\b|\bworkspace\b"
+    r"|\bpaypal\b|\bwise\b|\binvoice\b|\breceipt\b"
+)
+RAIL_PATTERN = r"\bpaypal\b|\bwise\b|\binterac\b"
+PERSONAL_PATTERN = r"\b(grocer|restaurant|cafe|coffee|gym|fitness|pharmacy|clinic|dental|salon|cinema|streaming|apparel|clothing|fast\s*food|meal\s*delivery)\b"
+RELEVANCE_WEIGHTS = {"monetary_amount": 0.25, "transaction_parties": 0.20, "transaction_date": 0.15, "business_relevance": 0.20, "document_structure": 0.10, "completeness": 0.10}
+RELEVANCE_THRESHOLD = 0.40

@@ -190,3 +190,37 @@ def cube_errors(cells: DataFrame) -> DataFrame:
     """Cells that are out of range or whose quartiles are out of order. cells: naics, bucket, pct, q1, median, q3."""
     bad = F.array_compact(F.array(F.when((F.col("pct") < 0) | (F.col("pct") > 100), F.lit("range")), F.when((F.col("q1") > F.col("median")) | (F.col("median") > F.col("q3")), F.lit("order"))))
     return cells.select("naics", "bucket", F.explode(bad).alias("error"))
+
+
+def relevance(docs: DataFrame, text: str = "text", filename: str = "filename") -> DataFrame:
+    """Adds six factors counted by patterns, their weighted score, and whether the document is taken, with the reason if not."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    n = lambda pattern, flag="(?i)": F.regexp_count(t, F.lit(flag + pattern))
+
+    def steps(count: Column, *pairs: tuple[int, float], other: float = 0.0) -> Column:
+        out = F.when(count >= pairs[0][0], pairs[0][1])
+        for least, score in pairs[1:]:
+            out = out.when(count >= least, score)
+        return out.otherwise(other)
+
+    named = n(r"(?:from|to|payee|vendor|merchant|client|customer)\s*[:\-]?\s*[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*", "")
+    company = t.rlike(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\s+(?:Inc|LLC|Ltd|Corp|Co\b)")
+    counted = docs.withColumns({"_business": n(X.BUSINESS_PATTERN), "_rails": n(X.RAIL_PATTERN), "_personal": n(X.PERSONAL_PATTERN), "_parties": n(X.PARTY_PATTERN) + named, "_size": F.length(F.trim(t))})
+    own = F.greatest(F.col("_business") - F.col("_rails"), F.lit(0))
+    factors = {
+        "monetary_amount": steps(n(X.MONEY_PATTERN), (3, 1.0), (2, 0.8), (1, 0.5)),
+        "transaction_parties": steps(F.col("_parties"), (2, 1.0), (1, 0.6), other=0.0),
+        "transaction_date": steps(n(X.DATE_PATTERN), (2, 1.0), (1, 0.7)),
+        "business_relevance": F.when(F.col("_personal") > 0, 0.0).when(own >= 3, 1.0).when(own >= 1, 0.7).otherwise(0.4),
+        "document_structure": steps(n(X.STRUCTURE_PATTERN), (4, 1.0), (2, 0.7), (1, 0.4)),
+        "completeness": steps(F.col("_size"), (500, 1.0), (200, 0.7), (50, 0.4)),
+    }
+    factors["transaction_parties"] = F.when(F.col("_parties") > 0, factors["transaction_parties"]).when(company, 0.5).otherwise(0.1)
+    out = counted.withColumns(factors)
+    out = out.withColumn("score", sum(F.col(k) * w for k, w in X.RELEVANCE_WEIGHTS.items()))
+    label = r"(?i)\bnon[\s\-]?financial\b"
+    reason = (
+        F.when(t.rlike(label) | F.coalesce(F.col(filename).rlike(label), F.lit(False)), "non_financial").when(F.col("monetary_amount") == 0, "no_amount").when(F.col("completeness") == 0, "blank")
+        .when(F.col("_personal") > 0, "personal").when(F.col("score") < X.RELEVANCE_THRESHOLD, "low_score")
+    )
+    return out.withColumn("reason", reason).withColumn("included", F.col("reason").isNull()).drop("_business", "_rails", "_personal", "_parties", "_size")

@@ -61,3 +61,11 @@ def test_decisions_and_cube(spark):
     assert sorted(r.v for r in V.preferred_rows(rows, [3, 2, 1]).collect()) == [2.0, 3.0]
     cells = spark.createDataFrame([("54", "rent", 120.0, 1.0, 2.0, 3.0), ("54", "x", 5.0, 3.0, 2.0, 4.0)], "naics string, bucket string, pct double, q1 double, median double, q3 double")
     assert sorted((r.bucket, r.error) for r in V.cube_errors(cells).collect()) == [("rent", "range"), ("x", "order")]
+
+
+def test_document_relevance(spark):
+    bill = "Invoice # 12 from: Acme Inc\nDate 2024-01-05 due date 2024-02-05\nsoftware hosting subscription\nSubtotal $10.00 GST $0.50 Total due $10.50 " + "x" * 120
+    rows = [(1, bill, "a.pdf"), (2, "hello", "b.pdf"), (3, bill + " coffee", "c.pdf"), (4, bill, "non-financial.pdf"), (5, None, None)]
+    got = {r.id: r for r in V.relevance(spark.createDataFrame(rows, "id int, text string, filename string")).collect()}
+    assert got[1].included and got[1].monetary_amount == 1.0 and got[1].transaction_date == 1.0 and got[1].business_relevance == 1.0
+    assert [got[k].reason for k in (2, 3, 4, 5)] == ["no_amount", "personal", "non_financial", "no_amount"]
