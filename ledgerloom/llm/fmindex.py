@@ -5,7 +5,7 @@ equal windows meet in one shard and all work is in proportion to the repeated te
 shard gets a compressed FM-index (wavelet matrix with packed bits over its word codes). All windows are streamed against
 it by vectorised backward search: the interval of a window's matching statistic shrinks word by word and is dropped as
 soon as it holds one suffix; what still holds two or more after `span` words repeats, and the smallest text position in
-its interval is the first occurrence, since shards are laid out by (doc_id, start).
+its interval is the first occurrence, since shards are laid out by (doc_id, row key, start).
 
 Senders and shards first fold equal contexts (a later copy of a whole context repeats as a whole). Contexts of hashes
 with more than HOT occurrences are dealt by single windows, which spreads a passage that a third of all rows share.
@@ -29,7 +29,7 @@ from .exchange import PACKED, bucket_of, equal_runs, reduce_blobs, rows, written
 SPAN = 20
 GRAM = 6
 HOT = 4096
-_HEAD = np.dtype([("h", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
+_HEAD = np.dtype([("h", "<u8"), ("content", "<u8"), ("id", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
 _MARK = R.MARK
 _FLUSH_WORDS = 1 << 21
 
@@ -139,7 +139,7 @@ def _span_codes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
 
 def _fold(heads: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of the first contexts of each content, marks of all windows of the later ones)."""
-    order = np.lexsort((heads["start"], heads["doc"], heads["content"], heads["h"]))
+    order = np.lexsort((heads["start"], heads["doc"], heads["id"], heads["content"], heads["h"]))
     r = heads[order]
     new = np.ones(len(r), bool)
     new[1:] = (r["h"][1:] != r["h"][:-1]) | (r["content"][1:] != r["content"][:-1])
@@ -181,7 +181,7 @@ def _send(hot: np.ndarray, span: int, gram: int):
             return rows(names, blobs)
 
         for b in batches:
-            ids, ords = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("ords")
+            keys, ids, ords = b.column("row").to_numpy(zero_copy_only=False), b.column("id").to_numpy(zero_copy_only=False), b.column("ords")
             for row, end, raw, off in K.chunks(b.column("text")):
                 codes, first, _, _ = R.word_units(raw, off)
                 a = R.anchors(codes, first, span, gram)
@@ -195,7 +195,7 @@ def _send(hot: np.ndarray, span: int, gram: int):
                     doc = np.concatenate([doc[~is_hot], np.repeat(doc[is_hot], n)])
                     h = np.concatenate([h[~is_hot], K.window_hash(codes, span)[one]])
                 heads = np.empty(len(at), _HEAD)
-                heads["h"], heads["doc"], heads["start"], heads["size"] = h, ids[row + doc], at - first[doc], last - at + span
+                heads["h"], heads["id"], heads["doc"], heads["start"], heads["size"] = h, ids[row + doc], keys[row + doc], at - first[doc], last - at + span
                 sizes = heads["size"].astype(np.int64)
                 heads["content"] = _span_codes(codes, at, sizes)
                 held.append((heads, codes[_take(at, sizes)]))
@@ -232,7 +232,7 @@ def shard_marks(heads: np.ndarray, words: np.ndarray, span: int) -> list[np.ndar
     """Marks of the windows of a shard's contexts that occur earlier."""
     at = np.concatenate([[0], np.cumsum(heads["size"])[:-1]]).astype(np.int64)
     keep, marks = _fold(heads, span)
-    keep = keep[np.lexsort((heads["start"][keep], heads["doc"][keep]))]
+    keep = keep[np.lexsort((heads["start"][keep], heads["doc"][keep], heads["id"][keep]))]
     heads, at = heads[keep], at[keep]
     sizes = heads["size"].astype(np.int64)
     codes, inverse = np.unique(words[_take(at, sizes)], return_inverse=True)
@@ -261,7 +261,7 @@ def shard_marks(heads: np.ndarray, words: np.ndarray, span: int) -> list[np.ndar
 
 
 def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, marks): first and last starts of windows whose words also start earlier."""
+    """(row, marks) of keyed docs: first and last starts of windows whose words also start earlier."""
     units = R.Units(span, gram, R.word_units)
     found = written(R.repeated_anchors(docs, units, hot), "anchors")
     top = docs.sparkSession.sparkContext.broadcast(R.hot_hashes(found, hot))
@@ -276,12 +276,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
         for b in batches:
             for row, end, raw, off in K.chunks(b.column("text")):
                 starts, ends, first = K.word_spans(raw, off)
-                gone = R.marked(b.column("marks").slice(row, end - row), first, span)
+                gone = R.marked(b.column("marks").slice(row, end - row), first, span, b.column("copy").to_numpy()[row:end] > 1)
                 kept = K.kept_bytes(raw, off, starts, ends, first, ~gone)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(row, end - row), pa.array(np.diff(first)), pa.array(K.per_doc(gone, first)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary()).cast(pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
                 )
 
-    marks = written(repeated_windows(docs, span, gram, hot), "marks")
-    return R.with_marks(docs, marks).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    own, alone = R.keyed(docs)
+    marks = written(repeated_windows(own, span, gram, hot), "marks")
+    return R.with_marks(own, alone, marks).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

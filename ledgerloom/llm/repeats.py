@@ -12,8 +12,9 @@ one in about span / 2 units.
    MAX_HOT hashes (8 MB) are broadcast.
 3. `with_marks` brings the found windows back to their documents.
 
-doc_id names a document: rows with equal doc_id count as copies of one document. A null doc_id is an id of its own,
-before all others.
+Every row is a document of its own, under a `row` key (see `keyed`); doc_id only orders rows (a null one before all
+others) and is put out. Equal rows (doc_id and text) share a key, as they share anchors and marks; `with_marks` numbers
+them, and every copy is a repeat of the one before it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -139,12 +140,20 @@ def by_doc(doc: np.ndarray, *columns: np.ndarray):
     return pa.array(doc[cut]), blob
 
 
-def own_ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(row, id, doc_id, text) of every row, and whether all rows differ in doc_id.
+
+    If they do, the id is the row's key. Otherwise the key is a hash of doc_id and text, a function of the row alone, so
+    that no copy of the table is written and every scan gives the same keys.
+    """
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    alone = own.groupBy("id").count().where("count > 1").isEmpty()
+    row = F.col("id") if alone else F.xxhash64("id", F.col("doc_id").isNull(), F.col("text").isNull(), "text")
+    return own.select(row.alias("row"), "id", "doc_id", "text"), alone
 
 
 def repeated_anchors(docs: DataFrame, units: Units, hot_from: int) -> DataFrame:
-    """(doc_id, ords): numbers of the document's anchors that occur elsewhere; (null, null, h, n): hashes of n > hot_from occurrences."""
+    """(row, ords): numbers of the row's anchors that occur elsewhere; (null, null, h, n): hashes of n > hot_from occurrences."""
 
     def send(batches):
         held: list[np.ndarray] = []
@@ -166,7 +175,7 @@ def repeated_anchors(docs: DataFrame, units: Units, hot_from: int) -> DataFrame:
             return pack(both, bucket_of(np.concatenate([heads["h"], K.mix(rest["doc"].view(np.uint64))])))
 
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = b.column("row").to_numpy(zero_copy_only=False)
             for row, _, raw, off in K.chunks(b.column("text")):
                 codes, first, _, _ = units.cut(raw, off)
                 a = anchors(codes, first, units.span, units.gram)
@@ -196,12 +205,12 @@ def repeated_anchors(docs: DataFrame, units: Units, hot_from: int) -> DataFrame:
     def gather(rec):
         big, rec = rec[rec["n"] > 0], rec[rec["n"] == 0]
         doc, blob = by_doc(rec["doc"], rec["ord"])
-        yield pa.RecordBatch.from_arrays([doc, blob, pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64())], ["doc_id", "ords", "h", "n"])
+        yield pa.RecordBatch.from_arrays([doc, blob, pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64())], ["row", "ords", "h", "n"])
         k = len(big)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(big["h"].view(np.int64)), pa.array(big["n"].astype(np.int64))], ["doc_id", "ords", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(big["h"].view(np.int64)), pa.array(big["n"].astype(np.int64))], ["row", "ords", "h", "n"])
 
-    repeats = reduce_packed(own_ids(docs).mapInArrow(send, PACKED), _REF, join, PACKED)
-    return reduce_packed(repeats, _REF, gather, "doc_id long, ords binary, h long, n long")
+    repeats = reduce_packed(docs.select("row", "text").mapInArrow(send, PACKED), _REF, join, PACKED)
+    return reduce_packed(repeats, _REF, gather, "row long, ords binary, h long, n long")
 
 
 def packed_marks(marks: np.ndarray) -> pa.RecordBatch:
@@ -209,13 +218,13 @@ def packed_marks(marks: np.ndarray) -> pa.RecordBatch:
 
 
 def marks_by_doc(packed: DataFrame) -> DataFrame:
-    """One row for each document with marks."""
+    """One row for each row key with marks."""
 
     def gather(rec):
         doc, blob = by_doc(rec["doc"], rec["first"], rec["last"])
-        yield pa.RecordBatch.from_arrays([doc, blob], ["doc_id", "marks"])
+        yield pa.RecordBatch.from_arrays([doc, blob], ["row", "marks"])
 
-    return reduce_packed(packed, MARK, gather, "doc_id long, marks binary")
+    return reduce_packed(packed, MARK, gather, "row long, marks binary")
 
 
 def hot_hashes(found: DataFrame, hot_from: int) -> np.ndarray:
@@ -229,7 +238,7 @@ def hot_hashes(found: DataFrame, hot_from: int) -> np.ndarray:
 
 def with_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Texts of the documents that have repeated anchors, with the list of their numbers."""
-    return own_ids(docs).join(found.where("doc_id is not null").select("doc_id", "ords").hint("merge"), "doc_id")
+    return docs.select("row", "id", "text").join(found.where("row is not null").select("row", "ords").hint("merge"), "row")
 
 
 def chosen(a: Anchors, ords: pa.Array, n_docs: int) -> np.ndarray:
@@ -241,13 +250,16 @@ def chosen(a: Anchors, ords: pa.Array, n_docs: int) -> np.ndarray:
     return on
 
 
-def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Every row of docs with its marks: a blob of (first, last) window starts."""
-    return own_ids(docs).join(marks.hint("merge"), "doc_id", "left").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "text", "marks")
+def with_marks(docs: DataFrame, alone: bool, marks: DataFrame) -> DataFrame:
+    """Every row of docs with its marks (a blob of (first, last) window starts), its number among equal rows and their count."""
+    same = Window.partitionBy("row")
+    copy, copies = (F.lit(1), F.lit(1).cast("long")) if alone else (F.row_number().over(same.orderBy("row")), F.count("*").over(same))
+    own = docs.select("row", "doc_id", "text", copy.alias("copy"), copies.alias("copies"))
+    return own.join(marks.hint("merge"), "row", "left").select("doc_id", "text", "marks", "copy", "copies")
 
 
-def marked(marks: pa.Array, first: np.ndarray, span: int) -> np.ndarray:
-    """Units that a marked window covers."""
+def marked(marks: pa.Array, first: np.ndarray, span: int, whole: np.ndarray) -> np.ndarray:
+    """Units that a marked window covers; of documents marked as a whole, every unit that is in a window."""
     n = int(first[-1]) if len(first) else 0
     starts, sizes = [], []
     for d, blob in enumerate(marks):
@@ -255,6 +267,6 @@ def marked(marks: pa.Array, first: np.ndarray, span: int) -> np.ndarray:
             m = np.frombuffer(blob.as_buffer(), "<i4").reshape(-1, 2).astype(np.int64)
             starts.append(m[:, 0] + first[d])
             sizes.append(m[:, 1] - m[:, 0] + span)
-    if not starts:
-        return np.zeros(n, bool)
-    return K.cover(np.concatenate(starts), np.concatenate(sizes), n)
+    size = np.diff(first)
+    gone = np.repeat(whole & (size >= span), size)
+    return gone | K.cover(np.concatenate(starts), np.concatenate(sizes), n) if starts else gone

@@ -12,8 +12,8 @@ repeats exactly if another suffix is in the same LCP >= span - o group to the ri
 left, so one pass over offsets decides all windows without comparing pairs.
 
 Hashes with more than HOT occurrences are dealt by 128-bit fingerprints of whole windows, folded by the senders, so one
-passage in a third of all rows is spread over all tasks. Null and empty texts have no bytes; equal rows count as one
-document (see `repeats`), while equal texts under different ids are repeats of each other.
+passage in a third of all rows is spread over all tasks. Null and empty texts have no bytes; equal texts are
+repeats of each other, under whatever ids (see `repeats`).
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def _send(hot: np.ndarray, span: int, gram: int):
             return rows(names, blobs)
 
         for b in batches:
-            ids, ords = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("ords")
+            ids, ords = b.column("row").to_numpy(zero_copy_only=False), b.column("ords")
             for row, end, raw, off in K.chunks(b.column("text")):
                 codes, first, _, _ = R.byte_units(raw, off)
                 a = R.anchors(codes, first, span, gram)
@@ -293,7 +293,7 @@ def _prints(hot: np.ndarray, span: int, gram: int):
             return pack(np.concatenate([heads, rest]), bucket_of(np.concatenate([K.mix(heads["w"]), K.mix(rest["doc"].view(np.uint64))])))
 
         for b in batches:
-            ids, ords = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("ords")
+            ids, ords = b.column("row").to_numpy(zero_copy_only=False), b.column("ords")
             for row, end, raw, off in K.chunks(b.column("text")):
                 codes, first, _, _ = R.byte_units(raw, off)
                 a = R.anchors(codes, first, span, gram)
@@ -333,7 +333,7 @@ def _print_marks(rec):
 
 
 def repeated_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, marks): first and last starts of `span`-byte strings that also start elsewhere."""
+    """(row, marks) of keyed docs: first and last starts of `span`-byte strings that also start elsewhere."""
     found = written(R.repeated_anchors(docs, R.Units(span, gram, R.byte_units), hot), "anchors")
     top = docs.sparkSession.sparkContext.broadcast(R.hot_hashes(found, hot))
     ready = R.with_repeats(docs, found)
@@ -349,7 +349,7 @@ def remove_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     def cut(batches):
         for b in batches:
             for row, end, raw, off in K.chunks(b.column("text")):
-                gone = R.marked(b.column("marks").slice(row, end - row), off, span)
+                gone = R.marked(b.column("marks").slice(row, end - row), off, span, b.column("copies").to_numpy()[row:end] > 1)
                 starts, _, first = K.spans(gone, off)
                 data, at, kept = raw.tobytes(), off.tolist(), []
                 removed = K.per_doc(gone, off)
@@ -360,5 +360,6 @@ def remove_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    marks = written(repeated_strings(docs, span, gram, hot), "marks")
-    return R.with_marks(docs, marks).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    own, alone = R.keyed(docs)
+    marks = written(repeated_strings(own, span, gram, hot), "marks")
+    return R.with_marks(own, alone, marks).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -173,3 +173,20 @@ def test_equal_rows_are_copies_of_one_document(spark):
     assert [r.n_removed for r in out] == [0, 60, 60]
     out = suffixes.remove_strings(docs_of(spark, [(1, t * 3), (1, t * 3)]), 400).collect()
     assert out[0] == out[1]
+
+
+@pytest.mark.parametrize("hot", [fmindex.HOT, 2])
+def test_rows_with_null_and_equal_ids_are_rows_of_their_own(spark, hot):
+    long, short = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, long + " " + short), (None, short), (None, short), (7, "x y z " + long), (7, short + " end"), (7, short + " end"), (8, " ".join(f"u{i}" for i in range(90))), (None, None), (None, "")]
+    own = lambda key: [(k, t) for k, (_, t) in enumerate(sorted(rows, key=key))]
+    count = lambda xs: collections.Counter(xs)
+    got = fmindex.remove_repeats(docs_of(spark, rows).repartition(5), hot=hot).collect()
+    assert count(r.doc_id for r in got) == count(i for i, _ in rows)
+    # one id's rows may stand in any order among themselves: what is kept of each repeated passage is one occurrence
+    assert sum(r.n_words - r.n_removed for r in got) == len({w for _, t in rows for w in (t or "").split()})
+    assert [(r.n_words, r.n_removed) for r in got if r.doc_id == 8] == [(90, 0)]
+    assert sorted(r.n_removed for r in got if r.doc_id == 7) == [60, 61, 200]
+    got = suffixes.remove_strings(docs_of(spark, rows).repartition(5), 60, 12, hot).collect()
+    want = brute_bytes(own(lambda r: (r[0] is not None, r[0] or 0)), 60)
+    assert count((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == count(want.values())
