@@ -1,5 +1,6 @@
 """Rules, parsers, scores, assignments, sinks and streaming on hand-made rows."""
 
+import collections
 import itertools
 import random
 
@@ -15,6 +16,7 @@ from ledgerloom.operators import predicates as P
 from ledgerloom.operators import reporting as R
 from ledgerloom.operators import sequences as Q
 from ledgerloom.operators import transfers as T
+from ledgerloom.plans.queries import QUERIES
 from ledgerloom.plans.views import Views
 from ledgerloom.sources import orders, sinks, statements
 from ledgerloom.streaming import sync
@@ -270,3 +272,25 @@ def test_currency_relabel_never_mixes_sums(spark):
     assert float(got["CAD"]) == sum(range(1, 30, 2)) and float(got["USD"]) == sum(range(2, 30, 2))
     assert R.category_breakdown(df.withColumn("status", F.lit("EXCLUDED")), links).count() == 0
     assert P.with_transfer(df, links.union(spark.createDataFrame([(1, 5, 6, "FX_CONVERSION", "PENDING_REVIEW")], links.schema))).where("is_transfer").count() == 2
+
+
+def test_nearest_proof_starts_from_all_matches(spark):
+    sf = "/root/testdata/sf0.001"
+    v = Views(spark, sf)
+    edges = collections.defaultdict(set)
+    for r in v.chain_links.where(F.col("status") != "USER_REJECTED").collect():
+        edges[r.source_transaction_id].add(r.target_transaction_id)
+        edges[r.target_transaction_id].add(r.source_transaction_id)
+    best = {}
+    for r in v.matches.where(F.col("status").isin("AUTO_APPROVED", "USER_APPROVED")).collect():
+        best[r.transaction_id] = min(best.get(r.transaction_id, (1, 0)), (-r.confidence_score, r.transaction_id))
+    known, frontier, want = set(best), best, set()
+    for depth in range(1, 21):
+        step = {}
+        for u, b in frontier.items():
+            for w in edges[u] - known:
+                step[w] = min(step.get(w, b), b)
+        want |= {(w, depth, b[1]) for w, b in step.items()}
+        known, frontier = known | set(step), step
+    got = QUERIES["nearest_proof"](spark, sf).collect()
+    assert {(r.id, r.depth, r.seed) for r in got} == want and len(got) == len(want) > 0
