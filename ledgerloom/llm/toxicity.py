@@ -32,7 +32,7 @@ HIDDEN = 8
 EMBED = 8
 ATTEND = 8
 MIN_DOCS = 4
-MAX_TRAIN = 4000
+MAX_TRAIN = 6000
 MAX_TRAIN_CHARS = 200_000
 ROUNDS = 4
 EPOCHS = 3

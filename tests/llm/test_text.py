@@ -184,6 +184,14 @@ def test_toxicity_held_out_accuracy_and_gradients(spark):
     assert {r.score for r in toxicity.toxicity(docs_of(spark, EDGE), labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_trains_on_six_thousand_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, natural, *a: seen.append(len(texts)))
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+    toxicity.fit(rows, rows)
+    assert seen == [6000]
+
+
 def test_toxicity_gradients_are_right():
     rng = np.random.default_rng(0)
     n = lambda *s: rng.standard_normal(s) * 0.5
