@@ -6,8 +6,8 @@ items' windows of `width` words between spaces; a text is scanned once.
 
 The items are the stated query set. They go to the executors in blocks of at most `block_bytes` of normalised text,
 so what is broadcast is bounded whatever the table's size; each block is one automaton and one scan. Null and empty
-texts have no words. Items with equal windows are all reported. Rows with equal doc_id are rows of their own as long as
-there is one block; with several blocks doc_id must identify a document. Other columns are not read.
+texts have no words. Items with equal windows are all reported, one without an id as null, after the others. Every row is a
+row of its own whatever its doc_id and the number of blocks. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +39,12 @@ def item_windows(text: str | None, width: int = WIDTH) -> list[bytes]:
     return [b" ".join(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))] if w else []
 
 
-def build(items: list[tuple[int, str]], width: int = WIDTH):
+def in_order(ids: set[int | None]) -> list[int | None]:
+    """Ids in order, a null one last."""
+    return sorted(ids, key=lambda x: (x is None, x or 0))
+
+
+def build(items: list[tuple[int | None, str]], width: int = WIDTH):
     """The automaton: value = (number of words, item ids). Latin-1 keeps one character for a byte."""
     found: dict[bytes, set[int]] = {}
     for item, text in items:
@@ -47,17 +52,17 @@ def build(items: list[tuple[int, str]], width: int = WIDTH):
             found.setdefault(w, set()).add(item)
     auto = ahocorasick.Automaton()
     for w, ids in found.items():
-        auto.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(ids))))
+        auto.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(in_order(ids))))
     if found:
         auto.make_automaton()
     return auto if found else None
 
 
 def scan_chunk(auto, raw: np.ndarray, offsets: np.ndarray):
-    """(words of each document, hit words, item ids, original byte spans) of a chunk, by one pass of the automaton."""
+    """(words of each document, hit words, item ids, spans in original bytes and in words) of a chunk, by one pass of the automaton."""
     n = len(offsets) - 1
     starts, ends, first = K.spans(_IS_WORD[raw], offsets)
-    out_items: list[list[int]] = [[] for _ in range(n)]
+    out_items: list[list[int | None]] = [[] for _ in range(n)]
     out_spans: list[list[dict]] = [[] for _ in range(n)]
     hit = np.zeros(len(starts), bool)
     if auto is not None and len(starts):
@@ -77,21 +82,21 @@ def scan_chunk(auto, raw: np.ndarray, offsets: np.ndarray):
             to = np.searchsorted(begins, np.array(ends_at))
             hit = K.cover(to - np.array(sizes), np.array(sizes), len(starts)) if len(to) else hit
             doc = np.searchsorted(first, to - 1, "right") - 1
-            per: dict[int, set[int]] = {}
+            per: dict[int, set[int | None]] = {}
             for d, which in zip(doc.tolist(), ids, strict=True):
                 per.setdefault(d, set()).update(which)
             for d, which in per.items():
-                out_items[d] = sorted(which)
+                out_items[d] = in_order(which)
             a, b, f = K.spans(hit, first)
             for d in per:
-                out_spans[d] = [{"start": int(starts[i] - offsets[d]), "end": int(ends[j - 1] - offsets[d])} for i, j in zip(a[f[d] : f[d + 1]], b[f[d] : f[d + 1]], strict=True)]
+                out_spans[d] = [{"start": int(starts[i] - offsets[d]), "end": int(ends[j - 1] - offsets[d]), "word": int(i - first[d]), "stop": int(j - first[d])} for i, j in zip(a[f[d] : f[d + 1]], b[f[d] : f[d + 1]], strict=True)]
     return np.diff(first), K.per_doc(hit, first), out_items, out_spans
 
 
 def blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES):
     """Yields lists of (item_id, text) of at most block_bytes (or one item); they stream to the driver one by one."""
     held, size = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         if held and size + len(row.text) > block_bytes:
             yield held
             held, size = [], 0
@@ -103,6 +108,7 @@ def blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BY
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: words, hit words, items with occurring windows, and hit spans in bytes of the original text."""
     spark, parts = docs.sparkSession, []
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     for items in blocks(benchmark, width, block_bytes):
         sent = spark.sparkContext.broadcast(items)
 
@@ -112,17 +118,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes:
                 for row, end, raw, off in K.chunks(b.column("text")):
                     n_words, n_hit, ids, spans = scan_chunk(auto, raw, off)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").slice(row, end - row), pa.array(n_words), pa.array(n_hit), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                        ["doc_id", "n_words", "n_hit", "items", "spans"],
+                        [b.column("doc_id").slice(row, end - row), b.column("text_hash").slice(row, end - row), pa.array(n_words), pa.array(n_hit), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, _SPANS)],
+                        ["doc_id", "text_hash", "n_words", "n_hit", "items", "spans"],
                     )
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, SCAN_SCHEMA))
+        parts.append(own.mapInArrow(run, _PART))
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].select("doc_id", "n_words", "n_hit", "items", F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return _merged(docs, both)
+    return _merged(both, len(parts))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,32 +150,35 @@ def _without(docs: DataFrame, sent, width: int) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _merged(docs: DataFrame, both: DataFrame) -> DataFrame:
-    """Several blocks: items are united; hit words are counted anew from the united spans."""
-    found = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    full = found.where(F.size("spans") > 0).join(docs.select("doc_id", "text"), "doc_id")
+def _merged(both: DataFrame, n_blocks: int) -> DataFrame:
+    """Several blocks: items are united; hit words are counted anew from the united spans.
+
+    Rows of one doc_id and text have equal results, so they are counted and put out again as often as they stood.
+    """
+    found = both.groupBy("doc_id", "text_hash", "n_words").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("items") > 0, F.col("items")))))).alias("items"), F.flatten(F.collect_list(F.when(F.size("spans") > 0, F.col("spans")))).alias("spans"))
 
     def run(batches):
         for b in batches:
+            out = []
             for r in b.to_pylist():
-                starts, ends, first = K.spans(*_view(r["text"]))
-                on = np.zeros(len(starts), bool)
-                for s in r["spans"]:
-                    on |= (starts >= s["start"]) & (ends <= s["end"])
-                a, z, _ = K.spans(on, first)
-                yield pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": int(on.sum()), "items": r["items"], "spans": [{"start": int(starts[i]), "end": int(ends[j - 1])} for i, j in zip(a, z, strict=True)]}], schema=_ARROW)
-
-    rest = found.where(F.size("spans") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), "items", "spans")
-    return rest.unionByName(full.mapInArrow(run, SCAN_SCHEMA))
-
-
+                runs: list[dict] = []
+                for x in sorted(r["spans"], key=lambda x: x["word"]):
+                    if not runs or x["word"] > runs[-1]["stop"]:
+                        runs.append(x)
+                    elif x["stop"] > runs[-1]["stop"]:
+                        runs[-1] |= {"stop": x["stop"], "end": x["end"]}
+                n_hit = sum(x["stop"] - x["word"] for x in runs)
+                out.append({"doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": n_hit, "items": r["items"], "spans": [{"start": x["start"], "end": x["end"]} for x in runs]})
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"n div {n_blocks}")))
+    return found.withColumn("copy", again).select("doc_id", "n_words", "items", "spans").mapInArrow(run, SCAN_SCHEMA)
+
+
+_PART = "doc_id long, text_hash long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long,word:long,stop:long>>"
+_SPANS = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "word", "stop")]))
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _view(text: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    return _IS_WORD[raw], np.array([0, len(raw)])
-
-
 def items_digest(ids: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()

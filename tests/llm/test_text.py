@@ -92,6 +92,18 @@ def test_decontamination_matches_brute_force(spark, block):
         assert (r.n_hit > 0) == bool(r.spans) and sum(len(decontam.normal_words(body[s.start : s.end].decode())) for s in r.spans) == r.n_hit
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 60])
+def test_decontamination_rows_of_equal_ids_and_items_without_id(spark, block):
+    item = lambda k: " ".join(f"{k}{i}" for i in range(12))
+    items = [(1, item("a")), (None, item("b")), (3, item("c")), (None, item("a"))]
+    docs = [(None, item("a") + " x"), (None, "no hit"), (None, "no hit"), (4, item("b")), (4, item("c") + " " + item("a")), (4, "no hit"), (4, "no hit"), (5, item("b")), (5, item("b"))]
+    found = decontam.scan(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), len(r.spans)) for r in found)
+    assert got == collections.Counter([(None, 13, 12, (1, None), 1), (None, 2, 0, (), 0), (None, 2, 0, (), 0), (4, 12, 12, (None,), 1), (4, 24, 24, (1, 3, None), 1), (4, 2, 0, (), 0), (4, 2, 0, (), 0), (5, 12, 12, (None,), 1), (5, 12, 12, (None,), 1)])
+    kept = decontam.clean(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    assert [r.text for r in kept] == ["no hit"] * 4
+
+
 def test_decontamination_clean_keeps_columns(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     out = decontam.clean(docs_of(spark, [*EDGE, (70, "Alpha, beta; GAMMA!")]), bench)
