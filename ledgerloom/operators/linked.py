@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import tables as X
 from . import predicates as P
-from .cut import written
+from .cut import dropped, written
 
 
 def both_directions(links: DataFrame, txns: DataFrame) -> DataFrame:
@@ -127,8 +127,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = label.join(near, ["user_id", "u"]).select("user_id", "u", F.least("c", "d").alias("c"))
         jump = least.select("user_id", F.col("u").alias("c"), F.col("c").alias("e"))
         new = written(least.join(jump, ["user_id", "c"]).select("user_id", "u", F.least("c", "e").alias("c")), "labels")
-        moved = new.join(label.withColumnRenamed("c", "old"), ["user_id", "u"]).where("c <> old")
-        label, done = new, moved.isEmpty()
+        done = new.join(label.withColumnRenamed("c", "old"), ["user_id", "u"]).where("c <> old").isEmpty()
+        dropped(label)
+        label = new
         if done:
             return label.select("user_id", F.col("u").alias("id"), F.col("c").alias("component"))
 

@@ -4,31 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.sinks import ROW_KEY
 
 
 def merge_month(target: DataFrame, batch: DataFrame, open_month: str) -> DataFrame:
-    """Late-data rule: rows of a month already held and before the open one are dropped; the open month is replaced."""
+    """Late-data rule, by tenant: rows of a closed month already held are dropped; an open month is replaced where the batch has it."""
     batch = batch.withColumn("ym", F.substring("date_posted", 1, 7)).dropDuplicates(ROW_KEY)
     held = target.where(F.col("ym") < open_month).select("user_id", "ym").distinct()
     fresh = batch.where(F.col("ym") < open_month).join(held, ["user_id", "ym"], "left_anti").unionByName(batch.where(F.col("ym") >= open_month))
-    return target.where(F.col("ym") < open_month).unionByName(fresh.select(*target.columns))
+    again = batch.where(F.col("ym") >= open_month).select("user_id", "ym").distinct()
+    return target.join(again, ["user_id", "ym"], "left_anti").select(*target.columns).unionByName(fresh.select(*target.columns))
 
 
 def stream_months(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, open_month: str):
-    """Files of rows into a table partitioned by month; each micro-batch overwrites only the partitions it may touch."""
+    """merge_month over files: a table partitioned by tenant and month, of which a micro-batch overwrites only its own tenants' open months and months not yet held."""
+    held_schema = StructType([*schema.fields, StructField("ym", StringType())])
 
     def apply(batch: DataFrame, _epoch: int) -> None:
         rows = batch.withColumn("ym", F.substring("date_posted", 1, 7)).dropDuplicates(ROW_KEY)
         try:
-            held = spark.read.parquet(target).where(F.col("ym") < open_month).select("ym").distinct()
-            rows = rows.join(held, "ym", "left_anti")
+            held = spark.read.schema(held_schema).parquet(target).where(F.col("ym") < open_month).select("user_id", "ym").distinct()
+            rows = rows.join(held, ["user_id", "ym"], "left_anti")
         except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e):
                 raise
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ym").parquet(target)
+        rows.repartition("user_id", "ym").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id", "ym").parquet(target)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -248,8 +248,14 @@ def test_month_sync_and_streams(spark, tmp_path):
     batch.where("id = 4").withColumn("id", F.lit(9).cast("long")).coalesce(1).write.mode("append").parquet(str(src))
     sync.stream_months(spark, str(src), batch.schema, str(target), str(tmp_path / "c1"), "2024-02").awaitTermination(60)
     assert sorted(r.id for r in spark.read.parquet(str(target)).collect()) == [3, 5, 9]
+    # a second tenant's file leaves the first one's months alone
+    other = spark.createDataFrame([txn(21, "1.00", "2024-01-07"), txn(22, "1.00", "2024-02-07")], TXN).withColumn("user_id", F.lit(2).cast(batch.schema["user_id"].dataType))
+    other.coalesce(1).write.mode("append").parquet(str(src))
+    sync.stream_months(spark, str(src), batch.schema, str(target), str(tmp_path / "c1"), "2024-02").awaitTermination(60)
+    assert sorted(r.id for r in spark.read.parquet(str(target)).collect()) == [3, 5, 9, 21, 22]
+    assert sorted(r.id for r in sync.merge_month(old, other, "2024-02").collect()) == [1, 2, 21, 22]
     sync.stream_unique(spark, str(src), batch.schema, str(tmp_path / "u"), str(tmp_path / "c2")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "u")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "u")).count() == 5
 
 
 def test_sequences_and_bands(spark):
