@@ -1,18 +1,23 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items (operator 6).
 
 Text is normalised byte by byte (A-Z lower-cased; every other ASCII byte but 0-9 and a-z separates words), so a
-normalised byte stands where its original stands and offsets map back by a table of word positions. Patterns are the
-items' windows of `width` words between spaces; a text is scanned once.
-
-The items are the stated query set. They go to the executors in blocks of at most `block_bytes` of normalised text,
-so what is broadcast is bounded whatever the table's size; each block is one automaton and one scan. Null and empty
-texts have no words. Items with equal windows are all reported, one without an id as null, after the others. Every row is a
-row of its own whatever its doc_id and the number of blocks. Other columns are not read.
+normalised word stands where its original stands and offsets map back by a table of word positions. Patterns are the
+items' windows of `width` words, as sequences of word numbers: a word is one step of the automaton, its text is stored
+once whatever the number of windows around it, and a word outside the items' vocabulary (told by a 64-bit hash) leads
+back to the root. A text is scanned once; stretches without any vocabulary word are skipped.
+
+The items are the stated query set. They go to the executors in blocks of at most `block_bytes` of text, so what is
+broadcast, and the automaton of about ten nodes a word (some 150 MB for 2 MB of text), is bounded whatever the table's
+size; each block is one automaton, built once in a worker process, and one scan. Null and empty texts have no words.
+Items with equal windows are all reported, one without an id as null, after the others. Every row is a row of its own
+whatever its doc_id and the number of blocks. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -23,9 +28,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 WIDTH = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_IS_WORD = np.array([c != 32 for c in _TABLE])
+_NORMAL = np.frombuffer(_TABLE, np.uint8)
+_IS_WORD = _NORMAL != 32
 SCAN_SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
 
 
@@ -33,32 +39,65 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def item_windows(text: str | None, width: int = WIDTH) -> list[bytes]:
-    """Windows of an item as words joined by spaces; a shorter item is one window, an empty one none."""
-    w = normal_words(text)
-    return [b" ".join(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))] if w else []
-
-
 def in_order(ids: set[int | None]) -> list[int | None]:
     """Ids in order, a null one last."""
     return sorted(ids, key=lambda x: (x is None, x or 0))
 
 
-def build(items: list[tuple[int | None, str]], width: int = WIDTH):
-    """The automaton: value = (number of words, item ids). Latin-1 keeps one character for a byte."""
-    found: dict[bytes, set[int]] = {}
-    for item, text in items:
-        for w in item_windows(text, width):
-            found.setdefault(w, set()).add(item)
-    auto = ahocorasick.Automaton()
-    for w, ids in found.items():
-        auto.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(in_order(ids))))
-    if found:
-        auto.make_automaton()
-    return auto if found else None
+@dataclass
+class Automaton:
+    """Sorted hashes of the items' words, the automaton over their numbers (from 1), and each pattern's length and items."""
+
+    vocabulary: np.ndarray
+    steps: ahocorasick.Automaton
+    sizes: list[int]
+    items: list[tuple[int | None, ...]]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word; 0 for a word that no item holds."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    return K.span_hash(K.prefix_hash(raw), ends - [len(w) for w in words], ends)
+
+
+def build(items: list[tuple[int | None, str]], width: int = WIDTH) -> Automaton | None:
+    """The automaton of some items, or None if they have no words. A shorter item than `width` is one window."""
+    split = [(item, normal_words(text)) for item, text in items]
+    words = sorted({w for _, ws in split for w in ws})
+    if not words:
+        return None
+    hashes = _hashes(words)
+    order = np.argsort(hashes)
+    number = {words[i]: k + 1 for k, i in enumerate(order.tolist())}
+    found: dict[tuple[int, ...], set[int | None]] = {}
+    for item, ws in split:
+        seq = tuple(number[w] for w in ws)
+        for i in range(max(len(seq) - width + 1, 1) if seq else 0):
+            found.setdefault(seq[i : i + width], set()).add(item)
+    steps = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for k, w in enumerate(found):
+        steps.add_word(w, k)
+    steps.make_automaton()
+    return Automaton(hashes[order], steps, [len(w) for w in found], [tuple(in_order(ids)) for ids in found.values()])
+
+
+_built: dict[str, Automaton | None] = {}
+
+
+def built(key: str, items: list[tuple[int | None, str]], width: int) -> Automaton | None:
+    """The block's automaton, built once in a worker process, which holds one at a time."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = build(items, width)
+    return _built[key]
 
 
-def scan_chunk(auto, raw: np.ndarray, offsets: np.ndarray):
+def scan_chunk(auto: Automaton | None, raw: np.ndarray, offsets: np.ndarray):
     """(words of each document, hit words, item ids, spans in original bytes and in words) of a chunk, by one pass of the automaton."""
     n = len(offsets) - 1
     starts, ends, first = K.spans(_IS_WORD[raw], offsets)
@@ -66,27 +105,29 @@ def scan_chunk(auto, raw: np.ndarray, offsets: np.ndarray):
     out_spans: list[list[dict]] = [[] for _ in range(n)]
     hit = np.zeros(len(starts), bool)
     if auto is not None and len(starts):
-        data = raw.tobytes().translate(_TABLE)
-        at = offsets.tolist()
-        # words of the whole chunk between single spaces; two spaces part documents, and no pattern holds two
-        docs = [b" ".join(data[at[i] : at[i + 1]].split()) for i in range(n)]
-        text = (b" " + b"  ".join(docs) + b" ").decode("latin-1")
-        flat = np.frombuffer(text.encode("latin-1"), np.uint8)
-        begins = np.flatnonzero((flat[1:] != 32) & (flat[:-1] == 32)) + 1  # of words, in the order of starts
-        ends_at, sizes, ids = [], [], []
-        for end, (size, which) in auto.iter(text):
-            ends_at.append(end)
-            sizes.append(size)
-            ids.append(which)
-        if ends_at:
-            to = np.searchsorted(begins, np.array(ends_at))
-            hit = K.cover(to - np.array(sizes), np.array(sizes), len(starts)) if len(to) else hit
+        # a 0 stands before each document, so no match crosses two
+        at = np.arange(len(starts)) + K.doc_of(first) + 1
+        numbers = np.zeros(len(starts) + n + 1, np.int64)
+        numbers[at] = auto.numbers(K.span_hash(K.prefix_hash(_NORMAL[raw]), starts, ends))
+        use = numbers > 0
+        use[1:] |= use[:-1]
+        use = np.flatnonzero(use)
+        word = np.zeros(len(numbers), np.int64)
+        word[at] = np.arange(len(starts))
+        stops, which = [], []
+        for end, k in auto.steps.iter(tuple(numbers[use].tolist())):
+            stops.append(end)
+            which.append(k)
+        if stops:
+            sizes = np.array(auto.sizes)[which]
+            to = word[use[stops]] + 1
+            hit = K.cover(to - sizes, sizes, len(starts))
             doc = np.searchsorted(first, to - 1, "right") - 1
             per: dict[int, set[int | None]] = {}
-            for d, which in zip(doc.tolist(), ids, strict=True):
-                per.setdefault(d, set()).update(which)
-            for d, which in per.items():
-                out_items[d] = in_order(which)
+            for d, k in zip(doc.tolist(), which, strict=True):
+                per.setdefault(d, set()).update(auto.items[k])
+            for d, ids in per.items():
+                out_items[d] = in_order(ids)
             a, b, f = K.spans(hit, first)
             for d in per:
                 out_spans[d] = [{"start": int(starts[i] - offsets[d]), "end": int(ends[j - 1] - offsets[d]), "word": int(i - first[d]), "stop": int(j - first[d])} for i, j in zip(a[f[d] : f[d + 1]], b[f[d] : f[d + 1]], strict=True)]
@@ -97,23 +138,24 @@ def blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BY
     """Yields lists of (item_id, text) of at most block_bytes (or one item); they stream to the driver one by one."""
     held, size = [], 0
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if held and size + len(row.text) > block_bytes:
+        own = len(row.text.encode())
+        if held and size + own > block_bytes:
             yield held
             held, size = [], 0
         held.append((row.item_id, row.text))
-        size += len(row.text)
+        size += own
     yield held
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: words, hit words, items with occurring windows, and hit spans in bytes of the original text."""
     spark, parts = docs.sparkSession, []
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     for items in blocks(benchmark, width, block_bytes):
         sent = spark.sparkContext.broadcast(items)
 
-        def run(batches, sent=sent):
-            auto = build(sent.value, width)
+        def run(batches, sent=sent, key=uuid.uuid4().hex):
+            auto = built(key, sent.value, width)
             for b in batches:
                 for row, end, raw, off in K.chunks(b.column("text")):
                     n_words, n_hit, ids, spans = scan_chunk(auto, raw, off)
@@ -139,10 +181,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes
 
 
 def _without(docs: DataFrame, sent, width: int) -> DataFrame:
-    at = docs.columns.index("text")
+    at, key = docs.columns.index("text"), uuid.uuid4().hex
 
     def run(batches):
-        auto = build(sent.value, width)
+        auto = built(key, sent.value, width)
         for b in batches:
             for row, end, raw, off in K.chunks(b.column(at)):
                 yield b.slice(row, end - row).filter(pa.array(scan_chunk(auto, raw, off)[1] == 0))

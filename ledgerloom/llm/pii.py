@@ -3,8 +3,9 @@
 Entities are e-mail addresses, phone numbers, IPv4 addresses, card numbers, national ids and titled person names.
 Each distinct entity of the corpus gets one surrogate, drawn from SHA-512 of (key, kind, entity, attempt):
   email   same count of letters and digits in the local part, a reserved example domain label, the same top level
-  phone   country code and punctuation stay, the other digits change
-  ip      four octets in 10.0.0.0/8, so never a public address
+  phone   country code (one to three digits by COUNTRY_CODES) and punctuation stay, the other digits change
+  ip      four octets in 10.0.0.0/8, so not a public address; after 8 collisions in 240.0.0.0/4, which is reserved, and
+          after 24 anywhere, so that a table of very many addresses does not run out of them
   card    first digit, grouping and length stay; the last digit makes the Luhn sum right where it was right
   id      grouping stays, digits change
   person  the title stays; first names come from a pool of the title's gender, family names from syllables; the script
@@ -37,6 +38,8 @@ PATTERNS = {
     "id": "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "person": f"(?<!\\p{{L}})(?:{NAME_TITLES})[.]?(?: \\p{{Lu}}[\\p{{L}}'-]+){{1,3}}",
 }
+# Country calling codes of one and two digits; all others have three.
+COUNTRY_CODES = ["1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"]
 FEMALE_TITLES = ["mrs", "ms", "miss", "frau", "señora", "madame", "sra", "mme", "г-жа"]
 POOLS = {
     "f_latin": ["Alma", "Berta", "Carla", "Dora", "Edith", "Flora", "Greta", "Hanna", "Irene", "Julia", "Klara", "Lena", "Maria", "Nora", "Olga", "Paula"],
@@ -115,9 +118,11 @@ def drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     extra = F.when(attempt > 8, F.substr(stream, F.lit(1), F.least(attempt, F.lit(40)))).otherwise("")
     email = F.concat(_redrawn(local, stream), extra, F.lit("@"), F.substr(stream, F.lit(100), F.lit(6)), F.lit(".example."), F.substring_index(domain, ".", -1))
-    ip = F.concat_ws(".", F.lit("10"), *[_nibble(stream, F.lit(i)).cast("string") for i in (3, 17, 31)])
+    net = F.when(attempt <= 8, "10").when(attempt <= 24, (240 + _nibble(stream, F.lit(45)) % 16).cast("string")).otherwise(_nibble(stream, F.lit(45)).cast("string"))
+    ip = F.concat_ws(".", net, *[_nibble(stream, F.lit(i)).cast("string") for i in (3, 17, 31)])
     digits = _redrawn(norm, stream)
-    phone = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.substr(digits, F.lit(3)))
+    code = F.when(F.substr(norm, F.lit(1), F.lit(1)).isin(COUNTRY_CODES), 1).when(F.substr(norm, F.lit(1), F.lit(2)).isin(COUNTRY_CODES), 2).otherwise(3)
+    phone = F.concat(F.substr(norm, F.lit(1), code), F.substr(digits, code + 1))
     body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(digits, F.lit(2), F.length(norm) - 2))
     right = F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10))
     last = F.when(luhn(norm) == 0, right).otherwise((right + 1 + _nibble(stream, F.lit(60)) % 9) % 10)
@@ -179,7 +184,7 @@ def _count(kind: str) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Per row: doc_id, n_entities, kinds (map of counts) and text with surrogates."""
+    """Per row: doc_id, n_entities, a count n_<kind> for each kind, and text with surrogates."""
     own = docs.select(F.col("doc_id"), "text", found().alias("found"))
     some = written(
         own.where(F.size("found") > 0).select(

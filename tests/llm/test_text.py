@@ -104,6 +104,16 @@ def test_decontamination_rows_of_equal_ids_and_items_without_id(spark, block):
     assert [r.text for r in kept] == ["no hit"] * 4
 
 
+def test_decontamination_scans_many_items_with_int_ids(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choices(vocab, k=n))
+    items = [(i, text(rng.randint(1, 40))) for i in range(200)]
+    docs = [(i, text(rng.randint(0, 40)) + " " + rng.choice(items)[1] + " unknown " + rng.choice(items)[1]) for i in range(60)]
+    found = decontam.scan(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found) == brute_decontam(docs, items)
+
+
 def test_decontamination_clean_keeps_columns(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     out = decontam.clean(docs_of(spark, [*EDGE, (70, "Alpha, beta; GAMMA!")]), bench)
@@ -178,7 +188,29 @@ def test_mixing_keeps_all_rows_and_edge_cases(spark):
             assert start == at
             at += size
     assert mixing.mix(df.limit(0)).count() == 0
-    assert mixing.mix(df, weights={"s0": 0.5, "s1": 0.5, None: 0.1}).count() == len(rows)
+    both = mixing.mix(df)  # columns of the table that have the names of added ones
+    assert both.columns == [*df.columns, "mix_n_size", "block", "mix_slot", "release", "deadline", "block_offset"]
+    assert both.where("slot <> 'extra' or n_size <> 1").isEmpty() and both.where("mix_slot is null").isEmpty()
+
+
+def test_mixing_follows_asked_weights_exactly(spark):
+    asked = {"s0": 0.5, "s1": 0.0625, None: 0.125, "s9": 0.3125, "zero": 0}
+    rows = [(i, "x" * 100, ["s0", "s1", None, "s9", "zero", "unnamed"][i % 6]) for i in range(1200)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=asked, block_chars=100).collect()
+    assert len(out) == len(rows)
+    assert all(r.slot is None and r.block is None for r in out if r.source in ("zero", "unnamed"))
+    slots = {r.slot: r.source for r in out if r.slot is not None}
+    done = collections.Counter()
+    for t in range(380):  # until the largest share is used up
+        done[slots[t]] += 1
+        assert all(abs(done[s] - w * (t + 1)) < 1 for s, w in asked.items() if w)
+    assert mixing.exact_units({"a": 1, "b": 0, "c": 2}) == {"a": 1, "c": 2}
+    assert mixing.exact_units({"a": 1 / 3, "b": 0.5}, 1000) == {"a": 400, "b": 600}
+
+
+def test_mixing_plan_without_sources_of_the_table(spark):
+    out = mixing.mix(spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string"), weights={"b": 1.0}).collect()
+    assert [(r.doc_id, r.slot) for r in out] == [(1, None)]
 
 
 def test_toxicity_held_out_accuracy_and_gradients(spark):
@@ -249,6 +281,15 @@ def test_pii_surrogates(spark):
     assert pii.pseudonymised(docs_of(spark, [])).count() == 0
 
 
+def test_pii_surrogates_keep_country_codes_and_do_not_run_out(spark):
+    rows = [(1, "call +1 415 555 7713"), (2, "call +358 40 123 4567"), (3, "call +49 30 1234 5678")]
+    out = {r.doc_id: r.text for r in pii.pseudonymised(docs_of(spark, rows)).collect()}
+    for (i, t), code in zip(rows, ("+1 ", "+358 ", "+49 "), strict=True):
+        assert out[i].startswith("call " + code) and out[i] != t and re.sub("[0-9]", "0", out[i]) == re.sub("[0-9]", "0", t)
+    nets = lambda attempt: {r.x.split(".")[0] for r in spark.range(200).select(pii.drawn(F.lit("ip"), F.col("id").cast("string"), F.lit(attempt), "k").alias("x")).collect()}
+    assert nets(0) == {"10"} and all(int(x) >= 240 for x in nets(9)) and len(nets(9)) > 8 and len(nets(30)) > 60
+
+
 def test_pii_surrogates_are_distinct_and_keyed(spark):
     rows = [(i, f"Mr {a}{b} and x{i}@y.org") for i, (a, b) in enumerate((a, b) for a in "ABCDEFGHIJ" for b in ("an", "er", "os", "il"))]
     ents = pii.pseudonymised(docs_of(spark, rows))
