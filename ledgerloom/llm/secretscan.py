@@ -1,10 +1,13 @@
 """Secret scans: character Markov models of random strings and of ordinary identifiers (operator 10).
 
 Base patterns (an assigned credential, an access-key id, long hexadecimal runs) are always reported. Besides, every run
-of `[A-Za-z0-9+/_=-]` of MIN_RUN characters or more with a digit is scored by the log-likelihood ratio of two first-order
-character models; a mean ratio above THRESHOLD nats a character is a span of kind `markov` unless it overlaps a base span.
-The models are trained from labelled samples that `labelled_samples` makes from a seed: random strings over the usual
-alphabets against identifiers composed of ordinary words and counters.
+of `[A-Za-z0-9+/_=-]` of MIN_RUN characters or more is scored by two first-order character models: each character adds
+its log-likelihood ratio (CLIP at most, as the models know rare pairs badly) less DRIFT, and the segment of MIN_RUN or
+more characters with the largest sum decides, so ordinary characters around a key don't dilute it. A sum of THRESHOLD
+nats or more is a span of kind `markov`; nothing else gates it. Where
+base spans cover a part of the segment, what is left of it is reported, piece by piece. The models are trained from
+labelled samples that `labelled_samples` makes from a seed: random strings over the usual alphabets against identifiers
+composed of ordinary words and counters.
 
 Null texts are empty and have no spans. Offsets are code points, the end exclusive. Runs may be of any length.
 """
@@ -18,11 +21,14 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels as K
 
-MIN_RUN = 20
-THRESHOLD = 0.55
+MIN_RUN = 16
+CLIP = 2.0
+DRIFT = 0.25
+THRESHOLD = 6.0
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -30,8 +36,6 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYS = re.compile(rb"password|passwd|secret|token|api_?key", re.IGNORECASE)
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_DIGITS = np.zeros(256, bool)
-_DIGITS[list(b"0123456789")] = True
 # Ordinary words that identifiers are composed of in the labelled samples.
 WORDS = """account address amount balance batch bucket buffer cache category chain check client column commit config
 count create cursor data date delete digest document driver engine entry error event export field file filter final
@@ -93,21 +97,35 @@ def ratio_table() -> np.ndarray:
     return _ratio[0]
 
 
-def run_scores(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood ratio of each run of characters."""
+def best_segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, start, end) of the segment of MIN_RUN or more characters of each run (as long at least) with the largest sum."""
     if not len(starts):
-        return np.zeros(0)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0), none, none
     t = ratio_table()
     before = np.concatenate([[0], raw[:-1]])
     before[starts] = 0
-    on = np.zeros(len(raw), bool)
     sizes = ends - starts
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    on[at] = True
-    steps = t[before[at], raw[at]]
-    cum = np.concatenate([[0], np.cumsum(steps)])
-    to = np.cumsum(sizes)
-    return (cum[to] - cum[to - sizes]) / sizes
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    at = np.repeat(starts - first, sizes) + np.arange(sizes.sum())
+    steps = np.clip(t[before[at], raw[at]], -CLIP, CLIP) - DRIFT
+    run = np.repeat(np.arange(len(starts)), sizes)
+    # sums within each run, before and after every character
+    total = np.cumsum(steps)
+    total -= np.repeat(np.concatenate([[0.0], total[first[1:] - 1]]), sizes)
+    prior = total - steps
+    prior[first] = 0.0
+    # every run lies below the one before it, so a running minimum starts anew with each run
+    below = run * (float(total.max() - min(prior.min(), 0.0)) + float(prior.max()) + 1.0)
+    low = np.minimum.accumulate(prior - below)
+    place = np.arange(len(steps))
+    shift = np.maximum(place - (MIN_RUN - 1), 0)
+    gain = np.where(place - np.repeat(first, sizes) >= MIN_RUN - 1, total - below - low[shift], -np.inf)
+    best = np.maximum.reduceat(gain, first)
+    hit = np.flatnonzero(gain == np.repeat(best, sizes))
+    stop = hit[np.concatenate([[True], run[hit][1:] != run[hit][:-1]])]  # the first best end of each run
+    begin = np.maximum.accumulate(np.where(prior - below == low, place, 0))[shift[stop]]
+    return best, at[begin], at[stop] + 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -123,10 +141,8 @@ def scan_chunk(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[list, list]]:
     n = len(offsets) - 1
     starts, ends, first = K.spans(_RUN[raw], offsets)
     long = np.flatnonzero(ends - starts >= MIN_RUN)
-    digits = np.concatenate([[0], np.cumsum(_DIGITS[raw])])
-    s, e = starts[long], ends[long]
-    score = run_scores(raw, s, e)
-    add = (score > THRESHOLD) & (digits[e] > digits[s])
+    score, s, e = best_segments(raw, starts[long], ends[long])
+    add = score >= THRESHOLD
     doc = np.searchsorted(first, long, "right") - 1
     data = raw.tobytes()
     look = set(doc.tolist())
@@ -149,7 +165,12 @@ def scan_chunk(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[list, list]]:
             a, b = a - at[d], b - at[d]
             if len(text) != len(body):
                 a, b = len(body[:a].decode()), len(body[:b].decode())
-            if not any(x < b and a < y for x, y, _ in base):
+            for x, y, _ in base:  # by start
+                if x < b and a < y:
+                    if a < x:
+                        added.append((a, x, "markov"))
+                    a = max(a, y)
+            if a < b:
                 added.append((a, b, "markov"))
         out[d] = (base, added)
     return out
@@ -179,7 +200,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:

@@ -136,8 +136,40 @@ def test_secrets_base_rules(spark):
 
 def test_markov_models_tell_random_from_ordinary(spark):
     secret, plain = secretscan.labelled_samples(seed=99, n=400)
-    score = lambda xs: [secretscan.run_scores(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x)]))[0] > secretscan.THRESHOLD for x in xs]
-    assert np.mean(score(secret)) > 0.95 and np.mean(score(plain)) < 0.03
+    plain = [x for x in plain if len(x) >= secretscan.MIN_RUN]
+    one = lambda x: [float(v[0]) for v in secretscan.best_segments(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x)]))]
+    assert np.mean([one(x)[0] >= secretscan.THRESHOLD for x in secret]) > 0.98 and np.mean([one(x)[0] >= secretscan.THRESHOLD for x in plain]) < 0.01
+    letters = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=24)) for i in range(100)]
+    assert np.mean([one(x)[0] >= secretscan.THRESHOLD for x in letters]) > 0.95
+
+
+def test_best_segments_match_a_plain_loop():
+    secret, plain = secretscan.labelled_samples(seed=7, n=30)
+    runs = [x for pair in zip(secret, plain, strict=True) for x in (pair[0], pair[1], f"{pair[1]}/{pair[0]}_{pair[1]}") if len(x) >= secretscan.MIN_RUN]
+    raw = np.frombuffer(" ".join(runs).encode(), np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in runs]) - 1
+    starts = ends - [len(x) for x in runs]
+    score, begin, stop = secretscan.best_segments(raw, starts, ends)
+    t = secretscan.ratio_table()
+    for x, s0, got, b, e in zip(runs, starts, score, begin, stop, strict=True):
+        c = x.encode()
+        step = [min(max(t[0 if i == 0 else c[i - 1], c[i]], -secretscan.CLIP), secretscan.CLIP) - secretscan.DRIFT for i in range(len(c))]
+        best = max(sum(step[i:j]) for i in range(len(c)) for j in range(i + secretscan.MIN_RUN, len(c) + 1))
+        assert abs(best - got) < 1e-6 and abs(sum(step[b - s0 : e - s0]) - got) < 1e-6 and e - b >= secretscan.MIN_RUN
+
+
+def test_markov_spans_around_base_spans(spark):
+    hexa, key = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "Zk3vQ9xT7bLm2Rw8Yp4JZ"
+    text = f"é total_account_balance/{key}/update and {key}{hexa}Q7xKw9ZtPq3L end"
+    row = secretscan.scan(docs_of(spark, [(1, text)])).first()
+    spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row.spans.split(","))]
+    at = text.index(hexa)
+    assert ("hex", at, at + 40) in spans and row.n_hex == 1
+    inside = [text[a:b] for k, a, b in spans if k == "markov"]
+    assert inside == [key, key, "Q7xKw9ZtPq3L"]
+
+
+def test_secrets_are_redacted(spark):
     out = secretscan.redacted(docs_of(spark, [(1, "key Zk3vQ9xT7bLm2Rw8Yp4Jd6 here"), (2, None), (3, "total_account_balance_update_2024 ok")]))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "key [secret] here", 2: None, 3: "total_account_balance_update_2024 ok"}
     assert out.schema == docs_of(spark, []).schema
