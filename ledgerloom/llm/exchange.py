@@ -2,8 +2,9 @@
 
 Rows of a few bytes cost a JVM more than their data, so Python stages pack fixed-width records by bucket. A bucket is
 a part of a hash, so buckets are even whatever the documents are; senders aggregate equal keys before they pack, so a
-key that a third of all rows hold sends one record a flush. `reduce_packed` reads a partition bucket by bucket and
-holds about `limit` bytes at a time.
+key that a third of all rows hold sends one record a flush. Buckets are at least four times the shuffle partitions, so
+one grows with a partition, not with the input. `reduce_packed` reads a partition bucket by bucket and holds one whole
+bucket, or several of about `limit` bytes together.
 """
 
 from __future__ import annotations
@@ -14,27 +15,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cut import written
+from ..operators.cut import dropped, written
 
-__all__ = ["BUCKETS", "PACKED", "bucket_of", "equal_runs", "pack", "partitions", "reduce_blobs", "reduce_packed", "rows", "table", "written"]
-BUCKETS = 1 << 13
+__all__ = ["PACKED", "bucket_bits", "bucket_of", "dropped", "equal_runs", "pack", "partitions", "reduce_blobs", "reduce_packed", "rows", "table", "written"]
+LEAST_BITS = 13
 PACKED = "bucket int, payload binary"
 
 
 def pack(records: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket with records."""
-    order = np.argsort(buckets.astype(np.uint16) if BUCKETS <= 1 << 16 else buckets, kind="stable")
-    count = np.bincount(buckets, minlength=1)
-    which = np.flatnonzero(count)
-    at = np.zeros(len(which) + 1, np.int32)
-    np.cumsum(count[which] * records.dtype.itemsize, out=at[1:])
+    most = int(buckets.max()) if len(buckets) else 0
+    order = np.argsort(buckets.astype(np.uint16 if most < 1 << 16 else np.uint32), kind="stable")
+    runs = equal_runs(buckets[order])
+    which = buckets[order][[s for s, _ in runs]] if runs else np.zeros(0, np.int64)
+    at = np.array([0, *(e for _, e in runs)], np.int64) * records.dtype.itemsize
+    at = at.astype(np.int32)
     payload = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(records[order].tobytes())])
     return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), payload], ["bucket", "payload"])
 
 
-def bucket_of(h: np.ndarray) -> np.ndarray:
+def bucket_bits(spark: SparkSession) -> int:
+    """Bits of a bucket's number: 8,192 buckets, or four for each shuffle partition if that is more."""
+    return min(max(LEAST_BITS, (4 * partitions(spark) - 1).bit_length()), 24)
+
+
+def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
     """Bucket of a mixed 64-bit hash."""
-    return (h >> np.uint64(64 - 13)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def equal_runs(sorted_buckets: np.ndarray) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ its interval is the first occurrence, since shards are laid out by (doc_id, row
 Senders and shards first fold equal contexts (a later copy of a whole context repeats as a whole). Contexts of hashes
 with more than HOT occurrences are dealt by single windows, which spreads a passage that a third of all rows share.
 
-Words are `[^\\x20\\x09-\\x0D]+`, compared by 64-bit codes within one anchor's contexts. A null or empty text has no
+Words are `[^\\x20\\x09-\\x0D]+`, compared by 40-bit codes within the contexts of one anchor (a 64-bit hash). A null or empty text has no
 words and nothing is removed; documents shorter than `span` words lose nothing. See `repeats` for equal and null ids.
 """
 
@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 
 from . import kernels as K
 from . import repeats as R
-from .exchange import PACKED, bucket_of, equal_runs, reduce_blobs, rows, written
+from .exchange import PACKED, bucket_bits, bucket_of, equal_runs, reduce_blobs, rows, written
 
 SPAN = 20
 GRAM = 6
 HOT = 4096
-_HEAD = np.dtype([("h", "<u8"), ("content", "<u8"), ("id", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
+_HEAD = np.dtype([("h", "<u8"), ("id", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
+CODE_BYTES = 5
 _MARK = R.MARK
 _FLUSH_WORDS = 1 << 21
 
@@ -56,7 +57,7 @@ class FMIndex:
             rank, width = fresh, width * 2
             if n and rank[suffixes[-1]] == n - 1:
                 break
-        self.suffixes = suffixes
+        self.suffixes = suffixes.astype(np.int32)
         count = np.bincount(text, minlength=sigma + 1)
         self.before = np.concatenate([[0], np.cumsum(count)])
         self._levels(text[suffixes - 1])
@@ -137,12 +138,24 @@ def _span_codes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
     return K.mix((run[starts + sizes] - run[starts]) * inverse[starts] + sizes.astype(np.uint64))
 
 
-def _fold(heads: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+def _coded(words: np.ndarray) -> bytes:
+    """The low CODE_BYTES of each word's code."""
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES].tobytes()
+
+
+def _decoded(blob) -> np.ndarray:
+    part = np.frombuffer(blob, np.uint8).reshape(-1, CODE_BYTES)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, :CODE_BYTES] = part
+    return out.view("<u8").ravel()
+
+
+def _fold(heads: np.ndarray, content: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of the first contexts of each content, marks of all windows of the later ones)."""
-    order = np.lexsort((heads["start"], heads["doc"], heads["id"], heads["content"], heads["h"]))
-    r = heads[order]
+    order = np.lexsort((heads["start"], heads["doc"], heads["id"], content, heads["h"]))
+    r, content = heads[order], content[order]
     new = np.ones(len(r), bool)
-    new[1:] = (r["h"][1:] != r["h"][:-1]) | (r["content"][1:] != r["content"][:-1])
+    new[1:] = (r["h"][1:] != r["h"][:-1]) | (content[1:] != content[:-1])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
     later = ~new & ((r["doc"] != r["doc"][lead]) | (r["start"] != r["start"][lead]))
     marks = np.empty(int(later.sum()), _MARK)
@@ -150,20 +163,21 @@ def _fold(heads: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(order[new]), marks
 
 
-def _send(hot: np.ndarray, span: int, gram: int):
+def _send(hot: np.ndarray, span: int, gram: int, bits: int):
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
             heads = np.concatenate([h for h, _ in held])
+            sizes = heads["size"].astype(np.int64)
             base = np.repeat(np.cumsum([0] + [len(w) for _, w in held])[:-1], [len(h) for h, _ in held])
             words = np.concatenate([w for _, w in held])
             at = base + np.concatenate([np.concatenate([[0], np.cumsum(h["size"])[:-1]]) for h, _ in held]).astype(np.int64)
             held.clear()
-            keep, marks = _fold(heads, span)
+            keep, marks = _fold(heads, _span_codes(words, at, sizes), span)
             heads, at = heads[keep], at[keep]
-            bucket = bucket_of(K.mix(heads["h"]))
+            bucket = bucket_of(K.mix(heads["h"]), bits)
             order = np.argsort(bucket, kind="stable")
             heads, at, bucket = heads[order], at[order], bucket[order]
             body = words[_take(at, heads["size"].astype(np.int64))]
@@ -171,8 +185,8 @@ def _send(hot: np.ndarray, span: int, gram: int):
             names, blobs = [], []
             for s, e in equal_runs(bucket):
                 names.append(int(bucket[s]))
-                blobs.append(np.int32(e - s).tobytes() + heads[s:e].tobytes() + body[ends[s] : ends[e]].tobytes())
-            mb = bucket_of(K.mix(marks["doc"].view(np.uint64)))
+                blobs.append(np.int32(e - s).tobytes() + heads[s:e].tobytes() + _coded(body[ends[s] : ends[e]]))
+            mb = bucket_of(K.mix(marks["doc"].view(np.uint64)), bits)
             order = np.argsort(mb, kind="stable")
             marks, mb = marks[order], mb[order]
             for s, e in equal_runs(mb):
@@ -181,7 +195,7 @@ def _send(hot: np.ndarray, span: int, gram: int):
             return rows(names, blobs)
 
         for b in batches:
-            keys, ids, ords = b.column("row").to_numpy(zero_copy_only=False), b.column("id").to_numpy(zero_copy_only=False), b.column("ords")
+            keys, ids, ords = b.column("row").to_numpy(zero_copy_only=False), b.column("doc_id").fill_null(R.NULL_ID).to_numpy(zero_copy_only=False), b.column("ords")
             for row, end, raw, off in K.chunks(b.column("text")):
                 codes, first, _, _ = R.word_units(raw, off)
                 a = R.anchors(codes, first, span, gram)
@@ -197,7 +211,6 @@ def _send(hot: np.ndarray, span: int, gram: int):
                 heads = np.empty(len(at), _HEAD)
                 heads["h"], heads["id"], heads["doc"], heads["start"], heads["size"] = h, ids[row + doc], keys[row + doc], at - first[doc], last - at + span
                 sizes = heads["size"].astype(np.int64)
-                heads["content"] = _span_codes(codes, at, sizes)
                 held.append((heads, codes[_take(at, sizes)]))
                 size += int(sizes.sum())
                 if size >= _FLUSH_WORDS:
@@ -209,7 +222,7 @@ def _send(hot: np.ndarray, span: int, gram: int):
     return run
 
 
-def _search(span: int):
+def _search(span: int, bits: int):
     def run(held):
         heads, words, marks = [], [], []
         for _, blob in held:
@@ -219,11 +232,11 @@ def _search(span: int):
                 continue
             end = 4 + k * _HEAD.itemsize
             heads.append(np.frombuffer(blob[4:end], _HEAD))
-            words.append(np.frombuffer(blob[end:], np.uint64))
+            words.append(_decoded(blob[end:]))
         if heads:
             marks += shard_marks(np.concatenate(heads), np.concatenate(words), span)
         if marks:
-            yield R.packed_marks(np.concatenate(marks))
+            yield R.packed_marks(np.concatenate(marks), bits)
 
     return run
 
@@ -231,7 +244,7 @@ def _search(span: int):
 def shard_marks(heads: np.ndarray, words: np.ndarray, span: int) -> list[np.ndarray]:
     """Marks of the windows of a shard's contexts that occur earlier."""
     at = np.concatenate([[0], np.cumsum(heads["size"])[:-1]]).astype(np.int64)
-    keep, marks = _fold(heads, span)
+    keep, marks = _fold(heads, _span_codes(words, at, heads["size"].astype(np.int64)), span)
     keep = keep[np.lexsort((heads["start"][keep], heads["doc"][keep], heads["id"][keep]))]
     heads, at = heads[keep], at[keep]
     sizes = heads["size"].astype(np.int64)
@@ -262,11 +275,11 @@ def shard_marks(heads: np.ndarray, words: np.ndarray, span: int) -> list[np.ndar
 
 def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(row, marks) of keyed docs: first and last starts of windows whose words also start earlier."""
-    units = R.Units(span, gram, R.word_units)
+    units, bits = R.Units(span, gram, R.word_units), bucket_bits(docs.sparkSession)
     found = written(R.repeated_anchors(docs, units, hot), "anchors")
     top = docs.sparkSession.sparkContext.broadcast(R.hot_hashes(found, hot))
-    sent = R.with_repeats(docs, found).mapInArrow(lambda it: _send(top.value, span, gram)(it), PACKED)
-    return R.marks_by_doc(reduce_blobs(sent, _search(span), PACKED, limit=8 << 20))
+    sent = R.with_repeats(docs, found).mapInArrow(lambda it: _send(top.value, span, gram, bits)(it), PACKED)
+    return R.marks_by_doc(reduce_blobs(sent, _search(span, bits), PACKED, limit=8 << 20))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -284,5 +297,4 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
                 )
 
     own, alone = R.keyed(docs)
-    marks = written(repeated_windows(own, span, gram, hot), "marks")
-    return R.with_marks(own, alone, marks).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return R.with_marks(own, alone, repeated_windows(own, span, gram, hot)).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -10,7 +10,8 @@ one in about span / 2 units.
 2. The operator sends the contexts of those anchors to shards by the anchor's hash and finds repeated windows there. A
    hash of more than `hot` occurrences is dealt by whole windows instead. `hot` grows with the input so that at most
    MAX_HOT hashes (8 MB) are broadcast.
-3. `with_marks` brings the found windows back to their documents.
+3. `with_marks` brings the found windows back to their documents. Both joins read the texts by row key in the same
+   columns, in one job, so Spark shuffles the texts once and uses that exchange twice.
 
 Every row is a document of its own, under a `row` key (see `keyed`); doc_id only orders rows (a null one before all
 others) and is put out. Equal rows (doc_id and text) share a key, as they share anchors and marks; `with_marks` numbers
@@ -24,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .exchange import PACKED, bucket_of, pack, reduce_packed, written
+from .exchange import PACKED, bucket_bits, bucket_of, pack, reduce_packed
 
 MAX_HOT = 1_000_000
 NULL_ID = -(1 << 63)
@@ -109,9 +110,6 @@ def anchors(codes: np.ndarray, first: np.ndarray, span: int, gram: int) -> Ancho
     starts = np.flatnonzero(change)
     ends = np.append(starts[1:], total)
     keep = valid[starts]
-    edge = first[(first > 0) & (first < total)]
-    if len(edge):  # a run never crosses a document, as the windows before the edge are not valid
-        pass
     starts, ends = starts[keep], ends[keep]
     j, want = before[starts].copy(), low[starts]
     todo = np.arange(len(starts))
@@ -140,20 +138,22 @@ def by_doc(doc: np.ndarray, *columns: np.ndarray):
     return pa.array(doc[cut]), blob
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(row, id, doc_id, text) of every row, and whether all rows differ in doc_id.
+def row_key(alone: bool) -> Column:
+    """A key of every row: its id, or where ids are shared a hash of doc_id and text, a function of the row alone."""
+    row = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return row if alone else F.xxhash64(row, F.col("doc_id").isNull(), F.col("text").isNull(), "text")
 
-    If they do, the id is the row's key. Otherwise the key is a hash of doc_id and text, a function of the row alone, so
-    that no copy of the table is written and every scan gives the same keys.
-    """
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    alone = own.groupBy("id").count().where("count > 1").isEmpty()
-    row = F.col("id") if alone else F.xxhash64("id", F.col("doc_id").isNull(), F.col("text").isNull(), "text")
-    return own.select(row.alias("row"), "id", "doc_id", "text"), alone
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(row, doc_id, text) of every row, and whether all rows differ in doc_id; no copy of the table is written and every scan gives the same keys."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    alone = own.groupBy(row_key(True).alias("id")).count().where("count > 1").isEmpty()
+    return own.select(row_key(alone).alias("row"), "doc_id", "text"), alone
 
 
 def repeated_anchors(docs: DataFrame, units: Units, hot_from: int) -> DataFrame:
     """(row, ords): numbers of the row's anchors that occur elsewhere; (null, null, h, n): hashes of n > hot_from occurrences."""
+    bits = bucket_bits(docs.sparkSession)
 
     def send(batches):
         held: list[np.ndarray] = []
@@ -172,7 +172,7 @@ def repeated_anchors(docs: DataFrame, units: Units, hot_from: int) -> DataFrame:
             again["n"] = 0
             rest = np.concatenate([rest, again])
             both = np.concatenate([heads, rest])
-            return pack(both, bucket_of(np.concatenate([heads["h"], K.mix(rest["doc"].view(np.uint64))])))
+            return pack(both, bucket_of(np.concatenate([heads["h"], K.mix(rest["doc"].view(np.uint64))]), bits))
 
         for b in batches:
             ids = b.column("row").to_numpy(zero_copy_only=False)
@@ -200,7 +200,7 @@ def repeated_anchors(docs: DataFrame, units: Units, hot_from: int) -> DataFrame:
         big = rec[cut][total > hot_from]
         big["n"] = np.minimum(total[total > hot_from], np.iinfo(np.int32).max)
         both = np.concatenate([found, big])
-        yield pack(both, bucket_of(K.mix(both["doc"].view(np.uint64))))
+        yield pack(both, bucket_of(K.mix(both["doc"].view(np.uint64)), bits))
 
     def gather(rec):
         big, rec = rec[rec["n"] > 0], rec[rec["n"] == 0]
@@ -213,18 +213,18 @@ def repeated_anchors(docs: DataFrame, units: Units, hot_from: int) -> DataFrame:
     return reduce_packed(repeats, _REF, gather, "row long, ords binary, h long, n long")
 
 
-def packed_marks(marks: np.ndarray) -> pa.RecordBatch:
-    return pack(marks, bucket_of(K.mix(marks["doc"].view(np.uint64))))
+def packed_marks(marks: np.ndarray, bits: int) -> pa.RecordBatch:
+    return pack(marks, bucket_of(K.mix(marks["doc"].view(np.uint64)), bits))
 
 
-def marks_by_doc(packed: DataFrame) -> DataFrame:
-    """One row for each row key with marks."""
+def marks_by_doc(packed: DataFrame, dtype: np.dtype = MARK) -> DataFrame:
+    """One row for each row key with marks; the fields after the key stand side by side as int32."""
 
     def gather(rec):
-        doc, blob = by_doc(rec["doc"], rec["first"], rec["last"])
+        doc, blob = by_doc(rec["doc"], *(rec[c] for c in dtype.names[1:]))
         yield pa.RecordBatch.from_arrays([doc, blob], ["row", "marks"])
 
-    return reduce_packed(packed, MARK, gather, "row long, marks binary")
+    return reduce_packed(packed, dtype, gather, "row long, marks binary")
 
 
 def hot_hashes(found: DataFrame, hot_from: int) -> np.ndarray:
@@ -238,7 +238,7 @@ def hot_hashes(found: DataFrame, hot_from: int) -> np.ndarray:
 
 def with_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Texts of the documents that have repeated anchors, with the list of their numbers."""
-    return docs.select("row", "id", "text").join(found.where("row is not null").select("row", "ords").hint("merge"), "row")
+    return docs.select("row", "doc_id", "text").join(found.where("row is not null").select("row", "ords").hint("merge"), "row")
 
 
 def chosen(a: Anchors, ords: pa.Array, n_docs: int) -> np.ndarray:
@@ -252,19 +252,27 @@ def chosen(a: Anchors, ords: pa.Array, n_docs: int) -> np.ndarray:
 
 def with_marks(docs: DataFrame, alone: bool, marks: DataFrame) -> DataFrame:
     """Every row of docs with its marks (a blob of (first, last) window starts), its number among equal rows and their count."""
-    same = Window.partitionBy("row")
-    copy, copies = (F.lit(1), F.lit(1).cast("long")) if alone else (F.row_number().over(same.orderBy("row")), F.count("*").over(same))
-    own = docs.select("row", "doc_id", "text", copy.alias("copy"), copies.alias("copies"))
-    return own.join(marks.hint("merge"), "row", "left").select("doc_id", "text", "marks", "copy", "copies")
+    own, same = docs.select("row", "doc_id", "text"), Window.partitionBy("row")
+    if not alone:
+        own = own.withColumns({"copy": F.row_number().over(same.orderBy("row")), "copies": F.count("*").over(same)})
+    out = own.join(marks.hint("merge"), "row", "left")
+    if alone:
+        out = out.withColumns({"copy": F.lit(1), "copies": F.lit(1).cast("long")})
+    return out.select("doc_id", "text", "marks", "copy", "copies")
+
 
+def marked(marks: pa.Array, first: np.ndarray, span: int, whole: np.ndarray, kind: int | None = None) -> np.ndarray:
+    """Units that a marked window of `span` units covers; of documents marked as a whole, every unit that is in a window.
 
-def marked(marks: pa.Array, first: np.ndarray, span: int, whole: np.ndarray) -> np.ndarray:
-    """Units that a marked window covers; of documents marked as a whole, every unit that is in a window."""
+    With a kind, marks are (first, last, kind) and only those of that kind count.
+    """
     n = int(first[-1]) if len(first) else 0
     starts, sizes = [], []
     for d, blob in enumerate(marks):
         if blob.is_valid:
-            m = np.frombuffer(blob.as_buffer(), "<i4").reshape(-1, 2).astype(np.int64)
+            m = np.frombuffer(blob.as_buffer(), "<i4").reshape(-1, 2 if kind is None else 3).astype(np.int64)
+            if kind is not None:
+                m = m[m[:, 2] == kind]
             starts.append(m[:, 0] + first[d])
             sizes.append(m[:, 1] - m[:, 0] + span)
     size = np.diff(first)

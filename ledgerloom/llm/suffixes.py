@@ -1,7 +1,9 @@
 """Suffix-array dedup by distributed, common-prefix-aware merge sort (operator 3).
 
-A text is a string of UTF-8 bytes; every byte covered by a `span`-byte string that also starts elsewhere is cut. Only
-suffixes at repeated anchors (see `repeats`) are sorted: a repeated string holds such an anchor at the same offset.
+A text is a string of UTF-8 bytes; every byte covered by a `span`-byte string that also starts elsewhere is cut. Bytes
+covered by shorter strings, of `report` bytes, that also start elsewhere are counted (n_repeated) and kept: a passage of
+50 words is often shorter than `span`. Only suffixes at repeated anchors (see `repeats`) of `report`-byte windows are
+sorted: a repeated string of either length holds such an anchor at the same offset.
 
 Senders fold equal contexts, sort the suffixes that start at anchors and send each bucket one front-coded run (shared
 prefix with the previous suffix, then the rest). A bucket merges its runs with a loser tree whose players carry their
@@ -9,7 +11,7 @@ common prefix with the last output: two suffixes are compared only beyond what b
 suffix knows its prefix from the coding. The merge yields the suffix array of the bucket with its LCP array; the texts to
 the left of the anchors are sorted from right to left in the same manner. A window that starts `o` bytes before its anchor
 repeats exactly if another suffix is in the same LCP >= span - o group to the right and in the same LCP >= o group to the
-left, so one pass over offsets decides all windows without comparing pairs.
+left, so one pass over offsets decides all windows of a length without comparing pairs.
 
 Hashes with more than HOT occurrences are dealt by 128-bit fingerprints of whole windows, folded by the senders, so one
 passage in a third of all rows is spread over all tasks. Null and empty texts have no bytes; equal texts are
@@ -26,14 +28,15 @@ from pyspark.sql import DataFrame
 
 from . import kernels as K
 from . import repeats as R
-from .exchange import PACKED, bucket_of, equal_runs, pack, reduce_blobs, reduce_packed, rows, written
+from .exchange import PACKED, bucket_bits, bucket_of, equal_runs, pack, reduce_blobs, reduce_packed, rows, written
 
 SPAN = 400
-GRAM = 48
+REPORT = 240
+GRAM = 32
 HOT = 1 << 16
 _ENTRY = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("many", "<u2"), ("low", "<u4"), ("doc", "<i8"), ("first", "<i4")])
-_MARK = R.MARK
-_PRINT = np.dtype([("w", "<u8"), ("v", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
+_MARK = np.dtype([("doc", "<i8"), ("first", "<i4"), ("last", "<i4"), ("span", "<i4")])
+_PRINT = np.dtype([("w", "<u8"), ("v", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("span", "<i4")])
 _FLUSH_BYTES = 24 << 20
 
 
@@ -127,10 +130,17 @@ def decoded(blob) -> list:
     return out
 
 
-def _send(hot: np.ndarray, span: int, gram: int):
+def _whole_marks(doc: int, first: int, windows: int, size: int, span: int, report: int) -> list[tuple[int, int, int, int]]:
+    """Marks of all windows of a context whose `windows` report windows start at `first` and which holds `size` bytes."""
+    out = [(doc, first, first + windows - 1, report)]
+    last = min(first + windows - 1, first + size - span)
+    return [*out, (doc, first, last, span)] if span > report and last >= first else out
+
+
+def _send(hot: np.ndarray, span: int, report: int, gram: int, bits: int):
     def run(batches):
         held: dict = {}
-        marks: list[tuple[int, int, int]] = []
+        marks: list[tuple[int, int, int, int]] = []
         size = 0
 
         def flush():
@@ -138,13 +148,13 @@ def _send(hot: np.ndarray, span: int, gram: int):
             entries.sort(key=lambda e: e[0])
             names, blobs = [], []
             h = np.array([int.from_bytes(e[0][:8], "big") for e in entries], np.uint64)
-            bucket = bucket_of(K.mix(h))
+            bucket = bucket_of(K.mix(h), bits)
             order = np.argsort(bucket, kind="stable")
             for s, e in equal_runs(bucket[order]):
                 names.append(int(bucket[order[s]]))
                 blobs.append(front_coded([entries[i] for i in order[s:e]]))
             m = np.array(marks, _MARK)
-            mb = bucket_of(K.mix(m["doc"].view(np.uint64) if len(m) else np.zeros(0, np.uint64)))
+            mb = bucket_of(K.mix(m["doc"].view(np.uint64) if len(m) else np.zeros(0, np.uint64)), bits)
             order = np.argsort(mb, kind="stable")
             for s, e in equal_runs(mb[order]):
                 names.append(int(mb[order[s]]))
@@ -157,22 +167,22 @@ def _send(hot: np.ndarray, span: int, gram: int):
             ids, ords = b.column("row").to_numpy(zero_copy_only=False), b.column("ords")
             for row, end, raw, off in K.chunks(b.column("text")):
                 codes, first, _, _ = R.byte_units(raw, off)
-                a = R.anchors(codes, first, span, gram)
+                a = R.anchors(codes, first, report, gram)
                 on = R.chosen(a, ords.slice(row, end - row), end - row)
                 if len(hot):
                     on &= hot[np.minimum(np.searchsorted(hot, a.h), len(hot) - 1)] != a.h
                 data = raw.tobytes()
                 doc = a.doc[on]
-                cols = (a.at[on].tolist(), a.h[on].astype(">u8").tobytes(), a.first[on].tolist(), a.last[on].tolist(), ids[row + doc].tolist(), (a.first[on] - first[doc]).tolist())
-                for i, (p, s, z, d, f) in enumerate(zip(cols[0], *cols[2:], strict=True)):
-                    key = (cols[1][8 * i : 8 * i + 8] + data[p : z + span], data[s:p])
+                cols = (a.at[on].tolist(), a.h[on].astype(">u8").tobytes(), a.first[on].tolist(), a.last[on].tolist(), ids[row + doc].tolist(), (a.first[on] - first[doc]).tolist(), first[doc + 1].tolist())
+                for i, (p, s, z, d, f, stop) in enumerate(zip(cols[0], *cols[2:], strict=True)):
+                    key = (cols[1][8 * i : 8 * i + 8] + data[p : min(z + span, stop)], data[s:p])
                     seen = held.get(key)
                     if seen is None:
                         held[key] = [d, f, p - z, 0]
                         size += len(key[0]) + len(key[1]) + 200
                     elif (d, f) != (seen[0], seen[1]):
                         seen[3] = 1
-                        marks.append((d, f, f + z - s))
+                        marks += _whole_marks(d, f, z - s + 1, min(z + span, stop) - s, span, report)
                 if size >= _FLUSH_BYTES:
                     yield flush()
                     size = 0
@@ -182,7 +192,7 @@ def _send(hot: np.ndarray, span: int, gram: int):
     return run
 
 
-def _shard(span: int):
+def _shard(span: int, report: int, bits: int):
     def run(held):
         by_bucket: dict[int, list] = {}
         marks = []
@@ -192,16 +202,16 @@ def _shard(span: int):
             else:
                 by_bucket.setdefault(k, []).append(blob)
         stream = (x for k in sorted(by_bucket) for x in merged([decoded(b) for b in by_bucket[k]]))
-        marks += shard_marks(stream, span)
+        marks += shard_marks(stream, span, report)
         if marks:
-            yield R.packed_marks(np.concatenate(marks))
+            yield R.packed_marks(np.concatenate(marks), bits)
 
     return run
 
 
-def shard_marks(stream, span: int) -> list[np.ndarray]:
+def shard_marks(stream, span: int, report: int) -> list[np.ndarray]:
     """Marks of repeated windows, from a stream of sorted suffixes with their common prefixes."""
-    right, lefts, low, many, refs, owner, lead = [], [], [], [], [], [], []
+    right, lefts, low, many, refs, owner, lead, size = [], [], [], [], [], [], [], []
     key_before, here = None, {}
     for lcp, key, (left, doc, first, o, dup) in stream:
         if key_before is None or lcp < len(key) or len(key) != len(key_before) or key != key_before:
@@ -216,6 +226,7 @@ def shard_marks(stream, span: int) -> list[np.ndarray]:
             right.append(n)
             lefts.append(key[:8] + left[::-1])
             low.append(o)
+            size.append(len(key) - 8)
             many.append(dup)
             lead.append((doc, first))
         elif (doc, first) != lead[j]:
@@ -232,44 +243,48 @@ def shard_marks(stream, span: int) -> list[np.ndarray]:
     order = sorted(range(n), key=lefts.__getitem__)
     left = np.array([common(lefts[x], lefts[y]) - 8 for x, y in zip(order, order[1:], strict=False)], np.int64)
     order = np.array(order)
-    again = np.zeros((n, int(high.max()) + 1), bool)
-    for o in range(again.shape[1]):
-        on = np.flatnonzero((low <= o) & (o <= high))
-        if len(on) < 2:
-            continue
-        rid = np.cumsum(r < span - o)
-        lid = np.empty(n, np.int64)
-        lid[order] = np.concatenate([[0], np.cumsum(left < o)])
-        both = rid[on] * (n + 1) + lid[on]
-        by = np.argsort(both, kind="stable")
-        s = both[by]
-        same = s[1:] == s[:-1]
-        hit = np.zeros(len(on), bool)
-        hit[by[1:]] |= same
-        hit[by[:-1]] |= same
-        again[on[hit], o] = True
-    whole = np.flatnonzero(np.array(many))
-    for j in whole:
-        again[j, low[j] : high[j] + 1] = True
-    flat = np.diff(np.concatenate([np.zeros((n, 1), np.int8), again.astype(np.int8), np.zeros((n, 1), np.int8)], 1), axis=1)
-    who, start = np.nonzero(flat == 1)
-    _, stop = np.nonzero(flat == -1)
-    stop = stop - 1
     # windows of offset o start high - o after the first one
     refs = np.array(refs, np.dtype([("doc", "<i8"), ("first", "<i8")]))
     owner = np.array(owner)
     by = np.argsort(owner, kind="stable")
     at, count = np.searchsorted(owner[by], np.arange(n)), np.bincount(owner, minlength=n)
-    times = count[who]
-    ref = refs[by[np.repeat(at[who] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())]] if len(who) else refs[:0]
-    out = np.empty(len(ref), _MARK)
-    out["doc"] = ref["doc"]
-    out["first"] = ref["first"] + np.repeat(high[who] - stop, times)
-    out["last"] = ref["first"] + np.repeat(high[who] - start, times)
-    return [out]
-
-
-def _prints(hot: np.ndarray, span: int, gram: int):
+    whole, size = np.flatnonzero(np.array(many)), np.array(size)
+    found = []
+    for width in {span, report}:
+        least = np.maximum(low, width - size)  # a text's end cuts off the windows that would begin nearer to the anchor
+        again = np.zeros((n, int(high.max()) + 1), bool)
+        for o in range(again.shape[1]):
+            on = np.flatnonzero((least <= o) & (o <= high))
+            if len(on) < 2:
+                continue
+            rid = np.cumsum(r < width - o)
+            lid = np.empty(n, np.int64)
+            lid[order] = np.concatenate([[0], np.cumsum(left < o)])
+            both = rid[on] * (n + 1) + lid[on]
+            rank = np.argsort(both, kind="stable")
+            s = both[rank]
+            same = s[1:] == s[:-1]
+            hit = np.zeros(len(on), bool)
+            hit[rank[1:]] |= same
+            hit[rank[:-1]] |= same
+            again[on[hit], o] = True
+        for j in whole:
+            again[j, least[j] : high[j] + 1] = True
+        flat = np.diff(np.concatenate([np.zeros((n, 1), np.int8), again.astype(np.int8), np.zeros((n, 1), np.int8)], 1), axis=1)
+        who, start = np.nonzero(flat == 1)
+        _, stop = np.nonzero(flat == -1)
+        stop = stop - 1
+        times = count[who]
+        ref = refs[by[np.repeat(at[who] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())]] if len(who) else refs[:0]
+        out = np.empty(len(ref), _MARK)
+        out["doc"], out["span"] = ref["doc"], width
+        out["first"] = ref["first"] + np.repeat(high[who] - stop, times)
+        out["last"] = ref["first"] + np.repeat(high[who] - start, times)
+        found.append(out)
+    return found
+
+
+def _prints(hot: np.ndarray, span: int, report: int, gram: int, bits: int):
     """Fingerprints of the windows of frequent anchors; equal ones of a flush are one record."""
 
     def run(batches):
@@ -290,24 +305,27 @@ def _prints(hot: np.ndarray, span: int, gram: int):
             heads["n"] = count
             rest = np.concatenate([rest, again])
             rest["n"] = 0
-            return pack(np.concatenate([heads, rest]), bucket_of(np.concatenate([K.mix(heads["w"]), K.mix(rest["doc"].view(np.uint64))])))
+            return pack(np.concatenate([heads, rest]), bucket_of(np.concatenate([K.mix(heads["w"]), K.mix(rest["doc"].view(np.uint64))]), bits))
 
         for b in batches:
             ids, ords = b.column("row").to_numpy(zero_copy_only=False), b.column("ords")
             for row, end, raw, off in K.chunks(b.column("text")):
                 codes, first, _, _ = R.byte_units(raw, off)
-                a = R.anchors(codes, first, span, gram)
+                a = R.anchors(codes, first, report, gram)
                 on = R.chosen(a, ords.slice(row, end - row), end - row)
                 on &= hot[np.minimum(np.searchsorted(hot, a.h), len(hot) - 1)] == a.h
                 n = a.last[on] - a.first[on] + 1
                 if not n.sum():
                     continue
-                at = np.repeat(a.first[on] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                doc = np.repeat(a.doc[on], n)
-                rec = np.empty(len(at), _PRINT)
-                rec["w"], rec["v"] = K.window_hash(codes, span)[at], K.window_hash(K.mix(codes ^ np.uint64(0x5DEECE66D)), span)[at]
-                rec["doc"], rec["start"], rec["n"] = ids[row + doc], at - first[doc], 1
-                held.append(rec)
+                every = np.repeat(a.first[on] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                owner = np.repeat(a.doc[on], n)
+                for width in {span, report}:
+                    inside = every + width <= first[owner + 1]
+                    at, doc = every[inside], owner[inside]
+                    rec = np.empty(len(at), _PRINT)
+                    rec["w"], rec["v"] = K.window_hash(codes, width)[at], K.window_hash(K.mix(codes ^ np.uint64(0x5DEECE66D)), width)[at]
+                    rec["doc"], rec["start"], rec["n"], rec["span"] = ids[row + doc], at - first[doc], 1, width
+                    held.append(rec)
                 if sum(map(len, held)) >= 1 << 19:
                     yield flush()
         if held:
@@ -316,7 +334,7 @@ def _prints(hot: np.ndarray, span: int, gram: int):
     return run
 
 
-def _print_marks(rec):
+def _print_marks(rec, bits: int):
     known, rec = rec[rec["n"] == 0], rec[rec["n"] > 0]
     rec = rec[np.lexsort((rec["start"], rec["doc"], rec["v"], rec["w"]))]
     same = np.concatenate([[False], (rec["w"][1:] == rec["w"][:-1]) & (rec["v"][1:] == rec["v"][:-1])]) if len(rec) else np.zeros(0, bool)
@@ -328,38 +346,42 @@ def _print_marks(rec):
     hit[group[other]] = True
     m = np.concatenate([known, rec[hit[group]]]) if len(rec) else known
     marks = np.empty(len(m), _MARK)
-    marks["doc"], marks["first"], marks["last"] = m["doc"], m["start"], m["start"]
-    yield R.packed_marks(marks)
+    marks["doc"], marks["first"], marks["last"], marks["span"] = m["doc"], m["start"], m["start"], m["span"]
+    yield R.packed_marks(marks, bits)
 
 
-def repeated_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(row, marks) of keyed docs: first and last starts of `span`-byte strings that also start elsewhere."""
-    found = written(R.repeated_anchors(docs, R.Units(span, gram, R.byte_units), hot), "anchors")
+def repeated_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, report: int = REPORT) -> DataFrame:
+    """(row, marks) of keyed docs: first and last starts of strings of `span` or `report` bytes that also start elsewhere, with their length."""
+    bits = bucket_bits(docs.sparkSession)
+    found = written(R.repeated_anchors(docs, R.Units(report, gram, R.byte_units), hot), "anchors")
     top = docs.sparkSession.sparkContext.broadcast(R.hot_hashes(found, hot))
     ready = R.with_repeats(docs, found)
-    marks = reduce_blobs(ready.mapInArrow(lambda it: _send(top.value, span, gram)(it), PACKED), _shard(span), PACKED, limit=8 << 20)
+    marks = reduce_blobs(ready.mapInArrow(lambda it: _send(top.value, span, report, gram, bits)(it), PACKED), _shard(span, report, bits), PACKED, limit=8 << 20)
     if len(top.value):
-        marks = marks.union(reduce_packed(ready.mapInArrow(lambda it: _prints(top.value, span, gram)(it), PACKED), _PRINT, _print_marks, PACKED))
-    return R.marks_by_doc(marks)
+        marks = marks.union(reduce_packed(ready.mapInArrow(lambda it: _prints(top.value, span, report, gram, bits)(it), PACKED), _PRINT, lambda rec: _print_marks(rec, bits), PACKED))
+    return R.marks_by_doc(marks, _MARK)
 
 
-def remove_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
+def remove_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, report: int = REPORT) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (bytes covered by repeated strings of `report` bytes, removed ones among them) and kept (the remaining bytes)."""
+    report = min(report, span)
 
     def cut(batches):
         for b in batches:
             for row, end, raw, off in K.chunks(b.column("text")):
-                gone = R.marked(b.column("marks").slice(row, end - row), off, span, b.column("copies").to_numpy()[row:end] > 1)
+                marks, copies = b.column("marks").slice(row, end - row), b.column("copies").to_numpy()[row:end] > 1
+                gone = R.marked(marks, off, span, copies, span)
+                again = R.marked(marks, off, report, copies, report)
                 starts, _, first = K.spans(gone, off)
                 data, at, kept = raw.tobytes(), off.tolist(), []
                 removed = K.per_doc(gone, off)
                 for i in range(end - row):
                     kept.append(raw[at[i] : at[i + 1]][~gone[at[i] : at[i + 1]]].tobytes() if removed[i] else data[at[i] : at[i + 1]])
+                digests = pa.array([hashlib.sha256(k).hexdigest() for k in kept])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(row, end - row), pa.array(np.diff(off)), pa.array(removed), pa.array(np.diff(first)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                    [b.column("doc_id").slice(row, end - row), pa.array(np.diff(off)), pa.array(removed), pa.array(np.diff(first)), digests, pa.array(K.per_doc(again, off)), pa.array(kept, pa.binary())],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"],
                 )
 
     own, alone = R.keyed(docs)
-    marks = written(repeated_strings(own, span, gram, hot), "marks")
-    return R.with_marks(own, alone, marks).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return R.with_marks(own, alone, repeated_strings(own, span, gram, hot, report)).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary")
