@@ -3,52 +3,69 @@
 A document is the set of its distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle, an empty one
 has none and is linked with nothing). Documents with equal sets are folded first; one representative goes on.
 
-Join. Each of TREES independent trees branches documents by the minwise tokens of DEPTH chosen coordinates, so two
-documents of similarity s meet in a node with probability s ** DEPTH a tree: at 0.75 a pair misses all trees with
-probability 5e-6. Nodes are kept as stars (members to the smallest one), aggregated by the senders, so a node that holds
-a third of all rows stays a few records a flush. Stars that touch make a family: documents that could be linked.
-
-A family of up to MAX_FAMILY shingles is compared exhaustively in one task, which gets each member's full set once: every
-pair that is not yet in one component is judged by its signature (LIKELY of all places agree; at similarity 0.75 fewer do
-with probability 4e-5) and then confirmed on the full sets. Larger families are worked by several tasks: stars are
-confirmed first (SALTS parts of each), then all pairs across components by crossing_pairs, which deals the members of
-the largest component into parts and copies the others to each part. So no pair is left out and there is no cap on
-partners; the work on a family of very many unlinked members grows with their number times the family's size.
-
-Rows with equal doc_id belong to one component. A null doc_id is linked with nothing (component_id null, kept). Other
-columns are not read. An empty table gives an empty result.
+Join. Each of TREES independent trees branches all documents by their minwise token at one coordinate. A node of up to
+SMALL members is a leaf. A larger one chooses coordinates of its own, by a hash of its path: one, and in BRANCH of the
+nodes a second, so that a pair at the threshold keeps one shared child on average. Each member moves to the child of its
+minwise token there, and so on until nodes are small or DEPTH tokens long. A pair at similarity 0.75 shares a leaf of a
+tree with probability 0.75 where nodes are small at once, and 0.45 where they stay large down to DEPTH; 20 trees miss it
+with probability 1e-12 and 6e-6. Node sizes are aggregates that combine before the shuffle; members of the most frequent
+nodes find theirs by a broadcast of at most MAX_HOT of them, all others by an equi-join.
+
+Small leaves are compared exhaustively, all pairs of their members in one task, by signatures of four bits a coordinate
+(ALIKE of 128 agree; at similarity 0.75 fewer do with probability 2e-6); what agrees is tied together by a spanning
+forest, so no list of pairs leaves the task. A leaf of DEPTH tokens that is still large ties its members to the smallest.
+Documents that ties connect make a family: documents that could be linked.
+A family of up to MAX_FAMILY shingles and MAX_MEMBERS members is compared exhaustively in one task, which gets each
+member's full set once: every pair that is not yet in one component is judged by its signature (LIKELY of all places
+agree; at similarity 0.75 fewer do with probability 3e-7) and then confirmed on the full sets. Larger families are worked
+by several tasks: stars are confirmed first (SALTS parts of each), then all pairs across components by crossing_pairs,
+which deals the members of the largest component into parts and copies the others to each part. So no pair is left out
+and there is no cap on partners; the work on a family of very many unlinked members grows with their number times the
+family's size.
+
+Rows with equal doc_id belong to one component. A null doc_id is linked with nothing (component_id null, kept); see
+one_of_each for rows that share an id or have none. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .exchange import PACKED, bucket_of, pack, partitions, reduce_packed, written
+from .exchange import PACKED, bucket_bits, bucket_of, dropped, pack, partitions, reduce_packed, written
+from .repeats import keyed, row_key
 
 WIDTH = 5
 THRESHOLD = 75
-TREES = 32
+TREES = 20
 DEPTH = 4
-LIKELY = 0.6
+SMALL = 64
+"""Members of a leaf."""
+BRANCH = 1 / 3
+"""Share of the large nodes that branch by two tokens: 1 + 1/3 children for a member, the inverse of the threshold."""
+ALIKE = 76
+BANDS = 32
+LIKELY = 0.55
 MAX_FAMILY = 1 << 22
+MAX_MEMBERS = 8192
 SHORT = 96
 """Coordinates of which one byte each serves to compare members of a large family."""
 SURE = 53
 """Places of SHORT that must agree (0.55; at similarity 0.75 fewer agree with probability 1e-5)."""
 HOT = 1024
+HOT_NODE = 1 << 16
 MAX_HOT = 1_000_000
 SALTS = 64
 _FLUSH = 1 << 19
 _rng = np.random.default_rng(20240229)
-_MULT = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+_MULT = _rng.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_NODE = np.dtype([("key", "<u8"), ("a", "<i8"), ("b", "<i8")])
 _SIZE = np.dtype([("key", "<u8"), ("comp", "<i8"), ("n", "<i8")])
 _PART = np.dtype([("key", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("short", "u1", (SHORT,))])
 
@@ -116,10 +133,30 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return raw[off[0] : off[-1]].view(np.uint32).reshape(len(column), -1)
 
 
-def node_keys(sig: np.ndarray) -> np.ndarray:
-    """Key of the node that each document reaches in each tree."""
-    out = np.empty((len(sig), TREES), np.uint64)
-    for t in range(TREES):
+def _child(path: np.ndarray, sig: np.ndarray, row: np.ndarray, turn: int) -> np.ndarray:
+    """Paths of the children that members (rows of sig) move to, at the coordinate which their nodes choose in this turn."""
+    draw = K.mix(path + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    at = (draw % np.uint64(sig.shape[1])).astype(np.int64)
+    return K.mix(draw ^ K.mix(sig[row, at].astype(np.uint64) + np.uint64(1)))
+
+
+def roots(sig: np.ndarray) -> np.ndarray:
+    """Path of each document's first node in each tree; a tree's root chooses one coordinate."""
+    n = len(sig)
+    root = K.mix(np.arange(1, TREES + 1, dtype=np.uint64))
+    return _child(np.tile(root, n), sig, np.repeat(np.arange(n), TREES), 0).reshape(n, TREES)
+
+
+def branches(path: np.ndarray, sig: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(paths, rows) of the next level for members of large nodes."""
+    two = (K.mix(path ^ np.uint64(0xB5297A4D)) >> np.uint64(11)) < np.uint64(int(BRANCH * (1 << 53)))
+    return np.concatenate([_child(path, sig, row, 0), _child(path[two], sig, row[two], 1)]), np.concatenate([row, row[two]])
+
+
+def deep_keys(sig: np.ndarray) -> np.ndarray:
+    """Key of the node of DEPTH tokens that each document reaches in each of BANDS trees, for families that one task can't hold."""
+    out = np.empty((len(sig), BANDS), np.uint64)
+    for t in range(BANDS):
         h = np.full(len(sig), t + 1, np.uint64)
         for i in range(t * DEPTH, (t + 1) * DEPTH):
             h = K.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, i])
@@ -135,49 +172,119 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(cut, len(k))
 
 
-def _stars(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Members of nodes -> (one member each, links of the others to it)."""
-    rec = rec[np.lexsort((rec["a"], rec["key"]))]
-    new = np.ones(len(rec), bool)
-    new[1:] = rec["key"][1:] != rec["key"][:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(rec)), 0))
-    links = np.empty((~new).sum(), _NODE)
-    links["a"], links["b"] = rec["a"][head[~new]], rec["a"][~new]
-    links = links[links["a"] != links["b"]]
-    links["key"] = K.mix(links["a"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ links["b"].astype(np.uint64))
-    return rec[new], np.unique(links)
+def _paths(paths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(ids)], ["path", "doc_id"])
 
 
-def star_links(reps: DataFrame) -> DataFrame:
-    """Candidate links (a, b), a < b: every node's members to its smallest one."""
+def first_nodes(reps: DataFrame) -> DataFrame:
+    """(path, doc_id): every document in its first node of each tree."""
 
-    def send(batches):
-        held: list[np.ndarray] = []
+    def run(batches):
+        for b in batches:
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            yield _paths(roots(_sigs(b.column("sig"))).ravel(), np.repeat(ids, TREES))
+
+    return reps.select("doc_id", "sig").mapInArrow(run, "path long, doc_id long")
 
-        def flush():
-            heads, links = _stars(np.concatenate(held))
-            both = np.concatenate([heads, links])
-            held.clear()
-            return pack(both, bucket_of(both["key"]))
 
+def next_nodes(reps: DataFrame, members: DataFrame) -> DataFrame:
+    """(path, doc_id): the members of large nodes in their nodes' children."""
+    mine = members.groupBy("doc_id").agg(F.collect_list("path").alias("paths"))  # a few paths a tree
+
+    def run(batches):
         for b in batches:
-            ids, keys = b.column("doc_id").to_numpy(zero_copy_only=False), node_keys(_sigs(b.column("sig")))
-            rec = np.empty(keys.size, _NODE)
-            rec["key"], rec["a"], rec["b"] = keys.ravel(), np.repeat(ids, TREES), -1
-            rec["b"] = np.iinfo(np.int64).min
-            held.append(rec)
-            if sum(map(len, held)) >= _FLUSH:
-                yield flush()
-        if held:
-            yield flush()
+            ids, paths = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("paths")
+            row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(paths)))
+            path, row = branches(paths.flatten().to_numpy(zero_copy_only=False).view(np.uint64), _sigs(b.column("sig")), row)
+            yield _paths(path, ids[row])
 
-    def join(rec):
-        node = rec["b"] == np.iinfo(np.int64).min
-        _, links = _stars(rec[node])
-        links = np.unique(np.concatenate([links, rec[~node]]))
-        yield pa.RecordBatch.from_arrays([pa.array(links["a"]), pa.array(links["b"])], ["a", "b"])
+    return reps.select("doc_id", "sig").join(mine.hint("merge"), "doc_id").mapInArrow(run, "path long, doc_id long")
 
-    return reduce_packed(reps.select("doc_id", "sig").mapInArrow(send, PACKED), _NODE, join, "a long, b long").distinct()
+
+def with_sizes(members: DataFrame) -> DataFrame:
+    """(path, doc_id, n, lead) of the members of nodes of two or more; n is the node's size, lead its smallest member."""
+    nodes = written(members.groupBy("path").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1"), "nodes")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    hot = nodes.where(F.col("n") > max(HOT_NODE, total // MAX_HOT))  # at most MAX_HOT
+    cold = members.join(F.broadcast(hot), "path", "left_anti").join(nodes.hint("merge"), "path")
+    return members.join(F.broadcast(hot), "path").unionByName(cold)
+
+
+def forest(alike: np.ndarray) -> np.ndarray:
+    """Smallest member of each member's connected part, from a symmetric matrix."""
+    part = np.arange(len(alike))
+    while True:
+        new = np.where(alike, part[None, :], len(alike)).min(1)
+        if (new == part).all():
+            return part
+        part = new
+
+
+def leaf_ties(reps: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(a, b), a < b: ties of the members of small leaves whose signatures agree."""
+    mine = leaves.groupBy("doc_id").agg(F.collect_list("path").alias("paths"))  # a few paths a tree
+
+    def send(batches):
+        for b in batches:
+            ids, paths, sig = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("paths"), _sigs(b.column("sig"))
+            row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(paths)))
+            half = (sig & np.uint32(15)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([paths.flatten(), pa.array(ids[row]), _blobs((half[:, ::2] << 4 | half[:, 1::2])[row])], ["path", "doc_id", "half"])
+
+    def compare(batches):
+        at, ids, halves = None, [], []
+
+        def done():
+            order = np.argsort(np.array(ids), kind="stable")
+            both = np.stack(halves)[order]
+            high, low = both >> 4, both & 15
+            agree = (high[:, None] == high[None, :]).sum(2) + (low[:, None] == low[None, :]).sum(2)
+            part = forest(agree >= ALIKE)
+            got = np.array(ids)[order]
+            tied = part != np.arange(len(part))
+            return got[part[tied]], got[tied]
+
+        for b in batches:
+            left, right = [], []
+            body = np.frombuffer(b.column(2).buffers()[2], np.uint8, count=b.column(2).buffers()[2].size)
+            off = np.frombuffer(b.column(2).buffers()[1], np.int32)[b.column(2).offset : b.column(2).offset + len(b) + 1]
+            for k, (path, doc) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if path != at:
+                    if len(ids) > 1:
+                        x, y = done()
+                        left.append(x)
+                        right.append(y)
+                    at, ids, halves = path, [], []
+                ids.append(doc)
+                halves.append(body[off[k] : off[k + 1]].copy())
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], ["a", "b"])
+        if len(ids) > 1:
+            x, y = done()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    n = partitions(reps.sparkSession)
+    sent = reps.select("doc_id", "sig").join(mine.hint("merge"), "doc_id").mapInArrow(send, "path long, doc_id long, half binary")
+    return sent.repartition(n, "path").sortWithinPartitions("path").mapInArrow(compare, "a long, b long")
+
+
+def star_links(reps: DataFrame, small: int = SMALL) -> DataFrame:
+    """Candidate ties (a, b), a < b, as a written table."""
+    members, ties, leaves = written(first_nodes(reps), "members"), None, None
+    for depth in range(1, DEPTH + 1):
+        sized = written(with_sizes(members), "sized")
+        some = sized.where(F.col("n") <= small).select("path", "doc_id")
+        leaves = some if leaves is None else leaves.union(some)
+        large = sized.where(F.col("n") > small)
+        if large.isEmpty():
+            break
+        if depth < DEPTH:
+            members = written(next_nodes(reps, large), "members", members)
+        else:
+            ties = large.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    dropped(members)
+    found = leaf_ties(reps, leaves)
+    return written((found if ties is None else found.union(ties)).distinct(), "stars")
 
 
 def confirmed(docs: DataFrame, links: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -244,7 +351,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
+        edges = written(small, "links", edges)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "doc_id")
@@ -258,7 +365,8 @@ def _with_component(reps: DataFrame, comps: DataFrame) -> DataFrame:
 def crossing_pairs(reps: DataFrame, hot: int | None = None) -> DataFrame:
     """(a, b) in one node but in different components, with signatures that agree in SURE places. reps: doc_id, sig, component_id."""
     spark = reps.sparkSession
-    hot = hot or max(HOT, reps.count() * TREES // MAX_HOT)
+    bits = bucket_bits(spark)
+    hot = hot or max(HOT, reps.count() * BANDS // MAX_HOT)
 
     def sizes(batches):
         held: list[np.ndarray] = []
@@ -270,12 +378,12 @@ def crossing_pairs(reps: DataFrame, hot: int | None = None) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], (rec["key"][1:] != rec["key"][:-1]) | (rec["comp"][1:] != rec["comp"][:-1])]))
             one = rec[cut]
             one["n"] = np.add.reduceat(rec["n"], cut)
-            return pack(one, bucket_of(one["key"]))
+            return pack(one, bucket_of(one["key"], bits))
 
         for b in batches:
-            keys = node_keys(_sigs(b.column("sig")))
+            keys = deep_keys(_sigs(b.column("sig")))
             rec = np.empty(keys.size, _SIZE)
-            rec["key"], rec["comp"], rec["n"] = keys.ravel(), np.repeat(b.column("component_id").to_numpy(zero_copy_only=False), TREES), 1
+            rec["key"], rec["comp"], rec["n"] = keys.ravel(), np.repeat(b.column("component_id").to_numpy(zero_copy_only=False), BANDS), 1
             held.append(rec)
             if sum(map(len, held)) >= _FLUSH:
                 yield flush()
@@ -305,13 +413,13 @@ def crossing_pairs(reps: DataFrame, hot: int | None = None) -> DataFrame:
         def flush():
             rec = np.concatenate(held)
             held.clear()
-            return pack(rec, bucket_of(rec["key"]))
+            return pack(rec, bucket_of(rec["key"], bits))
 
         for b in batches:
             sig = _sigs(b.column("sig"))
-            keys, ids, comp = node_keys(sig), b.column("doc_id").to_numpy(zero_copy_only=False), b.column("component_id").to_numpy(zero_copy_only=False)
+            keys, ids, comp = deep_keys(sig), b.column("doc_id").to_numpy(zero_copy_only=False), b.column("component_id").to_numpy(zero_copy_only=False)
             rec = np.empty(keys.size, _PART)
-            rec["key"], rec["doc"], rec["comp"], rec["short"] = keys.ravel(), np.repeat(ids, TREES), np.repeat(comp, TREES), np.repeat(sig[:, :SHORT].astype(np.uint8), TREES, axis=0)
+            rec["key"], rec["doc"], rec["comp"], rec["short"] = keys.ravel(), np.repeat(ids, BANDS), np.repeat(comp, BANDS), np.repeat(sig[:, :SHORT].astype(np.uint8), BANDS, axis=0)
             if len(big):
                 at = np.minimum(np.searchsorted(big["key"], rec["key"]), len(big) - 1)
                 is_big = big["key"][at] == rec["key"]
@@ -420,16 +528,16 @@ def large_families(docs: DataFrame, reps: DataFrame, stars: DataFrame, threshold
     return sure.union(more)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, max_family: int = MAX_FAMILY, hot: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, max_family: int = MAX_FAMILY, hot: int | None = None, small: int = SMALL) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is that id)."""
     sets = written(describe(docs), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     reps = written(full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("r.doc_id", "r.sig", "d1", "d2", "n_shingles"), "reps")
-    stars = written(star_links(reps), "stars")
+    stars = star_links(reps, small)
     found = components(stars).withColumnRenamed("component_id", "family")
     family = written(found.union(found.select("family", "family").distinct()), "families")
-    size = family.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id").groupBy("family").agg(F.sum("n").alias("n"))
-    wide = written(size.where(F.col("n") > max_family).select("family"), "wide")
+    size = family.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id").groupBy("family").agg(F.sum("n").alias("n"), F.count("*").alias("members"))
+    wide = written(size.where((F.col("n") > max_family) | (F.col("members") > min(MAX_MEMBERS, max_family))).select("family"), "wide")
     links = family_components(docs, family.join(wide, "family", "left_anti"), threshold).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     if not wide.isEmpty():
         some = family.join(wide, "family", "left_semi")
@@ -445,6 +553,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, max_family: int
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates: the one with the smallest doc_id (null ids last).
+
+    Where ids repeat or are null, rows are told apart by a hash of id and text, so that equal rows are copies of each
+    other and rows without an id are compared like any other.
+    """
+    own, alone = keyed(docs)
+    if alone and own.where("doc_id is null").isEmpty():
+        gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = own.select(F.xxhash64("row", "text").alias("near_row"), "doc_id", "text").dropDuplicates(["near_row"])
+    part = near_duplicates(rows.select(F.col("near_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("near_row"), "component_id")
+    lead = rows.select("near_row", "doc_id").join(part, "near_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "near_row")).alias("r"))
+    kept = lead.select(F.col("r.near_row").alias("near_row"))
+    key = F.xxhash64(row_key(alone), "text")
+    return docs.withColumn("near_row", key).dropDuplicates(["near_row"]).join(kept.hint("merge"), "near_row", "left_semi").select(docs.columns)

@@ -100,11 +100,12 @@ def brute_bytes(rows, span):
     return out
 
 
-@pytest.mark.parametrize("span,gram,hot", [(400, 48, suffixes.HOT), (60, 12, suffixes.HOT), (60, 12, 2)])
-def test_suffix_runs_remove_exactly_what_repeats(spark, span, gram, hot):
+@pytest.mark.parametrize("span,gram,hot,report", [(400, 32, suffixes.HOT, 240), (60, 12, suffixes.HOT, 60), (60, 12, 2, 25), (60, 12, suffixes.HOT, 25)])
+def test_suffix_runs_remove_exactly_what_repeats(spark, span, gram, hot, report):
     rows = corpus(2)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_strings(docs_of(spark, rows), span, gram, hot).collect()}
-    assert got == brute_bytes(rows, span)
+    got = suffixes.remove_strings(docs_of(spark, rows), span, gram, hot, report).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(rows, span)
+    assert {r.doc_id: r.n_repeated for r in got} == {i: x[1] for i, x in brute_bytes(rows, report).items()}
 
 
 def test_loser_tree_merges_and_never_goes_back():
@@ -143,10 +144,10 @@ def brute_near(rows):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
-@pytest.mark.parametrize("max_family,hot", [(neardup.MAX_FAMILY, None), (100, None), (100, 2)])
-def test_near_duplicates_find_all_components(spark, max_family, hot):
+@pytest.mark.parametrize("max_family,hot,small", [(neardup.MAX_FAMILY, None, neardup.SMALL), (100, None, 2), (100, 2, 1)])
+def test_near_duplicates_find_all_components(spark, max_family, hot, small):
     rows = corpus(5, 90)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, rows), max_family=max_family, hot=hot).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, rows), max_family=max_family, hot=hot, small=small).collect()}
     assert got == brute_near(rows)
 
 
@@ -160,6 +161,30 @@ def test_near_duplicates_null_and_equal_ids(spark):
     assert [r.component_id for r in out if r.doc_id == 4] == [4]
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, t), (None, t), (3, t), (3, t), (9, t + " end"), (None, "a text of its own without id"), (None, None), (5, ""), (5, "")]
+    out = neardup.one_of_each(docs_of(spark, rows))
+    assert out.columns == docs_of(spark, []).columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == {(3, t): 1, (None, "a text of its own without id"): 1, (None, None): 1, (5, ""): 1}
+
+
+def test_large_nodes_branch_until_small(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sig = np.tile(rng.integers(0, 1 << 32, 128, dtype=np.uint32), (300, 1))
+    sig[rng.random(sig.shape) < 0.14] = 7  # pairs agree in about three places of four
+    reps = spark.createDataFrame([(i, bytes(x.tobytes())) for i, x in enumerate(sig)], "doc_id long, sig binary")
+    links = neardup.star_links(reps, 8)
+    assert links.where("a >= b").isEmpty()
+    assert neardup.components(links).select("component_id").distinct().count() == 1
+    path = neardup.roots(sig)
+    kids, row = neardup.branches(path.ravel(), sig, np.repeat(np.arange(300), neardup.TREES))
+    assert 1.1 < len(kids) / path.size < 1.6 and len(np.unique(kids)) > len(np.unique(path))
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     assert fmindex.remove_repeats(none).count() == 0

@@ -48,4 +48,4 @@ def test_stages_handle_odd_rows(spark):
         n = out.count()
         assert n <= len(rows) and (n == len(rows) or name in ("quality_rules", "near_duplicates", "decontamination"))
         assert stage(spark, docs.limit(0), SF).count() == 0
-    assert corpus_pipeline.STAGES[1][1](spark, docs, SF).where("doc_id = 4").count() == 2
+    assert corpus_pipeline.STAGES[1][1](spark, docs, SF).where("doc_id = 4").count() == 1
