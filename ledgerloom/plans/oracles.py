@@ -96,7 +96,7 @@ ORACLES: dict[str, str] = {
     "net_income_by_sheet": with_views("t", f", o AS (SELECT *, {ABS} AS v FROM t WHERE status <> 'EXCLUDED' AND {NORM} NOT IN ({q(X.TRANSFER_CATEGORY_KEYS)})) SELECT user_id, account || ' ' || substr(date_posted, 1, 7) AS sheet, currency, {FLOWS} FROM o GROUP BY ALL"),
     "heaviest_source_file": with_views("t", ", g AS (SELECT user_id, source_file, count(*) AS n FROM t WHERE account = 'Wise' AND date_posted BETWEEN '1996-01-01' AND '1997-12-31' GROUP BY ALL) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, source_file) = 1"),
     "first_of_duplicates": with_views("t", "SELECT user_id, source_file, min(id) AS id FROM t GROUP BY user_id, source_file, date_posted, abs(CAST(amount AS DECIMAL(18,2))), substr(description, 1, 40)"),
-    "insert_counts": with_views("t", "SELECT source_file, count(*) + count(*) FILTER (id % 10 = 0) AS total, count(*) FILTER (id % 2 <> 0) AS inserted, count(*) + count(*) FILTER (id % 10 = 0) - count(*) FILTER (id % 2 <> 0) AS duplicates FROM t GROUP BY source_file"),
+    "insert_counts": with_views("t", "SELECT source_file, count(*) + count(*) FILTER (transaction_type = 'CREDIT') AS total, count(*) FILTER (status <> 'MATCHED') AS inserted, count(*) + count(*) FILTER (transaction_type = 'CREDIT') - count(*) FILTER (status <> 'MATCHED') AS duplicates FROM t GROUP BY source_file"),
     "queue_ahead": with_views("j", "SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, position, id) - 1 AS ahead FROM j WHERE status = 'pending'"),
     "job_eta": with_views("j", """, a AS (SELECT user_id, kind, avg(seconds) AS average FROM (SELECT * FROM j WHERE status = 'done' QUALIFY row_number() OVER (PARTITION BY user_id, kind ORDER BY created_at DESC, id DESC) <= 20) GROUP BY ALL),
  p AS (SELECT user_id, kind, count(*) FILTER (status = 'pending') AS pending FROM j GROUP BY ALL)
@@ -112,8 +112,17 @@ ORACLES: dict[str, str] = {
     "document_twins": with_views("r", f""", k AS (SELECT user_id, id, 'h:' || file_hash AS key FROM r UNION SELECT user_id, id, concat('i:', regexp_replace(lower(coalesce(vendor, '')), '[^a-z0-9]', '', 'g'), '|', {GM('total')}, '|', coalesce(currency, ''), '|', document_date) FROM r WHERE vendor IS NOT NULL AND total IS NOT NULL AND document_date IS NOT NULL)
  SELECT DISTINCT a.user_id, a.id, b.id AS twin FROM k a JOIN k b ON a.user_id = b.user_id AND a.key = b.key AND a.id <> b.id"""),
     "link_walk": with_views("tc", """, e AS (SELECT source_transaction_id AS u, target_transaction_id AS v FROM c WHERE status <> 'USER_REJECTED' UNION SELECT target_transaction_id, source_transaction_id FROM c WHERE status <> 'USER_REJECTED'),
- w AS (SELECT id AS seed, id, 0 AS depth, [id] AS seen FROM t WHERE id % 97 = 0 UNION ALL SELECT w.seed, e.v, w.depth + 1, list_append(w.seen, e.v) FROM w JOIN e ON e.u = w.id WHERE w.depth < 19 AND NOT list_contains(w.seen, e.v))
+ w AS (SELECT id AS seed, id, 0 AS depth, [id] AS seen FROM t UNION ALL SELECT w.seed, e.v, w.depth + 1, list_append(w.seen, e.v) FROM w JOIN e ON e.u = w.id WHERE w.depth < 19 AND NOT list_contains(w.seen, e.v))
  SELECT seed, id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY seed, id""", recursive=True),
+    "nearest_proof": with_views("tmc", f""", e AS (SELECT source_transaction_id AS u, target_transaction_id AS v FROM c WHERE status IN {PROOF} UNION SELECT target_transaction_id, source_transaction_id FROM c WHERE status IN {PROOF}),
+ s AS (SELECT transaction_id AS id, max(confidence_score) AS conf FROM m WHERE status IN {PROOF} GROUP BY transaction_id),
+ w AS (SELECT id AS seed, id, 0 AS depth, [id] AS seen FROM s UNION ALL SELECT w.seed, e.v, w.depth + 1, list_append(w.seen, e.v) FROM w JOIN e ON e.u = w.id WHERE w.depth < 20 AND NOT list_contains(w.seen, e.v)),
+ n AS (SELECT w.id, w.depth, w.seed FROM w JOIN s ON s.id = w.seed QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY w.depth, s.conf DESC, w.seed) = 1)
+ SELECT CAST(0 AS BIGINT) AS user_id, id, CAST(depth AS INT) AS depth, seed FROM n WHERE depth > 0""", recursive=True),
+    "transfer_chains": with_views("c", f""", o AS (SELECT id, source_transaction_id AS u, target_transaction_id AS v, confidence_score FROM c WHERE status IN {PROOF}),
+ e AS (SELECT u, v FROM o UNION SELECT v, u FROM o), w AS (SELECT u AS id, u AS r FROM e UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.r), k AS (SELECT id, min(r) AS component FROM w GROUP BY id)
+ SELECT CAST(0 AS BIGINT) AS user_id, o.id AS link_id, substr(sha256('0:' || CAST(component AS VARCHAR)), 1, 32) AS chain_id, component, CAST(row_number() OVER (PARTITION BY component ORDER BY o.id) - 1 AS INT) AS chain_position, avg(confidence_score) OVER (PARTITION BY component) AS total_confidence
+ FROM o JOIN k ON k.id = o.u QUALIFY count(*) OVER (PARTITION BY component) >= 2""", recursive=True),
     "link_components": with_views("c", """, e AS (SELECT source_transaction_id AS u, target_transaction_id AS v FROM c WHERE status <> 'USER_REJECTED' UNION SELECT target_transaction_id, source_transaction_id FROM c WHERE status <> 'USER_REJECTED'),
  w AS (SELECT u AS id, u AS r FROM e UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.r) SELECT CAST(0 AS BIGINT) AS user_id, id, min(r) AS component FROM w GROUP BY id""", recursive=True),
     "derived_status": with_views("tml", f""", e AS (SELECT user_id, source_transaction_id AS id FROM l WHERE status IN {PROOF} UNION SELECT user_id, target_transaction_id FROM l WHERE status IN {PROOF}), g AS (SELECT user_id, transaction_id AS id, bool_or(status IN {PROOF}) AS a, bool_or(status = 'PENDING_REVIEW') AS p FROM m GROUP BY ALL)
