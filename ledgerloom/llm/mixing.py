@@ -14,7 +14,7 @@ places. Without asked weights the target is size ** alpha in whole units of `cyc
 
 Within a source documents are ordered by md5(doc_id) and cut into blocks of `block_chars` characters; a document belongs
 to the block in which it starts. Running sizes come from sums over hash ranges of a source, so a source that holds a
-third of all rows is spread over 65,536 groups. Every row is kept: when a source is exhausted its slots stay empty and
+third of all rows is spread over 4,096 groups. Every row is kept: when a source is exhausted its slots stay empty and
 the others keep their proportions. Null sources form a source of their own, null or empty texts have size 0 (and stand
 at the start of the next document). Equal doc_ids are told apart by size and text hash; full copies of a row tie and
 get the neighbouring places. Other columns are carried along untouched; where one has the name of a column that is
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_c
     own = docs.select(
         *[F.col(c).alias(f"c_{i}") for i, c in enumerate(keep)], source_key().alias("source_key"), n.alias("n_size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"), F.xxhash64("text").alias("tie"),
-    ).withColumn("range_key", F.substring("order_key", 1, 4))
+    ).withColumn("range_key", F.substring("order_key", 1, 3))
     ranges = own.groupBy("source_key", "range_key").agg(F.sum("n_size").alias("range_size"))
     before = Window.partitionBy("source_key").orderBy("range_key").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("source_key", "range_key", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
