@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import Column
@@ -281,3 +282,60 @@ def tax_code(category: Column, kind: Column, place: Column, shows_tax: Column, l
         .when(kind == "income", income)
         .otherwise(expense)
     )
+
+
+# extraction payloads
+
+
+def alternate_amount(raw: Column | str, total: Column | str) -> Column:
+    """The second amount of a payload (`amount`), positive and other than the total's magnitude; null without a total."""
+    text = F.regexp_replace(F.trim(F.get_json_object(payload_json(raw), "$.amount")), "[$, ]", "")
+    value = text.try_cast(MONEY)
+    return F.when((value > 0) & (value != F.abs(money(total))), value)
+
+
+def payload_json(raw: Column | str) -> Column:
+    """A payload as JSON: texts that start like JSON are left alone, others have their single quotes turned."""
+    return F.when(col(raw).rlike(r"^[{\[]\s*('|$)"), F.translate(col(raw), "'", '"')).when(col(raw).rlike(r"^[{\[]"), col(raw)).otherwise(F.translate(col(raw), "'", '"'))
+
+
+def payment_date(raw: Column | str, method: Column | str, document_date: Column | str) -> Column:
+    """Date of payment: the payload's `payment_date`, then `on February 02[, 2024]` or an ISO date in the method's text. A day without a year is of the document's year."""
+    stated = F.try_to_date(F.get_json_object(payload_json(raw), "$.payment_date"), "yyyy-MM-dd")
+    at = r"(?i)(?:on|by|date:?)\s*([a-z]+)\s+(\d{1,2})(?:,?\s*(\d{4}))?"
+    year = F.coalesce(nullif_blank(F.regexp_extract(col(method), at, 3)), F.substring(col(document_date).cast("string"), 1, 4))
+    spelled = F.concat_ws(" ", F.initcap(F.regexp_extract(col(method), at, 1)), F.regexp_extract(col(method), at, 2), year)
+    named = F.coalesce(F.try_to_date(spelled, "MMMM d yyyy"), F.try_to_date(spelled, "MMM d yyyy"))
+    return F.coalesce(stated, named, F.try_to_date(F.regexp_extract(col(method), r"\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd"))
+
+
+def line_items_text(items: Column | str) -> Column:
+    """Up to five line items as `2x name (amount); ...`, 200 characters at most; text that is no list of items is cut alone."""
+    parsed = F.from_json(col(items), "array<map<string,string>>")
+    pick = lambda m, *names: F.coalesce(*[nullif_blank(m[n]) for n in names])
+
+    def piece(m: Column) -> Column:
+        name, amount = F.coalesce(pick(m, "description", "name"), F.lit("")), pick(m, "amount", "total", "price")
+        counted = F.when(pick(m, "quantity").isNotNull() & (name != ""), F.concat(m["quantity"], F.lit("x "), name)).otherwise(name)
+        return F.when(amount.isNull(), counted).when(counted == "", amount).otherwise(F.concat(counted, F.lit(" ("), amount, F.lit(")")))
+
+    pieces = F.filter(F.transform(F.slice(parsed, 1, 5), piece), lambda x: x != "")
+    return F.substring(F.when(F.trim(col(items)).startswith("["), F.array_join(pieces, "; ")).otherwise(F.coalesce(col(items), F.lit(""))), 1, 200)
+
+
+def extraction_verdict(total: Column | str, amount: Column | str, subtotal: Column | str, taxes: list[Column | str]) -> Column:
+    """struct(valid, total, mismatch): valid with a total or an amount that is a figure (zero included); mismatch where subtotal and taxes are off by more than .02."""
+    zero, number = F.lit(0).cast(MONEY), lambda c: F.coalesce(money(c), F.lit(0).cast(MONEY))
+    own, sub = number(total), number(subtotal)
+    stated = F.coalesce(F.trim(col(total)).isin("0", "0.0", "0.00"), F.lit(False)) | F.coalesce(F.trim(col(amount)).isin("0", "0.0", "0.00"), F.lit(False))
+    used = F.when(own != zero, own).otherwise(number(amount))
+    off = F.abs(own - sub - reduce(lambda a, b: a + b, [number(t) for t in taxes], zero)) > F.lit("0.02").cast(MONEY)
+    return F.struct(((used != zero) | stated).alias("valid"), used.cast(MONEY).alias("total"), ((sub != zero) & (own != zero) & off).alias("mismatch"))
+
+
+def previous_period(start: datetime.date, end: datetime.date) -> tuple[datetime.date, datetime.date]:
+    """The month before a calendar month; otherwise as many days, ending the day before."""
+    day = datetime.timedelta(days=1)
+    if start.day == 1 and (start.year, start.month) == (end.year, end.month) and (end + day).month != end.month:
+        return (start - day).replace(day=1), start - day
+    return start - day - (end - start), start - day

@@ -175,3 +175,30 @@ RAIL_PATTERN = r"\bpaypal\b|\bwise\b|\binterac\b"
 PERSONAL_PATTERN = r"\b(grocer|restaurant|cafe|coffee|gym|fitness|pharmacy|clinic|dental|salon|cinema|streaming|apparel|clothing|fast\s*food|meal\s*delivery)\b"
 RELEVANCE_WEIGHTS = {"monetary_amount": 0.25, "transaction_parties": 0.20, "transaction_date": 0.15, "business_relevance": 0.20, "document_structure": 0.10, "completeness": 0.10}
 RELEVANCE_THRESHOLD = 0.40
+
+# Words of a bank line that name no party, and rails, which name the pipe and not the payee
+BANK_NOISE = [
+    "pos", "purchase", "payment", "paymnt", "pmt", "debit", "credit", "card", "visa", "mastercard", "amex", "interac", "etransfer", "transfer", "sent", "recv", "received", "deposit", "withdrawal", "withdraw",
+    "atm", "abm", "cash", "cheque", "check", "chq", "fee", "fees", "service", "charge", "charges", "internet", "online", "banking", "bill", "billpay", "invoice", "monthly", "annual", "recurring",
+    "subscription", "misc", "miscellaneous", "merchandise", "store", "retail", "inc", "ltd", "llc", "corp", "co", "company", "canada", "cad", "usd",
+    "halifax", "montreal", "ottawa", "toronto", "winnipeg", "regina", "calgary", "edmonton", "vancouver",
+    "www", "com", "net", "org", "http", "https", "ref", "reference", "trace", "confirmation", "authorization", "auth", "trsf", "trf", "dep", "wire",
+    "mktp", "pymt", "outgoing", "incoming", "preauth", "preauthorized",
+]
+PAYMENT_RAILS = ["wise", "wisemsp", "transferwise", "paypal", "paypalmsp", "interac", "payoneer", "remitly", "moneygram"]
+
+# Summary lines of statements that are no transactions
+SUMMARY_LINES = [
+    "Opening Balance", "Closing Balance", "Brought Forward", "Carried Forward", "Previous Balance", "Balance Forward", "Total Withdrawals", "Total Deposits", "Total Debits", "Total Credits",
+    "Subtotal", "Statement Period", "Minimum Payment", "Interest Summary", "Daily Balance Summary",
+]
+
+# Labels of transfer links, industries with a benchmark, and the prefix of fee rows
+LINK_LABELS = {
+    "CREDIT_CARD_PAYMENT": "Credit card payment", "INTERNAL_TRANSFER": "Internal bank transfer", "FX_CONVERSION": "Foreign exchange conversion", "WISE_TRANSFER": "Wise account transfer",
+    "REFUND": "Refund/credit", "OTHER": "Cross-statement transfer",
+}
+INDUSTRY_CODES = {"Software & Technology": "5415", "Consulting & Professional Services": "5416", "Food & Hospitality": "7225", "Construction & Trades": "2361"}
+FEE_TYPES = ["FEE", "FEES"]
+FEE_PREFIX = "Wise fee: "
+WISE_LINES = [r"WISE\s*PAYMENTS", "WISEMSP", r"WISE\s*MSP", r"WISE\s*TRANSFER"]

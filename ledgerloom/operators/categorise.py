@@ -118,3 +118,33 @@ def honest_band(average: Column, values: Column) -> Column:
     good = (F.size(v) >= 3) & ordered & average.between(F.array_min(v), F.array_max(v))
     none = F.lit(None).cast("double")
     return F.struct(F.when(good, F.array_min(v)).otherwise(none).alias("q1"), average.alias("median"), F.when(good, F.array_max(v)).otherwise(none).alias("q3"))
+
+
+def inferred_naics(spend: DataFrame) -> DataFrame:
+    """Industry code by what a tenant spends on, where a seeded industry clearly fits. spend: user_id, bucket, amount."""
+    costs = spend.where(~F.col("bucket").isin("operating_revenue", "distribution", "transfer", "non_operating"))
+    of = lambda b: F.sum(F.when(F.col("bucket") == b, F.col("amount").cast("double")).otherwise(0.0))
+    shares = costs.groupBy("user_id").agg(F.sum(F.col("amount").cast("double")).alias("total"), of("cost_of_sales").alias("goods"), of("subcontracts").alias("sub"), of("it_software").alias("it"), of("rent").alias("rent")).where("total > 0")
+    part = lambda c: F.col(c) / F.col("total")
+    code = (
+        F.when((part("goods") > 0.30) & (part("rent") > 0.03), "7225").when((part("goods") > 0.25) & (part("sub") > 0.15), "2361")
+        .when((part("goods") < 0.15) & ((part("it") > 0.04) | (part("sub") > 0.15)), "5415")
+    )
+    return shares.select("user_id", code.alias("inferred")).where("inferred is not null")
+
+
+def resolved_naics(profiles: DataFrame, spend: DataFrame) -> DataFrame:
+    """Industry code and where it is from: the profile's code, its industry label, or the spending. profiles: user_id, naics_code, industry_label."""
+    mapped = F.create_map(*[F.lit(x) for pair in X.INDUSTRY_CODES.items() for x in pair])[F.trim("industry_label")]
+    stored = S.nullif_blank("naics_code")
+    rows = profiles.join(inferred_naics(spend), "user_id", "left")
+    source = F.when(stored.isNotNull(), "profile").when(mapped.isNotNull(), "industry_map").when(F.col("inferred").isNotNull(), "data_inferred")
+    return rows.select("user_id", F.coalesce(stored, mapped, "inferred").alias("naics"), source.alias("naics_source"))
+
+
+def profitability_lines(amounts: DataFrame, revenue: DataFrame, cells: DataFrame, least_share: float = 0.02, least_amount: float = 500.0) -> DataFrame:
+    """Each bucket's share of revenue beside that of the most profitable quarter, largest first; small lines and lines without a figure are left out. cells: user_id, bucket, pct, businesses."""
+    rows = amounts.join(revenue, "user_id").where("revenue > 0").withColumn("your_pct", (F.col("amount") / F.col("revenue")).cast("double"))
+    rows = rows.where((F.col("your_pct") >= least_share) | (F.col("amount") >= least_amount)).join(cells.select("user_id", "bucket", F.col("pct").alias("peer_pct"), "businesses"), ["user_id", "bucket"]).where("peer_pct is not null")
+    w = Window.partitionBy("user_id").orderBy(F.col("your_pct").desc(), "bucket")
+    return rows.withColumn("rank", F.row_number().over(w)).select("user_id", "bucket", "your_pct", "peer_pct", "businesses", "rank")

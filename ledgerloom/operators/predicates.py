@@ -89,3 +89,16 @@ def non_reconcilable(description: str = "description") -> Column:
 
 def rule_category(description: str = "description") -> Column:
     return S.first_match(description, [(ps, c) for c, _, ps in X.CATEGORY_RULES])
+
+
+def summary_line(description: str = "description") -> Column:
+    """Balance and total lines of a statement: the whole text is such a phrase, in any case."""
+    return F.coalesce(F.trim(F.col(description)).rlike("(?i)^(" + "|".join(X.SUMMARY_LINES) + ")$"), F.lit(False))
+
+
+def priority_category(rules: list[tuple[str, str, int]], description: str = "description", vendor: str = "vendor") -> Column:
+    """struct(category, source) of the first (pattern, category, priority) rule, highest priority first, that occurs in the description or the vendor; else Others."""
+    out = F.lit(None).cast("string")
+    for pattern, category, _ in reversed(sorted(rules, key=lambda r: -r[2])):  # among equal priorities the first stated wins
+        out = F.when(S.any_match(description, [pattern]) | S.any_match(vendor, [pattern]), category).otherwise(out)
+    return F.struct(F.coalesce(out, F.lit("Others")).alias("category"), F.when(out.isNull(), "default").otherwise("rule").alias("source"))

@@ -193,3 +193,68 @@ ORACLES |= {
  SELECT CAST(replace(t.date_posted, '-', '') AS INT) AS date, t.account, t.transaction_type, CASE WHEN {INC} THEN 1 ELSE -1 END * abs(CAST(t.amount AS {M})) AS amount, t.currency, t.description, t.category, tax.gifi,
  coalesce(p.file, CASE WHEN ends.id IS NOT NULL THEN 'Linked (see Transfers sheet)' END, '') AS proof FROM t LEFT JOIN tax ON tax.category = t.category LEFT JOIN p ON p.user_id = t.user_id AND p.id = t.id LEFT JOIN ends ON ends.user_id = t.user_id AND ends.id = t.id WHERE t.status <> 'EXCLUDED'"""),
 }
+
+# overview
+_ALT = "CASE WHEN r.id % 10 = 3 THEN CAST(CAST(r.total AS DECIMAL(14,2)) * CAST(1.37 AS DECIMAL(3,2)) AS DECIMAL(14,2)) END"
+_NAIVE_ALT = (
+    NAIVE.replace("THEN r.currency END AS c,", f"THEN r.currency END AS c, {_ALT} AS alt,", 1)
+    .replace(" WHEN coalesce(c, currency) <> currency AND", " WHEN alt <> d AND abs(a - alt) <= 2 THEN 'alt_amount'\n WHEN coalesce(c, currency) <> currency AND", 1)
+    .replace("a BETWEEN d * 0.5 - 30 AND d * 2 + 30", "(a BETWEEN d * 0.5 - 30 AND d * 2 + 30 OR (alt <> d AND a BETWEEN alt * 0.5 - 30 AND alt * 2 + 30))", 1)
+)
+ORACLES["receipt_candidates_alternate"] = with_views("tr", f", {_NAIVE_ALT} SELECT user_id, transaction_id, document_id, match_reason, gap FROM cand WHERE match_reason IS NOT NULL")
+_OWN = "CASE WHEN coalesce(c, currency) = currency THEN CASE WHEN a = d THEN 1.0 WHEN abs(a - d) <= 0.05 THEN 0.9 WHEN abs(a - d) <= 2 THEN 0.8 WHEN abs(a - d) <= 25 THEN 0.65 ELSE 0.0 END WHEN match_reason = 'fx_band' THEN 0.78 ELSE 0.0 END"
+_SECOND = "CASE WHEN alt IS NULL OR alt = d THEN 0.0 WHEN a = alt THEN 0.95 WHEN abs(a - alt) <= 0.05 THEN 0.9 WHEN abs(a - alt) <= 2 THEN 0.8 WHEN abs(a - alt) <= 25 THEN 0.65 ELSE 0.0 END"
+ORACLES["amount_scores_alternate"] = with_views("tr", f""", {_NAIVE_ALT} SELECT user_id, transaction_id, document_id, CAST(CASE WHEN {_OWN} > 0 THEN {_OWN} WHEN {_SECOND} > 0 THEN {_SECOND} WHEN coalesce(c, currency) = currency THEN 0.3 ELSE 0.0 END AS DOUBLE) AS amount_score FROM cand WHERE match_reason IS NOT NULL""")
+# a vendor named by one of its words scores .80; no two names of the views are alike to that degree otherwise
+ORACLES["unambiguous_settled"] = with_views("tr", f""", {NAIVE.replace("g <= 45", "g <= 100000").replace("r.id AS document_id,", "r.id AS document_id, r.vendor,", 1)},
+ lone AS (SELECT user_id, document_id FROM cand WHERE match_reason IS NOT NULL GROUP BY ALL HAVING count(*) = 1)
+ SELECT cand.user_id, transaction_id, cand.document_id FROM cand JOIN lone ON lone.user_id = cand.user_id AND lone.document_id = cand.document_id
+ WHERE match_reason IS NOT NULL AND c = currency AND abs(a - d) <= 0.02 AND gap <= 3 AND len(list_filter(regexp_extract_all(lower(vendor), '[a-z]{{3,}}'), lambda w : contains(lower(description), w))) > 0""")
+_N = lambda s: f"count(*) FILTER (status = '{s}') AS {s.lower()}"
+ORACLES["month_summary"] = with_views("t", f""", g AS (SELECT user_id, substr(date_posted, 1, 7) AS month, count(*) AS n, {_N("MATCHED")}, {_N("LINKED")}, {_N("UNMATCHED")}, {_N("IGNORED")} FROM t WHERE status <> 'EXCLUDED' GROUP BY ALL)
+ SELECT *, CASE WHEN n > ignored THEN (matched + linked) * 100.0::DOUBLE / (n - ignored) ELSE 0.0 END AS documented FROM g""")
+ORACLES["missing_proofs"] = with_views("tmr", f""", a AS (SELECT m.user_id, m.transaction_id AS id, r.id % 3 <> 0 AS there FROM m JOIN r ON r.user_id = m.user_id AND r.id = m.document_id WHERE m.status IN {PROOF}),
+ g AS (SELECT user_id, id, bool_or(there) AS proved FROM a GROUP BY ALL)
+ SELECT t.user_id, t.id, t.date_posted, CASE WHEN g.id IS NULL THEN 'no approved match on record' ELSE 'file is gone' END AS why FROM t LEFT JOIN g ON g.user_id = t.user_id AND g.id = t.id WHERE t.status = 'MATCHED' AND NOT coalesce(g.proved, false)""")
+ORACLES["source_files_by_prefix"] = with_views("t", "SELECT DISTINCT user_id, source_file FROM t WHERE source_file LIKE 'stmt#_%' ESCAPE '#'")
+ORACLES["action_items"] = with_views("tm", f""", a AS (SELECT user_id, 'pending_reviews' AS item FROM m WHERE status = 'PENDING_REVIEW' UNION ALL SELECT user_id, 'missing_receipts' FROM t WHERE status = 'UNMATCHED'
+ UNION ALL SELECT user_id, 'wise_detected' FROM t WHERE status = 'UNMATCHED' AND regexp_matches(description, '(?i){"|".join(X.WISE_LINES)}')) SELECT user_id, item, count(*) AS n FROM a GROUP BY ALL""")
+ORACLES["setup_completeness"] = with_views("trj", """, u AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey < 4 UNION SELECT user_id FROM t UNION SELECT user_id FROM r UNION SELECT user_id FROM j WHERE kind = 'statement' AND status = 'failed'),
+ f AS (SELECT user_id, user_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 4 AND trim(c_name) <> '') AS profile, user_id IN (SELECT user_id FROM t) AS bank_statement, user_id IN (SELECT user_id FROM r) AS receipt,
+ user_id IN (SELECT user_id FROM t WHERE status = 'MATCHED') AS reconciliation, user_id IN (SELECT user_id FROM j WHERE kind = 'statement' AND status = 'failed') AS export FROM u)
+ SELECT *, CAST(profile AS INT) + CAST(bank_statement AS INT) + CAST(receipt AS INT) + CAST(reconciliation AS INT) + CAST(export AS INT) AS done,
+ CAST((CAST(profile AS INT) + CAST(bank_statement AS INT) + CAST(receipt AS INT) + CAST(reconciliation AS INT) + CAST(export AS INT)) * 20 AS INT) AS percent FROM f""")
+_SETTLED = "(?i)" + "|".join(f"(?:{p})" for _, settled, ps in X.CATEGORY_RULES if settled for p in ps)
+ORACLES["run_result"] = with_views("tm", f""", a AS (SELECT user_id, count(*) AS proposed, count(*) FILTER (status = 'AUTO_APPROVED') AS matched, count(*) FILTER (status = 'USER_APPROVED') AS refreshed, count(*) FILTER (status = 'PENDING_REVIEW') AS flagged, count(*) FILTER (status = 'USER_REJECTED') AS displaced FROM m GROUP BY ALL),
+ b AS (SELECT user_id, count(*) FILTER (status = 'UNMATCHED' AND NOT regexp_matches(description, '{_SETTLED}')) AS reconcilable, count(*) FILTER (status IN ('MATCHED', 'LINKED')) AS x, count(*) FILTER (status IN ('MATCHED', 'LINKED', 'UNMATCHED')) AS y FROM t GROUP BY ALL)
+ SELECT b.user_id, CASE WHEN coalesce(matched, 0) > 0 AND matched >= reconcilable THEN 'success' WHEN coalesce(matched, 0) > 0 THEN 'partial' WHEN reconcilable = 0 THEN 'nothing_to_reconcile' ELSE 'no_matches' END AS run_status,
+ coalesce(matched, 0) AS matched, coalesce(refreshed, 0) AS refreshed, coalesce(flagged, 0) AS flagged, coalesce(displaced, 0) AS displaced, coalesce(proposed, 0) AS proposed, reconcilable,
+ CASE WHEN y > 0 THEN round_even(x * 100.0::DOUBLE / y, 1) ELSE 0.0 END AS rate, reconcilable - coalesce(matched, 0) AS remaining FROM b LEFT JOIN a ON a.user_id = b.user_id""")
+ORACLES["cost_summary"] = """WITH e AS (SELECT user_id % 4 AS user_id, event_type AS endpoint, CASE WHEN event_id % 3 = 0 THEN 'small' ELSE 'large' END AS model, CAST(value AS DECIMAL(18,6)) AS cost, event_id % 1000 AS i, event_id % 77 AS o FROM events WHERE ts >= TIMESTAMP '1990-01-01' AND ts < TIMESTAMP '2100-01-01')
+ SELECT user_id, endpoint, model, CAST(grouping(endpoint) AS INT) AS is_total, CAST(coalesce(sum(cost), 0) AS DECIMAL(28,6)) AS cost, count(*) AS calls, CAST(coalesce(sum(i), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(o), 0) AS BIGINT) AS tokens_out FROM e GROUP BY GROUPING SETS ((user_id), (user_id, endpoint, model))"""
+ORACLES["job_list"] = with_views("j", """, f AS (SELECT *, CASE WHEN status <> 'pending' THEN epoch(date_trunc('second', created_at)) + floor(seconds) ELSE epoch(created_at) END AS ended FROM j)
+ SELECT user_id, CAST(row_number() OVER w AS INT) AS place, id, status FROM f
+ WINDOW w AS (PARTITION BY user_id ORDER BY CASE WHEN status = 'pending' THEN 0 ELSE 1 END, CASE WHEN status = 'pending' THEN position END ASC NULLS FIRST, ended DESC, position DESC) QUALIFY row_number() OVER w <= 100""")
+ORACLES["first_and_latest_by_hash"] = with_views("r", "SELECT user_id, file_hash, min(id) AS first_id, max_by(original_filename, id) AS latest_name, count(*) AS n FROM r WHERE file_hash <> '' GROUP BY ALL")
+ORACLES["matched_file"] = with_views("mr", "SELECT m.user_id, m.transaction_id, min_by(r.original_filename, m.id) AS file FROM m JOIN r ON r.user_id = m.user_id AND r.id = m.document_id WHERE m.status <> 'USER_REJECTED' GROUP BY ALL")
+ORACLES["linked_or_found_ids"] = with_views("lc", "SELECT user_id, source_transaction_id AS id FROM l WHERE status <> 'USER_REJECTED' UNION SELECT user_id, target_transaction_id FROM l WHERE status <> 'USER_REJECTED' UNION SELECT user_id, source_transaction_id FROM c UNION SELECT user_id, target_transaction_id FROM c")
+ORACLES["deleted_partners"] = with_views("tl", """, x AS (SELECT user_id, id FROM t WHERE status = 'EXCLUDED') SELECT l.user_id, l.target_transaction_id AS id FROM l JOIN x ON x.user_id = l.user_id AND x.id = l.source_transaction_id
+ UNION SELECT l.user_id, l.source_transaction_id FROM l JOIN x ON x.user_id = l.user_id AND x.id = l.target_transaction_id EXCEPT SELECT user_id, id FROM x""")
+_LABEL = "CASE l.link_type " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in X.LINK_LABELS.items()) + " ELSE l.link_type END"
+_SIDE = lambda a: f"{a}.account || ' $' || CAST(abs(CAST({a}.amount AS {M})) AS VARCHAR) || ' ' || {a}.currency"
+_APART = "abs(date_diff('day', CAST(a.date_posted AS DATE), CAST(b.date_posted AS DATE)))"
+ORACLES["link_explanations"] = with_views("tl", f"""SELECT l.user_id, l.id, {_LABEL} || ': ' || {_SIDE("a")} || ' -> ' || {_SIDE("b")} || CASE WHEN {_APART} > 0 THEN ' (' || CAST({_APART} AS VARCHAR) || 'd apart)' ELSE '' END AS explanation
+ FROM l JOIN t a ON a.user_id = l.user_id AND a.id = l.source_transaction_id JOIN t b ON b.user_id = l.user_id AND b.id = l.target_transaction_id""")
+ORACLES["statement_rows_kept"] = with_views("t", f"SELECT user_id, id FROM t WHERE NOT regexp_full_match(trim(description), '(?i)({"|".join(X.SUMMARY_LINES)})')")
+ORACLES["vendor_rule_category"] = with_views("t", """SELECT user_id, id, CASE WHEN regexp_matches(description, '(?i)amzn|amazon') THEN 'Office supplies' WHEN regexp_matches(description, '(?i)telecom') THEN 'Utilities and telephone/telecommunication' WHEN regexp_matches(description, '(?i)software') THEN 'Software and IT' ELSE 'Others' END AS rule_category,
+ CASE WHEN regexp_matches(description, '(?i)amzn|amazon|telecom|software') THEN 'rule' ELSE 'default' END AS rule_source FROM t""")
+_SPEND = ORACLES["bucket_rollup"]
+ORACLES["naics_resolution"] = with_views("t", f""", spend AS (SELECT user_id AS u, bucket, CAST(amount AS DOUBLE) AS amount FROM ({_SPEND}) WHERE bucket NOT IN ('operating_revenue', 'distribution', 'transfer', 'non_operating')),
+ s AS (SELECT u, coalesce(sum(amount) FILTER (bucket = 'cost_of_sales'), 0) / sum(amount) AS goods, coalesce(sum(amount) FILTER (bucket = 'subcontracts'), 0) / sum(amount) AS sub, coalesce(sum(amount) FILTER (bucket = 'it_software'), 0) / sum(amount) AS it, coalesce(sum(amount) FILTER (bucket = 'rent'), 0) / sum(amount) AS rent FROM spend GROUP BY u HAVING sum(amount) > 0),
+ i AS (SELECT u, CASE WHEN goods > 0.30 AND rent > 0.03 THEN '7225' WHEN goods > 0.25 AND sub > 0.15 THEN '2361' WHEN goods < 0.15 AND (it > 0.04 OR sub > 0.15) THEN '5415' END AS code FROM s)
+ SELECT p.user_id, CASE p.user_id WHEN 1 THEN '2382' WHEN 2 THEN '7225' ELSE i.code END AS naics, CASE WHEN p.user_id = 1 THEN 'profile' WHEN p.user_id = 2 THEN 'industry_map' WHEN i.code IS NOT NULL THEN 'data_inferred' END AS naics_source
+ FROM (SELECT DISTINCT user_id FROM t) p LEFT JOIN i ON i.u = p.user_id""")
+ORACLES["profitability_lines"] = with_views("tl", f""", {OWN}, {FXT}, amounts AS ({_SPEND}), revenue AS (SELECT o.user_id, CAST(sum(CAST(v * rate AS DECIMAL(24,6))) AS {M}) AS revenue FROM o JOIN fx ON fx.currency = o.currency WHERE {INC} GROUP BY o.user_id),
+ best(bucket, pct) AS (VALUES ('travel', 0.04::DOUBLE), ('rent', 0.07::DOUBLE))
+ SELECT a.user_id, a.bucket, round(CAST(amount AS DOUBLE) / CAST(revenue AS DOUBLE), 9) AS your_pct, pct AS peer_pct, CAST(row_number() OVER (PARTITION BY a.user_id ORDER BY CAST(amount AS DOUBLE) / CAST(revenue AS DOUBLE) DESC, a.bucket) AS INT) AS rank
+ FROM amounts a JOIN revenue r ON r.user_id = a.user_id JOIN best ON best.bucket = a.bucket WHERE revenue > 0 AND (amount >= revenue * 0.02 OR amount >= 500)""")

@@ -11,6 +11,7 @@ from ..operators import categorise as C
 from ..operators import linkage as L
 from ..operators import linked as G
 from ..operators import lookup as U
+from ..operators import overview as O
 from ..operators import predicates as P
 from ..operators import reporting as R
 from ..operators import sequences as Q
@@ -297,7 +298,7 @@ def receipt_assignment(v):
 
 @query
 def receipt_first_round(v):
-    out = L.assign(L.scored(L.candidates(v.transactions, v.receipts)).withColumn("vendor_score", F.lit(0.5)).withColumn("confidence", L.confidence(F.col("amount_score"), F.col("date_score"), F.lit(0.5))), rounds=1)
+    out = L.assign(L.scored(L.candidates(v.transactions, v.receipts)).withColumn("vendor_score", F.lit(0.5)).withColumn("contradicted", F.lit(False)).withColumn("confidence", L.confidence(F.col("amount_score"), F.col("date_score"), F.lit(0.5))), rounds=1)
     return out.select("user_id", "transaction_id", "document_id")
 
 
@@ -429,4 +430,125 @@ def peer_comparison(v):
     return C.peer_lines(amounts, revenue, C.pick_cell(wanted, cube)).select("user_id", "bucket", F.round("ratio", 9).alias("ratio"), "status", "weight", "rank")
 
 
+def _priced(v):
+    """Receipts of which a tenth prints a second amount, in the payload."""
+    second = (S.money("total").cast("decimal(14,2)") * F.lit("1.37").cast("decimal(3,2)")).cast("decimal(14,2)")
+    return v.receipts.withColumn("raw_json", F.when(F.col("id") % 10 == 3, F.concat(F.lit('{"amount": "'), second.cast("string"), F.lit('"}'))))
+
+
+@query
+def receipt_candidates_alternate(v):
+    return L.candidates(v.transactions, _priced(v)).select("user_id", "transaction_id", "document_id", "match_reason", "gap")
+
+
+@query
+def amount_scores_alternate(v):
+    return L.scored(L.candidates(v.transactions, _priced(v))).select("user_id", "transaction_id", "document_id", "amount_score")
+
+
+@query
+def unambiguous_settled(v):
+    pairs = L.scored(L.candidates(v.transactions, v.receipts))
+    return L.unambiguous(v.transactions, v.receipts, pairs).select("user_id", "transaction_id", "document_id")
+
+
+@query
+def month_summary(v):
+    return O.month_summary(v.transactions)
+
+
+@query
+def missing_proofs(v):
+    return O.missing_proofs(v.transactions, v.matches, v.receipts, v.receipts.where("id % 3 <> 0"))
+
+
+@query
+def source_files_by_prefix(v):
+    return O.source_files(v.transactions, "stmt_")
+
+
+@query
+def action_items(v):
+    return O.action_items(v.transactions, v.matches)
+
+
+@query
+def setup_completeness(v):
+    profiles = v.table("customer").where("c_custkey < 4").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_name").alias("company_name"))
+    return O.setup_completeness(profiles, v.transactions, v.receipts, v.jobs.where("kind = 'statement' and status = 'failed'"))
+
+
+@query
+def run_result(v):
+    outcome = F.when(F.col("status") == "AUTO_APPROVED", "stored").when(F.col("status") == "USER_APPROVED", "refreshed").when(F.col("status") == "PENDING_REVIEW", "flagged").otherwise("displaced")
+    return O.run_result(v.matches.select("user_id", outcome.alias("outcome")), v.transactions)
+
+
+@query
+def cost_summary(v):
+    """Events as calls: the type is the endpoint, the value the cost."""
+    calls = v.table("events").select((F.col("user_id") % 4).alias("user_id"), F.col("event_type").alias("endpoint"), F.when(F.col("event_id") % 3 == 0, "small").otherwise("large").alias("model"), F.col("value").alias("estimated_cost"), (F.col("event_id") % 1000).alias("tokens_in"), (F.col("event_id") % 77).alias("tokens_out"), F.col("ts").alias("created_at"))
+    return O.cost_summary(calls, "1990-01-01", "2100-01-01")
+
+
+@query
+def job_list(v):
+    return O.job_list(_finished(v))
+
+
+@query
+def first_and_latest_by_hash(v):
+    return O.by_hash(v.receipts, F.col("id"))
+
+
+@query
+def matched_file(v):
+    return O.matched_file(v.matches, v.receipts)
+
+
+@query
+def linked_or_found_ids(v):
+    return O.linked_or_found(v.links, v.chain_links)
+
+
+@query
+def deleted_partners(v):
+    return O.partners(v.links, v.transactions.where("status = 'EXCLUDED'"))
+
+
+@query
+def link_explanations(v):
+    return O.link_explanations(v.links, v.transactions)
+
+
+@query
+def statement_rows_kept(v):
+    return v.transactions.where(~P.summary_line()).select("user_id", "id")
+
+
+@query
+def vendor_rule_category(v):
+    rules = [("telecom", "Utilities and telephone/telecommunication", 5), ("amzn|amazon", "Office supplies", 9), ("software", "Software and IT", 1)]
+    out = P.priority_category(rules, "description", "account")
+    return v.transactions.select("user_id", "id", out.getField("category").alias("rule_category"), out.getField("source").alias("rule_source"))
+
+
+@query
+def naics_resolution(v):
+    spend = R.bucket_rollup(v.transactions, v.links, P.taxonomy(v.spark), _rates(v))
+    profiles = v.transactions.select("user_id").distinct().select("user_id", F.when(F.col("user_id") == 1, "2382").alias("naics_code"), F.when(F.col("user_id") == 2, "Food & Hospitality").alias("industry_label"))
+    return C.resolved_naics(profiles, spend)
+
+
+@query
+def profitability_lines(v):
+    amounts = R.bucket_rollup(v.transactions, v.links, P.taxonomy(v.spark), _rates(v))
+    income = R._money_rows(v.transactions, v.links).where("transaction_type = 'CREDIT'").join(F.broadcast(_rates(v)), "currency")
+    revenue = income.groupBy("user_id").agg(F.sum((F.col("value") * F.col("rate")).cast("decimal(24,6)")).cast(S.MONEY).alias("revenue"))
+    best = v.spark.createDataFrame([("travel", 0.04, 100), ("rent", 0.07, 100), ("insurance", None, 100)], "bucket string, pct double, businesses int")
+    cells = revenue.select("user_id").crossJoin(F.broadcast(best))
+    out = C.profitability_lines(amounts, revenue, cells)
+    return out.select("user_id", "bucket", F.round("your_pct", 9).alias("your_pct"), "peer_pct", "rank")
+
+
 __all__ = ["QUERIES", "SparkSession", "Window", "X"]

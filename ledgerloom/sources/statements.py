@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import tables as X
 
 CURRENCIES = ["CAD", "USD", "CNY", "EUR", "GBP"]
 WALLET_SKIP = ["General Currency Conversion", "Bank Deposit to PP Account", "User Initiated Withdrawal", "Account Hold for Open Authorization", "Reversal of General Account Hold", "Payment Hold"]
@@ -175,3 +176,48 @@ def api_rows(details: DataFrame) -> DataFrame:
         F.lit("PayPal").alias("account"), F.when(amount < 0, "DEBIT").otherwise("CREDIT").alias("transaction_type"), F.substring("at", 1, 10).alias("date_posted"), amount.cast("string").alias("amount"), "currency", who.alias("description"),
         S.stable_hash(F.concat_ws(":", "id", code)).alias("source_row"),
     )
+
+
+def generic_text(texts: DataFrame, year: int) -> DataFrame:
+    """Lines `date text amount` of any statement, in the first of three date layouts that at least two lines of the file have; a date without a year is of `year`. texts: file, text."""
+    amount = r"\s+(.+?)\s+(-?\$?[\d,]+\.\d{2})\s*$"
+    layouts = [r"(\d{4}[-/]\d{2}[-/]\d{2})", r"([A-Z][a-z]{2}\s+\d{1,2},?\s+\d{4})", r"(\d{1,2}/\d{1,2}(?:/\d{2,4})?)"]
+    rows = texts.select("file", F.posexplode(F.split("text", "\r?\n")).alias("row", "line"))
+    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(d + amount), F.lit(k)) for k, d in enumerate(layouts)]))
+    found = rows.select("file", "row", "line", F.explode(hits).alias("layout"))
+    used = found.groupBy("file", "layout").agg(F.count("*").alias("n")).where("n >= 2").groupBy("file").agg(F.min("layout").alias("layout"))
+    rows = found.join(used, ["file", "layout"])
+    part = lambda k: F.element_at(F.array(*[F.regexp_extract("line", d + amount, k) for d in layouts]), F.col("layout") + 1)
+    date = F.regexp_replace(F.trim(part(1)), r"\s+", " ")
+    dated = F.when(date.rlike(r"^\d{1,2}/\d{1,2}$"), F.concat(date, F.lit(f"/{year}"))).otherwise(date)
+    value = S.clean_amount(part(3))
+    at = S.first_date(dated, ["yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "M/d/yy", "MMM d, yyyy", "MMM d yyyy"])
+    return _shape(rows, F.coalesce(account_of(F.col("file")), F.lit("CAD")), F.when(value < 0, "DEBIT").otherwise("CREDIT"), at, value, F.lit("CAD"), part(2))
+
+
+def first_reading(*readings: DataFrame) -> DataFrame:
+    """The ladder of readers: a file's rows come from the first reading that has any."""
+    out = readings[0]
+    for later in readings[1:]:
+        out = out.unionByName(later.join(out.select("source_file").distinct(), "source_file", "left_anti"))
+    return out
+
+
+def fee_labelled(kind: Column, description: Column) -> Column:
+    """Fee rows of the transfer service read as fees: a prefix goes before texts that the bank-charge rule doesn't know."""
+    known = S.any_match(description, [p for name, _, ps in X.CATEGORY_RULES if name == "Interest and bank charges" for p in ps])
+    fee = F.upper(F.trim(F.coalesce(kind, F.lit("")))).isin(X.FEE_TYPES) & (description != "")
+    return F.when(fee & ~known, F.concat(F.lit(X.FEE_PREFIX), description)).otherwise(description)
+
+
+def transfer_service(payload: DataFrame, currency: str = "USD") -> DataFrame:
+    """Rows of the transfer service's statement JSON (column json): type from the sign, description or reference as text, the key a hash of the reference or the row's number."""
+    row = "struct<type:string,date:string,referenceNumber:string,amount:struct<value:decimal(18,2),currency:string>,details:struct<type:string,description:string>>"
+    items = payload.select(F.posexplode(F.from_json("json", f"struct<transactions:array<{row}>>").getField("transactions")).alias("n", "t"))
+    ref, value = S.nullif_blank("t.referenceNumber"), F.coalesce("t.amount.value", F.lit(0).cast(S.MONEY))
+    text = F.coalesce(S.nullif_blank("t.details.description"), ref, F.concat(F.lit("Wise transaction "), F.coalesce("t.type", F.lit(""))))
+    return items.select(
+        F.lit("Wise").alias("account"), F.when(value >= 0, "CREDIT").otherwise("DEBIT").alias("transaction_type"), F.substring("t.date", 1, 10).alias("date_posted"), value.cast("string").alias("amount"),
+        F.coalesce("t.amount.currency", F.lit(currency)).alias("currency"), fee_labelled(F.col("t.details.type"), text).alias("description"), F.lit("wise_api").alias("source_file"),
+        F.when(ref.isNotNull(), S.stable_hash(ref)).otherwise(F.col("n") + 1).cast("long").alias("source_row"),
+    )
