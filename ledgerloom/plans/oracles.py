@@ -258,3 +258,47 @@ ORACLES["profitability_lines"] = with_views("tl", f""", {OWN}, {FXT}, amounts AS
  best(bucket, pct) AS (VALUES ('travel', 0.04::DOUBLE), ('rent', 0.07::DOUBLE))
  SELECT a.user_id, a.bucket, round(CAST(amount AS DOUBLE) / CAST(revenue AS DOUBLE), 9) AS your_pct, pct AS peer_pct, CAST(row_number() OVER (PARTITION BY a.user_id ORDER BY CAST(amount AS DOUBLE) / CAST(revenue AS DOUBLE) DESC, a.bucket) AS INT) AS rank
  FROM amounts a JOIN revenue r ON r.user_id = a.user_id JOIN best ON best.bucket = a.bucket WHERE revenue > 0 AND (amount >= revenue * 0.02 OR amount >= 500)""")
+
+# tax codes, peers and transfers
+_PLACES = [*X.FOREIGN_COUNTRIES, "CAN"]
+ORACLES["tax_codes"] = with_views("tmr", f""", {TAXO}, x AS (SELECT m.user_id, m.transaction_id AS id, sum({GM("coalesce(r.tax_gst, '')")}) + sum({GM("coalesce(r.tax_hst, '')")}) > 0 AS shows FROM m JOIN r ON r.user_id = m.user_id AND r.id = m.document_id WHERE m.status IN {PROOF} GROUP BY ALL),
+ k AS (SELECT t.user_id, t.id, t.category, tax.kind, coalesce(x.shows, false) AS shows, x.id IS NOT NULL AS linked, list_filter(list_transform(regexp_extract_all(t.description, '[A-Za-z0-9$.]+'), lambda w: upper(regexp_replace(w, '^[.$]+|[.$]+$', '', 'g'))), lambda w: w <> '') AS w
+  FROM t LEFT JOIN tax ON tax.category = t.category LEFT JOIN x ON x.user_id = t.user_id AND x.id = t.id),
+ p AS (SELECT *, list_filter(w, lambda v: list_contains([{q(_PLACES)}], v))[1] AS country, w[-1] AS z FROM k),
+ f AS (SELECT *, CASE WHEN len(w) = 0 OR country = 'CAN' THEN false WHEN country IS NOT NULL OR list_has_any(w, [{q(X.FOREIGN_REGIONS)}]) THEN true
+  ELSE coalesce(CASE WHEN length(z) = 2 THEN z WHEN length(z) >= 5 AND regexp_full_match(z, '[A-Z]+') THEN right(z, 2) END IN ({q(x for x in X.US_STATES if x not in X.PROVINCES)}), false) END AS abroad FROM p),
+ g AS (SELECT *, CASE WHEN kind IS NULL THEN CASE WHEN category IS NULL AND abroad THEN ['', 'uncategorized, non-resident'] ELSE ['', 'uncategorized'] END
+  WHEN category = 'Owner''s draw' THEN ['BAS Excluded', 'owner distribution'] WHEN kind = 'transfer' THEN ['BAS Excluded', 'own accounts'] WHEN kind = 'tax' THEN ['BAS Excluded', 'remittance'] WHEN kind = 'equity' THEN ['BAS Excluded', 'owner distribution']
+  WHEN kind = 'contra' THEN ['', 'refund follows the original supply']
+  WHEN kind = 'income' THEN CASE WHEN shows THEN ['GST on Income', 'tax collected on the linked document'] WHEN abroad THEN ['Zero-rated / No GST', 'non-resident payer'] WHEN linked THEN ['', 'linked document shows no tax'] ELSE ['', 'no sales document linked'] END
+  WHEN shows THEN ['GST on Expenses', 'tax on the linked document'] WHEN abroad THEN ['Zero-rated / No GST', 'non-resident supplier'] WHEN linked THEN ['', 'linked document shows no tax'] ELSE ['', 'no document linked'] END AS o FROM f)
+ SELECT user_id, id, o[1] AS tax_code, o[2] AS tax_basis FROM g""")
+ORACLES["peer_comparison"] = with_views("tl", f""", {OWN}, {FXT}, amounts AS ({_SPEND}), revenue AS (SELECT o.user_id, CAST(sum(CAST(v * rate AS DECIMAL(24,6))) AS {M}) AS revenue FROM o JOIN fx ON fx.currency = o.currency WHERE {INC} GROUP BY o.user_id),
+ cell(bucket, q1, mid, q3) AS (VALUES ('travel', 0.01::DOUBLE, 0.05::DOUBLE, 0.10::DOUBLE), ('rent', 0.02::DOUBLE, 0.06::DOUBLE, 0.12::DOUBLE), ('insurance', 0.20::DOUBLE, 0.30::DOUBLE, 0.40::DOUBLE), ('office_supplies', 0.01::DOUBLE, 0.01::DOUBLE, 0.01::DOUBLE)),
+ x AS (SELECT a.user_id, a.bucket, scrutiny, q1, mid, q3, CAST(amount AS DOUBLE) / CAST(revenue AS DOUBLE) AS s FROM amounts a JOIN revenue r ON r.user_id = a.user_id LEFT JOIN cell ON cell.bucket = a.bucket WHERE revenue > 0),
+ y AS (SELECT *, CASE WHEN q1 <= mid AND mid <= q3 AND q3 > q1 THEN CASE WHEN s > q3 + 1.5::DOUBLE * (q3 - q1) THEN 'far_above' WHEN s > q3 THEN 'above' WHEN s < q1 - 1.5::DOUBLE * (q3 - q1) THEN 'far_below' WHEN s < q1 THEN 'below' ELSE 'within' END
+  WHEN mid IS NOT NULL THEN CASE WHEN s > mid * 1.15::DOUBLE THEN 'above' WHEN s < mid * 0.85::DOUBLE THEN 'below' ELSE 'within' END ELSE 'no_data' END AS status FROM x),
+ z AS (SELECT *, CASE WHEN status LIKE 'far%' THEN 2.0::DOUBLE WHEN status IN ('above', 'below') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * scrutiny AS weight FROM y)
+ SELECT user_id, bucket, round(s, 9) AS ratio, status, weight, CAST(row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, bucket) AS INT) AS rank FROM z""")
+_WORDS = "list_filter([" + ", ".join(f"CASE WHEN account IN ({q(accounts)}) AND regexp_matches(description, '(?i){p}') THEN {{'kind': '{kind}', 'side': '{side}', 'n': {n}}} END" for p, kind, side, accounts, n in X.TRANSFER_KEYWORDS) + "], lambda e: e IS NOT NULL)"
+_RATE = lambda p: f"CASE WHEN TRY_CAST(regexp_extract(description, '{p}', 1) AS DOUBLE) > 0.5 AND TRY_CAST(regexp_extract(description, '{p}', 1) AS DOUBLE) < 3.0 THEN TRY_CAST(regexp_extract(description, '{p}', 1) AS DOUBLE) END"
+_TIERS = lambda k: "CASE " + " ".join(f"WHEN gap <= {d} THEN {v}::DOUBLE" for d, v in X.DATE_TIERS[k]) + " ELSE 0.0::DOUBLE END"
+_PAIRS = {k: sorted({"|".join(sorted(p)) for p in ps}) for k, ps in X.VALID_ACCOUNT_PAIRS.items()}
+_BEST = lambda xs: f"list_filter({xs}, lambda e: e['n'] = list_max(list_transform({xs}, lambda h: h['n'])))[1]['kind']"
+ORACLES["transfer_pairs_scored"] = with_views("t", f""", w AS (SELECT user_id, id, account, currency, transaction_type AS ty, CAST(date_posted AS DATE) AS day, {ABS} AS v, coalesce({_RATE("AT([0-9]+[.][0-9]{2,6})")}, {_RATE("@([0-9]+[.][0-9]{2,10})")}) AS rate, {_WORDS} AS ws,
+  {NORM} IN ({q(X.TRANSFER_CATEGORY_KEYS)}) OR coalesce(category IN ({q(KINDS)}), false) AS says FROM t),
+ s AS (SELECT * FROM w WHERE says OR len(ws) > 0),
+ p AS (SELECT a.user_id, a.id AS a_id, b.id AS b_id, a.ty AS a_ty, a.v AS x, b.v AS y, a.currency AS cx, b.currency AS cy, coalesce(a.rate, b.rate) AS rate, date_diff('day', a.day, b.day) AS gap, least(a.account, b.account) || '|' || greatest(a.account, b.account) AS accounts, a.ws AS aw, b.ws AS bw
+  FROM s a JOIN s b ON a.user_id = b.user_id AND a.account <> b.account AND a.ty <> b.ty AND (a.day < b.day OR (a.day = b.day AND a.id < b.id)) AND b.day <= a.day + {max(X.DATE_WINDOWS.values())}),
+ e AS (SELECT *, CASE WHEN y > 0 THEN abs(CASE WHEN cx = 'CAD' AND cy = 'USD' THEN CAST(x AS DOUBLE) / rate WHEN cx = 'USD' AND cy = 'CAD' THEN CAST(x AS DOUBLE) * rate END - CAST(y AS DOUBLE)) / CAST(y AS DOUBLE) END AS pct FROM p),
+ m1 AS (SELECT *, CAST(CASE WHEN cx = cy THEN CASE WHEN x = y THEN 1.0 WHEN abs(x - y) <= 0.01 THEN 0.98 WHEN abs(x - y) <= 0.50 THEN 0.85 WHEN abs(x - y) <= 2 THEN 0.60 ELSE 0.0 END WHEN pct <= 0.005::DOUBLE THEN 0.95 WHEN pct <= 0.02::DOUBLE THEN 0.80
+  WHEN ((cx = 'CAD' AND cy = 'USD') OR (cx = 'USD' AND cy = 'CAD')) AND greatest(x, y) >= least(x, y) * {X.FX_MIN} AND greatest(x, y) <= least(x, y) * {X.FX_MAX} AND least(x, y) > 0 THEN 0.78 ELSE 0.0 END AS DOUBLE) AS am FROM e),
+ m2 AS (SELECT *, flatten(list_transform(aw, lambda g: list_transform(list_filter(bw, lambda h: h['kind'] = g['kind'] AND h['side'] <> g['side']), lambda h: {{'n': g['n'] + h['n'], 'kind': g['kind']}}))) AS both_sides, list_concat(aw, bw) AS one_side FROM m1 WHERE am > 0),
+ m3 AS (SELECT *, CASE WHEN len(both_sides) > 0 THEN {_BEST("both_sides")} WHEN len(one_side) > 0 THEN {_BEST("one_side")} ELSE 'OTHER' END AS link_type, CAST(CASE WHEN len(both_sides) > 0 THEN 1.0 WHEN len(one_side) > 0 THEN 0.60 ELSE 0.15 END AS DOUBLE) AS kw FROM m2),
+ m4 AS (SELECT *, CASE {" ".join(f"WHEN link_type = '{k}' THEN {_TIERS(k)}" for k in X.DATE_TIERS)} ELSE {_TIERS("INTERNAL_TRANSFER")} END AS da,
+  CAST(CASE WHEN {" OR ".join(f"(link_type = '{k}' AND accounts IN ({q(ps)}))" for k, ps in _PAIRS.items() if ps)} THEN 1.0 WHEN accounts IN ({q(sorted({p for ps in _PAIRS.values() for p in ps}))}) THEN 0.50 ELSE 0.0 END AS DOUBLE) AS ac FROM m3),
+ m5 AS (SELECT *, 0.45::DOUBLE * am + 0.25::DOUBLE * da + 0.20::DOUBLE * kw + 0.10::DOUBLE * ac AS base FROM m4),
+ m6 AS (SELECT *, CASE WHEN link_type IN ({q(X.CERTAIN_LINK_TYPES)}) AND am = 1 AND kw = 1 AND ac = 1 THEN greatest(base, 0.92::DOUBLE) WHEN cx = cy AND am < 1 THEN least(base, 0.85::DOUBLE) ELSE base END AS score FROM m5
+  WHERE base >= 0.55::DOUBLE AND gap <= CASE link_type {" ".join(f"WHEN '{k}' THEN {d}" for k, d in X.DATE_WINDOWS.items())} END)
+ SELECT user_id, CASE WHEN a_ty = 'DEBIT' THEN a_id ELSE b_id END AS source_id, CASE WHEN a_ty = 'DEBIT' THEN b_id ELSE a_id END AS target_id, link_type, am AS amount_score, da AS date_score, kw AS keyword_score, ac AS account_score, round(score, 9) AS score,
+ CASE WHEN score >= 0.92::DOUBLE THEN 'AUTO_APPROVED' ELSE 'PENDING_REVIEW' END AS status FROM m6""")
