@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fmindex, mixing, neardup, oracles, pii, quality, secretscan, suffixes, tokens, toxicity
+from . import decontam, filteraudit, fmindex, hamerly, licenses, mixing, neardup, oracles, pii, quality, secretscan, suffixes, tokens, toxicity
 from .exchange import table
 
 
@@ -52,6 +52,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hamerly.clustered(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filteraudit.failure_masks(table(spark, sf_dir, "documents"))
+    return filteraudit.audit(filteraudit.counters(masks, table(spark, sf_dir, "labels")))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.labelled(licenses.scan(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,8 +74,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_pii_surrogates, op2_substring_dedup, op3_suffix_array_dedup, op4_quality_rules, op5_minhash_near_dedup, op6_benchmark_decontamination, op7_toxicity, op8_token_length_histogram, op9_pfair_mixing, op10_secret_scans)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_pii_surrogates, op2_substring_dedup, op3_suffix_array_dedup, op4_quality_rules, op5_minhash_near_dedup, op6_benchmark_decontamination, op7_toxicity, op8_token_length_histogram, op9_pfair_mixing, op10_secret_scans, op11_hamerly_clusters, op12_filter_audit, op13_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": oracles.OP2, "op5_minhash_near_dedup": oracles.OP5, "op6_benchmark_decontamination": oracles.OP6, "op9_pfair_mixing": oracles.OP9}
+    return {"op2_substring_dedup": oracles.OP2, "op5_minhash_near_dedup": oracles.OP5, "op6_benchmark_decontamination": oracles.OP6, "op9_pfair_mixing": oracles.OP9, "op11_hamerly_clusters": oracles.OP11, "op12_filter_audit": oracles.OP12, "op13_license_scans": oracles.OP13}
