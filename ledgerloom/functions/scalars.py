@@ -112,6 +112,10 @@ def any_match(c: Column | str, patterns: list[str]) -> Column:
     return F.coalesce(col(c).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
+def any_of(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
 def first_match(c: Column | str, rules: list[tuple[list[str], object]], default=None) -> Column:
     """The value of the first rule one of whose patterns occurs, ignoring case."""
     out = reduce(lambda acc, rule: acc.when(any_match(c, rule[0]), F.lit(rule[1])), rules[1:], F.when(any_match(c, rules[0][0]), F.lit(rules[0][1])))

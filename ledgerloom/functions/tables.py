@@ -202,3 +202,10 @@ INDUSTRY_CODES = {"Software & Technology": "5415", "Consulting & Professional Se
 FEE_TYPES = ["FEE", "FEES"]
 FEE_PREFIX = "Wise fee: "
 WISE_LINES = [r"WISE\s*PAYMENTS", "WISEMSP", r"WISE\s*MSP", r"WISE\s*TRANSFER"]
+
+# Fixed values of extracted statements: months, marks of a business statement, lines that are no rows, words of incoming money, dates
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+BUSINESS_STATEMENT = ["bmo", "business banking", r"opening\s*balance", r"closing\s*totals"]
+STATEMENT_TOTALS = ["openingbalance", "closingtotals", "closingbalance", "numberofitems"]
+CREDIT_HINTS = ["INCOMING", "DEPOSIT", "INTEREST", "CREDIT", "REFUND"]
+STATEMENT_DATES = ["yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "M/d/yy", "MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy", "d-MMM-yyyy", "d MMM yyyy"]

@@ -302,3 +302,51 @@ ORACLES["transfer_pairs_scored"] = with_views("t", f""", w AS (SELECT user_id, i
   WHERE base >= 0.55::DOUBLE AND gap <= CASE link_type {" ".join(f"WHEN '{k}' THEN {d}" for k, d in X.DATE_WINDOWS.items())} END)
  SELECT user_id, CASE WHEN a_ty = 'DEBIT' THEN a_id ELSE b_id END AS source_id, CASE WHEN a_ty = 'DEBIT' THEN b_id ELSE a_id END AS target_id, link_type, am AS amount_score, da AS date_score, kw AS keyword_score, ac AS account_score, round(score, 9) AS score,
  CASE WHEN score >= 0.92::DOUBLE THEN 'AUTO_APPROVED' ELSE 'PENDING_REVIEW' END AS status FROM m6""")
+
+# statements as text
+_MON = "(position(lower(substr({}, 1, 3)) IN 'janfebmaraprmayjunjulaugsepoctnovdec') + 2) // 3"
+_LINE = r"^([A-Z][a-z]{2})(\d{2})\s+(.+?)\s+(-?[\d,]+\.\d{2})(?:\s+(-?[\d,]+\.\d{2}))?(?:\s+(-?[\d,]+\.\d{2}))?\s*$"
+_AT = lambda k: f"regexp_extract(line, '{_LINE}', {k})"
+ORACLES["balance_typed_rows"] = with_views(["sl"], f"""
+, f AS (SELECT file, CAST(regexp_extract(line, 'ending [A-Z][a-z]+ [0-9]+, ([0-9]+)', 1) AS INT) AS year, {_MON.format("regexp_extract(line, 'ending ([A-Z][a-z]+)', 1)")} AS month FROM sl WHERE row = 0),
+ p AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY row) - 1 AS row, {_AT(1)} AS mon, {_AT(2)} AS dd, {_AT(3)} AS said, list_filter([{_AT(4)}, {_AT(5)}, {_AT(6)}], lambda x: x <> '') AS a FROM sl WHERE regexp_matches(line, '{_LINE}')),
+ q AS (SELECT *, replace(lower(said), ' ', '') AS bare, replace(lower(said), ' ', '') LIKE '%openingbalance%' AS opening, NOT regexp_matches(replace(lower(said), ' ', ''), 'openingbalance|closingtotals|closingbalance|numberofitems') AND len(a) >= 2 AS fits FROM p),
+ b AS (SELECT *, CASE WHEN opening OR fits THEN CAST(a[-1] AS {M}) END AS balance FROM q),
+ c AS (SELECT *, last_value(balance IGNORE NULLS) OVER (PARTITION BY file ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b),
+ d AS (SELECT *, CASE WHEN len(a) = 3 THEN false WHEN before IS NOT NULL THEN balance > before ELSE regexp_matches(upper(said), 'INCOMING|DEPOSIT|INTEREST|CREDIT|REFUND') END AS came FROM c WHERE fits)
+ SELECT d.file AS source_file, row AS source_row, strftime(make_date(CASE WHEN {_MON.format("mon")} > f.month THEN f.year - 1 ELSE f.year END, {_MON.format("mon")}, CAST(dd AS INT)), '%Y-%m-%d') AS date_posted, CASE WHEN came THEN 'CREDIT' ELSE 'DEBIT' END AS transaction_type,
+ CAST(CASE WHEN came THEN CAST(a[1] AS {M}) ELSE -CAST(a[1] AS {M}) END AS VARCHAR) AS amount, regexp_replace(said, ',+$', '') AS description FROM d JOIN f ON f.file = d.file""")
+_ORDER = """o AS (SELECT file, coalesce(arg_min(CASE WHEN CAST(split_part(dd, '/', 1) AS INT) > 12 THEN 'dmy' ELSE 'mdy' END, page * 1000000000 + n * 100000000 + id) FILTER (CAST(split_part(dd, '/', 1) AS INT) > 12 OR CAST(split_part(dd, '/', 2) AS INT) > 12), 'dmy') AS date_order FROM wp GROUP BY file)"""
+ORACLES["wallet_page_rows"] = with_views(["wp"], f"""
+, {_ORDER}, g AS (SELECT file, page, any_value(CASE heads WHEN '' THEN [] ELSE string_split(heads, ',') END) AS s, list(DISTINCT n ORDER BY n) AS ns FROM wp GROUP BY file, page),
+ h AS (SELECT *, last_value(CASE WHEN len(s) > 0 THEN s[least(len(ns), len(s) - 1) + 1] END IGNORE NULLS) OVER (PARTITION BY file ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM g),
+ r AS (SELECT wp.*, CASE WHEN len(s) > 0 THEN s[least(list_position(ns, n) - 1, len(s) - 1) + 1] ELSE coalesce(carried, 'CAD') END AS currency, make_date(CAST(yyyy AS INT), CAST(split_part(dd, '/', CASE date_order WHEN 'dmy' THEN 2 ELSE 1 END) AS INT), CAST(split_part(dd, '/', CASE date_order WHEN 'dmy' THEN 1 ELSE 2 END) AS INT)) AS d FROM wp JOIN h ON h.file = wp.file AND h.page = wp.page JOIN o ON o.file = wp.file),
+ x AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY page, n, id) AS row FROM r)
+ SELECT file AS source_file, row AS source_row, strftime(d, '%Y-%m-%d') AS date_posted, CASE WHEN CAST(gross AS {M}) < 0 THEN 'DEBIT' ELSE 'CREDIT' END AS transaction_type, gross AS amount, currency, 'Someone — ' || said AS description FROM x WHERE said <> 'General Currency Conversion' AND CAST(gross AS {M}) <> 0""")
+ORACLES["statement_facts"] = with_views(["sl", "wp"], f"""
+, {_ORDER} SELECT file, 'CAD' AS account, false AS is_wallet, 'dmy' AS date_order, true AS is_business, CAST(regexp_extract(line, 'ending [A-Z][a-z]+ [0-9]+, ([0-9]+)', 1) AS INT) AS year, CAST({_MON.format("regexp_extract(line, 'ending ([A-Z][a-z]+)', 1)")} AS INT) AS month, CAST(regexp_extract(line, 'ending [A-Z][a-z]+ [0-9]+, ([0-9]+)', 1) AS INT) AS from_year FROM sl WHERE row = 0
+ UNION ALL SELECT wp.file, 'CAD', true, any_value(date_order), false, CASE WHEN bool_or(heads = '') THEN any_value(CAST(yyyy AS INT)) ELSE 2000 END, 12, CASE WHEN bool_or(heads = '') THEN any_value(CAST(yyyy AS INT)) ELSE 2000 END FROM wp JOIN o ON o.file = wp.file GROUP BY wp.file""")
+_RAILS = r"WISEMSP|WISE\s*MSP|WISE\s*PAYMENTS|PAYPALMSP|PAYPAL\s*MSP|OUTGOING\s*WIRE"
+_ROUND = ORACLES["receipt_first_round"].split(NAIVE, 1)[1].rsplit("SELECT user_id, transaction_id, document_id FROM b", 1)
+ORACLES["crossed_payments"] = with_views("tr", "").rstrip().replace("t AS (", "t0 AS (", 1).rstrip() + f""",
+ t AS (SELECT * REPLACE (CASE WHEN id % 3 = 2 THEN 'WISE PAYMENTS 884120' ELSE description END AS description) FROM t0), {NAIVE}{_ROUND[0]},
+ asg AS (SELECT user_id, transaction_id, document_id, gap FROM b {_ROUND[1]}),
+ far AS (SELECT asg.user_id, asg.document_id, asg.gap AS was FROM asg JOIN t ON t.user_id = asg.user_id AND t.id = asg.transaction_id WHERE asg.gap BETWEEN 31 AND 999999 AND regexp_matches(t.description, '(?i){_RAILS}')),
+ ask AS (SELECT z.user_id, z.document_id, z.transaction_id, z.gap FROM z JOIN far ON far.user_id = z.user_id AND far.document_id = z.document_id AND z.gap < far.was WHERE NOT EXISTS (SELECT 1 FROM asg WHERE asg.user_id = z.user_id AND asg.transaction_id = z.transaction_id) QUALIFY row_number() OVER (PARTITION BY z.user_id, z.document_id ORDER BY z.gap, z.transaction_id) = 1),
+ mv AS (SELECT * FROM ask QUALIFY row_number() OVER (PARTITION BY user_id, transaction_id ORDER BY gap, document_id) = 1),
+ now AS (SELECT asg.user_id, coalesce(mv.transaction_id, asg.transaction_id) AS transaction_id, asg.document_id, mv.transaction_id IS NOT NULL AS moved FROM asg LEFT JOIN mv ON mv.user_id = asg.user_id AND mv.document_id = asg.document_id),
+ rail AS (SELECT user_id, id AS transaction_id, CAST(date_posted AS DATE) AS day, abs(CAST(amount AS {M})) AS size FROM t WHERE status = 'UNMATCHED' AND transaction_type = 'DEBIT' AND regexp_matches(description, '(?i){_RAILS}')),
+ mt AS (SELECT now.*, day, size FROM now JOIN rail ON rail.user_id = now.user_id AND rail.transaction_id = now.transaction_id),
+ anc AS (SELECT user_id, min(day) AS anchor FROM mt GROUP BY user_id UNION ALL SELECT anc.user_id, (SELECT min(day) FROM mt WHERE mt.user_id = anc.user_id AND mt.day > anc.anchor + 2) FROM anc WHERE anchor IS NOT NULL),
+ big AS (SELECT anc.user_id, anchor FROM anc JOIN mt ON mt.user_id = anc.user_id AND mt.day BETWEEN anchor AND anchor + 2 GROUP BY ALL HAVING count(*) >= 2),
+ hd AS (SELECT mt.*, anchor FROM mt JOIN big ON big.user_id = mt.user_id AND mt.day BETWEEN anchor AND anchor + 2),
+ ex AS (SELECT r.user_id, r.transaction_id, r.size, min(big.anchor) AS anchor FROM rail r JOIN big ON big.user_id = r.user_id AND abs(date_diff('day', r.day, big.anchor)) <= 2 WHERE NOT EXISTS (SELECT 1 FROM now WHERE now.user_id = r.user_id AND now.transaction_id = r.transaction_id)
+  AND EXISTS (SELECT 1 FROM z JOIN hd ON hd.user_id = z.user_id AND hd.document_id = z.document_id WHERE hd.anchor = big.anchor AND z.user_id = r.user_id AND z.transaction_id = r.transaction_id) GROUP BY ALL),
+ pool AS (SELECT user_id, anchor, transaction_id, row_number() OVER (PARTITION BY user_id, anchor ORDER BY size DESC, free, transaction_id) AS place FROM (SELECT user_id, anchor, transaction_id, size, 0 AS free FROM hd UNION ALL SELECT user_id, anchor, transaction_id, size, 1 FROM ex)),
+ ds AS (SELECT hd.user_id, hd.anchor, hd.document_id, hd.transaction_id AS old, row_number() OVER (PARTITION BY hd.user_id, hd.anchor ORDER BY coalesce(abs(TRY_CAST(r.total AS {M})), 0) DESC, hd.document_id) AS place FROM hd JOIN r ON r.user_id = hd.user_id AND r.id = hd.document_id),
+ rk AS (SELECT ds.*, pool.transaction_id AS t2, EXISTS (SELECT 1 FROM z WHERE z.user_id = ds.user_id AND z.transaction_id = pool.transaction_id AND z.document_id = ds.document_id) AS known FROM ds JOIN pool ON pool.user_id = ds.user_id AND pool.anchor = ds.anchor AND pool.place = ds.place),
+ ok AS (SELECT user_id, anchor, bool_and(known) AND bool_or(t2 <> old) AS take FROM rk GROUP BY ALL),
+ fin AS (SELECT rk.user_id, rk.document_id, rk.anchor, CASE WHEN take THEN t2 END AS t2 FROM rk JOIN ok ON ok.user_id = rk.user_id AND ok.anchor = rk.anchor)
+ SELECT now.user_id, coalesce(fin.t2, now.transaction_id) AS transaction_id, now.document_id, strftime(fin.anchor, '%Y-%m-%d') AS anchor, CASE WHEN fin.t2 <> now.transaction_id THEN 'reassigned' WHEN moved THEN 'moved closer' ELSE 'kept' END AS outcome
+ FROM now LEFT JOIN fin ON fin.user_id = now.user_id AND fin.document_id = now.document_id"""
+ORACLES["crossed_payments"] = ORACLES["crossed_payments"].replace("WITH t0", "WITH RECURSIVE t0", 1)

@@ -13,10 +13,13 @@ from ..operators import linked as G
 from ..operators import lookup as U
 from ..operators import overview as O
 from ..operators import predicates as P
+from ..operators import rails as W
 from ..operators import reporting as R
 from ..operators import sequences as Q
 from ..operators import transfers as T
 from ..sources import sinks as K
+from ..sources import statement_text as E
+from ..operators.cut import written
 from .views import Views
 
 RATES = [("CAD", "1.000000"), ("USD", "1.370000")]
@@ -551,4 +554,59 @@ def profitability_lines(v):
     return out.select("user_id", "bucket", F.round("your_pct", 9).alias("your_pct"), "peer_pct", "rank")
 
 
+def _rail_debits(v):
+    """Open rows of which every third pays over a rail."""
+    text = F.when(F.col("id") % 3 == 2, F.lit("WISE PAYMENTS 884120")).otherwise(F.col("description"))
+    return v.transactions.withColumn("description", text)
+
+
+@query
+def crossed_payments(v):
+    """The first round of the assignment, with the ties of rail payments put right."""
+    t = _rail_debits(v)
+    pairs = L.candidates(t, v.receipts).withColumn("contradicted", F.lit(False))
+    own = F.when(F.coalesce("doc_ccy", "currency") == F.col("currency"), L._graded(F.abs(F.col("txn_c") - F.col("doc_c")), 200, 2500)).when(F.col("match_reason") == "fx_band", 0.78).otherwise(0.0)
+    amount = F.when(own > 0, own).when(F.coalesce("doc_ccy", "currency") == F.col("currency"), 0.3).otherwise(0.0)
+    pairs = pairs.withColumn("amount_score", amount).withColumn("date_score", L.date_score(F.col("gap")))
+    pairs = written(pairs.withColumn("confidence", L.confidence(F.col("amount_score"), F.col("date_score"), F.lit(0.5))).select("user_id", "transaction_id", "document_id", "gap", "match_reason", "contradicted", "amount_score", "confidence"), "pairs")
+    open_rows = t.where((F.col("status") == "UNMATCHED") & P.is_expense())
+    out = W.settle_crossed(L.assign(pairs, rounds=1), pairs, open_rows, v.receipts)
+    return out.select("user_id", "transaction_id", "document_id", F.date_format("anchor", "yyyy-MM-dd").alias("anchor"), "outcome")
+
+
+def _texts(lines):
+    whole = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("x"))
+    return whole.select("file", F.lit(1).alias("page"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"), F.array().cast("array<array<array<string>>>").alias("tables"))
+
+
+@query
+def balance_typed_rows(v):
+    return E.balance_rows(E.facts(_texts(v.statement_lines))).select("source_file", "source_row", "date_posted", "transaction_type", "amount", "description")
+
+
+def _wallet_pages(v):
+    """Pages of a wallet's statements: section headers as text, a table for each parity of the key."""
+    cells = lambda *c: F.array(*[F.col(x) if x in ("date", "gross", "desc") else F.lit(x) for x in c])
+    rows = v.wallet_lines.withColumn("date", F.concat_ws("/", "dd", "yyyy")).withColumn("desc", F.concat("said", F.lit("\nID: T"), F.col("id").cast("string")))
+    tables = rows.groupBy("file", "page", "heads", "n").agg(F.array_sort(F.collect_list(F.struct("id", cells("date", "desc", "Someone", "gross", "0.00").alias("cells")))).alias("t"))
+    head = F.array(*map(F.lit, ("Date", "Description", "Name / Email", "Gross", "Fee")))
+    tables = tables.select("file", "page", "heads", "n", F.concat(F.array(head), F.transform("t", lambda x: x["cells"])).alias("t"))
+    pages = tables.groupBy("file", "page", "heads").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("t"))
+    marks = F.transform(F.filter(F.split("heads", ","), lambda x: x != ""), lambda x: F.concat(F.lit("Transaction History - "), x))
+    dates = F.flatten(F.transform("t", lambda t: F.transform(F.slice(t["t"], F.lit(2), F.size(t["t"])), lambda r: r[0])))
+    return pages.select("file", "page", F.array_join(F.concat(F.array(F.lit("PayPal activity statement")), marks, dates), "\n").alias("text"), F.transform("t", lambda t: t["t"]).alias("tables"))
+
+
+@query
+def wallet_page_rows(v):
+    pages = _wallet_pages(v)
+    return E.wallet_rows(pages, E.facts(pages)).select("source_file", "source_row", "date_posted", "transaction_type", "amount", "currency", "description")
+
+
+@query
+def statement_facts(v):
+    """What each statement file says of itself, banks and wallets."""
+    return E.facts(_texts(v.statement_lines).unionByName(_wallet_pages(v)), 2000).select("file", *E.FACTS)
+
+
 __all__ = ["QUERIES", "SparkSession", "Window", "X"]

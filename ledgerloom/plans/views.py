@@ -56,6 +56,28 @@ FROM orders WHERE o_orderkey % 4 <> 3 AND o_orderkey % 2 = 0"""),
     "j": ("events", """SELECT event_id AS id, user_id % 4 AS user_id, CASE WHEN event_id % 5 = 0 THEN 'statement' ELSE 'receipt' END AS kind, ts AS created_at,
  CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' ELSE 'done' END AS status, event_id AS position, value AS seconds
 FROM events"""),
+    # lines of bank statements over three months each: opening balance (not in all), lines with one, two or three amounts
+    "sl": ("orders", """SELECT file, row, line FROM (
+ SELECT file, row, CASE WHEN row = 0 THEN concat('Business Banking statement for the period ending ', substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * (last_month % 12) + 1, 3), ' 28, ', CAST(CAST(floor(last_month / 12) AS INT) AS STRING))
+  WHEN row = 1 THEN CASE WHEN last_month % 4 = 0 THEN 'Summary' ELSE concat(mmdd, ' Opening balance 50000.00') END
+  WHEN id % 37 = 6 THEN concat(mmdd, ' Closing totals ', amt, ' ', bal)
+  WHEN id % 11 = 5 THEN concat(mmdd, ' ', said, ' ', amt)
+  WHEN id % 13 = 4 THEN concat(mmdd, ' ', said, ' ', amt, ' 1.00 ', bal)
+  ELSE concat(mmdd, ' ', said, ' ', amt, ' ', bal) END AS line
+ FROM (SELECT file, id, last_month, CAST(row_number() OVER (PARTITION BY file ORDER BY d, id) + 1 AS BIGINT) AS row, said, concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * month(d) - 2, 3), lpad(CAST(day(d) AS STRING), 2, '0')) AS mmdd,
+   CAST(amount AS STRING) AS amt, CAST(CAST(50000 + sum(CASE WHEN id % 3 = 0 THEN amount ELSE -amount END) OVER (PARTITION BY file ORDER BY d, id) AS DECIMAL(18,2)) AS STRING) AS bal
+  FROM (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CAST(o_totalprice AS DECIMAL(14,2)) AS amount, CAST(3 * floor((12 * year(o_orderdate) + month(o_orderdate) + 1) / 3) AS INT) AS last_month,
+    concat('s', CAST(o_custkey % 4 AS STRING), '-', CAST(CAST(floor((12 * year(o_orderdate) + month(o_orderdate) + 1) / 3) AS INT) AS STRING)) AS file,
+    CASE o_orderkey % 4 WHEN 0 THEN 'IncomingWirePayment' WHEN 1 THEN 'OnlineTransfer,' WHEN 2 THEN 'InterestEarned' ELSE 'Harbour Cafe' END AS said FROM orders) x
+  UNION ALL SELECT DISTINCT concat('s', CAST(o_custkey % 4 AS STRING), '-', CAST(CAST(floor((12 * year(o_orderdate) + month(o_orderdate) + 1) / 3) AS INT) AS STRING)) AS file, 0 AS id, CAST(3 * floor((12 * year(o_orderdate) + month(o_orderdate) + 1) / 3) AS INT) AS last_month, CAST(head AS BIGINT) AS row, '' AS said, 'Nov01' AS mmdd, '' AS amt, '' AS bal
+  FROM orders, (SELECT 0 AS head UNION ALL SELECT 1 AS head) h) y) z"""),
+    # rows of a wallet's tables: pages are months, dates of even tenants are day first, pages have no, one or two sections
+    "wp": ("orders", """SELECT concat('w', CAST(o_custkey % 4 AS STRING), '-', CAST(year(o_orderdate) AS STRING)) AS file, month(o_orderdate) AS page, CAST(o_orderkey % 2 AS INT) AS n, o_orderkey AS id,
+ CASE month(o_orderdate) % 4 WHEN 0 THEN '' WHEN 1 THEN 'USD' WHEN 2 THEN 'CAD,USD' ELSE 'CAD' END AS heads,
+ CASE WHEN o_custkey % 2 = 0 THEN concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '/', lpad(CAST(month(o_orderdate) AS STRING), 2, '0')) ELSE concat(lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '/', lpad(CAST(day(o_orderdate) AS STRING), 2, '0')) END AS dd,
+ CAST(year(o_orderdate) AS STRING) AS yyyy, CAST(CAST(o_totalprice AS DECIMAL(14,2)) * CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE -1 END AS STRING) AS gross,
+ CASE o_orderkey % 12 WHEN 9 THEN 'General Currency Conversion' ELSE 'Express Checkout Payment' END AS said
+FROM orders WHERE o_orderkey % 5 = 4"""),
 }
 
 
@@ -78,6 +100,8 @@ class Views:
     chain_links = cached_property(lambda self: self._view("c"))
     matches = cached_property(lambda self: self._view("m"))
     jobs = cached_property(lambda self: self._view("j"))
+    statement_lines = cached_property(lambda self: self._view("sl"))
+    wallet_lines = cached_property(lambda self: self._view("wp"))
 
 
 def with_views(names: str, sql: str, recursive: bool = False) -> str:
