@@ -209,3 +209,37 @@ BUSINESS_STATEMENT = ["bmo", "business banking", r"opening\s*balance", r"closing
 STATEMENT_TOTALS = ["openingbalance", "closingtotals", "closingbalance", "numberofitems"]
 CREDIT_HINTS = ["INCOMING", "DEPOSIT", "INTEREST", "CREDIT", "REFUND"]
 STATEMENT_DATES = ["yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "M/d/yy", "MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy", "d-MMM-yyyy", "d MMM yyyy"]
+
+# Fixed values of page batches: identity fields, figures that stand with the total, the vendor of pages that are no financial document
+IDENTITY_FIELDS = ["vendor", "date", "payment_date", "currency", "currency_marker", "payment_method", "invoice_number", "purpose"]
+TOTAL_SIBLINGS = ["subtotal", "gst", "hst", "pst", "other_tax", "amount"]
+NOT_FINANCIAL = "NOT_A_FINANCIAL_DOCUMENT"
+
+# Fixed values of hand-kept workbooks: sheet names by kind, header labels, currencies of sections (the first is assumed), spellings
+SHEETS_SKIPPED = ["index", "contents", "summary", "notes", "total", "orders"]
+CARD_SHEETS = ["credit card", "creditcard", "credit_card", "card"]
+SECTION_SHEETS = ["cad", "usd", "cny", "eur", "gbp", "currency", "chequing", "checking", "bank"]
+SECTION_HEADER = ["transaction type", "date posted", "transaction amount", "description"]
+CARD_HEADER = ["transaction date", "posting date", "transaction amount", "description"]
+SECTION_CURRENCIES = ["CAD", "USD", "CNY", "EUR", "GBP"]
+CATEGORY_SPELLINGS = {"Bank fees": "Interest and bank charges", "office supplies": "Office supplies", "Office supply": "Office supplies"}
+
+# Fixed values of benchmark files: label of a line's block and its bucket, labels of the quartile columns in a block
+BENCHMARK_LINES = {
+    "cost of sales (direct expenses)": "cost_of_sales",
+    "wages and benefits": "employee_benefits",
+    "purchases, materials and sub-contracts": "subcontracts",
+    "labour and commissions": "salaries_wages",
+    "amortization and depletion": "cca_depreciation",
+    "repairs and maintenance": "repairs_maintenance",
+    "utilities and telephone/telecommunication": "utilities",
+    "rent": "rent",
+    "interest and bank charges": "interest_bank",
+    "professional and business fees": "professional_fees",
+    "advertising and promotion": "advertising",
+    "delivery, shipping and warehouse": "delivery",
+    "insurance": "insurance",
+    "other expenses": "other_operating",
+    "net profit/loss": "net_profit_margin",
+}
+QUARTILE_LABELS = ["bottom quartile", "lower middle", "upper middle", "top quartile"]

@@ -350,3 +350,66 @@ ORACLES["crossed_payments"] = with_views("tr", "").rstrip().replace("t AS (", "t
  SELECT now.user_id, coalesce(fin.t2, now.transaction_id) AS transaction_id, now.document_id, strftime(fin.anchor, '%Y-%m-%d') AS anchor, CASE WHEN fin.t2 <> now.transaction_id THEN 'reassigned' WHEN moved THEN 'moved closer' ELSE 'kept' END AS outcome
  FROM now LEFT JOIN fin ON fin.user_id = now.user_id AND fin.document_id = now.document_id"""
 ORACLES["crossed_payments"] = ORACLES["crossed_payments"].replace("WITH t0", "WITH RECURSIVE t0", 1)
+
+# page batches, sheets, quotes, counts, review actions, cube
+_BLANK = lambda c: f"coalesce(lower(trim({c})) IN ('', 'null', 'none', 'n/a'), true)"
+_FIG = "coalesce(TRY_CAST(nullif(trim(regexp_replace(regexp_replace(trim(raw), '[$, ]', '', 'g'), '[A-Za-z]+$', '')), '') AS DECIMAL(18,2)), 0)"
+_FIRST = lambda f, more="": f"arg_min({f}, CASE WHEN continuation = 'true' THEN 1000 ELSE 0 END + batch) FILTER (NOT {_BLANK(f)}{more}) AS {f}"
+ORACLES["page_batches_merged"] = with_views(["pb"], f""", a AS (SELECT *, CASE WHEN {_BLANK("total")} THEN amount ELSE total END AS raw FROM pb), b AS (SELECT *, {_FIG} AS fig FROM a),
+ c AS (SELECT *, CASE WHEN fig <> 0 THEN CASE WHEN grand_total_page IS NOT NULL THEN CAST(grand_total_page AS INT) WHEN has_grand_total IS NOT NULL THEN last_page END END AS page FROM b),
+ d AS (SELECT *, page * 1000 + batch AS place FROM c),
+ g AS (SELECT user_id, document_id, {_FIRST("vendor", " AND vendor <> 'NOT_A_FINANCIAL_DOCUMENT'")}, bool_or(coalesce(vendor = 'NOT_A_FINANCIAL_DOCUMENT', false)) AS nf, {_FIRST("currency")}, {_FIRST("invoice_number")},
+  arg_max(raw, place) FILTER (page IS NOT NULL) AS claim, arg_max(CASE WHEN NOT {_BLANK("gst")} THEN gst ELSE '-' END, place) FILTER (page IS NOT NULL) AS claim_gst, arg_max(CASE WHEN NOT {_BLANK("amount")} THEN amount ELSE '-' END, place) FILTER (page IS NOT NULL) AS claim_amount,
+  arg_max(raw, batch) FILTER (fig <> 0) AS back, arg_max(CASE WHEN NOT {_BLANK("gst")} THEN gst ELSE '-' END, batch) FILTER (fig <> 0) AS back_gst, arg_max(CASE WHEN NOT {_BLANK("amount")} THEN amount ELSE '-' END, batch) FILTER (fig <> 0) AS back_amount,
+  arg_min(gst, batch) FILTER (NOT {_BLANK("gst")}) AS any_gst, arg_min(amount, batch) FILTER (NOT {_BLANK("amount")}) AS any_amount, arg_min(fig, place) FILTER (page IS NOT NULL) AS f0, max(fig) FILTER (page IS NOT NULL) AS hi, min(fig) FILTER (page IS NOT NULL) AS lo, count(page) AS n_claims, count(*) AS n_batches,
+  string_agg('{{"description":"' || item || '"}};{{"description":"tax"}}', ';' ORDER BY batch) AS line_items, bool_or(weak IS NOT NULL) AS weak FROM d GROUP BY user_id, document_id)
+ SELECT user_id, document_id, coalesce(vendor, CASE WHEN nf THEN 'NOT_A_FINANCIAL_DOCUMENT' END) AS vendor, currency, invoice_number, coalesce(claim, back) AS total, coalesce(nullif(coalesce(claim_gst, back_gst), '-'), any_gst) AS gst, coalesce(nullif(coalesce(claim_amount, back_amount), '-'), any_amount) AS amount, line_items, CAST(n_claims AS INT) AS n_claims, n_batches,
+ array_to_string(list_filter([CASE WHEN hi - f0 > 0.02 OR f0 - lo > 0.02 THEN 'totals_disagree' END, CASE WHEN claim IS NULL AND back IS NULL THEN 'no_amount' WHEN claim IS NULL THEN 'no_grand_total' END, CASE WHEN document_id % 9 = 0 THEN 'pages_left_out' END, CASE WHEN weak THEN 'low_confidence' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g""")
+_YMD = lambda c: f"CASE WHEN regexp_matches({c}, '^[0-9]{{8}}') THEN concat(substr({c}, 1, 4), '-', substr({c}, 5, 2), '-', substr({c}, 7, 2)) END"
+ORACLES["workbook_rows"] = with_views(["bs"], f""", x AS (SELECT *, CASE WHEN sec = 1 THEN c1 ELSE c2 END AS ymd, CASE sec WHEN 1 THEN c2 ELSE c1 END AS typ, CASE WHEN sec = 2 THEN c4 ELSE c3 END AS money, CASE WHEN sec = 2 THEN c3 ELSE c4 END AS said FROM bs WHERE kind = 1),
+ y AS (SELECT *, CASE WHEN money LIKE '% CR' THEN -CAST(replace(replace(money, ' CR', ''), '$', '') AS {M}) ELSE CAST(money AS {M}) END AS v FROM x)
+ SELECT CASE sec WHEN 1 THEN 'CAD' WHEN 2 THEN 'USD' ELSE 'CreditCard' END AS account, CASE WHEN sec = 3 THEN CASE WHEN v < 0 THEN 'CREDIT' ELSE 'DEBIT' END ELSE coalesce(upper(typ), CASE WHEN v < 0 THEN 'DEBIT' ELSE 'CREDIT' END) END AS transaction_type, {_YMD("ymd")} AS date_posted, CAST(v AS VARCHAR) AS amount, said AS description,
+ CASE trim(coalesce(c5, '')) WHEN 'Bank fees' THEN 'Interest and bank charges' WHEN 'office supplies' THEN 'Office supplies' ELSE trim(coalesce(c5, '')) END AS category, '' AS invoice, '' AS note, file, sheet, row FROM y WHERE {_YMD("ymd")} IS NOT NULL""")
+ORACLES["converted_by_day"] = with_views(["t", "fx"], f""", x AS (SELECT user_id, id, CASE id % 7 WHEN 3 THEN 'EUR' WHEN 5 THEN 'GBP' ELSE currency END AS currency, CAST(date_posted AS DATE) AS day, {ABS} AS v FROM t)
+ SELECT user_id, id, x.currency, CASE WHEN x.currency = 'CAD' THEN 1 ELSE rate END AS rate, strftime(CASE WHEN x.currency = 'CAD' THEN x.day ELSE fx.day END, '%Y-%m-%d') AS as_of, CAST(round(v * CASE WHEN x.currency = 'CAD' THEN 1 ELSE rate END, 2) AS {M}) AS in_base FROM x ASOF LEFT JOIN fx ON fx.currency = x.currency AND x.day >= fx.day""")
+ORACLES["currencies_without_quotes"] = with_views(["t", "fx"], "SELECT DISTINCT c AS currency FROM (SELECT CASE id % 7 WHEN 5 THEN 'GBP' ELSE currency END AS c FROM t) WHERE c <> 'CAD' AND c NOT IN (SELECT currency FROM fx)")
+_NAIVE_C = with_views(["tc", "rc"], "").rstrip().replace("tc AS (", "t AS (", 1).replace("rc AS (", "r AS (", 1) + ", " + NAIVE.replace("g <= 45", "g <= 100000 OR g IS NULL").replace("r.id AS document_id,", "r.id AS document_id, r.vendor,", 1)
+ORACLES["candidate_counts_by_customer"] = _NAIVE_C + f""" SELECT r.user_id, r.id AS document_id, count(cand.transaction_id) FILTER (cand.match_reason IS NOT NULL) AS n, CAST(0 AS BIGINT) AS n_printed FROM r LEFT JOIN cand ON cand.user_id = r.user_id AND cand.document_id = r.id
+ WHERE r.currency_source <> 'assumed' AND r.currency IS NOT NULL AND EXISTS (SELECT 1 FROM t WHERE t.user_id = r.user_id AND t.status = 'UNMATCHED' AND t.transaction_type = 'DEBIT') GROUP BY ALL
+ UNION ALL SELECT user_id, id, 0, 0 FROM r WHERE r.currency_source <> 'assumed' AND r.currency IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.user_id = r.user_id AND t.status = 'UNMATCHED' AND t.transaction_type = 'DEBIT')"""
+ORACLES["unambiguous_by_customer"] = _NAIVE_C + """,
+ lone AS (SELECT user_id, document_id FROM cand WHERE match_reason IS NOT NULL GROUP BY ALL HAVING count(*) = 1)
+ SELECT cand.user_id, transaction_id, cand.document_id FROM cand JOIN lone ON lone.user_id = cand.user_id AND lone.document_id = cand.document_id
+ WHERE match_reason IS NOT NULL AND c = currency AND abs(a - d) <= 0.02 AND gap <= 3 AND len(list_filter(regexp_extract_all(lower(vendor), '[a-z]{3,}'), lambda w : contains(lower(description), w))) > 0"""
+# each match has one row, so what its actions do can be written as cases: a rejected one can't be reassigned or removed
+_FATE = """, k AS (SELECT user_id, transaction_id, match_id AS id, document_id, status, status = 'USER_REJECTED' AS gone, match_id % 3 = 0 AND status <> 'USER_REJECTED' AS moved, match_id % 5 = 0 AS asked, match_id % 7 = 0 AS replaced, match_id % 11 = 0 AS proven FROM ev WHERE seq = 0),
+ z AS (SELECT *, asked AND NOT gone AND NOT moved AS removed, replaced AND moved AS dropped FROM k),
+ o AS (SELECT user_id, transaction_id, id AS match_id, document_id, CASE WHEN moved OR removed THEN 'USER_REJECTED' ELSE status END AS status, CASE WHEN moved THEN 'reassigned' WHEN removed THEN 'remove_proof' END AS user_action, 'ONE_TO_ONE' AS match_type, CAST(CASE WHEN moved THEN 1 WHEN removed THEN 2 ELSE 0 END AS BIGINT) AS seq FROM z
+  UNION ALL SELECT user_id, transaction_id, id + 10000000, document_id + 4, CASE WHEN dropped THEN 'USER_REJECTED' ELSE 'USER_APPROVED' END, CASE WHEN dropped THEN 'superseded' ELSE 'manual_match' END, 'ONE_TO_ONE', CASE WHEN dropped THEN 4 ELSE 1 END FROM z WHERE moved
+  UNION ALL SELECT user_id, transaction_id, id + 20000000, document_id + 8, 'USER_APPROVED', 'add_proof', 'MANY_TO_ONE', 5 FROM z WHERE proven)"""
+ORACLES["review_actions_folded"] = with_views(["ev"], _FATE + " SELECT * FROM o")
+ORACLES["review_audit"] = with_views(["ev"], _FATE + """ SELECT ev.user_id, ev.transaction_id, ev.seq, action, match_id, CASE WHEN seq = 1 THEN CASE WHEN gone THEN 'refused: already gone' ELSE 'applied' END WHEN seq = 2 THEN CASE WHEN removed THEN 'applied' ELSE 'refused: already gone' END
+ WHEN seq = 4 THEN CASE WHEN moved THEN 'applied' ELSE 'refused: unknown match' END ELSE 'applied' END AS outcome, CASE WHEN seq = 1 AND moved THEN z.status WHEN seq = 2 AND removed THEN z.status WHEN seq = 4 AND moved THEN 'USER_APPROVED' END AS old_value FROM ev JOIN z ON z.user_id = ev.user_id AND z.transaction_id = ev.transaction_id WHERE seq > 0""")
+ORACLES["review_resync"] = with_views("trl", "").rstrip() + ", " + with_views(["ev"], _FATE).removeprefix("WITH ") + f""",
+ et AS (SELECT user_id, transaction_id AS id, bool_or(status IN {PROOF}) AS a, bool_or(status = 'PENDING_REVIEW') AS p FROM o GROUP BY ALL HAVING bool_or(user_action IS NOT NULL)), ed AS (SELECT user_id, document_id AS id, bool_or(status IN {PROOF}) AS a, bool_or(status = 'PENDING_REVIEW') AS p FROM o GROUP BY ALL HAVING bool_or(user_action IS NOT NULL)),
+ ln AS (SELECT user_id, source_transaction_id AS id FROM l WHERE status <> 'USER_REJECTED' UNION SELECT user_id, target_transaction_id FROM l WHERE status <> 'USER_REJECTED'),
+ st AS (SELECT t.user_id, 'transaction' AS side, t.id, t.status, CASE WHEN t.status = 'IGNORED' AND ln.id IS NOT NULL THEN 'LINKED' WHEN t.status IN ('IGNORED', 'EXCLUDED', 'PENDING_REVIEW') THEN t.status WHEN a THEN 'MATCHED' WHEN p THEN t.status WHEN ln.id IS NOT NULL THEN 'LINKED' ELSE 'UNMATCHED' END AS derived
+  FROM t JOIN et ON et.user_id = t.user_id AND et.id = t.id LEFT JOIN ln ON ln.user_id = t.user_id AND ln.id = t.id),
+ sd AS (SELECT r.user_id, 'receipt' AS side, r.id, r.status, CASE WHEN a THEN 'MATCHED' WHEN p THEN r.status WHEN r.status = 'MATCHED' THEN 'EXTRACTED' ELSE r.status END AS derived FROM r JOIN ed ON ed.user_id = r.user_id AND ed.id = r.id)
+ SELECT * FROM st WHERE status <> derived UNION ALL SELECT * FROM sd WHERE status <> derived"""
+_RELEASE = lambda name, since: f"""{name} AS (SELECT naics, band, cohort, bucket, avg(p) AS pct, quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.5) AS median, quantile_cont(p, 0.75) AS q3, count(*) AS businesses FROM
+  (SELECT c_mktsegment AS naics, CASE WHEN c_acctbal < 5000 THEN '30K-5M' ELSE '5M-20M' END AS band, concat('n', c_nationkey) AS cohort, bucket, CAST(amount AS DOUBLE) / CAST(revenue AS DOUBLE) AS p
+   FROM (SELECT user_id, coalesce(category, 'other') AS bucket, sum({ABS}) AS amount FROM tc WHERE date_posted >= '{since}' AND transaction_type = 'DEBIT' GROUP BY ALL) s JOIN (SELECT user_id, sum({ABS}) AS revenue FROM tc WHERE date_posted >= '{since}' AND transaction_type = 'CREDIT' GROUP BY ALL) v ON v.user_id = s.user_id JOIN customer ON c_custkey = s.user_id) x GROUP BY ALL)"""
+_TWO = with_views(["tc"], "").rstrip() + ",\n " + _RELEASE("nw", "1998-01-01") + ",\n " + _RELEASE("od", "1995-01-01")
+_BAD = "(SELECT naics, band, cohort, bucket, 'share' AS error FROM nw WHERE NOT pct BETWEEN 0 AND 8 UNION ALL SELECT naics, band, cohort, bucket, 'order' FROM nw WHERE q1 > q3 OR NOT median BETWEEN q1 AND q3)"
+ORACLES["cube_line_errors"] = f"{_TWO} SELECT * FROM {_BAD}"
+_CMP = """cm AS (SELECT coalesce(a.naics, b.naics) AS naics, coalesce(a.band, b.band) AS band, coalesce(a.cohort, b.cohort) AS cohort, CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'kept' END AS change, coalesce(a.n, 0) AS n_new, coalesce(b.n, 0) AS n_old
+ FROM (SELECT naics, band, cohort, count(*) AS n FROM nw GROUP BY ALL) a FULL JOIN (SELECT naics, band, cohort, count(*) AS n FROM od GROUP BY ALL) b ON b.naics = a.naics AND b.band = a.band AND b.cohort = a.cohort)"""
+ORACLES["cube_compared"] = f"{_TWO}, {_CMP} SELECT * FROM cm"
+ORACLES["cube_verdict"] = f"""{_TWO}, {_CMP}, e AS (SELECT 1 FROM {_BAD} UNION ALL SELECT 1 FROM (SELECT sum(CASE WHEN pct BETWEEN 0 AND 8 THEN pct ELSE 0 END) AS f, 1 - sum(pct) AS m FROM nw GROUP BY naics, band, cohort) WHERE f > 20 UNION ALL SELECT 1 FROM (SELECT 1 - sum(pct) AS m FROM nw GROUP BY naics, band, cohort) WHERE NOT m BETWEEN -15 AND 1.5),
+ s AS (SELECT count(*) FILTER (change <> 'removed') AS n_new, count(*) FILTER (change <> 'added') AS n_old, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed FROM cm)
+ SELECT *, (SELECT count(*) FROM e) AS n_errors, array_to_string(list_filter([CASE WHEN n_new = 0 THEN 'empty' END, CASE WHEN n_new < 0.95 * n_old THEN 'regressed' END, CASE WHEN (SELECT count(*) FROM e) > 0 THEN 'errors' END], lambda x: x IS NOT NULL), ',') AS refused_for FROM s"""
+
+_PCT = lambda c: f"CASE WHEN TRY_CAST(replace({c}, '%', '') AS DOUBLE) < 9999 THEN TRY_CAST(replace({c}, '%', '') AS DOUBLE) / 100 END"
+ORACLES["benchmark_file_lines"] = with_views(["bf"], f"""SELECT file, row, a0 AS naics, a2 AS province, 'rent' AS bucket, {_PCT("a3")} AS pct, nullif(trim(a4), '') AS quality, {_PCT("a5")} AS q1, {_PCT("a6")} AS q2, {_PCT("a7")} AS q3, {_PCT("a8")} AS q4 FROM bf
+ UNION ALL SELECT file, row, a0, a2, 'net_profit_margin', {_PCT("a10")}, nullif(trim(a4), ''), {", ".join(f"CASE WHEN file = 'f0' THEN {_PCT(c)} END" for c in ("a5", "a6", "a7", "a8"))} FROM bf""")

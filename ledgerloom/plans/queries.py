@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import tables as X
 from ..operators import categorise as C
+from ..operators import cube as B
 from ..operators import linkage as L
 from ..operators import linked as G
 from ..operators import lookup as U
 from ..operators import overview as O
+from ..operators import pages as D
 from ..operators import predicates as P
+from ..operators import quotes as H
 from ..operators import rails as W
 from ..operators import reporting as R
 from ..operators import sequences as Q
 from ..operators import transfers as T
+from ..sources import sheets as J
 from ..sources import sinks as K
 from ..sources import statement_text as E
 from ..operators.cut import written
+from ..streaming import actions as A
 from .views import Views
 
 RATES = [("CAD", "1.000000"), ("USD", "1.370000")]
@@ -609,4 +614,99 @@ def statement_facts(v):
     return E.facts(_texts(v.statement_lines).unionByName(_wallet_pages(v)), 2000).select("file", *E.FACTS)
 
 
+@query
+def page_batches_merged(v):
+    answer = F.to_json(F.struct("continuation", "vendor", "currency", "invoice_number", "grand_total_page", "has_grand_total", "total", "amount", "gst", F.col("weak").alias("_confidence"), F.array(F.struct(F.col("item").alias("description")), F.struct(F.lit("tax").alias("description"))).alias("line_items")))
+    parts = D.batches(v.page_batches.select("user_id", "document_id", "batch", "last_page", answer.alias("json")))
+    out = D.merged(parts.withColumn("_all", F.lit(12)).withColumn("_read", F.when(F.col("document_id") % 9 == 0, 10).otherwise(12)), "_all", "_read")
+    return out.select("user_id", "document_id", "vendor", "currency", "invoice_number", "total", "gst", "amount", F.array_join("line_items", ";").alias("line_items"), F.size("claims").alias("n_claims"), "n_batches", "reasons")
+
+
+@query
+def workbook_rows(v):
+    return J.read(v.book_rows.select("file", "sheet", "row", F.array("c1", "c2", "c3", "c4", "c5").alias("cells")))
+
+
+@query
+def benchmark_file_lines(v):
+    block = lambda name, gap: [f"{name}\nsous-titre", "Quality Indicator", f"Bottom Quartile {name}", f"Lower  Middle {name}", "moved" if gap else f"Upper Middle {name}", f"Top Quartile {name}", "% of Businesses Reporting"]
+    heads = [(f"f{k}", -1, ["NAICS", "Name", "Province", *block("Rent", False), *block("Net Profit/Loss", k == 1), "Rent"]) for k in (0, 1)]
+    names = [f"a{k}" for k in range(11)]
+    rows = v.benchmark_rows.select("file", "row", F.array(*names, "a4", "a5", "a6", "a7", "a8", "a9", "a3").alias("cells"))
+    return J.benchmark_lines(rows.unionByName(v.spark.createDataFrame(heads, "file string, row long, cells array<string>")))
+
+
+@query
+def converted_by_day(v):
+    rows = v.transactions.select("user_id", "id", F.when(F.col("id") % 7 == 3, "EUR").when(F.col("id") % 7 == 5, "GBP").otherwise(F.col("currency")).alias("currency"), F.to_date("date_posted").alias("day"), P.absolute().alias("value"))
+    out = H.converted(rows, v.quotes, "value")
+    return out.select("user_id", "id", "currency", "rate", F.date_format("as_of", "yyyy-MM-dd").alias("as_of"), "in_base")
+
+
+@query
+def currencies_without_quotes(v):
+    rows = v.transactions.select(F.when(F.col("id") % 7 == 5, "GBP").otherwise(F.col("currency")).alias("currency"))
+    return H.missing(rows, v.quotes)
+
+
+@query
+def unambiguous_by_customer(v):
+    """unambiguous_settled where every customer is a tenant, so that receipts with one candidate exist."""
+    t, r = v.customer_transactions, v.customer_receipts
+    return L.unambiguous(t, r, L.scored(L.candidates(t, r))).select("user_id", "transaction_id", "document_id")
+
+
+@query
+def candidate_counts_by_customer(v):
+    """Candidates at any date, by amount and by printed amount, of each receipt with a stated currency."""
+    d = v.customer_receipts.select("user_id", F.col("id").alias("document_id"), F.when(F.col("currency_source") != "assumed", F.col("currency")).alias("doc_ccy"), L.cents(F.abs(S.money("total"))).alias("doc_c"), F.lit(None).cast("long").alias("alt_c"))
+    return L.candidate_counts(v.customer_transactions, d.where("doc_ccy is not null and doc_c > 0"))
+
+
+@query
+def review_actions_folded(v):
+    return A.fold(v.review_events).where("kind = 'match'").select("user_id", "transaction_id", "match_id", "document_id", "status", "user_action", "match_type", "seq")
+
+
+@query
+def review_audit(v):
+    return A.fold(v.review_events).where("kind = 'audit' and action <> 'LOAD'").select("user_id", "transaction_id", "seq", "action", "match_id", "outcome", "old_value")
+
+
+@query
+def review_resync(v):
+    return A.resynced(A.fold(v.review_events), v.transactions, v.receipts, v.links)
+
+
+def _businesses(v, since):
+    """Customers as businesses: the segment is the industry, the nation's parity the band, every category a bucket."""
+    who = v.table("customer").select(F.col("c_custkey").alias("business"), F.col("c_mktsegment").alias("naics"), F.when(F.col("c_acctbal") < 5000, "30K-5M").otherwise("5M-20M").alias("band"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("cohort"))
+    rows = v.customer_transactions.where(F.col("date_posted") >= since).select(F.col("user_id").alias("business"), "transaction_type", F.coalesce("category", F.lit("other")).alias("bucket"), P.absolute().alias("value"))
+    revenue = rows.where("transaction_type = 'CREDIT'").groupBy("business").agg(F.sum("value").alias("revenue"))
+    spent = rows.where("transaction_type = 'DEBIT'").groupBy("business", "bucket").agg(F.sum("value").alias("amount"))
+    return spent.join(revenue, "business").join(who, "business")
+
+
+def _releases(v):
+    return written(B.release(_businesses(v, "1998-01-01")), "cube"), B.release(_businesses(v, "1995-01-01"))
+
+
+@query
+def cube_line_errors(v):
+    return B.line_errors(_releases(v)[0])
+
+
+@query
+def cube_compared(v):
+    return B.compared(*_releases(v))
+
+
+@query
+def cube_verdict(v):
+    new, old = _releases(v)
+    cells = new.groupBy(*B.KEYS).agg((1 - F.sum("pct")).alias("net_profit_margin"), F.lit(0.5).alias("gross_margin"), F.lit(None).cast("double").alias("pct_profitable"), F.lit("A").alias("quality"))
+    errors = B.line_errors(new).select(*B.KEYS, "error").unionByName(B.cell_errors(new, cells))
+    return B.verdict(new, old, errors)
+
+
 __all__ = ["QUERIES", "SparkSession", "Window", "X"]

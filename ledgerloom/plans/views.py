@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-SOURCES = ("orders", "events", "customer")
+SOURCES = ("orders", "events", "customer", "lineitem")
 
 # name -> (source table, SELECT over it). `chain_links` gives chains of several edges, `matches` all four statuses.
 VIEW_SQL = {
@@ -78,7 +78,41 @@ FROM events"""),
  CAST(year(o_orderdate) AS STRING) AS yyyy, CAST(CAST(o_totalprice AS DECIMAL(14,2)) * CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE -1 END AS STRING) AS gross,
  CASE o_orderkey % 12 WHEN 9 THEN 'General Currency Conversion' ELSE 'Express Checkout Payment' END AS said
 FROM orders WHERE o_orderkey % 5 = 4"""),
+    # answers of page batches: an order is a document, its lines are batches
+    "pb": ("lineitem", """SELECT l_orderkey % 4 AS user_id, l_orderkey AS document_id, batch, CAST(2 * batch AS INT) AS last_page, CASE l_partkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'no' ELSE NULL END AS continuation,
+ CASE l_suppkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN 'NOT_A_FINANCIAL_DOCUMENT' WHEN 2 THEN '' ELSE concat('Vendor ', CAST(l_suppkey % 7 AS STRING)) END AS vendor, CASE l_partkey % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN 'CAD' WHEN 2 THEN 'USD' ELSE NULL END AS currency,
+ CASE WHEN l_partkey % 5 = 0 THEN concat('I', CAST(l_partkey AS STRING)) ELSE NULL END AS invoice_number, CASE WHEN l_partkey % 6 = 0 THEN CAST(1 + l_suppkey % 4 AS STRING) ELSE NULL END AS grand_total_page, CASE WHEN l_partkey % 7 = 0 THEN 'Yes' ELSE NULL END AS has_grand_total,
+ CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('$', CAST(CAST(CASE WHEN l_quantity < 30 THEN 100 ELSE 100 + l_suppkey % 3 END + CASE WHEN l_partkey % 2 = 0 THEN 0.02 ELSE 0.00 END AS DECIMAL(14,2)) AS STRING), ' CAD') END AS total,
+ CASE WHEN l_suppkey % 3 = 0 THEN '0' ELSE CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS STRING) END AS amount, CASE WHEN l_partkey % 3 = 1 THEN CAST(CAST(l_extendedprice * 0.05 AS DECIMAL(14,2)) AS STRING) ELSE NULL END AS gst,
+ concat('P', CAST(l_partkey AS STRING)) AS item, CASE WHEN l_suppkey % 11 = 0 THEN 'low' ELSE NULL END AS weak
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS batch FROM lineitem) x"""),
+    # rows of hand-kept sheets: a section for each currency with its own column order, the first closed by a SUM row; a card sheet
+    "bs": ("orders", """SELECT file, sheet, CAST(row_number() OVER (PARTITION BY file, sheet ORDER BY sec, kind, id) AS BIGINT) AS row, sec, kind, id, c1, c2, c3, c4, c5 FROM (
+ SELECT file, sheet, sec, 1 AS kind, id, CASE WHEN sec = 1 THEN ymd ELSE typ END AS c1, CASE WHEN sec = 1 THEN typ WHEN sec = 2 THEN ymd ELSE ymd END AS c2, CASE WHEN sec = 2 THEN said ELSE money END AS c3, CASE WHEN sec = 2 THEN money ELSE said END AS c4, cat AS c5
+ FROM (SELECT concat('b', CAST(o_custkey % 4 AS STRING), '-', CAST(year(o_orderdate) AS STRING)) AS file, CASE WHEN o_orderkey % 5 = 2 THEN 'Company card' ELSE 'Bank' END AS sheet, CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS sec, o_orderkey AS id,
+   CASE WHEN o_orderkey % 29 = 0 THEN 'pending' ELSE concat(CAST(year(o_orderdate) AS STRING), lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), CASE WHEN o_orderkey % 2 = 0 THEN '.0' ELSE '' END) END AS ymd,
+   CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'Credit' ELSE 'debit' END AS typ,
+   CASE WHEN o_orderkey % 5 = 2 AND o_orderkey % 3 = 0 THEN concat('$', CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS STRING), ' CR') ELSE concat(CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 2 THEN '-' ELSE '' END, CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS STRING)) END AS money,
+   concat('Entry ', CAST(o_orderkey AS STRING)) AS said, CASE o_orderkey % 4 WHEN 0 THEN 'Bank fees' WHEN 1 THEN 'office supplies' WHEN 2 THEN ' Rent ' ELSE NULL END AS cat FROM orders WHERE o_orderkey % 5 < 3) x
+ UNION ALL SELECT DISTINCT concat('b', CAST(o_custkey % 4 AS STRING), '-', CAST(year(o_orderdate) AS STRING)), CASE WHEN h.sec = 3 THEN 'Company card' ELSE 'Bank' END, h.sec, h.kind, CAST(0 AS BIGINT), h.c1, h.c2, h.c3, h.c4, h.c5 FROM orders,
+  (SELECT 1 AS sec, 0 AS kind, 'Date Posted' AS c1, 'Transaction Type' AS c2, 'Transaction Amount (CAD)' AS c3, 'Description' AS c4, 'Category' AS c5 UNION ALL SELECT 1, 2, 'SUM', NULL, '1.00', NULL, NULL UNION ALL SELECT 1, 3, '20000101', 'DEBIT', '5.00', 'after the sum', NULL
+   UNION ALL SELECT 2, 0, 'Transaction Type', 'Date Posted', 'Description', 'Transaction Amount USD', 'Category' UNION ALL SELECT 3, -1, 'made by hand', NULL, NULL, NULL, NULL UNION ALL SELECT 3, 0, 'Transaction Date', 'Posting Date', 'Transaction Amount', 'Description', 'Category') h) y"""),
+    # rows of benchmark files: two blocks of columns, of which the second lost a quartile column in the second file
+    "bf": ("customer", """SELECT concat('f', CAST(c_nationkey % 2 AS STRING)) AS file, c_custkey AS row, CAST(c_custkey % 900 + 100 AS STRING) AS a0, c_name AS a1, CAST(c_nationkey AS STRING) AS a2,
+ CASE WHEN c_custkey % 17 = 0 THEN '9999' WHEN c_custkey % 13 = 0 THEN '..' ELSE CAST(CAST(abs(c_acctbal) / 100 AS DECIMAL(14,2)) AS STRING) END AS a3, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN ' ' ELSE 'C' END AS a4,
+ CAST(c_custkey % 10 AS STRING) AS a5, CAST(c_custkey % 20 AS STRING) AS a6, CAST(c_custkey % 30 AS STRING) AS a7, CAST(c_custkey % 40 AS STRING) AS a8, CAST(c_custkey % 50 AS STRING) AS a9, concat(CAST(c_custkey % 60 AS STRING), '%') AS a10
+FROM customer"""),
+    # quotes on every third day, of one currency from its third year only
+    "fx": ("orders", """SELECT currency, day, CAST(1.20 + (sum(o_orderkey) % 3500) / 10000 AS DECIMAL(12,6)) AS rate FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency, CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders) x
+ WHERE day(day) % 3 = 0 AND (currency = 'USD' OR year(day) > 1996) GROUP BY currency, day"""),
+    # a log of review actions on the matches of `m`, each loaded first
+    "ev": ("orders", """SELECT m.user_id, m.transaction_id, a.seq, a.action, CASE WHEN a.seq = 4 THEN m.id + 10000000 WHEN a.seq = 5 THEN m.id + 20000000 ELSE m.id END AS match_id,
+ CASE WHEN a.seq = 1 THEN m.document_id + 4 WHEN a.seq = 5 THEN m.document_id + 8 WHEN a.seq = 0 THEN m.document_id ELSE NULL END AS document_id, CASE WHEN a.seq = 1 THEN m.id + 10000000 ELSE NULL END AS new_match_id, CASE WHEN a.seq = 0 THEN m.status ELSE NULL END AS status, CAST(NULL AS STRING) AS reason
+ FROM (SELECT o_orderkey AS id, o_custkey % 4 AS user_id, o_orderkey AS transaction_id, o_orderkey + 1000000 AS document_id, CASE o_orderkey % 10 WHEN 0 THEN 'USER_REJECTED' WHEN 2 THEN 'PENDING_REVIEW' WHEN 4 THEN 'USER_APPROVED' ELSE 'AUTO_APPROVED' END AS status FROM orders WHERE o_orderkey % 4 <> 3 AND o_orderkey % 2 = 0) m,
+ (SELECT CAST(0 AS BIGINT) AS seq, 'LOAD' AS action, 1 AS k UNION ALL SELECT 1, 'REASSIGN', 3 UNION ALL SELECT 2, 'REMOVE_PROOF', 5 UNION ALL SELECT 4, 'SUPERSEDE', 7 UNION ALL SELECT 5, 'ADD_PROOF', 11) a WHERE m.id % a.k = 0"""),
 }
+# tenants of a few rows each: every customer is one
+VIEW_SQL |= {f"{k}c": (source, sql.replace("o_custkey % 4 AS user_id", "o_custkey AS user_id")) for k, (source, sql) in VIEW_SQL.items() if k in "tr"}
 
 
 class Views:
@@ -102,6 +136,13 @@ class Views:
     jobs = cached_property(lambda self: self._view("j"))
     statement_lines = cached_property(lambda self: self._view("sl"))
     wallet_lines = cached_property(lambda self: self._view("wp"))
+    page_batches = cached_property(lambda self: self._view("pb"))
+    book_rows = cached_property(lambda self: self._view("bs"))
+    benchmark_rows = cached_property(lambda self: self._view("bf"))
+    quotes = cached_property(lambda self: self._view("fx"))
+    review_events = cached_property(lambda self: self._view("ev"))
+    customer_transactions = cached_property(lambda self: self._view("tc"))
+    customer_receipts = cached_property(lambda self: self._view("rc"))
 
 
 def with_views(names: str, sql: str, recursive: bool = False) -> str:
