@@ -2,12 +2,17 @@
 
 Base patterns (an assigned credential, an access-key id, long hexadecimal runs) are always reported. Besides, every run
 of `[A-Za-z0-9+/_=-]` of MIN_RUN characters or more is scored by two first-order character models: each character adds
-its log-likelihood ratio (CLIP at most, as the models know rare pairs badly) less DRIFT, and the segment of MIN_RUN or
-more characters with the largest sum decides, so ordinary characters around a key don't dilute it. A sum of THRESHOLD
-nats or more is a span of kind `markov`; nothing else gates it. Where
-base spans cover a part of the segment, what is left of it is reported, piece by piece. The models are trained from
-labelled samples that `labelled_samples` makes from a seed: random strings over the usual alphabets against identifiers
-composed of ordinary words and counters.
+its log-likelihood ratio (CLIP at most, as the models know rare pairs badly) less DRIFT. The segment of MIN_RUN or more
+characters with the largest sum decides, so ordinary characters around a key don't dilute it; a sum of THRESHOLD nats or
+more is a secret, nothing else gates it, and the rest of the run to both sides is searched in the same way, so several
+keys of one run are all found (a round for each level of these splits).
+
+A key is reported whole: a found segment is widened to the ends of the letters and digits it cuts, then over the next
+stretch of letters and digits to either side as long as that is likelier random than ordinary (or too short to tell, or digits), and over
+`+` beside it, `=` after it and whatever separators are left to the ends of the run.
+Widened segments that meet are one span of kind `markov`. Where base spans cover a part of it, what is left of it is
+reported, piece by piece. The models are trained from labelled samples that `labelled_samples` makes from a seed: random
+strings over the usual alphabets against identifiers composed of ordinary words and counters, and repeated characters.
 
 Null texts are empty and have no spans. Offsets are code points, the end exclusive. Runs may be of any length.
 """
@@ -34,8 +39,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYS = re.compile(rb"password|passwd|secret|token|api_?key", re.IGNORECASE)
-_RUN = np.zeros(256, bool)
-_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+_RUN, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")] = True
+_RUN[:] = _ALNUM
+_RUN[list(b"+/_=-")] = True
 # Ordinary words that identifiers are composed of in the labelled samples.
 WORDS = """account address amount balance batch bucket buffer cache category chain check client column commit config
 count create cursor data date delete digest document driver engine entry error event export field file filter final
@@ -70,6 +77,8 @@ def labelled_samples(seed: int = 5, n: int = 4000) -> tuple[list[str], list[str]
             s = "/".join(parts)
         tail = rng.choice(["", "", str(rng.randint(0, 99)), f"_{rng.randint(1, 9999)}", f"-{rng.randint(2000, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"_v{rng.randint(1, 20)}", f"={rng.randint(0, 100000)}"])
         plain.append(s + tail)
+    for c in lower + upper + digits + "+/_=-":
+        plain += [c * rng.randint(16, 40) for _ in range(n // 1000)]
     return secret, plain
 
 
@@ -128,6 +137,53 @@ def best_segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     return best, at[begin], at[stop] + 1
 
 
+def segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, end) of every segment that is a secret: the best of each run, then the best of what is left to both sides."""
+    run = np.arange(len(starts))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(starts):
+        score, s, e = best_segments(raw, starts, ends)
+        ok = score >= THRESHOLD
+        run, s, e = run[ok], s[ok], e[ok]
+        found.append((run, s, e))
+        left, right = s - starts[ok] >= MIN_RUN, ends[ok] - e >= MIN_RUN
+        run, starts, ends = np.concatenate([run[left], run[right]]), np.concatenate([starts[ok][left], e[right]]), np.concatenate([s[left], ends[ok][right]])
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _likely_random(raw: np.ndarray, a: int, b: int, run_start: int) -> bool:
+    """Whether the characters of [a, b) are likelier random than ordinary; digits alone or up to three characters say nothing against it."""
+    if b - a <= 3 or raw[a:b].max() <= 57:
+        return True
+    before = np.concatenate([[0 if a == run_start else raw[a - 1]], raw[a : b - 1]])
+    return float(np.clip(ratio_table()[before, raw[a:b]], -CLIP, CLIP).sum()) >= 0
+
+
+def widened(raw: np.ndarray, s: int, e: int, start: int, end: int) -> tuple[int, int]:
+    """A found segment of the run [start, end), to the ends of its key."""
+    word = _ALNUM[raw[start:end]]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+    firsts, lasts = edge[::2] + start, edge[1::2] + start  # stretches of letters and digits
+    i, j = int(np.searchsorted(lasts, s, "right")), int(np.searchsorted(firsts, e, "left")) - 1
+    if i <= j:
+        s, e = int(firsts[i]), int(lasts[j])
+    while i > 0 and _likely_random(raw, int(firsts[i - 1]), int(lasts[i - 1]), start):
+        i -= 1
+        s = int(firsts[i])
+    while j + 1 < len(firsts) and _likely_random(raw, int(firsts[j + 1]), int(lasts[j + 1]), start):
+        j += 1
+        e = int(lasts[j])
+    while e < end and raw[e] in (43, 61):
+        e += 1
+    while s > start and raw[s - 1] == 43:
+        s -= 1
+    # separators between a key and the end of its run belong to it
+    return start if i <= 0 else s, end if j + 1 >= len(firsts) else e
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Base matches: leftmost and non-overlapping for each kind, by start, then kind as listed."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -141,8 +197,7 @@ def scan_chunk(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[list, list]]:
     n = len(offsets) - 1
     starts, ends, first = K.spans(_RUN[raw], offsets)
     long = np.flatnonzero(ends - starts >= MIN_RUN)
-    score, s, e = best_segments(raw, starts[long], ends[long])
-    add = score >= THRESHOLD
+    which, s, e = segments(raw, starts[long], ends[long])
     doc = np.searchsorted(first, long, "right") - 1
     data = raw.tobytes()
     look = set(doc.tolist())
@@ -153,8 +208,13 @@ def scan_chunk(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[list, list]]:
             d = int(np.searchsorted(offsets, m.start(), "right")) - 1
             look.add(d)
     more: dict[int, list[tuple[int, int]]] = {}
-    for k in np.flatnonzero(add):
-        more.setdefault(int(doc[k]), []).append((int(s[k]), int(e[k])))
+    for k, a, b in sorted(zip(which.tolist(), s.tolist(), e.tolist(), strict=True)):
+        a, b = widened(raw, a, b, int(starts[long[k]]), int(ends[long[k]]))
+        spans = more.setdefault(int(doc[k]), [])
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (min(a, spans[-1][0]), max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
     out: list[tuple[list, list]] = [([], [])] * n
     for d in look:
         body = data[at[d] : at[d + 1]]

@@ -169,6 +169,89 @@ def test_markov_spans_around_base_spans(spark):
     assert inside == [key, key, "Q7xKw9ZtPq3L"]
 
 
+def loop_base(text):
+    """Base spans character by character, without regular expressions."""
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out, names = [], ("password", "passwd", "secret", "token", "api_key", "apikey")
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    i = 0
+    while i < len(text):
+        name = next((n for n in names if low.startswith(n, i)), None)
+        end = None
+        if name:
+            j = i + len(name)
+            for quote in (True, False):  # the optional quote is taken if the rest fits, as is the second one
+                k = j + 1 if quote and text[j : j + 1] in ('"', "'") and text[j : j + 1] else j
+                while text[k : k + 1] == " ":
+                    k += 1
+                if text[k : k + 1] in (":", "=") and text[k : k + 1]:
+                    k += 1
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    k += text[k : k + 1] in ('"', "'") and bool(text[k : k + 1])
+                    v = k
+                    while v < len(text) and text[v] in word:
+                        v += 1
+                    if v > k:
+                        end = (k, v)
+                        break
+        if end:
+            if end[1] - end[0] >= 6:
+                out.append((i, 0, end[1]))
+            i = end[1]
+        else:
+            i += 1
+    for kind, begin, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(text):
+            j = i + len(begin)
+            if text.startswith(begin, i):
+                while j < len(text) and text[j] in chars:
+                    j += 1
+            if text.startswith(begin, i) and j > i + len(begin):
+                if j - i >= least:
+                    out.append((i, kind, j))
+                i = j
+            else:
+                i += 1
+    return [(s, e, secretscan.KINDS[k]) for s, k, e in sorted(out)]
+
+
+def test_base_spans_match_a_plain_loop(spark):
+    rng = random.Random(12)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "AKIA", "é", '"', "'", ":", "=", " ", " ", "abc123", "0a1b2c3d4e5f", "XYZ0123456789ABC", "AKIAAKIA", "\n", ".", "/"]
+    rows = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(400)]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    for t in rows + [t for _, t in docs]:
+        assert secretscan.base_spans(t) == loop_base(t)
+    got = {r.doc_id: r for r in secretscan.scan(docs_of(spark, docs)).collect()}
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in got.values()) > 5
+    for i, t in docs:
+        want = secretscan.listed(loop_base(t))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
+
+
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_no_part_of_a_found_key_stays(spark):
+    rng = random.Random(11)
+    key = lambda chars, n: "".join(rng.choices(chars, k=n))
+    plain = [(i, f"key {key(ALNUM, 40)} end") for i in range(2000)]
+    mixed = [(5000 + i, f"key {key(ALNUM + rng.choice(['+/', '-_']), rng.choice([40, 64]))} end") for i in range(1000)]
+    out = {r.doc_id: r.text for r in secretscan.redacted(docs_of(spark, plain + mixed)).collect()}
+    assert all(out[i] == "key [secret] end" for i, _ in plain)
+    assert sum(out[i] == "key [secret] end" for i, _ in mixed) >= 980 and all("[secret]" in out[i] for i, _ in mixed)
+    path = "internal/configuration/settings/directory"
+    k = [key(ALNUM, 24) for _ in range(5)]
+    cases = {
+        f"{k[0]}/{path}/{k[1]}": f"[secret]/{path}/[secret]", f"x {k[0]}/{path}/{k[1]}/{path}/{k[2]}/{path}/{k[3]} é {k[4]}": f"x [secret]/{path}/[secret]/{path}/[secret]/{path}/[secret] é [secret]",
+        "aws key wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1": "aws key [secret]", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": "[secret]", "id 550e8400-e29b-41d4-a716-446655440000": "id [secret]", "A" * 24: "A" * 24, "=" * 50: "=" * 50, "-" * 60: "-" * 60, path: path, "é" + path + "_2024_v3": "é" + path + "_2024_v3",
+    }
+    out = {r.doc_id: r.text for r in secretscan.redacted(docs_of(spark, list(enumerate(cases)))).collect()}
+    assert [out[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_secrets_are_redacted(spark):
     out = secretscan.redacted(docs_of(spark, [(1, "key Zk3vQ9xT7bLm2Rw8Yp4Jd6 here"), (2, None), (3, "total_account_balance_update_2024 ok")]))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "key [secret] here", 2: None, 3: "total_account_balance_update_2024 ok"}
