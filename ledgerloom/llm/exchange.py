@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cut import dropped, written
 
-__all__ = ["PACKED", "bucket_bits", "bucket_of", "dropped", "equal_runs", "pack", "partitions", "reduce_blobs", "reduce_packed", "rows", "table", "written"]
+__all__ = ["PACKED", "bucket_bits", "bucket_of", "dropped", "equal_runs", "free_name", "pack", "partitions", "reduce_blobs", "reduce_packed", "rows", "table", "written"]
 LEAST_BITS = 13
 PACKED = "bucket int, payload binary"
 
@@ -87,5 +87,13 @@ def rows(buckets: list[int], payloads: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or name with as many underscores as it takes to clash with no column, however it is cased."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

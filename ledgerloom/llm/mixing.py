@@ -29,6 +29,8 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exchange import free_name
+
 BLOCK_CHARS = 1 << 16
 CYCLE = 1000
 MAX_CYCLE = 1 << 14
@@ -116,5 +118,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_c
     turn = F.col("turn") * F.col("cycle_slots")
     in_mix = F.col("own_units").isNotNull()
     places = [F.col("n_size"), F.when(in_mix, F.col("block")), turn + F.col("cycle_slot"), turn + F.col("release"), turn + F.col("deadline"), F.when(in_mix, F.col("block_offset"))]
-    named = [c.alias(f"mix_{name}" if name in keep else name) for c, name in zip(places, PLACES, strict=True)]
+    held = {c.lower() for c in keep}
+    named = [c.alias(free_name(f"mix_{name}", keep) if name in held else name) for c, name in zip(places, PLACES, strict=True)]
     return placed.join(F.broadcast(plan), ["source_key", "k"], "left").select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(keep)], *named)

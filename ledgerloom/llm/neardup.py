@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .exchange import PACKED, bucket_bits, bucket_of, dropped, pack, partitions, reduce_packed, written
+from .exchange import PACKED, bucket_bits, bucket_of, dropped, free_name, pack, partitions, reduce_packed, written
 from .repeats import keyed, row_key
 
 WIDTH = 5
@@ -566,5 +566,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     part = near_duplicates(rows.select(F.col("near_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("near_row"), "component_id")
     lead = rows.select("near_row", "doc_id").join(part, "near_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "near_row")).alias("r"))
     kept = lead.select(F.col("r.near_row").alias("near_row"))
-    key = F.xxhash64(row_key(alone), "text")
-    return docs.withColumn("near_row", key).dropDuplicates(["near_row"]).join(kept.hint("merge"), "near_row", "left_semi").select(docs.columns)
+    key, name = F.xxhash64(row_key(alone), "text"), free_name("near_row", docs.columns)
+    return docs.withColumn(name, key).dropDuplicates([name]).join(kept.withColumnRenamed("near_row", name).hint("merge"), name, "left_semi").select(docs.columns)

@@ -215,3 +215,9 @@ def test_rows_with_null_and_equal_ids_are_rows_of_their_own(spark, hot):
     got = suffixes.remove_strings(docs_of(spark, rows).repartition(5), 60, 12, hot).collect()
     want = brute_bytes(own(lambda r: (r[0] is not None, r[0] or 0)), 60)
     assert count((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == count(want.values())
+
+
+def test_one_of_each_leaves_columns_of_any_name_alone(spark):
+    docs = spark.createDataFrame([(1, "a b c", "own", 7), (1, "a b c", "own", 7), (None, "d e f", None, 8)], "doc_id long, text string, Near_Row string, near_row_ long")
+    got = sorted(map(str, neardup.one_of_each(docs).collect()))
+    assert got == ["Row(doc_id=1, text='a b c', Near_Row='own', near_row_=7)", "Row(doc_id=None, text='d e f', Near_Row=None, near_row_=8)"]

@@ -412,3 +412,10 @@ def test_pii_surrogates_are_distinct_and_keyed(spark):
     assert len(set(names)) == len(rows) and not set(names) & {t.split(" ")[1] for _, t in rows}
     other = pii.pseudonymised(docs_of(spark, rows), key="other").collect()
     assert {r.text for r in other} != {r.text for r in ents.collect()}
+
+
+def test_mixing_keeps_columns_of_the_names_it_adds(spark):
+    docs = spark.createDataFrame([(1, "abc", "s", "x", "y")], "doc_id long, text string, source string, Slot string, mix_slot string")
+    out = mixing.mix(docs)
+    row = out.first()
+    assert (row["Slot"], row["mix_slot"], row["mix_slot_"]) == ("x", "y", 0) and len({c.lower() for c in out.columns}) == len(out.columns)
