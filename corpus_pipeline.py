@@ -46,5 +46,5 @@ ORACLE_SQL = None  # the learned rules have no SQL form; tests compare the stage
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
