@@ -313,6 +313,26 @@ def payment_date(raw: Column | str, method: Column | str, document_date: Column
     return F.coalesce(stated, named, F.try_to_date(F.regexp_extract(col(method), r"\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd"))
 
 
+def filename_hint(c: Column | str) -> Column:
+    """The 15th of the month that a file's name tells (Dec2026, 2026 Dec, Dec252026), 2020 to 2030; the first of the three that is there and in range."""
+    name, mon = F.coalesce(col(c), F.lit("")), "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+    tries = [(rf"(?i){mon}\s*(\d{{4}})", 1, 2), (rf"(?i)(\d{{4}})\s+{mon}", 2, 1), (rf"(?i){mon}\d{{1,2}}(\d{{4}})", 1, 2)]
+    at = lambda m: F.lpad(F.array_position(F.array(*map(F.lit, X.MONTHS)), F.lower(m)).cast("string"), 2, "0")
+    dates = []
+    for p, m, y in tries:
+        month_text, year = F.regexp_extract(name, p, m), F.regexp_extract(name, p, y).try_cast("int")
+        dates.append(F.when(year.between(2020, 2030), F.try_to_date(F.concat_ws("-", year, at(month_text), F.lit("15")))))
+    return F.coalesce(*dates)
+
+
+def best_date(raw: Column | str, method: Column | str, document_date: Column | str, filename: Column | str) -> Column:
+    """The date a receipt is compared by: that of payment, else its own; a file name's month that is one or two months later wins, or stands alone."""
+    own = F.coalesce(payment_date(raw, method, document_date), F.try_to_date(col(document_date).cast("string")))
+    hint = filename_hint(filename)
+    later = (F.year(hint) - F.year(own)) * 12 + F.month(hint) - F.month(own)
+    return F.when(later.between(1, 2), hint).otherwise(F.coalesce(own, hint))
+
+
 def line_items_text(items: Column | str) -> Column:
     """Up to five line items as `2x name (amount); ...`, 200 characters at most; text that is no list of items is cut alone."""
     parsed = F.from_json(col(items), "array<map<string,string>>")

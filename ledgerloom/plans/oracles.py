@@ -413,3 +413,11 @@ ORACLES["cube_verdict"] = f"""{_TWO}, {_CMP}, e AS (SELECT 1 FROM {_BAD} UNION A
 _PCT = lambda c: f"CASE WHEN TRY_CAST(replace({c}, '%', '') AS DOUBLE) < 9999 THEN TRY_CAST(replace({c}, '%', '') AS DOUBLE) / 100 END"
 ORACLES["benchmark_file_lines"] = with_views(["bf"], f"""SELECT file, row, a0 AS naics, a2 AS province, 'rent' AS bucket, {_PCT("a3")} AS pct, nullif(trim(a4), '') AS quality, {_PCT("a5")} AS q1, {_PCT("a6")} AS q2, {_PCT("a7")} AS q3, {_PCT("a8")} AS q4 FROM bf
  UNION ALL SELECT file, row, a0, a2, 'net_profit_margin', {_PCT("a10")}, nullif(trim(a4), ''), {", ".join(f"CASE WHEN file = 'f0' THEN {_PCT(c)} END" for c in ("a5", "a6", "a7", "a8"))} FROM bf""")
+
+# receipts of twenty-five years later, compared by their best date
+_DATED = """r0 AS (SELECT *, CAST(CAST(document_date AS DATE) + INTERVAL 300 MONTH AS DATE) AS d0, id % 10 AS k FROM r1),
+ r2 AS (SELECT *, CASE k WHEN 1 THEN d0 + 9 WHEN 2 THEN d0 + 12 WHEN 4 THEN d0 + 20 ELSE d0 END AS own, CASE WHEN k = 3 AND year(d0 + to_months(CAST(id % 4 AS INT))) BETWEEN 2020 AND 2030 THEN make_date(year(d0 + to_months(CAST(id % 4 AS INT))), month(d0 + to_months(CAST(id % 4 AS INT))), 15) END AS hint FROM r0),
+ r AS (SELECT * REPLACE (strftime(CASE WHEN (year(hint) - year(own)) * 12 + month(hint) - month(own) BETWEEN 1 AND 2 THEN hint ELSE coalesce(own, hint) END, '%Y-%m-%d') AS document_date) FROM r2)"""
+ORACLES["best_dates"] = with_views("r", "").rstrip().replace("r AS (", "r1 AS (", 1) + f", {_DATED} SELECT user_id, id, document_date AS best FROM r"
+ORACLES["receipt_candidates_by_best_date"] = with_views("tr", "").rstrip().replace("t AS (", "t1 AS (", 1).replace("r AS (", "r1 AS (", 1) + f""", {_DATED},
+ t AS (SELECT * REPLACE (strftime(CAST(CAST(date_posted AS DATE) + INTERVAL 300 MONTH AS DATE), '%Y-%m-%d') AS date_posted) FROM t1), {NAIVE} SELECT user_id, transaction_id, document_id, match_reason, gap FROM cand WHERE match_reason IS NOT NULL"""

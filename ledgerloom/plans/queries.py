@@ -579,6 +579,29 @@ def crossed_payments(v):
     return out.select("user_id", "transaction_id", "document_id", F.date_format("anchor", "yyyy-MM-dd").alias("anchor"), "outcome")
 
 
+def _dated_receipts(v):
+    """Rows and receipts of twenty-five years later, some receipts with a printed payment date, some in files named after a month."""
+    later = lambda c: F.date_format(F.add_months(F.to_date(c), 300), "yyyy-MM-dd")
+    t = v.transactions.withColumn("date_posted", later("date_posted"))
+    r = v.receipts.withColumn("document_date", later("document_date"))
+    day, k = F.to_date("document_date"), F.col("id") % 10
+    paid = F.when(k == 1, F.concat(F.lit("Bank account on "), F.date_format(F.date_add(day, 9), "MMMM dd, yyyy"))).when(k == 2, F.concat(F.lit("visa "), F.date_format(F.date_add(day, 12), "yyyy-MM-dd")))
+    named = F.when(k == 3, F.concat(F.lit("bill "), F.date_format(F.add_months(day, (F.col("id") % 4).cast("int")), "MMMyyyy"))).otherwise(F.col("original_filename"))
+    raw = F.when(k == 4, F.concat(F.lit('{"payment_date": "'), F.date_format(F.date_add(day, 20), "yyyy-MM-dd"), F.lit('"}')))
+    return t, r.withColumn("payment_method", paid).withColumn("original_filename", named).withColumn("raw_json", raw)
+
+
+@query
+def best_dates(v):
+    r = _dated_receipts(v)[1]
+    return r.select("user_id", "id", F.date_format(S.best_date("raw_json", "payment_method", "document_date", "original_filename"), "yyyy-MM-dd").alias("best"))
+
+
+@query
+def receipt_candidates_by_best_date(v):
+    return L.candidates(*_dated_receipts(v)).select("user_id", "transaction_id", "document_id", "match_reason", "gap")
+
+
 def _texts(lines):
     whole = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("x"))
     return whole.select("file", F.lit(1).alias("page"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"), F.array().cast("array<array<array<string>>>").alias("tables"))

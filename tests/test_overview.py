@@ -1,11 +1,15 @@
 """Payload scalars, statement readers, contradictions and overview aggregates on hand-made rows."""
 
 import datetime
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.functions import tables as X
 from ledgerloom.operators import categorise as C
+from ledgerloom.operators import contradiction as N
 from ledgerloom.operators import linkage as L
 from ledgerloom.operators import overview as O
 from ledgerloom.operators import predicates as P
@@ -40,11 +44,51 @@ def test_previous_period():
     assert S.previous_period(d(2024, 3, 5), d(2024, 3, 7)) == (d(2024, 3, 2), d(2024, 3, 4))
 
 
-def test_contradictions():
-    assert L.merchant_contradiction("WHOLESALE CLUB #0000", "Orchid Telecom", "receipt.pdf")
-    for line, vendor, file in [("POS PURCHASE 0000", "Orchid Telecom", ""), ("PAYPAL *ORCHID TELECOM", "Orchid Telecom", ""), ("WHOLESALE CLUB", "", ""), ("WHOLESALE CLUB", "Cedarview", "wholesale_march.pdf"), ("AMZN MKTP CA", "Amazon.ca", ""), (None, None, None)]:
-        assert not L.merchant_contradiction(line, vendor, file), line
-    assert L.merchant_contradiction("AMZN MKTP CA", "Cedarview Supplies", "")  # a known vendor, though no word has to differ
+def contradicted(spark, rows):
+    """{texts: whether the line names another merchant}"""
+    out = N.with_contradiction(spark.createDataFrame(rows, "d string, v string, f string"), "d", "v", "f").collect()
+    return {(r.d, r.v, r.f): r.contradicted for r in out}
+
+
+def test_contradictions(spark):
+    fine = [("POS PURCHASE 0000", "Orchid Telecom", ""), ("PAYPAL *ORCHID TELECOM", "Orchid Telecom", ""), ("WHOLESALE CLUB", "", ""), ("WHOLESALE CLUB", "Cedarview", "wholesale_march.pdf"), ("AMZN MKTP CA", "Amazon.ca", ""), (None, None, None)]
+    bad = [("WHOLESALE CLUB #0000", "Orchid Telecom", "receipt.pdf"), ("AMZN MKTP CA", "Cedarview Supplies", "")]  # of the last a known vendor, though no word has to differ
+    got = contradicted(spark, fine + bad)
+    assert [got[x] for x in fine + bad] == [False] * len(fine) + [True] * len(bad)
+
+
+def test_contradictions_match_a_loop(spark):
+    rng = random.Random(9)
+    parts = ["ORCHID", "telecom", "Cedarview", "supplies", "AMZN MKTP", "amazon.ca", "POS", "purchase", "PAYPAL", "wise payments", "cedar", "clubs", "wholesale", "cl", "0042", "Tel", "bluepek", "software", "visa", "transfer"]
+    text = lambda n: " ".join(rng.choices(parts, k=rng.randint(0, n)))
+    rows = sorted({(text(4), text(3), text(2)) for _ in range(500)})
+    words = lambda x, *lists: [w for w in re.findall("[a-z]{3,}", x.lower()) if not any(w in k for k in lists)]
+    label = lambda d: " ".join([w for w in re.findall("[A-Za-z]{3,}", d) if w.lower() not in X.BANK_NOISE and w.lower() not in X.PAYMENT_RAILS][:3])
+    texts = sorted({label(d) for d, _, _ in rows} | {v for _, v, _ in rows})
+    keys = {r.t: r.k for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.vendor_key("t").alias("k")).collect()}
+
+    def loop(d, v, f):
+        printed, sold = words(d, X.BANK_NOISE, X.PAYMENT_RAILS), set(words(v, X.BANK_NOISE))
+        receipt = sold | set(words(f, X.BANK_NOISE))
+        if not printed or not receipt or receipt & set(printed) or any(len(p) > 3 and len(r) > 3 and (p in r or r in p) for p in printed for r in receipt):
+            return False
+        known = [p for p, _ in X.VENDOR_ALIASES if re.search(p, label(d), re.I)]
+        if (keys[label(d)] and keys[label(d)] == keys[v]) or any(re.search(p, v, re.I) for p in known) or any(re.search(p, d, re.I) for p in X.INTERMEDIARIES):
+            return False
+        name = " ".join(sorted(sold)) or v
+        return bool(known) or any(max([L.indel(w, r) for r in receipt] + [L.partial_indel(w, name)]) < 50 for w in printed if len(w) > 3)
+
+    got = contradicted(spark, rows)
+    assert got == {x: loop(*x) for x in rows} and 50 < sum(got.values()) < len(rows) - 50
+
+
+def test_best_date_of_a_receipt(spark):
+    d = datetime.date
+    names = ["Dec2026.pdf", "bill nov 2026", "2026 Dec scan", "Dec252026.pdf", "Dec 252026", "Jan1999 and 2026 Feb", "2026-12.pdf", "", None, "Decade2026"]
+    assert [r[0] for r in spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").orderBy("k").select(S.filename_hint("n")).collect()] == [d(2026, 12, 15), d(2026, 11, 15), d(2026, 12, 15), d(2026, 12, 15), None, d(2026, 2, 15), None, None, None, None]
+    rows = [("2026-11-03", None, "Dec2026.pdf"), ("2026-11-03", None, "Feb2027.pdf"), ("2026-11-03", None, "Oct2026.pdf"), (None, None, "Oct2026.pdf"), ("2026-11-30", None, "Jan2027"), ("2026-11-03", "card on December 01, 2026", "x"), ("2026-11-03", "card on December 1, 2026", "Jan2027"), (None, None, "x"), ("2026-11-03", None, "Nov2026")]
+    got = [r[0] for r in spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, d string, m string, f string").orderBy("k").select(S.best_date(F.lit(None).cast("string"), "m", "d", "f")).collect()]
+    assert got == [d(2026, 12, 15), d(2026, 11, 3), d(2026, 11, 3), d(2026, 10, 15), d(2027, 1, 15), d(2026, 12, 1), d(2027, 1, 15), None, d(2026, 11, 3)]
 
 
 def pair_rows(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import categorise as C
+from ledgerloom.operators import contradiction as N
 from ledgerloom.operators import linkage as L
 from ledgerloom.operators import linked as G
 from ledgerloom.operators import lookup as U
@@ -105,8 +106,13 @@ def test_indel_and_contradiction():
         want = 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
         assert L.indel(a, b) == pytest.approx(want)
     assert L.partial_indel("abc", "xxabcxx") == 100.0
-    assert L.merchant_contradiction("ORCHID TELECOM 55", "Cedarview Supplies") and not L.merchant_contradiction("ORCHID TELECOM", "Orchid Telecom Inc")
-    assert not L.merchant_contradiction("WISE PAYMENTS 88", "Cedarview Supplies")
+    assert L.partial_indel("abcd", "cdx") == 80.0  # against cd, a window cut off at the end
+
+
+def test_other_merchants(spark):
+    rows = [("ORCHID TELECOM 55", "Cedarview Supplies"), ("ORCHID TELECOM", "Orchid Telecom Inc"), ("WISE PAYMENTS 88", "Cedarview Supplies")]
+    got = {r.d: r.contradicted for r in N.with_contradiction(spark.createDataFrame(rows, "d string, v string"), "d", "v").collect()}
+    assert [got[d] for d, _ in rows] == [True, False, False]
 
 
 def test_one_edit_patterns():
