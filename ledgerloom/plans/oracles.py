@@ -421,3 +421,55 @@ _DATED = """r0 AS (SELECT *, CAST(CAST(document_date AS DATE) + INTERVAL 300 MON
 ORACLES["best_dates"] = with_views("r", "").rstrip().replace("r AS (", "r1 AS (", 1) + f", {_DATED} SELECT user_id, id, document_date AS best FROM r"
 ORACLES["receipt_candidates_by_best_date"] = with_views("tr", "").rstrip().replace("t AS (", "t1 AS (", 1).replace("r AS (", "r1 AS (", 1) + f""", {_DATED},
  t AS (SELECT * REPLACE (strftime(CAST(CAST(date_posted AS DATE) + INTERVAL 300 MONTH AS DATE), '%Y-%m-%d') AS date_posted) FROM t1), {NAIVE} SELECT user_id, transaction_id, document_id, match_reason, gap FROM cand WHERE match_reason IS NOT NULL"""
+
+# Scores of pairs with likeness of texts: longest common subsequences are computed row by row for the few distinct texts.
+_ANY = lambda c, ps: "regexp_matches(coalesce(" + c + ", ''), '(?i)" + "|".join(f"(?:{p})".replace("'", "''") for p in ps) + "')"
+_KEY = lambda c: f"""CASE {" ".join(f"WHEN {_ANY(f'trim({c})', [p])} THEN '{k}'" for p, k in X.PROCESSOR_ACTIONS)} {" ".join(f"WHEN {_ANY(_HEAD.replace('description', c), [p])} THEN '{k}'" for p, k in X.VENDOR_ALIASES)} ELSE array_to_string(list_filter(string_split(regexp_replace({_HEAD.replace("description", c)}, '[^a-z0-9]+', '_', 'g'), '_'), lambda x: x <> '')[1:2], '_') END"""
+_WORDS = lambda c, known: f"list_filter(regexp_extract_all({c}, '[A-Za-z]{{3,}}'), lambda x: lower(x) NOT IN ({q(sorted(known))}))"
+_LOW = lambda xs: f"list_distinct(list_transform({xs}, lambda x: lower(x)))"
+_LONG = lambda xs: f"list_filter({xs}, lambda x: length(x) >= 4)"
+_BOTH = " OR ".join(f"({_ANY('label', [p])} AND {_ANY('v', [p])})" for p, _ in X.VENDOR_ALIASES)
+SCORED = f"""{NAIVE.replace("r.id AS document_id,", "r.id AS document_id, r.vendor, r.original_filename,", 1)},
+ tx AS MATERIALIZED (SELECT DISTINCT description AS d, vendor AS v, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(original_filename), '[a-z]{{3,}}'))), ' ') AS f FROM cand WHERE match_reason IS NOT NULL),
+ wd AS (SELECT *, {_WORDS("d", X.BANK_NOISE + X.PAYMENT_RAILS)} AS raw, {_LOW(_WORDS("v", X.BANK_NOISE))} AS sold, {_LOW(_WORDS("f", X.BANK_NOISE))} AS fw FROM tx),
+ st AS (SELECT *, {_LOW("raw")} AS printed, list_distinct(list_concat(sold, fw)) AS receipt, array_to_string(raw[1:3], ' ') AS label, CASE WHEN len(sold) > 0 THEN array_to_string(list_sort(sold), ' ') ELSE v END AS name FROM wd),
+ jd AS MATERIALIZED (SELECT *, CASE WHEN len(printed) = 0 OR len(receipt) = 0 OR list_has_any(printed, receipt) OR EXISTS (SELECT 1 FROM (SELECT unnest({_LONG("printed")}) AS p) a, (SELECT unnest({_LONG("receipt")}) AS o) b WHERE contains(p, o) OR contains(o, p))
+   OR ({_KEY("label")} = {_KEY("v")} AND {_KEY("label")} <> '') OR {_BOTH} OR {_ANY("d", X.INTERMEDIARIES)} THEN false WHEN {_ANY("label", [p for p, _ in X.VENDOR_ALIASES])} THEN true END AS said,
+  len(list_filter(regexp_extract_all(lower(v), '[a-z]{{3,}}'), lambda w: contains(lower(d), w))) > 0 AS word, {_ANY("d", X.INTERMEDIARIES)} AS rail, CAST(list_sum(list_transform(string_split(lower(v), ''), lambda c: ascii(c))) AS BIGINT) % 100 AS code FROM st),
+ un AS (SELECT d, v, f, unnest({_LONG("printed")}) AS w, receipt, name FROM jd WHERE said IS NULL),
+ us AS (SELECT d, v, f, w, name, CASE WHEN length(w) <= length(name) THEN w ELSE name END AS a, CASE WHEN length(w) <= length(name) THEN name ELSE w END AS b FROM un),
+ ui AS (SELECT *, unnest(range(1 - length(a), length(b))) AS i FROM us),
+ uw AS (SELECT d, v, f, w, w AS a, unnest(receipt) AS b FROM un UNION ALL SELECT d, v, f, w, a, substr(b, CAST(greatest(i, 0) + 1 AS BIGINT), CAST(i + length(a) - greatest(i, 0) AS BIGINT)) FROM ui),
+ ab AS MATERIALIZED (SELECT lower(d) AS a, lower(v) AS b FROM jd WHERE NOT word AND NOT rail UNION SELECT a, b FROM uw WHERE b <> ''),
+ rc AS (SELECT a, b, CAST(0 AS BIGINT) AS i, list_transform(range(length(a)), lambda j: CAST(0 AS BIGINT)) AS row FROM ab
+  UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(a) + 1), lambda j: list_max(c[1:j])) FROM (SELECT a, b, i, list_transform(range(1, length(a) + 1), lambda j: CASE WHEN a[j] = b[i + 1] THEN CASE WHEN j = 1 THEN 0 ELSE row[j - 1] END + 1 ELSE row[j] END) AS c FROM rc WHERE i < length(b))),
+ lk AS MATERIALIZED (SELECT a, b, 200.0::DOUBLE * row[length(a)] / (length(a) + length(b)) AS r FROM rc WHERE i = length(b)),
+ fz AS (SELECT d, v, f, bool_or(best < 50) AS other FROM (SELECT d, v, f, w, max(coalesce(r, 0)) AS best FROM uw LEFT JOIN lk ON lk.a = uw.a AND lk.b = uw.b GROUP BY ALL) GROUP BY ALL),
+ vs AS MATERIALIZED (SELECT jd.d, jd.v, jd.f, CASE WHEN d = '' OR v = '' THEN 0.0 WHEN word THEN 0.8 WHEN rail THEN 0.45::DOUBLE + code / 500.0::DOUBLE ELSE (SELECT r FROM lk WHERE lk.a = lower(jd.d) AND lk.b = lower(jd.v)) / 100.0::DOUBLE END AS vendor_score, coalesce(said, (SELECT other FROM fz WHERE fz.d = jd.d AND fz.v = jd.v AND fz.f = jd.f), false) AS con FROM jd),
+ sc AS (SELECT *, CAST({_AMOUNT} AS DOUBLE) AS am, CAST({_DATE} AS DOUBLE) AS da, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(original_filename), '[a-z]{{3,}}'))), ' ') AS f FROM cand WHERE match_reason IS NOT NULL),
+ z AS MATERIALIZED (SELECT sc.*, CAST(vs.vendor_score AS DOUBLE) AS vendor_score, con, 0.5::DOUBLE * am + 0.3::DOUBLE * da + 0.2::DOUBLE * CAST(vs.vendor_score AS DOUBLE) AS conf FROM sc JOIN vs ON vs.d = sc.description AND vs.v = sc.vendor AND vs.f = sc.f)"""
+ORACLES["pair_scores"] = with_views("tr", f", {SCORED} SELECT user_id, transaction_id, document_id, am AS amount_score, da AS date_score, round(vendor_score, 9) AS vendor_score, round(conf, 9) AS confidence FROM z", recursive=True)
+_FLAG = "(conf < 0.60 OR am <= 0.05 OR con)"
+
+
+def _auction(rounds: int = 3) -> str:
+    """The rounds of the auction, one after another: what is taken in one isn't offered in the next."""
+    out, free = "", "z"
+    for k in range(1, rounds + 1):
+        out += f""",
+ o{k} AS MATERIALIZED (SELECT * FROM {free} QUALIFY row_number() OVER (PARTITION BY user_id, document_id ORDER BY conf DESC, gap, transaction_id) = 1),
+ w{k} AS MATERIALIZED (SELECT *, {k} AS round FROM o{k} QUALIFY row_number() OVER (PARTITION BY user_id, transaction_id ORDER BY {_FLAG}, conf DESC, am DESC, gap, document_id) = 1),
+ z{k} AS MATERIALIZED (SELECT * FROM {free} x WHERE NOT EXISTS (SELECT 1 FROM w{k} w WHERE w.user_id = x.user_id AND w.transaction_id = x.transaction_id) AND NOT EXISTS (SELECT 1 FROM w{k} w WHERE w.user_id = x.user_id AND w.document_id = x.document_id))"""
+        free = f"z{k}"
+    return out + ",\n won AS (" + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(1, rounds + 1)) + ")"
+
+
+ORACLES["receipt_assignment"] = with_views("tr", f""", {SCORED}{_auction()}
+ SELECT user_id, transaction_id, document_id, CAST(round AS INT) AS round, CASE WHEN {_FLAG} THEN 'FLAGGED' WHEN conf >= 0.90 THEN 'AUTO_APPROVED' ELSE 'PENDING_REVIEW' END AS decision, CASE WHEN {_FLAG} OR conf <= 0.90 THEN 'PENDING_REVIEW' ELSE 'AUTO_APPROVED' END AS stored_status,
+ CASE WHEN conf >= 0.75 THEN 'high' WHEN conf >= 0.50 THEN 'medium' ELSE 'low' END AS label, array_to_string(list_filter([CASE WHEN conf < 0.60 THEN 'low_confidence' END, CASE WHEN am <= 0.05 THEN 'amount' END, CASE WHEN con THEN 'merchant' END], lambda x: x IS NOT NULL), ',') AS reasons FROM won""", recursive=True)
+ORACLES["match_explanations"] = with_views("tr", f""", {SCORED} SELECT user_id, transaction_id, document_id, CASE WHEN conf >= 0.85 THEN 'HIGH' WHEN conf >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS label,
+ array_to_string(list_filter([CASE WHEN da < 0.5 THEN 'date' END, CASE WHEN vendor_score < 0.35 THEN 'vendor' END, CASE WHEN con THEN 'merchant' END, CASE WHEN c IS NULL THEN 'assumed_currency' END, CASE WHEN c <> currency THEN 'fx' END], lambda x: x IS NOT NULL), ',') AS flags,
+ printf('%s and %s differ by %.2f; %d days apart', description, vendor, CAST(abs(a - d) AS DOUBLE), gap) AS summary FROM z""", recursive=True)
+ORACLES["unmatched_diagnosis"] = with_views("tr", f""", {SCORED}{_auction()}, best AS (SELECT user_id, transaction_id, arg_max(document_id, (conf, -document_id)) AS best_document, max(conf) AS best_confidence FROM z GROUP BY ALL)
+ SELECT t.user_id, t.id AS transaction_id, best_document, best_confidence, CASE WHEN best_confidence IS NULL THEN 'no_candidate' WHEN best_confidence < 0.60 THEN 'weak_candidate' ELSE 'taken_by_another' END AS reason
+ FROM t LEFT JOIN best ON best.user_id = t.user_id AND best.transaction_id = t.id WHERE t.status = 'UNMATCHED' AND t.transaction_type = 'DEBIT' AND NOT EXISTS (SELECT 1 FROM won WHERE won.user_id = t.user_id AND won.transaction_id = t.id)""", recursive=True)
