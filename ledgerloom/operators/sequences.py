@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import tables as X
 
 
+def _by_day(jobs: DataFrame, value: Column, fold, *order: str) -> DataFrame:
+    """Adds _before: fold (a sum or maximum) of value over all earlier rows of the tenant, null for the first.
+
+    Earlier days count as one value each and earlier rows of the day one by one, so no task orders a whole tenant, only
+    its calendar. Rows without a time come first.
+    """
+    rows = jobs.withColumn("_v", value).withColumn("_day", F.coalesce(F.to_date(order[0]), F.lit("0001-01-01").cast("date")))
+    inside = Window.partitionBy("user_id", "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("user_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("user_id", "_day").agg(fold("_v").alias("_all")).select("user_id", "_day", fold("_all").over(before).alias("_days"))
+    both = F.array_compact(F.array("_days", "_rows"))
+    joined = rows.withColumn("_rows", fold("_v").over(inside)).join(days, ["user_id", "_day"])
+    total = F.array_max(both) if fold is F.max else F.when(F.size(both) > 0, F.aggregate(both, F.lit(0).cast("long"), lambda x, y: x + y))
+    return joined.withColumn("_before", total).drop("_v", "_day", "_days", "_rows")
+
+
 def queue_ahead(jobs: DataFrame) -> DataFrame:
     """Pending jobs before each pending one, by (created_at, position, id) within the tenant."""
-    w = Window.partitionBy("user_id").orderBy("created_at", "position", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return jobs.where("status = 'pending'").select("user_id", "id", F.count("*").over(w).alias("ahead"))
+    out = _by_day(jobs.where("status = 'pending'").select("user_id", "id", "created_at", "position"), F.lit(1).cast("long"), F.sum, "created_at", "position", "id")
+    return out.select("user_id", "id", F.coalesce("_before", F.lit(0)).alias("ahead"))
 
 
 def batches(jobs: DataFrame) -> DataFrame:
@@ -20,10 +36,11 @@ def batches(jobs: DataFrame) -> DataFrame:
 
     jobs: user_id, id, created_at, finished_at (null while running).
     """
-    order = Window.partitionBy("user_id").orderBy("created_at", "id")
-    latest = F.max(F.coalesce("finished_at", F.lit("9999-12-31").cast("timestamp"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.when(latest.isNull() | (latest <= F.col("created_at")), 1).otherwise(0)
-    return jobs.withColumn("_s", start).withColumn("batch", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    done = F.coalesce("finished_at", F.lit("9999-12-31").cast("timestamp"))
+    latest = F.col("_before")
+    start = F.when(latest.isNull() | (latest <= F.col("created_at")), 1).otherwise(0).cast("long")
+    marked = _by_day(jobs, done, F.max, "created_at", "id").withColumn("_s", start).drop("_before")
+    return _by_day(marked, F.col("_s"), F.sum, "created_at", "id").withColumn("batch", F.coalesce("_before", F.lit(0)) + F.col("_s")).drop("_s", "_before")
 
 
 def batch_summary(jobs: DataFrame) -> DataFrame:

@@ -473,3 +473,23 @@ ORACLES["match_explanations"] = with_views("tr", f""", {SCORED} SELECT user_id,
 ORACLES["unmatched_diagnosis"] = with_views("tr", f""", {SCORED}{_auction()}, best AS (SELECT user_id, transaction_id, arg_max(document_id, (conf, -document_id)) AS best_document, max(conf) AS best_confidence FROM z GROUP BY ALL)
  SELECT t.user_id, t.id AS transaction_id, best_document, best_confidence, CASE WHEN best_confidence IS NULL THEN 'no_candidate' WHEN best_confidence < 0.60 THEN 'weak_candidate' ELSE 'taken_by_another' END AS reason
  FROM t LEFT JOIN best ON best.user_id = t.user_id AND best.transaction_id = t.id WHERE t.status = 'UNMATCHED' AND t.transaction_type = 'DEBIT' AND NOT EXISTS (SELECT 1 FROM won WHERE won.user_id = t.user_id AND won.transaction_id = t.id)""", recursive=True)
+
+# statement files, order exports and payloads
+_O = "o_orderkey AS id, CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) AS amt, strftime(o_orderdate, '%Y-%m-%d') AS day"
+ORACLES["statement_csv_rows"] = with_views(["cs"], f""", x AS (SELECT cs.file AS source_file, cs.row AS source_row, kind, {_O} FROM cs JOIN orders ON o_orderkey = cs.id WHERE kind >= 0),
+ y AS (SELECT *, CASE WHEN kind < 2 THEN CASE WHEN id % 2 = 0 THEN amt ELSE '-' || amt END WHEN kind = 2 THEN CASE WHEN id % 3 = 0 THEN '-' ELSE '' END || amt ELSE CASE WHEN id % 3 = 0 THEN '' ELSE '-' END || amt END AS amount FROM x)
+ SELECT CASE kind WHEN 0 THEN 'CAD' WHEN 1 THEN 'USD' WHEN 2 THEN 'CreditCard' WHEN 3 THEN 'Wise' ELSE 'PayPal' END AS account, CASE WHEN id % 3 = 0 THEN 'CREDIT' ELSE 'DEBIT' END AS transaction_type, day AS date_posted, amount, CASE kind WHEN 1 THEN 'USD' WHEN 3 THEN 'USD' WHEN 4 THEN 'EUR' ELSE 'CAD' END AS currency,
+ CASE kind WHEN 2 THEN 'Card shop' WHEN 3 THEN CASE WHEN id % 2 = 0 THEN 'Invoice ' ELSE '' END || '(USD -> ' || amt || ' EUR @ 1.5)' WHEN 4 THEN 'Ann — Express Checkout Payment' || CASE WHEN id % 7 = 0 THEN ' — fee -0.50' ELSE '' END ELSE 'Shop, no. ' || id END AS description, source_file, source_row
+ FROM y WHERE NOT (kind = 3 AND id % 4 = 0) AND NOT (kind = 4 AND (id % 8 = 1 OR id % 9 = 0 OR id % 6 = 0))""")
+_EXPORT = f"""x AS (SELECT file, row, CAST(id AS VARCHAR) AS order_id, CAST(day AS DATE) AS ship_date, CASE WHEN id % 2 = 0 THEN 'Thing ' ELSE 'Title, ' END || n AS name, CASE WHEN id % 2 = 0 THEN 'USD' ELSE 'CAD' END AS currency, n,
+  CASE WHEN id % 2 = 0 THEN CAST(tax AS {M}) ELSE CAST(tax AS {M}) + 1 + CASE WHEN n % 2 = 0 THEN 0.10 ELSE 0 END END AS tax, CAST(price AS {M}) AS price, CAST(qty AS INT) AS qty, CASE WHEN id % 2 = 0 THEN 'closed' ELSE '' END AS status FROM oe WHERE k = 1 AND n % 5 <> 0),
+ e AS (SELECT file, row, order_id, ship_date, name, currency, CAST(CASE WHEN n % 3 = 0 THEN price * qty + tax ELSE price END AS {M}) AS total, CAST(tax AS {M}) AS tax, status FROM x)"""
+ORACLES["order_export_lines"] = with_views(["oe"], f", {_EXPORT} SELECT * FROM e")
+ORACLES["order_export_shipments"] = with_views(["oe"], f""", {_EXPORT} SELECT strftime(ship_date, '%Y-%m-%d') AS date_posted, CAST(CAST(sum(total) AS {M}) AS VARCHAR) AS amount, arg_min(currency, row) AS currency, substr(string_agg(name, '; ' ORDER BY row, name), 1, 500) AS description, CAST(sum(tax) AS {M}) AS tax, order_id, min(row) AS source_row FROM e GROUP BY order_id, ship_date""")
+ORACLES["model_payload_rows"] = with_views("t", f""", x AS (SELECT 'm' || user_id || '-' || substr(date_posted, 1, 7) AS file, *, {ABS} AS a FROM t)
+ SELECT file, row_number() OVER (PARTITION BY file ORDER BY id) - 1 AS row, date_posted AS date, CAST(a AS VARCHAR) AS amount, CASE WHEN id % 5 = 0 THEN 'CREDIT' WHEN id % 2 = 1 THEN 'DEBIT' WHEN id % 3 = 0 AND CAST(amount AS {M}) >= 0 THEN 'CREDIT' ELSE 'DEBIT' END AS type, description FROM x""")
+ORACLES["wallet_api_rows"] = with_views("t", f"""SELECT CASE WHEN CAST(amount AS {M}) < 0 THEN 'DEBIT' ELSE 'CREDIT' END AS transaction_type, date_posted, amount, currency, CASE id % 4 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Subject' WHEN 2 THEN 'Harbour' ELSE 'PayPal' END AS description FROM t WHERE id % 10 <> 7 AND id % 6 NOT IN (1, 4) AND CAST(amount AS {M}) <> 0""")
+_FEE = [p for name, _, ps in X.CATEGORY_RULES if name == "Interest and bank charges" for p in ps]
+_PLAIN = [p.replace("(?!Fee)", "") for p in _FEE]
+ORACLES["transfer_service_rows"] = with_views("t", f""", x AS (SELECT *, CASE WHEN id % 2 = 0 THEN description WHEN id % 3 > 0 THEN 'REF-' || id ELSE 'Wise transaction ' || CASE WHEN id % 6 = 0 THEN 'DEPOSIT' ELSE 'CARD' END END AS said FROM t)
+ SELECT CASE WHEN CAST(amount AS {M}) >= 0 THEN 'CREDIT' ELSE 'DEBIT' END AS transaction_type, date_posted, amount, CASE WHEN id % 5 > 0 THEN currency ELSE 'USD' END AS currency, CASE WHEN id % 7 = 0 AND NOT {_ANY("said", _PLAIN)} THEN '{X.FEE_PREFIX}' || said ELSE said END AS description FROM x""")

@@ -20,9 +20,11 @@ from ..operators import rails as W
 from ..operators import reporting as R
 from ..operators import sequences as Q
 from ..operators import transfers as T
+from ..sources import orders as Z
 from ..sources import sheets as J
 from ..sources import sinks as K
 from ..sources import statement_text as E
+from ..sources import statements as Y
 from ..operators.cut import written
 from ..streaming import actions as A
 from .views import Views
@@ -637,6 +639,46 @@ def statement_facts(v):
     return E.facts(_texts(v.statement_lines).unionByName(_wallet_pages(v)), 2000).select("file", *E.FACTS)
 
 
+@query
+def statement_csv_rows(v):
+    """Statement files of all dialects, read line by line."""
+    return Y.every(Y.parsed(v.csv_lines.select("file", "row", "value")))
+
+
+@query
+def order_export_lines(v):
+    return Z.order_lines(Y.parsed(v.order_lines.select("file", "row", "value")))
+
+
+@query
+def order_export_shipments(v):
+    return Z.shipments(Z.order_lines(Y.parsed(v.order_lines.select("file", "row", "value")))).select("date_posted", "amount", "currency", "description", "tax", "order_id", "source_row")
+
+
+@query
+def model_payload_rows(v):
+    """Rows of a model's answer, one for each tenant and month, under changing names."""
+    odd = F.col("id") % 2 == 1
+    signed = F.when(F.col("id") % 3 == 0, S.money("amount")).otherwise(-P.absolute()).cast("string")
+    m = F.map_filter(F.create_map(F.lit("date"), F.when(~odd, F.col("date_posted")), F.lit("posted"), F.when(odd, F.date_format(F.to_date("date_posted"), "MM/dd/yyyy")), F.lit("amount"), F.when(~odd, signed), F.lit("amt"), F.when(odd, F.concat(F.lit("$"), P.absolute().cast("string"), F.lit("CR"))), F.lit("type"), F.when(F.col("id") % 5 == 0, F.lit("credit")), F.lit("memo"), F.col("description")), lambda k, x: x.isNotNull())
+    whole = v.transactions.groupBy(F.concat(F.lit("m"), F.col("user_id").cast("string"), F.lit("-"), F.substring("date_posted", 1, 7)).alias("file")).agg(F.array_sort(F.collect_list(F.struct("id", F.to_json(m).alias("j")))).alias("x"))
+    text = F.concat(F.lit('```json\n{"transactions": ['), F.array_join(F.transform("x", lambda r: r["j"]), ", "), F.lit("]}\n```"))
+    return Y.model_rows(whole.select("file", text.alias("json"))).select("file", F.col("row").cast("long").alias("row"), "date", "amount", "type", "description")
+
+
+@query
+def wallet_api_rows(v):
+    d = v.transactions.select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 == 7, "P").otherwise("S").alias("status"), F.element_at(F.array(*map(F.lit, ("T0006", "T2001", "T1201", "", "T1301", "T0400"))), (F.col("id") % 6 + 1).cast("int")).alias("code"), "amount", "currency", F.concat("date_posted", F.lit("T10:00:00Z")).alias("at"), F.when(F.col("id") % 4 == 0, "Ann").otherwise(" ").alias("name"), F.when(F.col("id") % 4 == 1, "Subject").alias("subject"), F.when(F.col("id") % 4 == 2, "pay@harbour.example").otherwise("").alias("email"))
+    return Y.api_rows(d).select("transaction_type", "date_posted", "amount", "currency", "description")
+
+
+@query
+def transfer_service_rows(v):
+    value = S.money("amount")
+    row = F.struct(F.when(F.col("id") % 6 == 0, "DEPOSIT").otherwise("CARD").alias("type"), F.concat("date_posted", F.lit("T01:02:03Z")).alias("date"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("REF-"), F.col("id").cast("string"))).alias("referenceNumber"), F.struct(value.alias("value"), F.when(F.col("id") % 5 > 0, F.col("currency")).alias("currency")).alias("amount"), F.struct(F.when(F.col("id") % 7 == 0, "FEE").otherwise("CARD").alias("type"), F.when(F.col("id") % 2 == 0, F.col("description")).alias("description")).alias("details"))
+    return Y.transfer_service(v.transactions.select(F.to_json(F.struct(F.array(row).alias("transactions"))).alias("json"))).select("transaction_type", "date_posted", "amount", "currency", "description")
+
+
 @query
 def page_batches_merged(v):
     answer = F.to_json(F.struct("continuation", "vendor", "currency", "invoice_number", "grand_total_page", "has_grand_total", "total", "amount", "gst", F.col("weak").alias("_confidence"), F.array(F.struct(F.col("item").alias("description")), F.struct(F.lit("tax").alias("description"))).alias("line_items")))

@@ -83,7 +83,7 @@ FROM orders WHERE o_orderkey % 5 = 4"""),
  CASE l_suppkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN 'NOT_A_FINANCIAL_DOCUMENT' WHEN 2 THEN '' ELSE concat('Vendor ', CAST(l_suppkey % 7 AS STRING)) END AS vendor, CASE l_partkey % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN 'CAD' WHEN 2 THEN 'USD' ELSE NULL END AS currency,
  CASE WHEN l_partkey % 5 = 0 THEN concat('I', CAST(l_partkey AS STRING)) ELSE NULL END AS invoice_number, CASE WHEN l_partkey % 6 = 0 THEN CAST(1 + l_suppkey % 4 AS STRING) ELSE NULL END AS grand_total_page, CASE WHEN l_partkey % 7 = 0 THEN 'Yes' ELSE NULL END AS has_grand_total,
  CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('$', CAST(CAST(CASE WHEN l_quantity < 30 THEN 100 ELSE 100 + l_suppkey % 3 END + CASE WHEN l_partkey % 2 = 0 THEN 0.02 ELSE 0.00 END AS DECIMAL(14,2)) AS STRING), ' CAD') END AS total,
- CASE WHEN l_suppkey % 3 = 0 THEN '0' ELSE CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS STRING) END AS amount, CASE WHEN l_partkey % 3 = 1 THEN CAST(CAST(l_extendedprice * 0.05 AS DECIMAL(14,2)) AS STRING) ELSE NULL END AS gst,
+ CASE WHEN l_suppkey % 3 = 0 THEN '0' ELSE CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS STRING) END AS amount, CASE WHEN l_partkey % 3 = 1 THEN CAST(CAST(floor(l_extendedprice) AS DECIMAL(14,2)) AS STRING) ELSE NULL END AS gst,
  concat('P', CAST(l_partkey AS STRING)) AS item, CASE WHEN l_suppkey % 11 = 0 THEN 'low' ELSE NULL END AS weak
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS batch FROM lineitem) x"""),
     # rows of hand-kept sheets: a section for each currency with its own column order, the first closed by a SUM row; a card sheet
@@ -97,6 +97,23 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linen
  UNION ALL SELECT DISTINCT concat('b', CAST(o_custkey % 4 AS STRING), '-', CAST(year(o_orderdate) AS STRING)), CASE WHEN h.sec = 3 THEN 'Company card' ELSE 'Bank' END, h.sec, h.kind, CAST(0 AS BIGINT), h.c1, h.c2, h.c3, h.c4, h.c5 FROM orders,
   (SELECT 1 AS sec, 0 AS kind, 'Date Posted' AS c1, 'Transaction Type' AS c2, 'Transaction Amount (CAD)' AS c3, 'Description' AS c4, 'Category' AS c5 UNION ALL SELECT 1, 2, 'SUM', NULL, '1.00', NULL, NULL UNION ALL SELECT 1, 3, '20000101', 'DEBIT', '5.00', 'after the sum', NULL
    UNION ALL SELECT 2, 0, 'Transaction Type', 'Date Posted', 'Description', 'Transaction Amount USD', 'Category' UNION ALL SELECT 3, -1, 'made by hand', NULL, NULL, NULL, NULL UNION ALL SELECT 3, 0, 'Transaction Date', 'Posting Date', 'Transaction Amount', 'Description', 'Category') h) y"""),
+    # lines of statement CSV files in all dialects, each with a comment above its header
+    "cs": ("orders", """SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY k, id) - 1 AS BIGINT) AS row, value, id, kind FROM (
+ SELECT concat(CASE kind WHEN 0 THEN 'cad' WHEN 1 THEN 'usd' WHEN 2 THEN 'card' WHEN 3 THEN 'wise' ELSE 'wallet' END, '-', CAST(u AS STRING), '.csv') AS file, 2 AS k, id, kind, CASE
+  WHEN kind < 2 THEN concat('000,', CASE WHEN id % 3 = 0 THEN 'CREDIT' ELSE 'debit' END, ',', yyyy, mm, dd, ',', CASE WHEN id % 2 = 0 THEN concat('"$', amt, '"') ELSE concat('-', amt) END, ',"Shop, no. ', CAST(id AS STRING), '"')
+  WHEN kind = 2 THEN concat(mm, '/', dd, '/', yyyy, ',', mm, '/', dd, '/', yyyy, ',Card shop,', CASE WHEN id % 3 = 0 THEN '-' ELSE '' END, amt, ',0000')
+  WHEN kind = 3 THEN concat('W', CAST(id AS STRING), ',', CASE WHEN id % 4 = 0 THEN 'CANCELLED' ELSE 'completed' END, ',', CASE WHEN id % 3 = 0 THEN 'IN' ELSE 'OUT' END, ',', yyyy, '-', mm, '-', dd, ' 10:00:00,,', amt, ',USD,', amt, ',EUR,1.5,0,', CASE WHEN id % 2 = 0 THEN 'Invoice' ELSE '' END)
+  ELSE concat(CASE WHEN id % 2 = 0 AND dd > '12' THEN concat(dd, '/', mm) ELSE concat(mm, '/', dd) END, '/', yyyy, ',10:00,UTC,Ann,', CASE WHEN id % 8 = 1 THEN 'Payment Hold' ELSE 'Express Checkout Payment' END, ',', CASE WHEN id % 9 = 0 THEN 'Pending' ELSE 'Completed' END, ',', CASE WHEN id % 6 = 0 THEN 'JPY' ELSE 'EUR' END, ',', CASE WHEN id % 3 = 0 THEN '' ELSE '-' END, amt, ',', CASE WHEN id % 7 = 0 THEN '-0.50' ELSE '0.00' END, ',,,T', CAST(id AS STRING)) END AS value
+ FROM (SELECT o_orderkey AS id, o_orderkey % 5 AS kind, o_custkey % 4 AS u, CAST(year(o_orderdate) AS STRING) AS yyyy, lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS mm, lpad(CAST(day(o_orderdate) AS STRING), 2, '0') AS dd, CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS STRING) AS amt FROM orders) x
+ UNION ALL SELECT DISTINCT concat(h.name, '-', CAST(o_custkey % 4 AS STRING), '.csv'), h.k, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), h.value FROM orders, (SELECT 'cad' AS name, 1 AS k, 'Account Number,Transaction Type,Date Posted,Transaction Amount,Description' AS value UNION ALL SELECT 'usd', 1, 'Account Number,Transaction Type,Date Posted,Transaction Amount,Description'
+  UNION ALL SELECT 'card', 1, 'Transaction Date,Posting Date,Description,Amount,Card Number' UNION ALL SELECT 'wise', 1, 'ID,Status,Direction,Created on,Finished on,Source amount,Source currency,Target amount,Target currency,Exchange rate,Fee,Reference'
+  UNION ALL SELECT 'wallet', 1, 'Date,Time,TimeZone,Name,Type,Status,Currency,Gross,Fee,Net,Subject,Transaction ID' UNION ALL SELECT 'cad', 0, '# made for tests' UNION ALL SELECT 'wallet', 0, '  ') h) y"""),
+    # lines of marketplace order exports, both formats
+    "oe": ("lineitem", """SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY k, id, n, qty, price, day) - 1 AS BIGINT) AS row, value, k, id, n, qty, price, tax, day FROM (
+ SELECT CASE WHEN id % 2 = 0 THEN 'privacy.csv' ELSE 'business.csv' END AS file, 1 AS k, *, CASE WHEN id % 2 = 0 THEN concat(CAST(id AS STRING), ',', day, ',', day, ',USD,', price, ',', tax, ',', qty, ',', CASE WHEN n % 3 = 0 THEN '' ELSE price END, ',', CASE WHEN n % 5 = 0 THEN 'Cancelled' ELSE 'Closed' END, ',"Thing ', CAST(n AS STRING), '"')
+  ELSE concat(substr(day, 6, 2), '/', substr(day, 9, 2), '/', substr(day, 1, 4), ',', CAST(id AS STRING), ',B0,"Title, ', CAST(n AS STRING), '",', qty, ',', price, ',', tax, ',1.00,', CASE WHEN n % 2 = 0 THEN '0.10' ELSE '' END, ',', CASE WHEN n % 3 = 0 THEN '' ELSE concat('$', price) END, ',', CASE WHEN n % 5 = 0 THEN 'CANCELED' ELSE '' END, ',') END AS value
+ FROM (SELECT l_orderkey AS id, l_linenumber AS n, CAST(CAST(l_quantity AS INT) AS STRING) AS qty, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS STRING) AS price, CAST(CAST(floor(l_quantity) AS DECIMAL(14,2)) AS STRING) AS tax, CAST(CAST(l_shipdate AS DATE) AS STRING) AS day FROM lineitem) x
+ UNION ALL SELECT 'privacy.csv', 0, 0, 0, '', '', '', '', 'Order ID,Order Date,Shipment Date,Currency,Unit Price,Unit Price Tax,Quantity,Total Owed,Order Status,Product Name' UNION ALL SELECT 'business.csv', 0, 0, 0, '', '', '', '', 'Order Date,Order ID,ASIN,Title,Item Quantity,Purchase PPU,Federal Tax,Provincial Tax,Regulatory Fee,Item Net Total,Order Status,Currency Code') y"""),
     # rows of benchmark files: two blocks of columns, of which the second lost a quartile column in the second file
     "bf": ("customer", """SELECT concat('f', CAST(c_nationkey % 2 AS STRING)) AS file, c_custkey AS row, CAST(c_custkey % 900 + 100 AS STRING) AS a0, c_name AS a1, CAST(c_nationkey AS STRING) AS a2,
  CASE WHEN c_custkey % 17 = 0 THEN '9999' WHEN c_custkey % 13 = 0 THEN '..' ELSE CAST(CAST(abs(c_acctbal) / 100 AS DECIMAL(14,2)) AS STRING) END AS a3, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN ' ' ELSE 'C' END AS a4,
@@ -138,6 +155,8 @@ class Views:
     wallet_lines = cached_property(lambda self: self._view("wp"))
     page_batches = cached_property(lambda self: self._view("pb"))
     book_rows = cached_property(lambda self: self._view("bs"))
+    csv_lines = cached_property(lambda self: self._view("cs"))
+    order_lines = cached_property(lambda self: self._view("oe"))
     benchmark_rows = cached_property(lambda self: self._view("bf"))
     quotes = cached_property(lambda self: self._view("fx"))
     review_events = cached_property(lambda self: self._view("ev"))

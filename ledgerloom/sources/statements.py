@@ -53,9 +53,14 @@ def _cells(value: Column) -> Column:
 
 def table(spark: SparkSession, path: str) -> DataFrame:
     """(file, row, dialect, cells as a map of header to value) of every data line."""
-    rows = lines(spark, path)
+    return parsed(lines(spark, path))
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """(file, row, dialect, cells) of data lines (file, row, value) of any number of files; blank lines and comments are none."""
+    rows = rows.where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     head = rows.groupBy("file").agg(F.min_by("value", "row").alias("head"), F.min("row").alias("head_row"))
-    out = rows.join(F.broadcast(head), "file").where("row > head_row")
+    out = rows.join(head, "file").where("row > head_row")
     names = F.transform(_cells(F.col("head")), F.lower)
     values = _cells(F.col("value"))
     n = F.least(F.size(names), F.size(values))
@@ -104,7 +109,11 @@ def wallet(rows: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, account: str | None = None) -> DataFrame:
     """All supported statement files under path; a file of no known dialect is an error."""
-    rows = table(spark, path)
+    return every(table(spark, path), account)
+
+
+def every(rows: DataFrame, account: str | None = None) -> DataFrame:
+    """Ledger rows of parsed lines; a file of no known dialect is an error."""
     bad = [r.file for r in rows.where("dialect = 'unsupported'").select("file").distinct().limit(5).collect()]
     if bad:
         raise ValueError(f"unsupported statement format: {', '.join(sorted(bad))}")
