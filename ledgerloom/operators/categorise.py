@@ -148,3 +148,14 @@ def profitability_lines(amounts: DataFrame, revenue: DataFrame, cells: DataFrame
     rows = rows.where((F.col("your_pct") >= least_share) | (F.col("amount") >= least_amount)).join(cells.select("user_id", "bucket", F.col("pct").alias("peer_pct"), "businesses"), ["user_id", "bucket"]).where("peer_pct is not null")
     w = Window.partitionBy("user_id").orderBy(F.col("your_pct").desc(), "bucket")
     return rows.withColumn("rank", F.row_number().over(w)).select("user_id", "bucket", "your_pct", "peer_pct", "businesses", "rank")
+
+
+def cached_decisions(clusters: DataFrame, cache: DataFrame) -> DataFrame:
+    """(user_id, vendor_key, category, reused) of vendor clusters (user_id, vendor_key, proof_coverage): a decision of an earlier
+    run (cache: user_id, vendor_key, category) is used again only if no row of the cluster has proof and its category is
+    still one that may be assigned; otherwise the category is null and the vendor is to be judged anew."""
+    names = [name for name, *_ in X.TAXONOMY]
+    one = cache.groupBy("user_id", "vendor_key").agg(F.min("category").alias("cached"))
+    out = clusters.join(one, ["user_id", "vendor_key"], "left")
+    use = F.coalesce(F.col("cached").isin(names) & (F.col("proof_coverage") <= 0), F.lit(False))
+    return out.select("user_id", "vendor_key", F.when(use, F.col("cached")).alias("category"), use.alias("reused"))

@@ -27,6 +27,11 @@ def flows(value: str = "value") -> list[Column]:
     return [total(v, income).alias("income"), total(v, expense).alias("expenses"), (total(v, income) - total(v, expense)).cast(M).alias("net"), F.count("*").alias("n")]
 
 
+def flows_of(value: Column) -> list[Column]:
+    """income and expenses of rows, by type."""
+    return [total(value, F.col("transaction_type") == "CREDIT").alias("income"), total(value, F.col("transaction_type") == "DEBIT").alias("expenses")]
+
+
 def category_breakdown(txns: DataFrame, links: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     rows = txns
     if start:

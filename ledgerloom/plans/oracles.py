@@ -493,3 +493,36 @@ _FEE = [p for name, _, ps in X.CATEGORY_RULES if name == "Interest and bank char
 _PLAIN = [p.replace("(?!Fee)", "") for p in _FEE]
 ORACLES["transfer_service_rows"] = with_views("t", f""", x AS (SELECT *, CASE WHEN id % 2 = 0 THEN description WHEN id % 3 > 0 THEN 'REF-' || id ELSE 'Wise transaction ' || CASE WHEN id % 6 = 0 THEN 'DEPOSIT' ELSE 'CARD' END END AS said FROM t)
  SELECT CASE WHEN CAST(amount AS {M}) >= 0 THEN 'CREDIT' ELSE 'DEBIT' END AS transaction_type, date_posted, amount, CASE WHEN id % 5 > 0 THEN currency ELSE 'USD' END AS currency, CASE WHEN id % 7 = 0 AND NOT {_ANY("said", _PLAIN)} THEN '{X.FEE_PREFIX}' || said ELSE said END AS description FROM x""")
+
+# patterns across buckets, cached decisions, judged links
+_TAX = ", ".join("({}, {}, {}, {}, {}, {})".format(*(("NULL" if x is None else str(x).lower() if isinstance(x, bool) else repr(x) if isinstance(x, float) else "'" + str(x).replace("'", "''") + "'") for x in (c, k, b, o, g, w))) for c, k, _, b, _, _, o, w, g in X.TAXONOMY)
+_FACTS = f"""tx AS (SELECT * FROM (VALUES {_TAX}) x(category, kind, bucket, operating, generic, scrutiny)), ra AS (SELECT * FROM (VALUES ('CAD', 1.000000), ('USD', 1.370000)) x(currency, rate)),
+ ro AS (SELECT user_id, coalesce(tc.category, 'Uncategorized') AS category, currency, sum(CASE WHEN transaction_type = 'CREDIT' THEN {ABS} ELSE 0 END) AS income, sum(CASE WHEN transaction_type = 'DEBIT' THEN {ABS} ELSE 0 END) AS expenses FROM tc WHERE status <> 'EXCLUDED' GROUP BY ALL),
+ rr AS (SELECT user_id, ro.category, coalesce(bucket, 'other_operating') AS bucket, coalesce(scrutiny, 1.0) AS scrutiny, coalesce(generic, false) AS generic, coalesce(operating, false) AS operating, CAST(income * rate AS DOUBLE) AS income, CAST(expenses * rate AS DOUBLE) AS spent FROM ro LEFT JOIN tx ON tx.category = ro.category JOIN ra ON ra.currency = ro.currency WHERE coalesce(bucket, '') NOT IN ('transfer', 'non_operating')),
+ pc AS (SELECT user_id, bucket, category, sum(CASE WHEN NOT operating AND spent > 0 THEN spent ELSE 0 END) AS spent, sum(CASE WHEN operating THEN income ELSE 0 END) AS revenue, sum(CASE WHEN operating AND generic THEN income ELSE 0 END) AS generic, max(CASE WHEN NOT operating AND spent > 0 THEN scrutiny END) AS scrutiny, bool_or(CASE WHEN operating THEN income >= 500 ELSE spent > 0 AND spent >= 500 END) AS material FROM rr GROUP BY ALL),
+ pb2 AS (SELECT user_id, bucket, sum(spent) AS spent, sum(revenue) AS revenue, sum(generic) AS generic, max(scrutiny) AS scrutiny, count(*) FILTER (material) AS sources FROM pc GROUP BY ALL),
+ fa AS (SELECT user_id, sum(revenue) AS revenue, sum(generic) AS generic, sum(spent) AS spent, bool_or(sources >= 2) AS fragmented, CAST(count(*) FILTER (spent > 0) AS INT) AS n_buckets FROM pb2 GROUP BY ALL)"""
+ORACLES["peer_facts"] = with_views(["tc"], f", {_FACTS} SELECT user_id, round(revenue, 4) AS revenue, round(generic, 4) AS generic, 0.0 AS drawn, round(spent, 4) AS spent, fragmented, n_buckets FROM fa")
+_B = lambda b: f"coalesce((SELECT spent FROM pb2 WHERE pb2.user_id = fa.user_id AND bucket = '{b}'), 0)"
+_W = lambda b, other: f"greatest(coalesce((SELECT scrutiny FROM pb2 WHERE pb2.user_id = fa.user_id AND bucket = '{b}' AND spent > 0), {other}), 1.0)"
+_FLAGS = f"""{_FACTS}, fb AS (SELECT fa.*, {_B("subcontracts")} + {_B("professional_fees")} AS con, {_B("salaries_wages")} + {_B("employee_benefits")} AS lab FROM fa WHERE revenue > 0),
+ fc AS (SELECT *, lab + con > 0 AND con > 0.6 * (lab + con) AND con / revenue > 0.25 AS skew FROM fb),
+ ra0 AS (SELECT pb2.user_id, 'ratio_' || bucket || '_high' AS flag_key, 'A' AS layer, CASE WHEN pb2.spent / fc.revenue > 0.25 THEN 'stands_out' ELSE 'elevated' END AS severity, bucket, CAST(round(CAST(pb2.spent AS DECIMAL(24,6)), 2) AS DOUBLE) AS amount, pb2.spent / fc.revenue AS your_pct, pb2.spent / fc.revenue * 4 AS weight FROM pb2 JOIN fc ON fc.user_id = pb2.user_id
+  WHERE bucket IN ('subcontracts', 'insurance', 'travel', 'professional_fees') AND pb2.spent / fc.revenue > 0.1 AND NOT (skew AND bucket IN ('subcontracts', 'professional_fees', 'salaries_wages'))),
+ fl AS (SELECT * FROM ra0 UNION ALL SELECT user_id, 'pattern_contractor_heavy', 'B', 'elevated', 'subcontracts', CAST(round(CAST(con AS DECIMAL(24,6)), 2) AS DOUBLE), con / revenue, con / revenue * {_W("subcontracts", 1.5).replace("fa.", "fc.")} * 10 FROM fc WHERE skew
+  UNION ALL SELECT user_id, 'pattern_generic_income_bucket', 'B', 'elevated', 'operating_revenue', CAST(round(CAST(generic AS DECIMAL(24,6)), 2) AS DOUBLE), generic / revenue, generic / revenue * 5 FROM fc WHERE generic / revenue > 0.5
+  {" ".join(f"UNION ALL SELECT user_id, '{key}', 'B', 'elevated', '{b}', CAST(round(CAST({_B(b)} AS DECIMAL(24,6)), 2) AS DOUBLE), {_B(b)} / revenue, {_B(b)} / revenue * {_W(b, 2.0)} * 10 FROM fc WHERE {_B(b)} / revenue > 0.05 AND NOT EXISTS (SELECT 1 FROM ra0 WHERE ra0.user_id = fc.user_id AND ra0.bucket = '{b}')".replace("fa.", "fc.") for b, key in (("travel", "pattern_travel_over_threshold"), ("meals_entertainment", "pattern_meals_over_threshold"), ("motor_vehicle", "pattern_vehicle_over_threshold")))}
+  UNION ALL SELECT user_id, 'pattern_expenses_exceed_revenue', 'B', 'stands_out', NULL, CAST(round(CAST(spent AS DECIMAL(24,6)), 2) AS DOUBLE), NULL, 12 FROM fc WHERE spent > revenue UNION ALL SELECT user_id, 'pattern_category_fragmentation', 'B', 'elevated', NULL, NULL, NULL, 3 FROM fc WHERE fragmented)"""
+ORACLES["peer_flags"] = with_views(["tc"], f", {_FLAGS} SELECT user_id, flag_key, layer, severity, bucket, amount, round(your_pct, 9) AS your_pct, round(CAST(weight AS DOUBLE), 9) AS weight FROM fl")
+ORACLES["peer_band"] = with_views(["tc"], f""", {_FLAGS}, g AS (SELECT *, user_id % 3 = 0 AND flag_key = 'pattern_travel_over_threshold' AS gone FROM fl), k AS (SELECT *, NOT gone AND row_number() OVER (PARTITION BY user_id, gone ORDER BY weight DESC, flag_key) <= 5 AS top FROM g),
+ s AS (SELECT user_id, count(*) FILTER (NOT gone) AS n_flags, count(*) FILTER (gone) AS n_dismissed, count(*) FILTER (top) AS n, count(*) FILTER (top AND severity = 'stands_out') AS o, string_agg(flag_key, ',' ORDER BY weight DESC, flag_key) FILTER (top) AS shown FROM k GROUP BY user_id)
+ SELECT fc.user_id, CASE WHEN o >= 2 OR n >= 4 THEN 'several' WHEN n > 0 THEN 'a_few' ELSE 'typical' END AS band, coalesce(shown, '') AS shown, coalesce(n_flags, 0) AS n_flags, coalesce(n_dismissed, 0) AS n_dismissed FROM fc LEFT JOIN s ON s.user_id = fc.user_id""")
+ORACLES["vendor_cache_reuse"] = with_views("tm", f""", {VK}, pr AS (SELECT DISTINCT user_id, transaction_id AS id FROM m WHERE status IN {PROOF}),
+ cl AS (SELECT vk.user_id, vendor_key, avg(CASE WHEN pr.id IS NULL THEN 0 ELSE 1 END) AS cover, max(category) AS cached FROM vk LEFT JOIN pr ON pr.user_id = vk.user_id AND pr.id = vk.id GROUP BY ALL
+  UNION ALL SELECT user_id, vendor_key || '_only', 0, CASE WHEN user_id = 2 THEN 'No such category' ELSE max(category) END FROM vk WHERE id % 2 = 1 GROUP BY user_id, vendor_key)
+ SELECT user_id, vendor_key, CASE WHEN cover <= 0 AND cached IN ({q(c for c, *_ in X.TAXONOMY)}) THEN cached END AS category, coalesce(cover <= 0 AND cached IN ({q(c for c, *_ in X.TAXONOMY)}), false) AS reused FROM cl""")
+_BETTER = "(y.confidence_score > x.confidence_score OR (y.confidence_score = x.confidence_score AND y.u < x.u)) AND (y.u = x.v OR y.v = x.u)"
+ORACLES["judged_links"] = with_views("c", f""", e AS (SELECT source_transaction_id AS u, target_transaction_id AS v, confidence_score FROM c WHERE confidence_score >= 0.55),
+ a1 AS (SELECT * FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE {_BETTER})), e1 AS (SELECT * FROM e x WHERE NOT EXISTS (SELECT 1 FROM a1 y WHERE y.u IN (x.u, x.v) OR y.v IN (x.u, x.v))),
+ a2 AS (SELECT * FROM e1 x WHERE NOT EXISTS (SELECT 1 FROM e1 y WHERE {_BETTER}))
+ SELECT CAST(0 AS BIGINT) AS user_id, u AS source_id, v AS target_id, 'INTERNAL_TRANSFER' AS link_type, round(confidence_score * 0.95, 4) AS confidence, 0 AS chain_position FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2)""")

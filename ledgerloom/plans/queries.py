@@ -13,6 +13,7 @@ from ..operators import linkage as L
 from ..operators import linked as G
 from ..operators import lookup as U
 from ..operators import overview as O
+from ..operators import patterns as V
 from ..operators import pages as D
 from ..operators import predicates as P
 from ..operators import quotes as H
@@ -639,6 +640,55 @@ def statement_facts(v):
     return E.facts(_texts(v.statement_lines).unionByName(_wallet_pages(v)), 2000).select("file", *E.FACTS)
 
 
+def _peer_facts(v):
+    """Facts of tenants of a few rows each: customers."""
+    rows = v.customer_transactions.where("status <> 'EXCLUDED'").groupBy("user_id", F.coalesce("category", F.lit("Uncategorized")).alias("category"), "currency").agg(*R.flows_of(P.absolute()))
+    return written(V.facts(rows, P.taxonomy(v.spark), _rates(v)), "facts")
+
+
+def _ratio_flags(facts):
+    """Every line of more than a quarter of revenue counts as far above its peers, of a tenth as above."""
+    lines = facts.where("revenue > 0").select("user_id", "revenue", F.explode("by_bucket").alias("bucket", "amount")).withColumn("your_pct", F.col("amount") / F.col("revenue")).where("your_pct > 0.1")
+    return lines.select("user_id", F.concat(F.lit("ratio_"), "bucket", F.lit("_high")).alias("flag_key"), F.when(F.col("your_pct") > 0.25, "stands_out").otherwise("elevated").alias("severity"), "bucket", V.cents(F.col("amount")).alias("amount"), "your_pct", (F.col("your_pct") * 4).alias("weight")).where("bucket in ('subcontracts', 'insurance', 'travel', 'professional_fees')")
+
+
+@query
+def peer_facts(v):
+    return _peer_facts(v).select("user_id", *[F.round(c, 4).alias(c) for c in ("revenue", "generic", "drawn", "spent")], "fragmented", F.size("by_bucket").alias("n_buckets"))
+
+
+@query
+def peer_flags(v):
+    facts = _peer_facts(v)
+    out = V.flags(facts, _ratio_flags(facts))
+    return out.select("user_id", "flag_key", "layer", "severity", "bucket", "amount", F.round("your_pct", 9).alias("your_pct"), F.round("weight", 9).alias("weight"))
+
+
+@query
+def peer_band(v):
+    facts = _peer_facts(v)
+    dismissed = facts.where("user_id % 3 = 0").select("user_id", F.lit("pattern_travel_over_threshold").alias("flag_key"))
+    return V.verdict(facts, V.flags(facts, _ratio_flags(facts)), dismissed)
+
+
+@query
+def vendor_cache_reuse(v):
+    t = v.transactions.withColumn("vendor_key", S.vendor_key("description"))
+    proofs = v.matches.where(P.proves()).select("user_id", F.col("transaction_id").alias("id"), F.lit(1).alias("p")).distinct()
+    clusters = t.join(proofs, ["user_id", "id"], "left").groupBy("user_id", "vendor_key").agg(F.avg(F.coalesce("p", F.lit(0))).alias("proof_coverage"))
+    odd = t.where("id % 2 = 1")
+    alone = odd.groupBy("user_id", F.concat("vendor_key", F.lit("_only")).alias("vendor_key")).agg(F.lit(0.0).alias("proof_coverage"))
+    cache = odd.groupBy("user_id", F.concat("vendor_key", F.lit("_only")).alias("vendor_key")).agg(F.when(F.min("id") % 2 == 1, F.when(F.col("user_id") == 2, "No such category").otherwise(F.max("category"))).alias("category"))
+    return C.cached_decisions(clusters.unionByName(alone), cache.unionByName(t.groupBy("user_id", "vendor_key").agg(F.max("category").alias("category"))))
+
+
+@query
+def judged_links(v):
+    """A model's verdicts on chains of rows: each row takes its best link."""
+    verdicts = v.chain_links.select("user_id", F.col("source_transaction_id").alias("source_id"), F.col("target_transaction_id").alias("target_id"), F.lit("INTERNAL_TRANSFER").alias("link_type"), F.col("confidence_score").alias("factor"))
+    return T.assign_judged(verdicts, v.transactions.withColumn("user_id", F.lit(0).cast("long"))).select("user_id", "source_id", "target_id", "link_type", "confidence", "chain_position")
+
+
 @query
 def statement_csv_rows(v):
     """Statement files of all dialects, read line by line."""
