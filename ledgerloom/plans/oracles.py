@@ -526,3 +526,23 @@ ORACLES["judged_links"] = with_views("c", f""", e AS (SELECT source_transaction_
  a1 AS (SELECT * FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE {_BETTER})), e1 AS (SELECT * FROM e x WHERE NOT EXISTS (SELECT 1 FROM a1 y WHERE y.u IN (x.u, x.v) OR y.v IN (x.u, x.v))),
  a2 AS (SELECT * FROM e1 x WHERE NOT EXISTS (SELECT 1 FROM e1 y WHERE {_BETTER}))
  SELECT CAST(0 AS BIGINT) AS user_id, u AS source_id, v AS target_id, 'INTERNAL_TRANSFER' AS link_type, round(confidence_score * 0.95, 4) AS confidence, 0 AS chain_position FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2)""")
+
+_CHAIN = ORACLES["transfer_pairs_scored"].split(" e AS (SELECT *, CASE WHEN y > 0", 1)[1].split(",\n m5 AS", 1)[0].replace(" FROM m1 WHERE am > 0", " FROM m1")
+_KIND = "CASE WHEN same_account THEN CASE WHEN cx <> cy AND other_type THEN 'FX_CONVERSION' WHEN other_type THEN 'REFUND' ELSE 'OTHER' END WHEN cx <> cy AND rate IS NOT NULL THEN 'FX_CONVERSION' ELSE kw_type END"
+_CHAIN = _CHAIN.replace("m3 AS (SELECT *,", "m30 AS (SELECT *,", 1).replace("AS link_type, CAST(CASE WHEN len(both_sides)", "AS kw_type, CAST(CASE WHEN len(both_sides)", 1).replace(" m4 AS (SELECT *,", f" m3 AS (SELECT *, {_KIND} AS link_type FROM m30),\n m4 AS (SELECT *,", 1)
+
+
+def _picker(search: str | None, looked_at: int, shown: int) -> str:
+    head = ORACLES["transfer_pairs_scored"].split(",\n s AS (SELECT * FROM w", 1)[0].replace("AS says FROM t)", "AS says, description FROM t WHERE user_id = 0)")
+    fits = f"regexp_matches(b.description, '(?i){search}')" if search else "a.account <> b.account AND b.id <> a.id AND ln.id IS NULL"
+    return f"""{head}, ln AS (SELECT DISTINCT CASE WHEN source_transaction_id = f.id THEN target_transaction_id ELSE source_transaction_id END AS id FROM l, (SELECT min(id) AS id FROM w) f WHERE user_id = 0 AND status <> 'USER_REJECTED' AND f.id IN (source_transaction_id, target_transaction_id)),
+ p AS (SELECT b.id AS b_id, b.day AS b_day, b.id = a.id AS own, ln.id IS NOT NULL AS linked, a.account = b.account AS same_account, a.ty <> b.ty AS other_type, a.v AS x, b.v AS y, a.currency AS cx, b.currency AS cy, coalesce(a.rate, b.rate) AS rate, abs(date_diff('day', a.day, b.day)) AS gap, least(a.account, b.account) || '|' || greatest(a.account, b.account) AS accounts, a.ws AS aw, b.ws AS bw
+  FROM w a JOIN w b ON a.id = (SELECT min(id) FROM w) LEFT JOIN ln ON ln.id = b.id WHERE {fits} ORDER BY b.day DESC, b.id LIMIT {looked_at}),
+ e AS (SELECT *, CASE WHEN y > 0{_CHAIN}
+ SELECT b_id AS id, strftime(b_day, '%Y-%m-%d') AS date_posted, link_type, am AS amount_score, da AS date_score, kw AS keyword_score, ac AS account_score, round(0.45::DOUBLE * am + 0.25::DOUBLE * da + 0.20::DOUBLE * kw + 0.10::DOUBLE * ac, 4) AS confidence, CASE WHEN own THEN 'self' WHEN linked THEN 'already_linked' END AS unavailable_reason
+ FROM m4 ORDER BY unavailable_reason IS NOT NULL, confidence DESC, b_day DESC, b_id LIMIT {shown}"""
+
+
+_WITH_LINKS = lambda sql: sql.replace("WITH ", with_views("l", "").rstrip() + ", ", 1)
+ORACLES["link_picker_suggestions"] = _WITH_LINKS(_picker(None, 200, 100))
+ORACLES["link_picker_search"] = _WITH_LINKS(_picker("wire|tfr|transfer|business", 1000, 500))

@@ -682,6 +682,21 @@ def vendor_cache_reuse(v):
     return C.cached_decisions(clusters.unionByName(alone), cache.unionByName(t.groupBy("user_id", "vendor_key").agg(F.max("category").alias("category"))))
 
 
+def _first_id(v, user_id):
+    return P.tenant(v.transactions, user_id).agg(F.min("id")).first()[0]
+
+
+@query
+def link_picker_suggestions(v):
+    return T.link_picker(v.transactions, v.links, 0, _first_id(v, 0), limit=100)
+
+
+@query
+def link_picker_search(v):
+    """All rows of the tenant that say wire, transfer or business, the row itself among them."""
+    return T.link_picker(v.transactions, v.links, 0, _first_id(v, 0), search=S.any_match("description", ["wire", "tfr", "transfer", "business"]), limit=500)
+
+
 @query
 def judged_links(v):
     """A model's verdicts on chains of rows: each row takes its best link."""

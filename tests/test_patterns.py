@@ -91,3 +91,21 @@ def test_judged_links_match_a_loop(spark):
     out = T.assign_judged(df, txns).collect()
     assert sorted((r.source_id, r.target_id, r.link_type, r.confidence, r.chain_position) for r in out) == loop_judged(verdicts, size, ccy)
     assert any(r.chain_position > 0 for r in out) and all((r.chain_id is None) == (r.link_type != "REFUND") for r in out)
+
+
+def test_link_picker(spark):
+    row = lambda i, account, kind, amount, ccy, day, text, user=1: (user, i, account, kind, amount, ccy, day, text, None)
+    rows = [
+        row(1, "Wise", "DEBIT", "-100.00", "USD", "2024-03-10", "own"), row(2, "Wise", "CREDIT", "100.00", "USD", "2024-03-11", "same account"), row(3, "Wise", "CREDIT", "137.00", "CAD", "2024-03-10", "other currency"), row(4, "Wise", "DEBIT", "-5.00", "USD", "2024-03-10", "same type"),
+        row(5, "CAD", "CREDIT", "135.00", "CAD", "2024-03-12", "transfer AT1.35"), row(6, "CAD", "CREDIT", "100.00", "CAD", "2024-03-12", "linked"), row(7, "CAD", "CREDIT", "100.00", "USD", "2020-01-01", "far"), row(8, "CAD", "CREDIT", "100.00", "USD", "2024-03-10", "foreign", user=2),
+    ]
+    t = spark.createDataFrame(rows, "user_id long, id long, account string, transaction_type string, amount string, currency string, date_posted string, description string, category string")
+    links = spark.createDataFrame([(1, 6, 1, "PENDING_REVIEW"), (1, 1, 7, "USER_REJECTED"), (2, 1, 5, "AUTO_APPROVED")], "user_id long, source_transaction_id long, target_transaction_id long, status string")
+    got = {r.id: r for r in T.link_picker(t, links, 1, 1).collect()}
+    assert set(got) == {5, 7} and got[5].link_type == "FX_CONVERSION" and got[5].amount_score == 0.95
+    found = T.link_picker(t, links, 1, 1, search=F.lit(True)).collect()
+    assert {r.id: r.unavailable_reason for r in found} == {1: "self", 2: None, 3: None, 4: None, 5: None, 6: "already_linked", 7: None}
+    assert {r.id: r.link_type for r in found if r.id in (2, 3, 4)} == {2: "REFUND", 3: "FX_CONVERSION", 4: "OTHER"}
+    assert [r.unavailable_reason is None for r in found] == [True] * 5 + [False] * 2 and len(T.link_picker(t, links, 1, 1, search=F.lit(True), limit=2).collect()) == 2
+    score = [r.confidence for r in found[:5]]
+    assert score == sorted(score, reverse=True) and T.link_picker(t, links, 1, 99).count() == 0
