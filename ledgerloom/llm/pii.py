@@ -1,6 +1,7 @@
 """PII: keyed surrogates for detected entities (operator 1). DataFrame and SQL functions only.
 
-Entities are e-mail addresses, phone numbers, IPv4 addresses, card numbers, national ids and titled person names.
+Entities are e-mail addresses, phone numbers, IPv4 addresses, bank account numbers (IBAN), card numbers, national ids and
+titled person names.
 Each distinct entity of the corpus gets one surrogate, drawn from SHA-512 of (key, kind, entity, attempt):
   email   same count of letters and digits in the local part, a reserved example domain label, the same top level
   phone   country code (one to three digits by COUNTRY_CODES) and punctuation stay, the other digits change
@@ -8,10 +9,14 @@ Each distinct entity of the corpus gets one surrogate, drawn from SHA-512 of (ke
           after 24 anywhere, so that a table of very many addresses does not run out of them
   card    first digit, grouping and length stay; the last digit makes the Luhn sum right where it was right
   id      grouping stays, digits change
-  person  the title stays; first names come from a pool of the title's gender, family names from syllables; the script
-          (Latin or Cyrillic), the number of names and the case style (Title, UPPER, lower) are kept
+  iban    country, grouping, and which characters are letters stay; the check digits are right where they were right
+  person  the title stays; first names come from a pool of the title's gender (either for Dr and Prof; with syllables
+          after four collisions), family names from syllables; the script (Latin or Cyrillic), the number of names and the
+          case style (Title, UPPER, lower) are kept
 Entities are compared in a normal form (lower case, digits only), so every mention of one gets the same surrogate,
-written in that mention's own format (coreference). A surrogate that equals a real entity or another one's surrogate
+written in that mention's own format (coreference). A person's names are entities of their own: each family name and
+each first name of a gender has its surrogate, so `Mr John Smith`, `Mr Smith` and `Dr Smith` keep the same family name,
+and distinct names stay distinct. A surrogate that equals a real entity or another one's surrogate
 is drawn again with the next attempt until none collides (distinctness); at each attempt the smallest entity keeps it.
 
 Null texts stay null, with no entities. Texts of any length are replaced whole. Equal rows get equal results; other
@@ -29,11 +34,16 @@ KEY = "surrogate-key-1"
 MAX_ATTEMPTS = 64
 # Entity patterns (Java regular expressions), in order of precedence.
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-NAME_TITLES = "Mrs|Miss|Mr|Ms|MRS|MISS|MR|MS|Herr|HERR|Frau|FRAU|Señora|Señor|SEÑORA|SEÑOR|Monsieur|Madame|Sra|Sr|Mme|Г-н|Г-жа"
+NAME_TITLES = "Mrs|Miss|Mr|Ms|MRS|MISS|MR|MS|Dr|DR|Prof|PROF|Herr|HERR|Frau|FRAU|Señora|Señor|SEÑORA|SEÑOR|Monsieur|Madame|Sra|Sr|Mme|Г-н|Г-жа"
+IBAN_FORMS = [
+    "AT[0-9]{2}(?: ?[0-9]{4}){4}", "BE[0-9]{2}(?: ?[0-9]{4}){3}", "CH[0-9]{2}(?: ?[0-9A-Z]{4}){4} ?[0-9A-Z]", "DE[0-9]{2}(?: ?[0-9]{4}){4} ?[0-9]{2}", "ES[0-9]{2}(?: ?[0-9]{4}){5}",
+    "FR[0-9]{2}(?: ?[0-9A-Z]{4}){5} ?[0-9A-Z]{3}", "GB[0-9]{2} ?[A-Z]{4}(?: ?[0-9]{4}){3} ?[0-9]{2}", "IT[0-9]{2} ?[A-Z][0-9]{3}(?: ?[0-9A-Z]{4}){4} ?[0-9A-Z]{3}", "NL[0-9]{2} ?[A-Z]{4}(?: ?[0-9]{4}){2} ?[0-9]{2}",
+]
 PATTERNS = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}",
     "ip": f"(?<![0-9.])(?:{OCTET}[.]){{3}}{OCTET}(?![0-9]|[.][0-9])",
     "phone": "(?<![0-9A-Za-z])[+][0-9]{1,3}[ -]?[(]?[0-9]{2,4}[)]?(?:[ -]?[0-9]{2,4}){1,4}(?![0-9])",
+    "iban": f"(?<![0-9A-Za-z])(?:{'|'.join(IBAN_FORMS)})(?![0-9A-Za-z])",
     "card": "(?<![0-9A-Za-z.])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
     "id": "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "person": f"(?<!\\p{{L}})(?:{NAME_TITLES})[.]?(?: \\p{{Lu}}[\\p{{L}}'-]+){{1,3}}",
@@ -41,6 +51,7 @@ PATTERNS = {
 # Country calling codes of one and two digits; all others have three.
 COUNTRY_CODES = ["1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"]
 FEMALE_TITLES = ["mrs", "ms", "miss", "frau", "señora", "madame", "sra", "mme", "г-жа"]
+NEUTRAL_TITLES = ["dr", "prof"]
 POOLS = {
     "f_latin": ["Alma", "Berta", "Carla", "Dora", "Edith", "Flora", "Greta", "Hanna", "Irene", "Julia", "Klara", "Lena", "Maria", "Nora", "Olga", "Paula"],
     "m_latin": ["Anton", "Bruno", "Carlos", "David", "Emil", "Felix", "Georg", "Hugo", "Igor", "Jakob", "Karl", "Leo", "Martin", "Nils", "Otto", "Peter"],
@@ -51,7 +62,7 @@ POOLS = {
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # A cheap test that every entity passes.
-HINT = f"@|[0-9](?:[ .)(-]{{0,3}}[0-9]){{5}}|[0-9][.][0-9]|(?:{NAME_TITLES})[.]? \\p{{Lu}}"
+HINT = f"@|[A-Z]{{2}}[0-9]{{2}} ?[0-9A-Z]{{4}}|[0-9](?:[ .)(-]{{0,3}}[0-9]){{5}}|[0-9][.][0-9]|(?:{NAME_TITLES})[.]? \\p{{Lu}}"
 
 
 def found() -> Column:
@@ -62,17 +73,21 @@ def found() -> Column:
 
 def kind_of(x: Column) -> Column:
     out = F.when(x.contains("@"), "email")
-    for kind in ("ip", "phone", "id", "card"):
+    for kind in ("ip", "phone", "id", "iban", "card"):
         out = out.when(x.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return out.otherwise("person")
 
 
-def normal(x: Column, kind: Column) -> Column:
-    digits = F.regexp_replace(x, "[^0-9]", "")
-    name = F.lower(F.regexp_replace(x, f"^(?:{NAME_TITLES})[.]? ", ""))
-    # a person's key holds gender and number of names, as the surrogate must match them
-    person = F.concat(F.when(is_female(x), "f:").otherwise("m:"), name)
-    return F.when(kind.isin("email", "ip"), F.lower(x)).when(kind == "person", person).otherwise(digits)
+def parts_of(x: Column, kind: Column) -> Column:
+    """The entities that a mention holds, as struct(kind, norm): the names of a person, in order, else one."""
+    digits, bare = F.regexp_replace(x, "[^0-9]", ""), F.upper(F.regexp_replace(x, " ", ""))
+    norm = F.when(kind.isin("email", "ip"), F.lower(x)).when(kind == "iban", bare).otherwise(digits)
+    title = F.regexp_extract(x, f"^({NAME_TITLES})", 1)
+    gender = F.when(F.lower(title).isin(NEUTRAL_TITLES), "n:").when(is_female(x), "f:").otherwise("m:")
+    names = F.split(F.lower(F.regexp_replace(x, f"^(?:{NAME_TITLES})[.]? ", "")), " ")
+    # a first name's key holds the gender, as the surrogate must match it
+    person = F.transform(names, lambda n, i: F.when(i == F.size(names) - 1, F.struct(F.lit("family").alias("kind"), n.alias("norm"))).otherwise(F.struct(F.lit("given").alias("kind"), F.concat(gender, n).alias("norm"))))
+    return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
 
 
 def is_female(x: Column) -> Column:
@@ -112,6 +127,11 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(_chars(digits)), value), F.lit(0), lambda a, b: a + b) % 10
 
 
+def mod97(bban: Column) -> Column:
+    """Remainder of an account number by 97, letters read as two digits."""
+    return F.aggregate(_chars(bban), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
 def drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """Normal form of the surrogate of an entity at an attempt."""
     stream = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
@@ -127,8 +147,13 @@ def drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     right = F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10))
     last = F.when(luhn(norm) == 0, right).otherwise((right + 1 + _nibble(stream, F.lit(60)) % 9) % 10)
     card = F.concat(body, last.cast("string"))
-    cyrillic, female = norm.rlike("\\p{IsCyrillic}"), norm.startswith("f:")
-    n_names = F.size(F.split(norm, " "))
+    country, account = F.substr(norm, F.lit(1), F.lit(2)), _redrawn(F.substr(norm, F.lit(5)), stream)
+    check = 98 - mod97(F.concat(account, country, F.lit("00")))
+    was_right = mod97(F.concat(F.substr(norm, F.lit(5)), F.substr(norm, F.lit(1), F.lit(4)))) == 1
+    check = F.when(was_right, check).otherwise((check + 1 + _nibble(stream, F.lit(60)) % 90) % 97)
+    iban = F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+    cyrillic = norm.rlike("\\p{IsCyrillic}")
+    female = norm.startswith("f:") | (norm.startswith("n:") & (_nibble(stream, F.lit(50)) % 2 == 0))
 
     def pool(name: str, n: Column) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in POOLS[name]]), n % 16 + 1)
@@ -136,28 +161,28 @@ def drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     def by_script(a: str, n: Column) -> Column:
         return F.when(cyrillic, pool(f"{a}_cyrillic", n)).otherwise(pool(f"{a}_latin", n))
 
-    def name(i: Column) -> Column:
-        """Given names first, then the family name; more attempts make it longer."""
-        given = F.when(female, by_script("f", _nibble(stream, i))).otherwise(by_script("m", _nibble(stream, i)))
-        parts = F.transform(F.sequence(F.lit(0), F.lit(2) + F.least(attempt, F.lit(20))), lambda k: by_script("s", _nibble(stream, k + 5 + i)))
-        return F.when((i < n_names - 1) & (n_names > 1), F.lower(given)).otherwise(F.array_join(parts, ""))
+    def syllables(n: Column) -> Column:
+        """n syllables; more attempts make a name longer."""
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: by_script("s", _nibble(stream, k + 5))), "")).otherwise("")
 
-    person = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.array_join(F.transform(F.sequence(F.lit(0), n_names - 1), name), " "))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "id", digits).otherwise(person)
+    more = F.least(attempt, F.lit(20))
+    first = F.lower(F.when(female, by_script("f", _nibble(stream, F.lit(0)))).otherwise(by_script("m", _nibble(stream, F.lit(0)))))
+    given = F.concat(F.substr(norm, F.lit(1), F.lit(2)), first, syllables(F.greatest(more - 3, F.lit(0))))
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban)
+    return out.when(kind == "id", digits).when(kind == "given", given).otherwise(syllables(more + 3))
 
 
 def formatted(kind: Column, original: Column, surrogate: Column) -> Column:
-    """The surrogate's normal form written in the format of a mention."""
+    """The surrogate's normal form (a person's: names with a space between) written in the format of a mention."""
     spread = F.aggregate(
         _chars(original),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s.out, F.substr(surrogate, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s.out, c).alias("out"), s["at"].alias("at"))),
+        lambda s, c: F.when(c.rlike("[0-9]") | ((kind == "iban") & (c != " ")), F.struct(F.concat(s.out, F.substr(surrogate, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s.out, c).alias("out"), s["at"].alias("at"))),
         lambda s: s.out,
     )
     title = F.regexp_extract(original, f"^(?:{NAME_TITLES})[.]? ", 0)
     rest = F.substr(original, F.length(title) + 1)
-    name = F.substr(surrogate, F.lit(3))
-    cased = F.when(rest == F.upper(rest), F.upper(name)).otherwise(F.initcap(name))
+    cased = F.when(rest == F.upper(rest), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     upper = F.when((original == F.upper(original)) & original.rlike("[A-Z]"), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind == "email", upper).when(kind == "ip", surrogate).when(kind == "person", F.concat(title, cased)).otherwise(spread)
 
@@ -189,13 +214,16 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     some = written(
         own.where(F.size("found") > 0).select(
             "doc_id", F.split("text", _ANY, -1).alias("parts"),
-            F.transform("found", lambda x: F.struct(kind_of(x).alias("kind"), normal(x, kind_of(x)).alias("norm"), x.alias("original"))).alias("found"),
+            F.transform("found", lambda x: F.struct(kind_of(x).alias("kind"), parts_of(x, kind_of(x)).alias("parts"), x.alias("original"))).alias("found"),
             F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("text"))).alias("row_key"),
         ), "pii",
     )
-    mention = some.dropDuplicates(["row_key"]).select("row_key", F.posexplode("found").alias("at", "e")).select("row_key", "at", "e.*")
+    mention = some.dropDuplicates(["row_key"]).select("row_key", F.posexplode("found").alias("at", "e")).select("row_key", "at", F.col("e.kind").alias("type"), "e.original", F.posexplode("e.parts").alias("nth", "p")).select("row_key", "at", "type", "original", "nth", "p.kind", "p.norm")
     table = surrogates(mention.select("kind", "norm").distinct(), key)
-    told = mention.join(table, ["kind", "norm"]).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("at", formatted(F.col("kind"), F.col("original"), F.col("surrogate")).alias("s")))).alias("told"))
+    part = F.when(F.col("kind") == "given", F.substr(F.col("surrogate"), F.lit(3))).otherwise(F.col("surrogate"))
+    whole = mention.join(table, ["kind", "norm"]).groupBy("row_key", "at", "type", "original").agg(F.array_sort(F.collect_list(F.struct("nth", part.alias("s")))).alias("x"))
+    name = F.array_join(F.transform("x", lambda x: x["s"]), " ")
+    told = whole.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("at", formatted(F.col("type"), F.col("original"), name).alias("s")))).alias("told"))
     woven = F.concat(F.array_join(F.zip_with("parts", "told", lambda p, t: F.concat(p, F.coalesce(t["s"], F.lit("")))), ""))
     kinds = [_count(k).alias(f"n_{k}") for k in PATTERNS]
     changed = some.join(told, "row_key").select("doc_id", F.size("found").cast("long").alias("n_entities"), *kinds, woven.alias("text"))

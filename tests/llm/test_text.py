@@ -419,3 +419,35 @@ def test_mixing_keeps_columns_of_the_names_it_adds(spark):
     out = mixing.mix(docs)
     row = out.first()
     assert (row["Slot"], row["mix_slot"], row["mix_slot_"]) == ("x", "y", 0) and len({c.lower() for c in out.columns}) == len(out.columns)
+
+
+def test_pii_names_are_coreferent(spark):
+    rows = [(1, "Mr John Smith met Mr Smith and MR JOHN SMITH; Dr Smith, Prof. Jane Smith, Mrs Jane Smith-Jones, Mr Jones"), (2, "Mr. John Doe and Mr Smith"), (3, "Frau Анна Петрова, Г-н Петрова, Dr Анна Петрова")]
+    out = {r.doc_id: r for r in pii.pseudonymised(docs_of(spark, rows)).collect()}
+    a, b, c = (out[i].text for i in (1, 2, 3))
+    assert (out[1].n_person, out[2].n_person, out[3].n_person) == (7, 2, 3)
+    first, last = re.match(r"Mr (\w+) (\w+) met", a).groups()
+    assert f"met Mr {last} and MR {first.upper()} {last.upper()}; Dr {last}, Prof. " in a and b == f"Mr. {first} {b.split()[2]} and Mr {last}"
+    assert not re.search("(?i)john|smith|jane|jones|doe", a + b)
+    other = re.search(r"Mrs (\w+) (\w+), Mr (\w+)$", a).groups()
+    assert len({last, other[1], other[2], b.split()[2]}) == 4 and other[0] != first  # distinct names stay distinct
+    family = c.split(",")[0].split()[-1]
+    assert c.split(",")[1] == f" Г-н {family}" and c.endswith(family) and re.search(r"[А-Яа-я]", family) and not re.search("Петрова|Анна", c)
+
+
+def iban_right(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(ch, 36)) for ch in x[4:] + x[:4])) % 97 == 1
+
+
+def test_pii_account_numbers_keep_form_and_check_digits(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606", "NL91 ABNA 0417 1643 00", "ES91 2100 0418 4502 0005 1332", "CH93 0076 2011 6238 5295 7", "BE68 5390 0754 7034", "IT60 X054 2811 1010 0000 0123 456", "AT61 1904 3002 3457 3201"]
+    bad = ["DE88 3704 0044 0532 0130 00"]
+    rows = [(i, f"pay {x} now") for i, x in enumerate(good + bad)] + [(50, "DE89370400440532013000 or DE89 3704 0044 0532 0130 00, code AB12 CDEF GHIJ")]
+    out = {r.doc_id: r for r in pii.pseudonymised(docs_of(spark, rows)).collect()}
+    shape = lambda x: re.sub("[0-9]", "0", re.sub("[A-Z]", "A", x))
+    for i, x in enumerate(good + bad):
+        new = out[i].text[4:-4]
+        assert out[i].n_iban == 1 and new != x and new[:2] == x[:2] and shape(new) == shape(x) and iban_right(x) == iban_right(new) == (i < len(good))
+    plain, spaced = re.match(r"(\S+) or (.+), code AB12 CDEF GHIJ$", out[50].text).groups()
+    assert plain == spaced.replace(" ", "") == out[0].text[4:-4].replace(" ", "")
