@@ -159,3 +159,16 @@ def cached_decisions(clusters: DataFrame, cache: DataFrame) -> DataFrame:
     out = clusters.join(one, ["user_id", "vendor_key"], "left")
     use = F.coalesce(F.col("cached").isin(names) & (F.col("proof_coverage") <= 0), F.lit(False))
     return out.select("user_id", "vendor_key", F.when(use, F.col("cached")).alias("category"), use.alias("reused"))
+
+
+def cluster_keys(rows: DataFrame) -> DataFrame:
+    """(user_id, id, vendor_key, key_source) of rows (user_id, id, description, proof_vendor, stored_key, model_key).
+
+    The vendor of an approved proof is the merchant; else the description decides, anew on each run. Only where it names
+    nobody do a stored key and a model's key count, and at last the first word of the description.
+    """
+    slug = F.substring(F.split_part(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("description", F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit("_"), F.lit(1)), 1, 32)
+    key = lambda c: F.nullif(c, F.lit(""))
+    levels = [("proof", key(S.vendor_key("proof_vendor"))), ("description", key(S.vendor_key("description"))), ("stored", key(F.col("stored_key"))), ("model", key(F.lower(F.trim("model_key")))), ("slug", key(slug))]
+    found = F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("k"), F.lit(name).alias("s"))) for name, c in levels], F.struct(F.lit("unknown").alias("k"), F.lit("none").alias("s")))
+    return rows.withColumn("_f", found).select("user_id", "id", F.col("_f.k").alias("vendor_key"), F.col("_f.s").alias("key_source"))

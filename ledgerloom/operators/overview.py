@@ -38,13 +38,23 @@ def source_files(txns: DataFrame, prefix: str) -> DataFrame:
     return txns.where(F.col("source_file").startswith(prefix)).select("user_id", "source_file").distinct()
 
 
-def action_items(txns: DataFrame, matches: DataFrame) -> DataFrame:
-    """What waits for the user, in one row for each kind that has any: reviews, rows without proof, transfer-service rows."""
+def action_items(txns: DataFrame, matches: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """What waits for the user, in one row for each kind that has any: reviews, rows without proof, transfer-service rows.
+
+    With profiles (user_id, onboarded, connected) a tenant who hasn't finished the setup has an item for that, and
+    transfer-service rows are told only to those who aren't connected to it; a tenant without a profile is neither.
+    """
     waiting = F.col("status") == "UNMATCHED"
     rows = txns.groupBy("user_id").agg(F.count_if(waiting).alias("missing_receipts"), F.count_if(waiting & S.any_match("description", X.WISE_LINES)).alias("wise_detected"))
     reviews = matches.where("status = 'PENDING_REVIEW'").groupBy("user_id").agg(F.count("*").alias("pending_reviews"))
     wide = rows.join(reviews, "user_id", "full").fillna(0)
-    return wide.unpivot("user_id", ["pending_reviews", "missing_receipts", "wise_detected"], "item", "n").where("n > 0")
+    kinds = ["pending_reviews", "missing_receipts", "wise_detected"]
+    if profiles is not None:
+        one = profiles.groupBy("user_id").agg(F.bool_or("onboarded").alias("onboarded"), F.bool_or("connected").alias("connected"))
+        wide = wide.join(one, "user_id", "full").fillna(0).fillna(False)
+        wide = wide.withColumn("onboarding", (~F.col("onboarded")).cast("long")).withColumn("wise_detected", F.when(~F.col("connected"), F.col("wise_detected")).otherwise(0))
+        kinds.insert(2, "onboarding")
+    return wide.select("user_id", *kinds).unpivot("user_id", kinds, "item", "n").where("n > 0")
 
 
 def setup_completeness(profiles: DataFrame, txns: DataFrame, receipts: DataFrame, exports: DataFrame) -> DataFrame:
@@ -61,16 +71,23 @@ def setup_completeness(profiles: DataFrame, txns: DataFrame, receipts: DataFrame
     return out.select("user_id", *names, count.alias("done"), F.bround(count * 100.0 / len(names)).cast("int").alias("percent"))
 
 
-def run_result(log: DataFrame, txns: DataFrame) -> DataFrame:
-    """Outcome of a run for each tenant. log: user_id, outcome (stored, refreshed, flagged, displaced). Only newly stored pairs count as matched."""
+def run_result(log: DataFrame, txns: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Outcome of a run for each tenant. log: user_id, outcome (stored, refreshed, flagged, displaced). Only newly stored pairs count as matched.
+
+    With the documents that were unmatched before (user_id, one row each) there is nothing to reconcile only if there are
+    none of these either, and remaining_documents is told.
+    """
     said = log.groupBy("user_id").agg(F.count("*").alias("proposed"), *[F.count_if(F.col("outcome") == k).alias(n) for k, n in (("stored", "matched"), ("refreshed", "refreshed"), ("flagged", "flagged"), ("displaced", "displaced"))])
     is_ = lambda *s: F.col("status").isin(*s)
     asked = is_("UNMATCHED") & ~P.non_reconcilable()
     now = txns.groupBy("user_id").agg(F.count_if(asked).alias("reconcilable"), F.count_if(is_("MATCHED", "LINKED")).alias("reconciled"), F.count_if(is_("MATCHED", "LINKED", "UNMATCHED")).alias("all"))
     out = now.join(said, "user_id", "left").fillna(0)
-    label = F.when((F.col("matched") > 0) & (F.col("matched") >= F.col("reconcilable")), "success").when(F.col("matched") > 0, "partial").when(F.col("reconcilable") == 0, "nothing_to_reconcile").otherwise("no_matches")
+    if documents is not None:
+        out = out.join(documents.groupBy("user_id").agg(F.count("*").alias("documents")), "user_id", "left").fillna(0, ["documents"])
+    idle = (F.col("reconcilable") == 0) & (F.lit(True) if documents is None else F.col("documents") == 0)
+    label = F.when((F.col("matched") > 0) & (F.col("matched") >= F.col("reconcilable")), "success").when(F.col("matched") > 0, "partial").when(idle, "nothing_to_reconcile").otherwise("no_matches")
     rate = F.when(F.col("all") > 0, F.bround(F.col("reconciled") * 100.0 / F.col("all"), 1)).otherwise(0.0)
-    return out.select("user_id", label.alias("run_status"), "matched", "refreshed", "flagged", "displaced", "proposed", "reconcilable", rate.alias("rate"), (F.col("reconcilable") - F.col("matched")).alias("remaining"))
+    return out.select("user_id", label.alias("run_status"), "matched", "refreshed", "flagged", "displaced", "proposed", "reconcilable", rate.alias("rate"), (F.col("reconcilable") - F.col("matched")).alias("remaining"), *([] if documents is None else [(F.col("documents") - F.col("matched")).alias("remaining_documents")]))
 
 
 def cost_summary(calls: DataFrame, start: str, end: str) -> DataFrame:

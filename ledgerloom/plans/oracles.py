@@ -546,3 +546,17 @@ def _picker(search: str | None, looked_at: int, shown: int) -> str:
 _WITH_LINKS = lambda sql: sql.replace("WITH ", with_views("l", "").rstrip() + ", ", 1)
 ORACLES["link_picker_suggestions"] = _WITH_LINKS(_picker(None, 200, 100))
 ORACLES["link_picker_search"] = _WITH_LINKS(_picker("wire|tfr|transfer|business", 1000, 500))
+
+# uploads, orphaned statements, key precedence, run results and items with all their conditions
+ORACLES["upload_outcomes"] = with_views("r", """, u AS (SELECT user_id, 'u' || id || ['.pdf', '.PNG', '.csv', '.docx'][id % 4 + 1] AS name, file_hash, CASE id % 4 WHEN 2 THEN 'csv' WHEN 3 THEN NULL ELSE 'receipt' END AS kind FROM r)
+ SELECT user_id, name, file_hash, kind, CASE WHEN kind IS NULL THEN 'unsupported' WHEN kind = 'receipt' AND (EXISTS (SELECT 1 FROM r WHERE r.user_id = u.user_id AND r.file_hash = u.file_hash AND status = 'MATCHED' AND id % 3 = 0) OR EXISTS (SELECT 1 FROM u o WHERE o.user_id = u.user_id AND o.file_hash = u.file_hash AND o.kind = 'receipt' AND o.name < u.name)) THEN 'duplicate' ELSE 'new' END AS outcome FROM u""")
+ORACLES["orphaned_statements"] = with_views("j", """ SELECT user_id, id FROM j s WHERE id < 1000 AND id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM j WHERE j.user_id = s.user_id AND j.kind = 'statement' AND j.status = 'pending' AND j.id % 7 <> 0 AND j.id % 1000 = s.id)""")
+ORACLES["vendor_key_sources"] = with_views("tmr", f""", pv AS (SELECT m.user_id, transaction_id AS id, min(vendor) AS v FROM m JOIN r ON r.user_id = m.user_id AND r.id = m.document_id WHERE m.status IN {PROOF} AND transaction_id % 3 = 0 GROUP BY ALL),
+ x AS (SELECT t.user_id, t.id, coalesce(pv.v, '') AS v, CASE WHEN t.id % 10 < 4 THEN '#' || t.id WHEN t.id % 10 = 4 THEN '' ELSE description END AS d FROM t LEFT JOIN pv ON pv.user_id = t.user_id AND pv.id = t.id),
+ y AS (SELECT user_id, id, nullif({_KEY("v")}, '') AS kp, nullif({_KEY("d")}, '') AS kd, CASE WHEN id % 4 = 0 THEN 'kept' END AS ks, CASE WHEN id % 6 = 1 THEN 'told' END AS km, nullif(substr(split_part(trim(regexp_replace(lower(d), '[^a-z0-9]+', '_', 'g'), '_'), '_', 1), 1, 32), '') AS sl FROM x)
+ SELECT user_id, id, coalesce(kp, kd, ks, km, sl, 'unknown') AS vendor_key, CASE WHEN kp IS NOT NULL THEN 'proof' WHEN kd IS NOT NULL THEN 'description' WHEN ks IS NOT NULL THEN 'stored' WHEN km IS NOT NULL THEN 'model' WHEN sl IS NOT NULL THEN 'slug' ELSE 'none' END AS key_source FROM y""")
+_UNMATCHED = "(" + ORACLES["unmatched_docs_distinct"] + ")"
+ORACLES["run_result_with_documents"] = f"""WITH a AS ({ORACLES["run_result"]}), b AS (SELECT user_id, count(*) AS n FROM {_UNMATCHED} GROUP BY user_id)
+ SELECT a.* REPLACE (CASE WHEN run_status = 'nothing_to_reconcile' AND coalesce(n, 0) > 0 THEN 'no_matches' ELSE run_status END AS run_status), coalesce(n, 0) - matched AS remaining_documents FROM a LEFT JOIN b ON b.user_id = a.user_id"""
+ORACLES["action_items_by_profile"] = with_views("tm", """, a AS (SELECT user_id, 'pending_reviews' AS item, count(*) AS n FROM m WHERE status = 'PENDING_REVIEW' GROUP BY ALL UNION ALL SELECT user_id, 'missing_receipts', count(*) FROM t WHERE status = 'UNMATCHED' GROUP BY ALL
+ UNION ALL SELECT user_id, 'wise_detected', count(*) FROM t WHERE status = 'UNMATCHED' AND id % 9 = 8 AND user_id <> 2 GROUP BY ALL UNION ALL SELECT DISTINCT user_id, 'onboarding', 1 FROM t WHERE user_id <> 1) SELECT * FROM a WHERE n > 0""")

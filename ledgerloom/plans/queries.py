@@ -26,6 +26,7 @@ from ..sources import sheets as J
 from ..sources import sinks as K
 from ..sources import statement_text as E
 from ..sources import statements as Y
+from ..sources import uploads
 from ..operators.cut import written
 from ..streaming import actions as A
 from .views import Views
@@ -704,6 +705,43 @@ def judged_links(v):
     return T.assign_judged(verdicts, v.transactions.withColumn("user_id", F.lit(0).cast("long"))).select("user_id", "source_id", "target_id", "link_type", "confidence", "chain_position")
 
 
+@query
+def upload_outcomes(v):
+    """Receipts as uploads under changing extensions; a fifth is held already."""
+    ext = F.element_at(F.array(*map(F.lit, (".pdf", ".PNG", ".csv", ".docx"))), (F.col("id") % 4 + 1).cast("int"))
+    up = v.receipts.select("user_id", F.concat(F.lit("u"), F.col("id").cast("string"), ext).alias("name"), "file_hash")
+    return uploads.arrivals(up, v.receipts.where("status = 'MATCHED' and id % 3 = 0"))
+
+
+@query
+def orphaned_statements(v):
+    jobs = v.jobs.select("user_id", "kind", F.when(F.col("status") == "pending", F.element_at(F.array(*map(F.lit, ("queued", "running", "waiting_for_model"))), (F.col("id") % 3 + 1).cast("int"))).otherwise(F.col("status")).alias("status"), F.when(F.col("id") % 7 == 0, "broken").otherwise(F.concat(F.lit('{"statement_id": '), (F.col("id") % 1000).cast("string"), F.lit("}"))).alias("result"))
+    statements = v.jobs.where("id < 1000").select("user_id", "id", F.when(F.col("id") % 3 == 0, "done").otherwise("processing").alias("status"))
+    return uploads.orphaned(statements, jobs)
+
+
+@query
+def vendor_key_sources(v):
+    """Keys of rows by proof, description, stored key, model and slug."""
+    proofs = v.matches.where(P.proves() & (F.col("transaction_id") % 3 == 0)).join(v.receipts.select("user_id", F.col("id").alias("document_id"), "vendor"), ["user_id", "document_id"]).groupBy("user_id", F.col("transaction_id").alias("id")).agg(F.min("vendor").alias("proof_vendor"))
+    said = F.when(F.col("id") % 10 < 4, F.concat(F.lit("#"), F.col("id").cast("string"))).when(F.col("id") % 10 == 4, "").otherwise(F.col("description"))
+    rows = v.transactions.withColumn("description", said).withColumn("stored_key", F.when(F.col("id") % 4 == 0, "kept")).withColumn("model_key", F.when(F.col("id") % 6 == 1, " Told "))
+    return C.cluster_keys(rows.join(proofs, ["user_id", "id"], "left"))
+
+
+@query
+def run_result_with_documents(v):
+    outcome = F.when(F.col("status") == "AUTO_APPROVED", "stored").when(F.col("status") == "USER_APPROVED", "refreshed").when(F.col("status") == "PENDING_REVIEW", "flagged").otherwise("displaced")
+    return O.run_result(v.matches.select("user_id", outcome.alias("outcome")), v.transactions, U.unmatched_documents(v.receipts, v.matches))
+
+
+@query
+def action_items_by_profile(v):
+    profiles = v.table("customer").where("c_custkey < 3").select(F.col("c_custkey").cast("long").alias("user_id"), (F.col("c_custkey") == 1).alias("onboarded"), (F.col("c_custkey") == 2).alias("connected"))
+    t = v.transactions.withColumn("description", F.when(F.col("id") % 9 == 8, "WISE PAYMENTS 884120").otherwise(F.col("description")))
+    return O.action_items(t, v.matches, profiles)
+
+
 @query
 def statement_csv_rows(v):
     """Statement files of all dialects, read line by line."""

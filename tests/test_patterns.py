@@ -1,5 +1,6 @@
 """Patterns, verdict bands, cached decisions and judged links on hand-made rows."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from ledgerloom.operators import categorise as C
 from ledgerloom.operators import patterns as V
 from ledgerloom.operators import predicates as P
 from ledgerloom.operators import transfers as T
+from ledgerloom.sources import uploads
 
 RATIO = "user_id long, flag_key string, severity string, bucket string, amount double, your_pct double, weight double"
 
@@ -109,3 +111,26 @@ def test_link_picker(spark):
     assert [r.unavailable_reason is None for r in found] == [True] * 5 + [False] * 2 and len(T.link_picker(t, links, 1, 1, search=F.lit(True), limit=2).collect()) == 2
     score = [r.confidence for r in found[:5]]
     assert score == sorted(score, reverse=True) and T.link_picker(t, links, 1, 99).count() == 0
+
+
+def test_uploads_are_told_by_hash(spark, tmp_path):
+    for name, body in (("a.pdf", b"1"), ("b.PNG", b"1"), ("c.jpeg", b"2"), ("d.csv", b"1"), ("e", b"3"), ("f.webp", b"")):
+        (tmp_path / name).write_bytes(body)
+    up = uploads.files(spark, str(tmp_path)).withColumn("user_id", F.lit(1).cast("long"))
+    h = {r.name: r.file_hash for r in up.collect()}
+    assert h["f.webp"] == hashlib.sha256(b"").hexdigest()
+    seen = spark.createDataFrame([(1, h["c.jpeg"]), (1, h["c.jpeg"]), (2, h["f.webp"])], "user_id long, file_hash string")
+    assert {r.name: r.outcome for r in uploads.arrivals(up, seen).collect()} == {"a.pdf": "new", "b.PNG": "duplicate", "c.jpeg": "duplicate", "d.csv": "new", "e": "unsupported", "f.webp": "new"}
+
+
+def test_statements_without_a_job(spark):
+    s = spark.createDataFrame([(1, 1, "processing"), (1, 2, "processing"), (1, 3, "done"), (2, 1, "processing")], "user_id long, id long, status string")
+    j = spark.createDataFrame([(1, "statement", "queued", '{"statement_id": 1}'), (1, "receipt", "queued", '{"statement_id": 2}'), (1, "statement", "failed", '{"statement_id": 2}'), (1, "statement", "queued", "broken"), (1, "statement", "running", None)], "user_id long, kind string, status string, result string")
+    assert sorted((r.user_id, r.id) for r in uploads.orphaned(s, j).collect()) == [(1, 2), (2, 1)]
+
+
+def test_key_precedence(spark):
+    rows = [(1, "AMZN Mktp CA", "Orchid Telecom", "k", "m"), (2, "AMZN Mktp CA", "", "k", "m"), (3, "#12", None, "k", "m"), (4, "#12", None, None, " M "), (5, "#Ab-12", None, "", None), (6, None, None, None, None)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "user_id long, id long, description string, proof_vendor string, stored_key string, model_key string")
+    got = {r.id: (r.vendor_key, r.key_source) for r in C.cluster_keys(df).collect()}
+    assert got[1] == ("orchid_telecom", "proof") and got[2][1] == "description" and got[3] == ("k", "stored") and got[4] == ("m", "model") and got[6] == ("unknown", "none") and got[5][1] in ("description", "slug")
