@@ -2,7 +2,8 @@
 
 A text is a string of UTF-8 bytes; every byte covered by a `span`-byte string that also starts elsewhere is cut. Bytes
 covered by shorter strings, of `report` bytes, that also start elsewhere are counted (n_repeated) and kept: a passage of
-50 words is often shorter than `span`. Only suffixes at repeated anchors (see `repeats`) of `report`-byte windows are
+more than 50 words is often shorter than `span`. It is seldom shorter than the letters alone of 51 words of the usual
+mean length in English (4.7), which `report` is. Only suffixes at repeated anchors (see `repeats`) of `report`-byte windows are
 sorted: a repeated string of either length holds such an anchor at the same offset.
 
 Senders fold equal contexts, sort the suffixes that start at anchors and send each bucket one front-coded run (shared
@@ -31,7 +32,8 @@ from . import repeats as R
 from .exchange import PACKED, bucket_bits, bucket_of, equal_runs, pack, reduce_blobs, reduce_packed, rows, written
 
 SPAN = 400
-REPORT = 240
+PASSAGE_WORDS, LETTERS_A_WORD = 51, 4.7
+REPORT = round(PASSAGE_WORDS * LETTERS_A_WORD)  # 240
 GRAM = 32
 HOT = 1 << 16
 _ENTRY = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("many", "<u2"), ("low", "<u4"), ("doc", "<i8"), ("first", "<i4")])
