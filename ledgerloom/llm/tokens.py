@@ -59,12 +59,12 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     """Per distinct length: documents and tokens of at least and at most that length, truncated total, quantile."""
     h = hist.withColumn("range_id", F.expr(f"n_tokens div {RANGE}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     by_range = h.groupBy("range_id").agg(F.sum("n_docs").alias("rd"), F.sum("tokens").alias("rt"))
-    after = by_range.alias("a").join(by_range.alias("b"), F.col("b.range_id") > F.col("a.range_id"), "left").groupBy("a.range_id").agg(
-        F.coalesce(F.sum("b.rd"), F.lit(0)).alias("docs_after"), F.coalesce(F.sum("b.rt"), F.lit(0)).alias("tokens_after")
-    )
+    # as many rows as ranges, which the longest text bounds, not the number of documents
+    longer = Window.orderBy(F.col("range_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = by_range.select("range_id", F.coalesce(F.sum("rd").over(longer), F.lit(0)).alias("docs_after"), F.coalesce(F.sum("rt").over(longer), F.lit(0)).alias("tokens_after"))
     total = by_range.agg(F.sum("rd").alias("all_docs"), F.sum("rt").alias("all_tokens"))
     w = Window.partitionBy("range_id").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = h.withColumn("d", F.sum("n_docs").over(w)).withColumn("t", F.sum("tokens").over(w)).join(F.broadcast(after), "range_id").join(F.broadcast(total))
+    out = h.withColumn("d", F.sum("n_docs").over(w)).withColumn("t", F.sum("tokens").over(w)).join(after, "range_id").join(F.broadcast(total))
     at_least, tokens_at_least = F.col("d") + F.col("docs_after"), F.col("t") + F.col("tokens_after")
     return out.select(
         "n_tokens", "n_docs", at_least.alias("docs_at_least"), tokens_at_least.alias("tokens_at_least"),
