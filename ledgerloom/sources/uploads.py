@@ -11,7 +11,7 @@ WAITING = ["queued", "running", "waiting_for_model"]
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, file_hash) of the files under a path; the hash is SHA-256 of the bytes."""
+    """(name, file_hash) of the files under a path; the hash is SHA-256 of the bytes. Files without any are not read."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("file_hash"))
 
 
