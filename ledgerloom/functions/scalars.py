@@ -322,15 +322,18 @@ def filename_hint(c: Column | str) -> Column:
     for p, m, y in tries:
         month_text, year = F.regexp_extract(name, p, m), F.regexp_extract(name, p, y).try_cast("int")
         dates.append(F.when(year.between(2020, 2030), F.try_to_date(F.concat_ws("-", year, at(month_text), F.lit("15")))))
-    return F.coalesce(*dates)
+    return F.when(name.rlike(f"(?i){mon}"), F.coalesce(*dates))
 
 
 def best_date(raw: Column | str, method: Column | str, document_date: Column | str, filename: Column | str) -> Column:
     """The date a receipt is compared by: that of payment, else its own; a file name's month that is one or two months later wins, or stands alone."""
     own = F.coalesce(payment_date(raw, method, document_date), F.try_to_date(col(document_date).cast("string")))
-    hint = filename_hint(filename)
-    later = (F.year(hint) - F.year(own)) * 12 + F.month(hint) - F.month(own)
-    return F.when(later.between(1, 2), hint).otherwise(F.coalesce(own, hint))
+
+    def chosen(x: Column) -> Column:
+        later = (F.year(x["hint"]) - F.year(x["own"])) * 12 + F.month(x["hint"]) - F.month(x["own"])
+        return F.when(later.between(1, 2), x["hint"]).otherwise(F.coalesce(x["own"], x["hint"]))
+
+    return let(F.struct(own.alias("own"), filename_hint(filename).alias("hint")), chosen)
 
 
 def line_items_text(items: Column | str) -> Column:
