@@ -306,3 +306,13 @@ def test_nearest_proof_starts_from_all_matches(spark):
         known, frontier = known | set(step), step
     got = QUERIES["nearest_proof"](spark, sf).collect()
     assert {(r.id, r.depth, r.seed) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_spread_join_gives_the_rows_of_a_plain_join(spark):
+    from ledgerloom.operators.spread import SPLIT, met
+
+    left = spark.createDataFrame([(i % 3 if i % 7 else None, i if i % 5 else None) for i in range(60)] + [(9, 1), (0, 1), (0, 1)], "k int, a int")
+    right = spark.createDataFrame([(k, b) for k in (0, 1, 1, None, 5) for b in range(4)], "k int, b int")
+    rows = lambda df: sorted(tuple(-1 if v is None else v for v in r) for r in df.collect())
+    assert rows(met(left, right, ["k"], "a").select("k", "a", "b")) == rows(left.join(right, ["k"]).select("k", "a", "b"))
+    assert met(left.limit(0), right, ["k"], "a").count() == 0 and SPLIT > 1
