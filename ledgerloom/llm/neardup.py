@@ -201,9 +201,9 @@ def next_nodes(reps: DataFrame, members: DataFrame) -> DataFrame:
     return reps.select("doc_id", "sig").join(mine.hint("merge"), "doc_id").mapInArrow(run, "path long, doc_id long")
 
 
-def with_sizes(members: DataFrame) -> DataFrame:
+def with_sizes(members: DataFrame, rows: int | None = None) -> DataFrame:
     """(path, doc_id, n, lead) of the members of nodes of two or more; n is the node's size, lead its smallest member."""
-    nodes = written(members.groupBy("path").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1"), "nodes")
+    nodes = written(members.groupBy("path").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1"), "nodes", rows=rows)
     total = nodes.agg(F.sum("n")).first()[0] or 0
     hot = nodes.where(F.col("n") > max(HOT_NODE, total // MAX_HOT))  # at most MAX_HOT
     cold = members.join(F.broadcast(hot), "path", "left_anti").join(nodes.hint("merge"), "path")
@@ -271,20 +271,21 @@ def leaf_ties(reps: DataFrame, leaves: DataFrame) -> DataFrame:
 def star_links(reps: DataFrame, small: int = SMALL) -> DataFrame:
     """Candidate ties (a, b), a < b, as a written table."""
     members, ties, leaves = written(first_nodes(reps), "members"), None, None
+    rows = reps.count() * TREES  # most members stay in as many nodes or leave
     for depth in range(1, DEPTH + 1):
-        sized = written(with_sizes(members), "sized")
+        sized = written(with_sizes(members, rows), "sized", rows=rows)
         some = sized.where(F.col("n") <= small).select("path", "doc_id")
         leaves = some if leaves is None else leaves.union(some)
         large = sized.where(F.col("n") > small)
         if large.isEmpty():
             break
         if depth < DEPTH:
-            members = written(next_nodes(reps, large), "members", members)
+            members = written(next_nodes(reps, large), "members", members, rows)
         else:
             ties = large.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
     dropped(members)
     found = leaf_ties(reps, leaves)
-    return written((found if ties is None else found.union(ties)).distinct(), "stars")
+    return written((found if ties is None else found.union(ties)).distinct(), "stars", rows=rows)
 
 
 def confirmed(docs: DataFrame, links: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -343,7 +344,7 @@ def confirmed(docs: DataFrame, links: DataFrame, threshold: int = THRESHOLD) ->
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every end of a link, by alternating large and small stars; each round is written."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    seen = None
+    seen, rows = None, edges.count()
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -351,7 +352,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links", edges)
+        edges = written(small, "links", edges, rows)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "doc_id")
@@ -531,13 +532,13 @@ def large_families(docs: DataFrame, reps: DataFrame, stars: DataFrame, threshold
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, max_family: int = MAX_FAMILY, hot: int | None = None, small: int = SMALL) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is that id)."""
     sets = written(describe(docs), "sets")
-    full = sets.where("n_shingles > 0 and doc_id is not null")
-    reps = written(full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("r.doc_id", "r.sig", "d1", "d2", "n_shingles"), "reps")
+    full, rows = sets.where("n_shingles > 0 and doc_id is not null"), sets.count()
+    reps = written(full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("r.doc_id", "r.sig", "d1", "d2", "n_shingles"), "reps", rows=rows)
     stars = star_links(reps, small)
     found = components(stars).withColumnRenamed("component_id", "family")
-    family = written(found.union(found.select("family", "family").distinct()), "families")
+    family = written(found.union(found.select("family", "family").distinct()), "families", rows=rows)
     size = family.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id").groupBy("family").agg(F.sum("n").alias("n"), F.count("*").alias("members"))
-    wide = written(size.where((F.col("n") > max_family) | (F.col("members") > min(MAX_MEMBERS, max_family))).select("family"), "wide")
+    wide = written(size.where((F.col("n") > max_family) | (F.col("members") > min(MAX_MEMBERS, max_family))).select("family"), "wide", rows=rows)
     links = family_components(docs, family.join(wide, "family", "left_anti"), threshold).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     if not wide.isEmpty():
         some = family.join(wide, "family", "left_semi")

@@ -9,6 +9,8 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS = 100_000
+"""Rows of a file at least, where a table's rows are known, unless that leaves cores idle."""
 _own: list[str] = []
 _path: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -33,9 +35,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
-    """df as a table in the shared folder, read back. `instead` is a table of `written` that nothing needs any more: it goes."""
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df of about so many rows in as many partitions as they need: ROWS each, but two a core; never in more than it has.
+
+    A file costs a task and, where Hadoop has no native library, processes started by the executor, however small it is.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)))
+
+
+def written(df: DataFrame, name: str, instead: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back. `instead` is a table of `written` that nothing needs any more: it goes.
+
+    rows: about how many df has, where that is known; see few_files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = few_files(df, rows)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)

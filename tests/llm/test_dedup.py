@@ -221,3 +221,26 @@ def test_one_of_each_leaves_columns_of_any_name_alone(spark):
     docs = spark.createDataFrame([(1, "a b c", "own", 7), (1, "a b c", "own", 7), (None, "d e f", None, 8)], "doc_id long, text string, Near_Row string, near_row_ long")
     got = sorted(map(str, neardup.one_of_each(docs).collect()))
     assert got == ["Row(doc_id=1, text='a b c', Near_Row='own', near_row_=7)", "Row(doc_id=None, text='d e f', Near_Row=None, near_row_=8)"]
+
+
+def test_near_duplicates_write_few_files_for_few_rows(spark, monkeypatch):
+    rows, files, write = corpus(), collections.defaultdict(int), neardup.written
+    want = {tuple(r) for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+
+    def counted(df, name, *a, **b):
+        out = write(df, name, *a, **b)
+        files[name] = len(out.inputFiles())  # of the last one: the first links are not counted yet
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    conf = {"spark.sql.shuffle.partitions": "33", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert {tuple(r) for r in neardup.near_duplicates(docs_of(spark, rows), small=4).collect()} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"reps", "nodes", "sized", "members", "stars", "links", "families"} <= set(files)
+    assert max(files.values()) <= 2 * spark.sparkContext.defaultParallelism, files
