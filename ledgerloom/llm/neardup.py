@@ -8,7 +8,13 @@ SMALL members is a leaf. A larger one chooses coordinates of its own, by a hash
 nodes a second, so that a pair at the threshold keeps one shared child on average. Each member moves to the child of its
 minwise token there, and so on until nodes are small or DEPTH tokens long. A pair at similarity 0.75 shares a leaf of a
 tree with probability 0.75 where nodes are small at once, and 0.45 where they stay large down to DEPTH; 20 trees miss it
-with probability 1e-12 and 6e-6. Node sizes are aggregates that combine before the shuffle; members of the most frequent
+with probability 1e-12 and 6e-6.
+
+A group of near copies would stay together and move in full at every level: 109.6 rows a member on average at most. So
+members of large first nodes are tied to the document that leads most of their nodes, if the signatures agree, and bear
+its label. A large node with few members (BESIDE times SMALL) outside its largest label is settled: those are compared
+with each other and with all of the label, which is dealt into parts, and nothing of it moves on. That compares
+each pair that moving on could bring together. Node sizes are aggregates that combine before the shuffle; members of the most frequent
 nodes find theirs by a broadcast of at most MAX_HOT of them, all others by an equi-join.
 
 Small leaves are compared exhaustively, all pairs of their members in one task, by signatures of four bits a coordinate
@@ -45,6 +51,12 @@ TREES = 20
 DEPTH = 4
 SMALL = 64
 """Members of a leaf."""
+BESIDE = 4
+"""Times SMALL: members of a settled node outside its largest label."""
+PART = 16
+"""Times SMALL: members of the largest label that are compared in one part."""
+LEADS = 6
+"""First nodes of a document that one other must lead to be compared with it for a label."""
 BRANCH = 1 / 3
 """Share of the large nodes that branch by two tokens: 1 + 1/3 children for a member, the inverse of the threshold."""
 ALIKE = 76
@@ -220,74 +232,136 @@ def forest(alike: np.ndarray) -> np.ndarray:
         part = new
 
 
+def halves_of(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, two coordinates a byte."""
+    half = (sig & np.uint32(15)).astype(np.uint8)
+    return half[:, ::2] << 4 | half[:, 1::2]
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates halves agree; a and b as numpy broadcasts them."""
+    return (a >> 4 == b >> 4).sum(-1) + (a & 15 == b & 15).sum(-1)
+
+
+def lead_labels(reps: DataFrame, large: DataFrame) -> DataFrame:
+    """(doc_id, label): members of large first nodes and the smaller document that leads most of these, where signatures agree."""
+    led = large.groupBy("doc_id", "lead").agg(F.count("*").alias("k"))
+    best = led.groupBy("doc_id").agg(F.min(F.struct((-F.col("k")).alias("less"), "lead")).alias("m"))
+    some = best.where(F.col("m.less") <= -LEADS).select("doc_id", F.col("m.lead").alias("label")).where("label < doc_id")
+
+    def run(batches):
+        for b in batches:
+            same = agreeing(halves_of(_sigs(b.column("sig"))), halves_of(_sigs(b.column("other")))) >= ALIKE
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(same)) for c in ("doc_id", "label")], ["doc_id", "label"])
+
+    both = some.join(reps.select("doc_id", "sig").hint("merge"), "doc_id").join(reps.select(F.col("doc_id").alias("label"), F.col("sig").alias("other")).hint("merge"), "label")
+    return both.select("doc_id", "label", "sig", "other").mapInArrow(run, "doc_id long, label long")
+
+
+def settled(large: DataFrame, labels: DataFrame, small: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(leaves, open): parts of settled nodes as path, doc_id, main (of the largest label); (path, doc_id) of all other large nodes."""
+    own = large.select("path", "doc_id").join(labels.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    most = own.groupBy("path", "label").agg(F.count("*").alias("k")).groupBy("path").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("m"))
+    most = most.select("path", F.col("m.label").alias("main"), F.ceil(F.col("m.k") / (PART * small)).alias("parts"), (F.col("n") - F.col("m.k")).alias("beside"), "m.k")
+    done = written(most.where(F.col("beside") <= F.least(F.lit(BESIDE * small), "k")).drop("k"), "settled", rows=rows // PART)
+    part = F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("doc_id"), "parts"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    leaves = own.join(done.where("beside > 0"), "path").select("path", "doc_id", (F.col("label") == F.col("main")).alias("main"), F.explode(part).alias("part"))
+    return leaves.select(F.xxhash64("path", "part").alias("path"), "doc_id", "main"), large.select("path", "doc_id").join(done, "path", "left_anti")
+
+
 def leaf_ties(reps: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(a, b), a < b: ties of the members of small leaves whose signatures agree."""
-    mine = leaves.groupBy("doc_id").agg(F.collect_list("path").alias("paths"))  # a few paths a tree
+    """(a, b), a < b: ties of the members of leaves whose signatures agree; those of a leaf's main label are tied already."""
+    mine = leaves.groupBy("doc_id").agg(F.collect_list(F.struct("path", "main")).alias("paths"))  # a few paths a tree
 
     def send(batches):
         for b in batches:
-            ids, paths, sig = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("paths"), _sigs(b.column("sig"))
-            row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(paths)))
-            half = (sig & np.uint32(15)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([paths.flatten(), pa.array(ids[row]), _blobs((half[:, ::2] << 4 | half[:, 1::2])[row])], ["path", "doc_id", "half"])
+            ids, paths, half = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("paths"), halves_of(_sigs(b.column("sig")))
+            row, flat = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(paths))), paths.flatten()
+            for s in range(0, len(row), _FLUSH // 8):
+                r, f = row[s : s + _FLUSH // 8], flat.slice(s, _FLUSH // 8)
+                yield pa.RecordBatch.from_arrays([pa.compute.struct_field(f, 0), pa.array(ids[r]), pa.compute.struct_field(f, 1), _blobs(half[r])], ["path", "doc_id", "main", "half"])
 
     def compare(batches):
-        at, ids, halves = None, [], []
+        at, ids, mains, halves = None, [], [], []
 
         def done():
             order = np.argsort(np.array(ids), kind="stable")
-            both = np.stack(halves)[order]
-            high, low = both >> 4, both & 15
-            agree = (high[:, None] == high[None, :]).sum(2) + (low[:, None] == low[None, :]).sum(2)
-            part = forest(agree >= ALIKE)
-            got = np.array(ids)[order]
+            got, both, main = np.array(ids)[order], np.stack(halves)[order], np.array(mains)[order]
+            mine, own, rest, others = both[main], got[main], both[~main], got[~main]
+            part = forest(agreeing(rest[:, None], rest[None, :]) >= ALIKE)
             tied = part != np.arange(len(part))
-            return got[part[tied]], got[tied]
+            left, right = others[part[tied]].tolist(), others[tied].tolist()
+            for x, half in zip(others.tolist(), rest, strict=True):
+                if len(hit := np.flatnonzero(agreeing(mine, half) >= ALIKE)):  # one tie to the label joins all of it
+                    left.append(min(x, int(own[hit[0]])))
+                    right.append(max(x, int(own[hit[0]])))
+            return left, right
 
         for b in batches:
             left, right = [], []
-            body = np.frombuffer(b.column(2).buffers()[2], np.uint8, count=b.column(2).buffers()[2].size)
-            off = np.frombuffer(b.column(2).buffers()[1], np.int32)[b.column(2).offset : b.column(2).offset + len(b) + 1]
-            for k, (path, doc) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            body = np.frombuffer(b.column(3).buffers()[2], np.uint8, count=b.column(3).buffers()[2].size)
+            off = np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset : b.column(3).offset + len(b) + 1]
+            for k, (path, doc, main) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)):
                 if path != at:
                     if len(ids) > 1:
                         x, y = done()
-                        left.append(x)
-                        right.append(y)
-                    at, ids, halves = path, [], []
+                        left += x
+                        right += y
+                    at, ids, mains, halves = path, [], [], []
                 ids.append(doc)
+                mains.append(main)
                 halves.append(body[off[k] : off[k + 1]].copy())
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
         if len(ids) > 1:
             x, y = done()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     n = partitions(reps.sparkSession)
-    sent = reps.select("doc_id", "sig").join(mine.hint("merge"), "doc_id").mapInArrow(send, "path long, doc_id long, half binary")
+    sent = reps.select("doc_id", "sig").join(mine.hint("merge"), "doc_id").mapInArrow(send, "path long, doc_id long, main boolean, half binary")
     return sent.repartition(n, "path").sortWithinPartitions("path").mapInArrow(compare, "a long, b long")
 
 
 def star_links(reps: DataFrame, small: int = SMALL) -> DataFrame:
     """Candidate ties (a, b), a < b, as a written table."""
-    members, ties, leaves = written(first_nodes(reps), "members"), None, None
+    members, ties, leaves, labels, inside = written(first_nodes(reps), "members"), None, None, None, None
     rows = reps.count() * TREES  # most members stay in as many nodes or leave
     for depth in range(1, DEPTH + 1):
         sized = written(with_sizes(members, rows), "sized", rows=rows)
-        some = sized.where(F.col("n") <= small).select("path", "doc_id")
+        some = sized.where(F.col("n") <= small).select("path", "doc_id", F.lit(False).alias("main"))
         leaves = some if leaves is None else leaves.union(some)
         large = sized.where(F.col("n") > small)
         if large.isEmpty():
             break
+        if labels is None:  # who is in a large node later is in one now
+            inside = written(reps.select("doc_id", "sig").join(large.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "inside", rows=rows // TREES)
+            labels = written(lead_labels(inside, large), "labels", rows=rows)
+            ties = labels.select(F.col("label").alias("a"), F.col("doc_id").alias("b"))
         if depth < DEPTH:
-            members = written(next_nodes(reps, large), "members", members, rows)
+            some, large = settled(large, labels, small, rows)
+            leaves = leaves.union(some)
+            members = written(next_nodes(inside, large), "members", members, rows)
         else:
-            ties = large.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+            ties = ties.union(large.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
     dropped(members)
     found = leaf_ties(reps, leaves)
     return written((found if ties is None else found.union(ties)).distinct(), "stars", rows=rows)
 
 
+def set_links(reps: DataFrame, small: int = SMALL) -> DataFrame:
+    """star_links of sets of which several may share a doc_id; reps has their d1, d2, n_shingles too.
+
+    Each set is a member of its own, else every set of an id would move along the paths of all the others.
+    """
+    if (reps.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0) < 2:
+        return star_links(reps, small)
+    own = reps.withColumn("set", F.xxhash64("doc_id", "d1", "d2", "n_shingles"))
+    links, ends = star_links(own.select(F.col("set").alias("doc_id"), "sig"), small), own.select("set", "doc_id").hint("merge")
+    for end in ("a", "b"):
+        links = links.join(ends.withColumnRenamed("doc_id", f"{end}_id"), F.col(end) == F.col("set")).drop(end, "set")
+    return written(links.where("a_id <> b_id").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "stars", rows=reps.count())
+
+
 def confirmed(docs: DataFrame, links: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The links whose full sets have 100 * intersection >= threshold * union.
 
@@ -534,7 +608,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, max_family: int
     sets = written(describe(docs), "sets")
     full, rows = sets.where("n_shingles > 0 and doc_id is not null"), sets.count()
     reps = written(full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("r.doc_id", "r.sig", "d1", "d2", "n_shingles"), "reps", rows=rows)
-    stars = star_links(reps, small)
+    stars = set_links(reps, small)
     found = components(stars).withColumnRenamed("component_id", "family")
     family = written(found.union(found.select("family", "family").distinct()), "families", rows=rows)
     size = family.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id").groupBy("family").agg(F.sum("n").alias("n"), F.count("*").alias("members"))

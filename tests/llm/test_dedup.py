@@ -185,6 +185,49 @@ def test_large_nodes_branch_until_small(spark):
     assert 1.1 < len(kids) / path.size < 1.6 and len(np.unique(kids)) > len(np.unique(path))
 
 
+def moved(monkeypatch):
+    """Gets the rows that next_nodes makes, level by level."""
+    rows, move = [], neardup.next_nodes
+
+    def counted(*a):
+        out = neardup.written(move(*a), "moved")
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "next_nodes", counted)
+    return rows
+
+
+def test_near_copies_do_not_move_on_together(spark, monkeypatch):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(11), moved(monkeypatch)
+    sig = np.tile(rng.integers(0, 1 << 32, 128, dtype=np.uint32), (500, 1))
+    change = rng.random(sig.shape) < 0.1
+    for i in range(400, 500):  # a chain that leaves the others step by step
+        sig[i], change[i] = sig[i - 1], rng.random(128) < 0.12
+        sig[i][change[i]] = rng.integers(0, 1 << 32, int(change[i].sum()), dtype=np.uint32)
+    change[400:] = False
+    sig[change] = rng.integers(0, 1 << 32, int(change.sum()), dtype=np.uint32)
+    sig = sig[(order := rng.permutation(500))]
+    reps = spark.createDataFrame([(i, bytes(x.tobytes())) for i, x in enumerate(sig)], "doc_id long, sig binary")
+    links = neardup.star_links(reps, 16)
+    assert sum(rows) < 20 * 500  # 46,415 where all move on
+    assert links.where("a >= b").isEmpty()
+    part = dict(enumerate(range(500))) | {r.doc_id: r.component_id for r in neardup.components(links).collect()}
+    alike = (sig[:, None] == sig[None, :]).sum(2) >= 96
+    assert alike[order >= 400].sum() > 200 and all(part[a] == part[b] for a, b in np.argwhere(alike).tolist() if a != b)
+
+
+def test_sets_that_share_an_id_are_members_of_their_own(spark, monkeypatch):
+    rows, words = moved(monkeypatch), [f"w{i}" for i in range(200)]
+    near = [(7, " ".join([*words[:-k], *(f"x{k}" for _ in range(k))])) for k in range(1, 13)]
+    docs = [*near, (9, " ".join(words)), (3, " ".join(f"v{i}" for i in range(90))), (7, " ".join(f"u{i}" for i in range(90)))]
+    out = neardup.near_duplicates(docs_of(spark, docs), small=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(3, 3), *[(7, 7)] * 13, (9, 7)]
+    assert sum(rows) < 110 * 14  # 1,148,987 where each moves along the paths of all
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     assert fmindex.remove_repeats(none).count() == 0
