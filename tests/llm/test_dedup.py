@@ -219,6 +219,15 @@ def test_near_copies_do_not_move_on_together(spark, monkeypatch):
     assert alike[order >= 400].sum() > 200 and all(part[a] == part[b] for a, b in np.argwhere(alike).tolist() if a != b)
 
 
+def test_one_of_each_settles_near_copies(spark, monkeypatch):
+    rng, rows = random.Random(6), moved(monkeypatch)
+    base = [f"w{i}" for i in range(300)]
+    near = [(i, " ".join(x if rng.random() > 0.006 else f"x{i}" for x in base)) for i in range(150)]
+    out = neardup.one_of_each(docs_of(spark, near))
+    assert [(r.doc_id, r.text) for r in out.collect()] == [near[0]]
+    assert len({t for _, t in near}) > 2 * neardup.SMALL and sum(rows) < 20 * 150
+
+
 def test_sets_that_share_an_id_are_members_of_their_own(spark, monkeypatch):
     rows, words = moved(monkeypatch), [f"w{i}" for i in range(200)]
     near = [(7, " ".join([*words[:-k], *(f"x{k}" for _ in range(k))])) for k in range(1, 13)]
