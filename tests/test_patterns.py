@@ -95,6 +95,14 @@ def test_judged_links_match_a_loop(spark):
     assert any(r.chain_position > 0 for r in out) and all((r.chain_id is None) == (r.link_type != "REFUND") for r in out)
 
 
+def test_links_of_many_components_share_calls(spark):
+    df = spark.range(4000).selectExpr("1L as user_id", "3 * id as source_id", "3 * id + 1 as target_id", "'INTERNAL_TRANSFER' as link_type", "0.8D as factor")
+    txns = spark.range(12000).selectExpr("1L as user_id", "id", "'5.00' as amount", "'CAD' as currency")
+    out = T.assign_judged(df.unionByName(df.selectExpr("user_id", "target_id as source_id", "target_id + 1 as target_id", "link_type", "0.7D as factor")), txns)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert sorted((r.source_id, r.target_id) for r in out.collect()) == [(3 * k, 3 * k + 1) for k in range(4000)]
+
+
 def test_link_picker(spark):
     row = lambda i, account, kind, amount, ccy, day, text, user=1: (user, i, account, kind, amount, ccy, day, text, None)
     rows = [
