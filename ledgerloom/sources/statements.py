@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import tables as X
+from ..operators.cut import written
 
 CURRENCIES = ["CAD", "USD", "CNY", "EUR", "GBP"]
 WALLET_SKIP = ["General Currency Conversion", "Bank Deposit to PP Account", "User Initiated Withdrawal", "Account Hold for Open Authorization", "Reversal of General Account Hold", "Payment Hold"]
+FEW_FILES = 10_000
 OUT = ["account", "transaction_type", "date_posted", "amount", "currency", "description", "source_file", "source_row"]
 
 
@@ -60,12 +62,14 @@ def parsed(rows: DataFrame) -> DataFrame:
     """(file, row, dialect, cells) of data lines (file, row, value) of any number of files; blank lines and comments are none."""
     rows = rows.where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     head = rows.groupBy("file").agg(F.min_by("value", "row").alias("head"), F.min("row").alias("head_row"))
-    out = rows.join(head, "file").where("row > head_row")
-    names = F.transform(_cells(F.col("head")), F.lower)
-    values = _cells(F.col("value"))
-    n = F.least(F.size(names), F.size(values))
-    cells = F.map_from_arrays(F.slice(F.transform(names, lambda x, i: F.when(x == "", F.concat(F.lit("_"), i.cast("string"))).otherwise(x)), F.lit(1), n), F.slice(values, F.lit(1), n))
-    return out.select("file", "row", dialect(F.col("head")).alias("dialect"), cells.alias("c"))
+    names = F.transform(F.transform(_cells(F.col("head")), F.lower), lambda x, i: F.when(x == "", F.concat(F.lit("_"), i.cast("string"))).otherwise(x))
+    head = written(head.select("file", "head_row", dialect(F.col("head")).alias("dialect"), names.alias("names")), "heads")
+    if head.count() <= FEW_FILES:  # lines of few files are not gathered by file
+        head = F.broadcast(head)
+    # exploded, so that a line is split once
+    out = rows.join(head, "file").where("row > head_row").select("file", "row", "dialect", "names", F.explode(F.array(_cells(F.col("value")))).alias("values"))
+    n = F.least(F.size("names"), F.size("values"))
+    return out.select("file", "row", "dialect", F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("values", F.lit(1), n)).alias("c"))
 
 
 def _get(name: str) -> Column:
@@ -113,7 +117,8 @@ def read(spark: SparkSession, path: str, account: str | None = None) -> DataFram
 
 
 def every(rows: DataFrame, account: str | None = None) -> DataFrame:
-    """Ledger rows of parsed lines; a file of no known dialect is an error."""
+    """Ledger rows of parsed lines, which are written once for all dialects; a file of no known dialect is an error."""
+    rows = written(rows, "lines")
     bad = [r.file for r in rows.where("dialect = 'unsupported'").select("file").distinct().limit(5).collect()]
     if bad:
         raise ValueError(f"unsupported statement format: {', '.join(sorted(bad))}")
